@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgermill.llm import fingerprints, jaccard, langid, mixing, pii, quality, sharding, warc
+from ledgermill.llm import decontam, fingerprints, jaccard, langid, mixing, pii, quality, sharding, warc
 from ledgermill.llm.common import table
 
 
@@ -36,9 +36,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out_run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_fingerprints, op4_pii, op5_warc, op7_jaccard_join, op8_quality, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_fingerprints, op4_pii, op5_warc, op7_jaccard_join, op8_quality, op9_decontamination, op10_mixing)}
 ORACLES: dict[str, str] = {}
