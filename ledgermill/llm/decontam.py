@@ -225,14 +225,17 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _contaminated(shared):
+    @F.pandas_udf("boolean")
+    def contaminated(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(shared.value.hits(t)) for t in texts], dtype="bool")
+
+    return contaminated
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item contaminates, columns as they were."""
     for index in parts(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def contaminated(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([bool(shared.value.hits(t)) for t in texts], dtype="bool")
-
-        docs = docs.where(~contaminated(F.col("text").cast("string")))
+        found = _contaminated(docs.sparkSession.sparkContext.broadcast(index))
+        docs = docs.where(~found(F.col("text").cast("string")))
     return docs

@@ -16,7 +16,7 @@ clashing names don't matter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgermill.llm.common import new_path
@@ -37,8 +37,14 @@ def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        *_slots(F.col(id_col), text),
+    )
+
+
+def _slots(record_id: Column, text: Column) -> tuple[Column, Column]:
+    return (
         F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(SLOTS)).cast("int").alias("vslot"),
-        F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(17)), F.lit(SUBS)).cast("int").alias("sub"),
+        F.pmod(F.xxhash64(F.coalesce(record_id.cast("string"), F.lit("")), F.lit(17)), F.lit(SUBS)).cast("int").alias("sub"),
     )
 
 
@@ -123,6 +129,17 @@ def shard_of(sizes: DataFrame, slot_map: DataFrame) -> DataFrame:
     return placed.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)).cast("long"))
 
 
+def place(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, columns as they were, with ``shard`` and ``virtual_slot`` added: one pass, no document is shuffled."""
+    keys = records(docs, id_col, text_col)
+    sizes = slot_bytes(keys)
+    placed = shard_of(sizes, SlotMap(docs.sparkSession).create(shards).rebalance(sizes, shards, 0)).select("vslot", "sub", "shard")
+    rows = docs.select(F.struct("*").alias("_row"), *(F.col(c).alias(a) for c, a in ((id_col, "doc_id"), (text_col, "text"))))
+    keyed = rows.select("_row", *_slots(F.col("doc_id"), F.col("text")))
+    old = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("shard", "virtual_slot")]
+    return keyed.join(F.broadcast(placed), ["vslot", "sub"]).select(*old, "shard", F.col("vslot").alias("virtual_slot"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", slot_map: SlotMap | None = None) -> DataFrame:
     """Documents with their shard, their gapless position in it, and the virtual slot; sizes of shards are near equal."""
     recs = records(docs, id_col, text_col)
