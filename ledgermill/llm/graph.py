@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from ledgermill.llm.common import stash
 
 
+#: The edges of a node are dealt to this many tasks, so that a hub is none's alone; its smallest neighbour goes to each.
+SALTS = 8
+
+
+def salted(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+
+
+def spread(marks: DataFrame) -> DataFrame:
+    return marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, root) for every node of ``edges`` (u long, v long); root is the component's smallest node.
 
@@ -22,9 +34,9 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
             break
         before = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = spread(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+        large = salted(both).join(least, ["u", "salt"]).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hooked = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hooked = salted(large).join(spread(low), ["u", "salt"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stash(hooked.union(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
