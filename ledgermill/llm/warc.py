@@ -114,7 +114,10 @@ def members(content: bytes) -> Iterator[Iterator[bytes]]:
                 yield data
 
     while at < len(view):
-        yield slices()
+        part = slices()
+        yield part
+        for _ in part:  # what the caller left of it
+            pass
 
 
 def frame(slices: Iterator[bytes]) -> tuple[dict[str, str], bytes]:
