@@ -25,7 +25,7 @@ SHARDS = 8
 SLOTS = 4096
 SUBS = 64
 #: A slot that holds more than this share of an even shard is split into its sub-slots.
-HOT_SHARE = 0.125
+HOT_SHARE = 0.5
 #: How far above an even share a shard may be filled by the slots that stay where they are.
 SLACK = 0.0005
 
@@ -89,7 +89,8 @@ class SlotMap:
             .agg(F.sum("bytes").alias("bytes"))
         )
         home = self.read(version)
-        whole = home.where(F.col("sub").isNull()).select("vslot", F.col("shard").alias("whole_home"))
+        # A slot that was split before and is whole again goes home with its first sub-slot.
+        whole = home.groupBy("vslot").agg(F.min_by("shard", F.coalesce("sub", F.lit(-1))).alias("whole_home"))
         split = home.where(F.col("sub").isNotNull()).select("vslot", "sub", F.col("shard").alias("split_home"))
         units = (
             whole.join(units, "vslot", "left")
