@@ -153,7 +153,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     ranges = max(1, min(MAX_RANGES, math.ceil(total / RANGE_BYTES)))
-    bounds = rows.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 10 * ranges).alias("b")).first()["b"] or []
+    bounds = rows.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 10 * ranges).alias("b")).first()["b"] or [0]
     splits = [-math.inf, *sorted({float(b) for b in bounds}), math.inf]
     dealt = Bucketizer(splits=splits, inputCol="at", outputCol="bucket", handleInvalid="keep").transform(rows.withColumn("at", F.col("doc_id").cast("double")))
     dealt = dealt.select("doc_id", "text", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("bucket").cast("int")).alias("rng"))

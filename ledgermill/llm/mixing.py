@@ -177,8 +177,8 @@ def mix(docs: DataFrame, out_shards: int = OUT_SHARDS, whole_documents: bool = T
     base = measured(docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source"))
     sizes = stash(base.select("doc_id", "source", "size", "_block_hash", "_inner_hash"), "mix-sizes")
     drawn = draws(base, plan(sizes, out_shards, whole_documents=whole_documents)).withColumn("_copy", F.explode("copies"))
-    first_words = F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){0,"), F.col("_copy.words").cast("string"), F.lit("}"))
-    text = F.col("text") if whole_documents else F.when(F.col("_copy.words") >= F.col("size"), F.col("text")).otherwise(F.regexp_extract("text", first_words, 0))
+    first_words = F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){0,"), F.col("_copy.words").cast("string"), F.lit("}+"))
+    text = F.col("text") if whole_documents else F.when(F.col("_copy.words") >= F.col("size"), F.col("text")).otherwise(F.call_function("regexp_extract", F.col("text"), first_words, F.lit(0)))
     return drawn.select(*(text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in keep), F.col("_copy.pass").alias("mix_pass"), F.col("_copy.words").alias("mix_words"), F.col("_copy.shard").alias("mix_shard"), F.col("_copy.order").alias("mix_order"))
 
 
