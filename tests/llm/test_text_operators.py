@@ -1,0 +1,164 @@
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgermill.llm import fingerprints, langid, pii, quality
+from ledgermill.llm.common import id_remainder
+
+
+def luhn_ok(d):
+    return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for rank, (kind, p) in enumerate((("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 14 <= len(d) <= 19 and luhn_ok(d) or kind == "phone" and 10 <= len(d) <= 15:
+                out.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+    return [x for _, _, x in sorted(out)]
+
+
+TRICKY = [
+    "a@b.c_d@e.f x@y..z @q.r a@b.c@d.e", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.4 1.2.3", "4111 1111 1111 1111-4111-1111-1111-1111 4111111111111111 411111111111111111119",
+    "+1 (017) 555-7713 +12 +1-2-3-4-5-6-7-8-9-0.", "é€😀 a@b.co ü 192.168.0.1 😀+49 30 1234567", "5500-0000-0000-0004 4012888888881881x 0" * 3, "9" * 5000, "a" * 20000 + "@b.c", "-@-.- %@1.1.1.1", "+1+1+12345678901234567",
+]
+
+
+def test_pii_matches_plain_patterns(spark, documents):
+    rng = random.Random(5)
+    noise = ["".join(rng.choice("0123456789.@+- ()abé") for _ in range(300)) for _ in range(300)]
+    cases = spark.createDataFrame(list(enumerate(TRICKY + noise)), "doc_id long, text string")
+    for docs in (cases, documents.select("doc_id", "text")):
+        texts = dict(docs.collect())
+        for r in pii.digest(docs).collect():
+            want = base_spans(texts[r["doc_id"]])
+            assert [s for s in r["spans"].split(",") if s and not s.startswith("iban")] == want, texts[r["doc_id"]][:80]
+            assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+            assert r["n_card"] == sum(s.startswith("card") for s in want)
+
+
+def test_pii_iban_and_context(spark):
+    docs = spark.createDataFrame([(1, "IBAN GB82 WEST 1234 5698 7654 32 and GB83 WEST 1234 5698 7654 32"), (2, "mail me: a@b.co"), (3, "zz a@b.co")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.digest(docs).collect()}
+    assert got[1]["spans"].startswith("iban:5:32") and got[1]["n_iban"] == 1
+    assert float(got[2]["scores"]) >= float(got[3]["scores"])
+    assert [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()][1] == "mail me: <email>"
+
+
+def test_pii_odd_rows(odd_docs, no_docs):
+    assert pii.digest(odd_docs).count() == 10 and pii.digest(no_docs).count() == 0
+    assert pii.redact(odd_docs).columns == odd_docs.columns
+
+
+def brute_cuts(raw):
+    """Boundaries by the definition: the hash of 16 bytes at every step."""
+    gear = [int(x) for x in fingerprints.GEAR]
+    out, s, n = [], 0, len(raw)
+    while n - s > fingerprints.MIN:
+        c = s + fingerprints.MIN
+        while c < min(n, s + fingerprints.MAX):
+            h = sum(gear[raw[c - 1 - k]] << 2 * k for k in range(16)) & 0xFFFFFFFF
+            if h >> (26 if c < s + fingerprints.NORMAL else 28) == 0:
+                break
+            c += 1
+        if c >= n:
+            break
+        out.append(c)
+        s = c
+    return [*out, n] if n else []
+
+
+def test_chunk_boundaries_by_definition():
+    import numpy as np
+
+    rng = random.Random(3)
+    for n in (0, 1, 24, 25, 100, 1000, 5000):
+        raw = "".join(rng.choice("abcdefgh ") for _ in range(n)).encode()
+        assert fingerprints.boundaries(np.frombuffer(raw, dtype=np.uint8)) == brute_cuts(raw)
+
+
+def test_fingerprints_against_brute_force(documents):
+    docs = sorted((tuple(r) for r in documents.select("doc_id", "text").collect()), reverse=True)
+    got = {r["doc_id"]: r for r in fingerprints.with_next(documents).collect()}
+    assert len(got) == len(docs)
+    for k, (doc_id, text) in enumerate(docs):
+        nxt = docs[(k + 1) % len(docs)][1]
+        cut = len(text) // 3
+        other = text[: len(text) - cut] + nxt[:cut]
+        r = got[doc_id]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(other.encode()).hexdigest())
+        assert r["fingerprint"] == fingerprints.fingerprint(text) and r["edited_fingerprint"] == fingerprints.fingerprint(other)
+        a, b, c = (fingerprints.kinds_of(fingerprints.fingerprint(t)) for t in (text, other, nxt))
+        assert r["near_edited"] == pytest.approx(fingerprints.containment(a, b)) and r["near_next"] == pytest.approx(fingerprints.containment(a, c))
+    assert sum(r["near_edited"] for r in got.values()) / len(got) > 0.5
+
+
+def test_fingerprints_odd_rows(odd_docs, no_docs):
+    rows = fingerprints.with_next(odd_docs).collect()
+    assert len(rows) == 10
+    assert {r["fingerprint"] for r in rows if r["n_chars"] == 0} == {""}
+    assert fingerprints.with_next(no_docs).count() == 0
+    one = fingerprints.with_next(odd_docs.where("doc_id = 5")).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1.0
+
+
+def test_language_held_out(documents):
+    rows = langid.held_out_run(documents).join(documents.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert held and sum(r["lang_pred"] == r["lang"] for r in held) >= 0.97 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_language_odd_rows(odd_docs, no_docs):
+    rows = {(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(odd_docs, F.lit(True)).collect()}
+    assert {(2, "und", 0.0), (3, "und", 0.0), (6, "und", 0.0), (7, "und", 0.0)} <= rows
+    assert langid.held_out_run(no_docs).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(odd_docs, F.lit(False)).collect()} == {"und"}
+
+
+def test_language_pieces_do_not_change_the_letters(monkeypatch):
+    text = "Ünï code, 12 MIXED!! text é  ß" * 40 + "..."
+    whole = langid.letters(text).tolist()
+    for n in (1, 2, 7, 64):
+        monkeypatch.setattr(langid, "PIECE", n)
+        assert langid.letters(text).tolist() == whole
+
+
+def test_quality_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.held_out_run(docs, labels).join(labels, "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["predicted"] == r["quality"] for r in held) >= 0.95 * len(held)
+    assert all(r["predicted"] == (r["score"] >= 0.7) for r in rows)
+
+
+def test_quality_odd_rows(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(1, 1), (6, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    rows = quality.held_out_run(odd_docs, labels).collect()
+    assert len(rows) == 10 and all(0 <= r["score"] <= 1 for r in rows)
+    assert quality.held_out_run(no_docs, labels).count() == 0
+    none = quality.held_out_run(odd_docs, labels.limit(0)).collect()
+    assert {r["score"] for r in none} == {0.5}
+    model = quality.train(odd_docs, labels, id_remainder("doc_id", 1) == 0)
+    assert quality.keep_good(odd_docs, model).columns == odd_docs.columns
+
+
+def test_marginals_by_enumeration():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    emit, trans = rng.normal(size=5), rng.normal(size=(2, 2))
+    z, good = 0.0, np.zeros(5)
+    for path in itertools.product((0, 1), repeat=5):
+        w = np.exp(sum(e * y for e, y in zip(emit, path, strict=True)) + sum(trans[a, b] for a, b in zip(path, path[1:], strict=False)))
+        z += w
+        good += w * np.array(path)
+    assert np.allclose(quality.marginals(emit, trans)[0], good / z)
