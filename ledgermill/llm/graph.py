@@ -17,7 +17,8 @@ def salted(edges: DataFrame) -> DataFrame:
 
 
 def spread(marks: DataFrame) -> DataFrame:
-    return marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Spark's estimate would not see the copies, so it is told not to broadcast them.
+    return marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
