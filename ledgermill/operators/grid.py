@@ -1,0 +1,406 @@
+"""Layout inference: long grids to facts.
+
+Cells are read in the JVM first: every cell gets its number, its number with a unit, its period, its unit and its variant as
+columns (``annotated``).  What is left for Python is the part that depends on the order of rows in one sheet, so sheets are
+grouped and each is walked once.  A sheet has at most 50,000 rows, which bounds a group.
+
+Layouts are tried in this order: wide (periods across), ledger (dated operations), vertical (periods down), categorical
+(names and values without periods).
+"""
+
+from __future__ import annotations
+
+import re
+from collections import Counter, defaultdict
+from dataclasses import dataclass, field
+from datetime import date
+from decimal import Decimal
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ledgermill.functions import names, numbers, periods
+from ledgermill.schemas import LEDGER, SCANNED
+from ledgermill.sources.grids import cell_name
+
+HEADER_ROWS = 25
+# What opens a total, a part of the line above, and what is no metric at all.
+TOTALS = ("итого", "всего")
+SHARES = ("доля", "доля, %", "доля %", "структура", "структура, %", "уд. вес", "удельный вес")
+SERVICE = ("№", "no", "n", "п/п", "№ п/п", "код")
+SERVICE_PARTS = ("код строки", "примечан", "пояснен", "номер строки")
+PART_OF = re.compile(r"^(?:в\s*т\.?\s*ч\.?|в том числе|из них)[\s:,]*", re.I)
+NUMBERING = re.compile(r"^(?:раздел\s+)?(?:[ivx]+|\d+(?:\.\d+)*)[.)]\s*", re.I)
+YEAR = re.compile(r"(?<!\d)20[0-4]\d(?!\d)")
+
+
+def annotated(grid: DataFrame) -> DataFrame:
+    """Cells with what each could be, worked out from its text alone."""
+    raw = F.col("raw")
+    iso = F.col("cell_type") == "date"
+    n = F.when(F.col("cell_type") == "number", raw.try_cast("decimal(28,6)")).when(~iso, numbers.parse_number(raw))
+    bare = F.trim(F.regexp_replace(raw, r"\([^)]*\)", " "))
+    tolerant = F.coalesce(periods.parse(bare), periods.parse(F.element_at(F.split(bare, r"\s+"), -1)))
+    base = grid.withColumn("n", n).withColumn("wu", numbers.parse_number_with_unit(raw)).withColumn("p", F.when(F.col("cell_type") != "number", periods.parse(raw)))
+    base = base.withColumn("p", F.when(F.col("cell_type") == "number", F.when(raw.rlike(r"^20[0-4]\d(?:\.0+)?$"), periods.year(raw.cast("double").cast("int")))).otherwise(F.col("p")))
+    variant = names.detect_variant(raw)
+    return base.select(
+        "doc_id", "sheet", "row", "col", "raw", names.clean_name(raw).alias("name"), names.strip_unit(names.clean_name(raw)).alias("bare"),
+        F.col("n"), F.when(F.col("cell_type") == "text", F.col("wu.value")).alias("un"), F.col("wu.unit.multiplier").alias("mult"), F.col("wu.unit.unit").alias("unit"), F.col("wu.unit.currency").alias("currency"),
+        F.col("p.ptype").alias("ptype"), F.col("p.label").alias("plabel"), F.col("p.start").alias("pstart"), F.col("p.end").alias("pend"),
+        F.when(F.col("p").isNull() & variant.isNotNull(), tolerant).alias("tp"), variant.alias("variant"),
+        F.coalesce(periods.parse_date(F.trim(raw)), F.when(iso, raw.try_cast("date"))).alias("day"),
+    ).select("*", F.col("tp.ptype").alias("tptype"), F.col("tp.label").alias("tplabel"), F.col("tp.start").alias("tpstart"), F.col("tp.end").alias("tpend")).drop("tp")
+
+
+@dataclass(frozen=True)
+class Period:
+    ptype: str
+    label: str
+    start: date
+    end: date
+
+
+@dataclass(frozen=True)
+class Unit:
+    multiplier: int = 1
+    unit: str | None = None
+    currency: str | None = None
+
+    @property
+    def says(self) -> bool:
+        return self.multiplier > 1 or self.currency is not None
+
+
+@dataclass(frozen=True)
+class Cell:
+    raw: str
+    name: str
+    bare: str
+    number: Decimal | None
+    united: Decimal | None
+    own: Unit
+    period: Period | None
+    head: Period | None
+    variant: str | None
+    day: date | None
+
+    @property
+    def texty(self) -> bool:
+        return self.number is None and self.united is None and self.period is None and self.day is None
+
+    @property
+    def numeric(self) -> bool:
+        return self.number is not None or self.united is not None
+
+    def value(self, scale: int) -> tuple[Decimal | None, Unit | None]:
+        """Value in base units; a unit or scale of the cell's own beats the sheet's, a bare currency keeps it."""
+        if self.united is not None and (self.own.unit or self.own.multiplier != 1):
+            return self.united * (scale if self.own.multiplier == 1 and self.own.currency and self.own.unit != "%" else 1), self.own
+        return (None if self.number is None else self.number * scale), None
+
+
+@dataclass
+class Fact:
+    metric: str
+    period: Period
+    value: Decimal
+    unit: str | None
+    currency: str | None
+    ref: str
+    variant: str = "fact"
+    section: str | None = None
+    parent: str | None = None
+    total: bool = False
+
+
+def service(name: str) -> bool:
+    low = name.lower()
+    return low in SERVICE or any(p in low for p in SERVICE_PARTS)
+
+
+@dataclass
+class Sheet:
+    name: str
+    cells: dict[tuple[int, int], Cell]
+    warnings: list[str] = field(default_factory=list)
+
+    def __post_init__(self):
+        self.rows: dict[int, dict[int, Cell]] = defaultdict(dict)
+        for (r, c), cell in sorted(self.cells.items()):
+            self.rows[r][c] = cell
+        self.n_rows = max((r for r, _ in self.cells), default=-1) + 1
+        self.n_cols = max((c for _, c in self.cells), default=-1) + 1
+
+    # -- wide ---------------------------------------------------------------
+
+    def header(self) -> tuple[int, dict[int, Period]] | None:
+        """The row among the first ones that names most periods (two at least), else one that has a text and then one."""
+        heads = {r: {c: p for c, x in self.rows[r].items() if (p := x.period or x.head)} for r in range(min(HEADER_ROWS, self.n_rows)) if r in self.rows}
+        many = [(len(cols), -r) for r, cols in heads.items() if len(cols) >= 2]
+        if many:
+            r = -max(many)[1]
+            return r, heads[r]
+        for r, cols in heads.items():
+            if len(cols) == 1 and any(c < min(cols) and x.texty for c, x in self.rows[r].items()):
+                return r, cols
+        return None
+
+    def names_column(self, head: int, first: int) -> int | None:
+        """Leftmost column before the periods that holds text in a fifth of the data rows, else the one with most."""
+        data = [cells for r, cells in self.rows.items() if r > head and any(c >= first and x.numeric for c, x in cells.items())]
+        texts = Counter(c for cells in data for c, x in cells.items() if c < first and x.texty)
+        for c in sorted(texts):
+            if texts[c] >= 0.2 * len(data):
+                return c
+        return min(texts, key=lambda c: (-texts[c], c), default=None)
+
+    def unit(self, near: range, skip: tuple[int, set[int]] = (-1, frozenset())) -> Unit:
+        """Unit said by the sheet's name or by the rows at hand."""
+        if (own := sheet_unit(self.name)).says:
+            return own
+        for r in near:
+            for c, x in self.rows.get(r, {}).items():
+                if not (r == skip[0] and c in skip[1]) and x.own.says:
+                    return x.own
+        return own
+
+    def column_variant(self, head: int, c: int) -> str:
+        here = self.rows[head].get(c)
+        for r in (head - 2, head - 1, head + 1):
+            x = self.rows.get(r, {}).get(c)
+            if x is not None and x.texty and (x.variant or len(x.raw) <= 15) and (v := x.variant or (here and here.variant)):
+                return v
+        return here.variant if here is not None and here.variant else "fact"
+
+    def wide(self) -> list[Fact] | None:
+        found = self.header()
+        if found is None:
+            return None
+        head, cols = found
+        first = min(cols)
+        column = self.names_column(head, first)
+        spec = {c: (p, self.column_variant(head, c)) for c, p in cols.items()}
+        scale = self.unit(range(max(0, head - 3), head + 1), (head, set(cols)))
+        facts: list[Fact] = []
+        section = last = main = None
+        for r in range(head + 1, self.n_rows):
+            cells = self.rows.get(r)
+            if not cells:
+                continue
+            at, indented = self.name_at(cells, column, first)
+            if at is None:
+                continue
+            x = cells[at]
+            low = x.bare.lower()
+            if not low or service(x.name) or (PART_OF.match(low) and not PART_OF.sub("", low).strip(" :")):
+                continue
+            own = x.own
+            unit = Unit(own.multiplier if own.says or own.unit else scale.multiplier, own.unit or scale.unit, own.currency or scale.currency)
+            values = [(c, v, u) for c in spec if c in cells for v, u in [cells[c].value(unit.multiplier)] if v is not None]
+            if not values:
+                if not any(c in cells for c in spec):
+                    section, main = NUMBERING.sub("", x.name.lower()).strip(), None
+                continue
+            if low.isdigit():
+                continue
+            total = low.startswith(TOTALS)
+            metric, parent = low, None
+            if (m := PART_OF.match(low)) and last:
+                rest = low[m.end() :].strip(" :,.–-")
+                metric, parent = (f"{last} — {rest}" if rest else f"{last} (в т.ч.)"), last
+            elif indented and main:
+                parent = main
+            elif low.startswith("баланс"):
+                section = None
+            elif total and section:
+                bare_total = re.fullmatch(r"(?:итого|всего)(?:\s+по\s+разделу.*)?[\s:.]*", low)
+                metric = f"{section} итого" if bare_total else f"{section} {low}"
+            elif low in SHARES and section:
+                metric, unit = f"{section} {low}", Unit(unit.multiplier, unit.unit or "%", unit.currency)
+            for c, v, u in values:
+                p, variant = spec[c]
+                facts.append(Fact(metric, p, v, (u and u.unit) or unit.unit, (u and u.currency) or unit.currency, cell_name(r, c), variant, section, parent, total))
+            last = metric
+            if not indented:
+                main = metric
+        return facts
+
+    @staticmethod
+    def name_at(cells: dict[int, Cell], column: int | None, first: int) -> tuple[int | None, bool]:
+        """Where a row's name stands, and whether it is set in to the right of the names' column."""
+        main = column or 0
+        if column is not None and column in cells and cells[column].period is None:
+            return column, False
+        for c in sorted(cells):
+            if main < c < first and cells[c].texty:
+                return c, True
+        for c in sorted(cells):
+            if c < main and cells[c].texty:
+                return c, False
+        return None, False
+
+    # -- ledger -------------------------------------------------------------
+
+    def ledger(self) -> list[tuple[str, date, Decimal, str, str]] | None:
+        """(header, day, value, description, cell) of dated operations."""
+        if self.n_rows < 4:
+            return None
+        days = Counter(c for (r, c), x in self.cells.items() if r >= 1 and x.day is not None)
+        if not days:
+            return None
+        at = min(days, key=lambda c: (-days[c], c))
+        if days[at] < 3 or days[at] < 0.25 * (self.n_rows - 1):
+            return None
+        counts: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+        for (r, c), x in self.cells.items():
+            if r >= 1 and c != at:
+                counts[c][0] += x.number is not None
+                counts[c][1] += x.texty
+        out = []
+        for c in sorted(k for k, (n, t) in counts.items() if n >= 2 and n >= t):
+            top = self.rows[0].get(c)
+            header = (top.name if top is not None and top.name else f"сумма (колонка {c + 1})").lower()
+            scale = top.own.multiplier if top is not None else sheet_unit(self.name).multiplier
+            for r, cells in self.rows.items():
+                if r < 1 or at not in cells or cells[at].day is None or c not in cells or not cells[c].numeric:
+                    continue
+                value = cells[c].number * scale if cells[c].number is not None else cells[c].united
+                texts = [x.raw for k, x in cells.items() if k not in (at, c) and x.texty]
+                out.append((header, cells[at].day, value, max(texts, key=len, default="")[:200], cell_name(r, c)))
+        return out or None
+
+    # -- vertical -----------------------------------------------------------
+
+    def vertical(self) -> list[Fact] | None:
+        runs = {c: {r: x.period for (r, k), x in self.cells.items() if k == c and r < 60 and x.period} for c in range(min(3, self.n_cols))}
+        at = max(runs, key=lambda c: (len(runs[c]), -c), default=None)
+        if at is None or len(runs[at]) < 3:
+            return None
+        rows = runs[at]
+        head = next((r for r in range(min(rows) - 1, -1, -1) if any(x.texty for x in self.rows.get(r, {}).values())), None)
+        if head is None:
+            return None
+        heads = {c: x for c, x in self.rows[head].items() if c != at and x.texty and not service(x.name)}
+        scale = self.unit(range(head + 1))
+        out = []
+        for r, p in sorted(rows.items()):
+            for c, h in heads.items():
+                x = self.rows[r].get(c)
+                v, u = x.value(scale.multiplier) if x is not None else (None, None)
+                if v is not None:
+                    out.append(Fact(h.bare.lower(), p, v, (u and u.unit) or scale.unit, (u and u.currency) or scale.currency, cell_name(r, c)))
+        return out or None
+
+    # -- categorical --------------------------------------------------------
+
+    def categorical(self, today: date, titles: list[tuple[str, Period | None, str]]) -> list[Fact] | None:
+        """Names and values of one period; ``titles`` are the sheet's and file's names with the period each holds."""
+        best: tuple[int, int, list[int]] = (0, 0, [])
+        for t in range(self.n_cols):
+            for v in (t + 1, t + 2):
+                rows = [r for r, cells in sorted(self.rows.items()) if t in cells and v in cells and cells[t].texty and cells[v].numeric]
+                if len(rows) >= 3 and len(rows) > len(best[2]):
+                    best = (t, v, rows)
+        t, v, rows = best
+        if not rows:
+            return None
+        above = next((cells for r, cells in sorted(self.rows.items(), reverse=True) if r < rows[0] and any(x.texty for x in cells.values())), {})
+        header = " ".join(x.name for _, x in sorted(above.items()) if x.texty)
+        period, found = next(((p, text) for _, p, text in [(header, *period_inside(header)), *titles] if p), (None, ""))
+        if period is None:
+            period = Period("year", str(today.year), date(today.year, 1, 1), date(today.year, 12, 31))
+            self.warnings.append(f"лист «{self.name}»: периода нет, взят {today.year} год")
+        unit = next((x.own for x in above.values() if x.own.says or x.own.unit), sheet_unit(self.name))
+        section = YEAR.sub("", header.replace(found, " ") if found else header)
+        section = re.sub(r"^(?:за|по итогам)\s+(?:год[а-я]*|г\.)?\s*", "", section.strip(" ,.:-"), flags=re.I).strip(" ,.:-").lower() or None
+        out = []
+        for r in rows:
+            name = self.rows[r][t].bare
+            value, own = self.rows[r][v].value(unit.multiplier)
+            if not name or service(name) or value is None:
+                continue
+            total = name.lower().startswith(TOTALS)
+            out.append(Fact(section if total and section else name.lower(), period, value, (own and own.unit) or unit.unit, (own and own.currency) or unit.currency, cell_name(r, v), section=None if total else section, parent=None if total else section, total=total))
+        kids = [f for f in out if not f.total]
+        if section and kids and len(kids) == len(out):
+            out.append(Fact(section, period, sum((f.value for f in kids), Decimal(0)), kids[0].unit, kids[0].currency, f"{cell_name(rows[0], v)}:{cell_name(rows[-1], v)}", total=True))
+        return out or None
+
+
+def sheet_unit(name: str) -> Unit:
+    low = name.lower()
+    scale = 10**9 if "млрд" in low else 10**6 if "млн" in low else 10**3 if re.search(r"(?<!\w)тыс", low) else 1
+    currency, unit = next(((c, u) for marks, c, u in ((("₽", "руб"), "RUB", "руб"), (("$", "usd", "долл"), "USD", "usd"), (("€", "eur", "евро"), "EUR", "eur")) if any(m in low for m in marks)), (None, None))
+    return Unit(scale, unit, currency)
+
+
+def period_inside(text: str) -> tuple[Period | None, str]:
+    """A year inside a text; finer periods of titles are read in the JVM."""
+    m = YEAR.search(text)
+    return (Period("year", m[0], date(int(m[0]), 1, 1), date(int(m[0]), 12, 31)), m[0]) if m else (None, "")
+
+
+def sheet_of(pdf: pd.DataFrame) -> Sheet:
+    none = lambda v: None if v is None or v != v else v
+    cells = {}
+    for x in pdf.itertuples(index=False):
+        period = Period(x.ptype, x.plabel, x.pstart, x.pend) if none(x.ptype) else None
+        head = Period(x.tptype, x.tplabel, x.tpstart, x.tpend) if none(x.tptype) else None
+        own = Unit(int(none(x.mult) or 1), none(x.unit), none(x.currency))
+        cells[x.row, x.col] = Cell(x.raw, x.name or "", x.bare or "", none(x.n), none(x.un), own, period, head, none(x.variant), none(x.day))
+    return Sheet(pdf["sheet"].iloc[0], cells)
+
+
+def layout(pdf: pd.DataFrame, today: date, want: str) -> pd.DataFrame:
+    sheet, doc = sheet_of(pdf), pdf["doc_id"].iloc[0]
+    names_ = [c.split()[0] for c in (SCANNED if want == "facts" else LEDGER).split(", ")]
+    kind, facts = "wide", sheet.wide()
+    ops = None
+    if facts is None:
+        kind, ops = "ledger", sheet.ledger()
+    if want == "ledger":
+        return pd.DataFrame([(doc, sheet.name, day, v, text, header, ref) for header, day, v, text, ref in ops or ()], columns=names_)
+    if facts is None and ops is None:
+        kind, facts = "vertical", sheet.vertical()
+        if facts is None:
+            titles = [(sheet.name, *period_inside(sheet.name)), (doc, *period_inside(doc))]
+            kind, facts = "categorical", sheet.categorical(today, titles)
+    warning = sheet.warnings[0] if sheet.warnings else None
+    return pd.DataFrame(
+        [(doc, sheet.name, f.metric, f.period.ptype, f.period.label, f.period.start, f.period.end, f.value, f.unit, f.currency, f.variant, f.section, f.parent, f.total, f.ref, kind, warning) for f in facts or ()], columns=names_
+    )
+
+
+def _sheets(grid: DataFrame, today: date, want: str, schema: str) -> DataFrame:
+    return annotated(grid).groupBy("doc_id", "sheet").applyInPandas(lambda pdf: layout(pdf, today, want), schema)
+
+
+def scan(grid: DataFrame, today: date) -> DataFrame:
+    """Facts of all sheets; the same name under several sections of a document gets its section in brackets."""
+    rows = _sheets(grid, today, "facts", SCANNED)
+    w = Window.partitionBy("doc_id", "sheet", "metric")
+    several = F.size(F.collect_set("section").over(w)) > 1
+    return rows.withColumn("metric", F.when(several & F.col("section").isNotNull(), F.concat("metric", F.lit(" ("), "section", F.lit(")"))).otherwise(F.col("metric")))
+
+
+def operations(grid: DataFrame, today: date) -> DataFrame:
+    """Operations of statement sheets, categorised; ``category`` comes from the description."""
+    rows = _sheets(grid, today, "ledger", LEDGER).withColumnRenamed("category", "header")
+    return rows.withColumn("category", names.categorize(F.col("description")))
+
+
+def sheet_texts(grid: DataFrame, most: int = 4000) -> DataFrame:
+    """Every sheet as text: cells joined by bars, rows by newlines."""
+    rows = grid.groupBy("doc_id", "sheet", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "raw"))), lambda x: x["raw"]), " | ").alias("line"))
+    return rows.groupBy("doc_id", "sheet").agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n"), F.lit(most)).alias("body"))
+
+
+def check_totals(facts: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """Totals of a section that its parts miss by more than the tolerance."""
+    keys = ["doc_id", "sheet", "section", "period_end", "variant"]
+    sums = facts.where(~F.col("is_total") & F.col("section").isNotNull() & F.col("parent_hint").isNull()).groupBy(*keys).agg(F.sum("value").cast("decimal(28,6)").alias("parts"))
+    met = facts.where("is_total").join(sums, keys)
+    gap = F.abs(F.col("parts") - F.col("value")).cast("double") / F.nullif(F.abs("value").cast("double"), F.lit(0.0))
+    return met.withColumn("gap", gap).where(F.col("gap") > tolerance).select(*keys, "metric", "value", "parts", "gap")
