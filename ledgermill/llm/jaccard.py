@@ -39,7 +39,7 @@ THRESHOLD = 0.8
 RECALL = 0.9998
 MAX_HASHES = 192
 #: Most texts of a block; a group is cut into SPLIT blocks before its blocks get that large.
-BLOCK, SPLIT = 1024, 16
+BLOCK, SPLIT = 1024, 24
 #: A block holds about this many shingles at most (unless one text has more), which bounds a task's memory.
 BLOCK_SHINGLES = 2_000_000
 COLUMNS = 2048
@@ -190,7 +190,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, reca
     stars = posted.join(buckets, "bucket").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
     groups = stash(components(stars, "candidates").select("node", F.col("root").alias("grp")), "groups")
     tied = reps.select("node", "rep", "copies", "n").join(groups, "node")
-    sizes = tied.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.least(F.lit(SPLIT), F.ceil(F.count(F.lit(1)) * 8 / block)), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+    sizes = tied.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.least(F.lit(SPLIT), F.ceil(F.count(F.lit(1)) * 12 / block)), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
     placed = tied.join(sizes, "grp").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = base.join(placed.select("node", "rep").hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("node", "text")
     items = texts.mapInPandas(fetch(words), "node long, items binary").dropDuplicates(["node"])
