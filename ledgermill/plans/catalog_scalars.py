@@ -26,10 +26,13 @@ def query(sql: str | None = None):
     return add
 
 
-def pick(options: tuple[str, ...], key: str) -> tuple:
-    """The option that a number points at, as a Column and as SQL."""
-    col = F.element_at(F.array(*(F.lit(o) for o in options)), (F.pmod(F.col(key), F.lit(len(options))) + 1).cast("int"))
-    return col, "list_extract([" + ", ".join(f"'{o}'" for o in options) + f"], CAST({key} % {len(options)} + 1 AS INTEGER))"
+def pick(options: tuple[str, ...], key: str):
+    """The option that a number points at."""
+    return F.element_at(F.array(*(F.lit(o) for o in options)), (F.pmod(F.col(key), F.lit(len(options))) + 1).cast("int"))
+
+
+def pick_sql(options: tuple[str, ...], key: str) -> str:
+    return "list_extract([" + ", ".join(f"'{o}'" for o in options) + f"], CAST({key} % {len(options)} + 1 AS INTEGER))"
 
 
 WORDS = ("обед в кафе", "Такси до офиса", "аптека на углу", "налог на прибыль", "Аренда офиса", "комиссия банка", "нечто иное", "Поставщик труб", "кредит и займ", "билеты в театр")
@@ -39,9 +42,9 @@ def rules_sql(text: str, rules, otherwise: str) -> str:
     return "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower({text}), '{s}')" for s in stems) + f" THEN '{name}'" for name, stems in rules) + f" ELSE '{otherwise}' END"
 
 
-@query(f"SELECT o_orderkey AS id, d AS description, {rules_sql('d', names.category_rules(), names.OTHER)} AS category, {rules_sql('d', names.KINDS, 'other')} AS kind FROM (SELECT o_orderkey, {pick(WORDS, 'o_orderkey')[1]} AS d FROM orders)")
+@query(f"SELECT o_orderkey AS id, d AS description, {rules_sql('d', names.category_rules(), names.OTHER)} AS category, {rules_sql('d', names.KINDS, 'other')} AS kind FROM (SELECT o_orderkey, {pick_sql(WORDS, 'o_orderkey')} AS d FROM orders)")
 def categorize_case(spark, sf) -> DataFrame:
-    d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), pick(WORDS, "o_orderkey")[0].alias("description"))
+    d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), pick(WORDS, "o_orderkey").alias("description"))
     return d.withColumn("category", names.categorize(F.col("description"))).withColumn("kind", names.kind_of(F.col("description")))
 
 
@@ -50,7 +53,7 @@ QUESTIONS = ("Прогноз выручки", "почему упала приб
 
 @query("SELECT o_orderkey AS id, CASE CAST(o_orderkey % 9 AS INTEGER) " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(("forecast", "explain", "breakdown", "rank", "compare", "factual", "smalltalk", "smalltalk", "compare"))) + " END AS intent FROM orders")
 def intent_rules(spark, sf) -> DataFrame:
-    q = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), pick(QUESTIONS, "o_orderkey")[0].alias("q"))
+    q = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), pick(QUESTIONS, "o_orderkey").alias("q"))
     return q.select("id", names.intent(F.col("q")).alias("intent"))
 
 
@@ -110,7 +113,7 @@ def split_document_chunks(spark, sf) -> DataFrame:
 
 @query()
 def ledger_entries_from_messages(spark, sf) -> DataFrame:
-    o = table(spark, sf, "orders").withColumn("text", F.concat(F.lit("расход: "), F.col("o_totalprice").cast("string"), F.lit(" "), pick(WORDS, "o_orderkey")[0]))
+    o = table(spark, sf, "orders").withColumn("text", F.concat(F.lit("расход: "), F.col("o_totalprice").cast("string"), F.lit(" "), pick(WORDS, "o_orderkey")))
     return st.entries(o.select(F.col("o_orderkey").alias("id"), "text", F.col("o_orderdate").cast("timestamp").alias("ts")))
 
 
