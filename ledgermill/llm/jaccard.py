@@ -229,3 +229,18 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     if not again.isEmpty():
         once = once.unionByName(docs.join(again.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return once.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+#: The same by brute force in DuckDB: full sets, an inverted index, and the closure of the links.
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) END)) AS s FROM d),
+keyed AS (SELECT doc_id, s, md5(array_to_string(s, chr(10))) AS k FROM sets),
+reps AS (SELECT k, min(doc_id) AS rep, count(*) AS copies, first(s) AS s, len(first(s)) AS n FROM keyed GROUP BY k),
+inv AS (SELECT rep, n, unnest(s) AS g FROM reps),
+links AS (SELECT a.rep AS a, b.rep AS b FROM inv a JOIN inv b USING (g) WHERE a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= {THRESHOLD} * (a.n + b.n - count(*)) - 1e-9),
+reach(node, other) AS (SELECT rep, rep FROM reps UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
+class AS (SELECT node, min(other) AS class_id FROM reach GROUP BY node),
+num AS (SELECT l.a AS node, count(*) AS t, sum(r.copies) AS m FROM links l JOIN reps r ON r.rep = l.b GROUP BY l.a)
+SELECT doc_id, class_id, CAST(coalesce(m, 0) + copies - 1 AS BIGINT) AS n_links, coalesce(t, 0) AS n_text_links, copies AS n_copies
+FROM keyed JOIN reps USING (k) JOIN class ON class.node = rep LEFT JOIN num ON num.node = rep"""

@@ -13,8 +13,6 @@ gives an empty result; repeated rows are treated one by one.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +32,7 @@ NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){
 #: Words near a span that raise its score, by kind.
 CONTEXT = {
     "email": r"e-?mail|contact|correo|courriel|write to",
-    "ip": r"\bip\b|address|host|server|adresse",
+    "ip": r"(?:^|[^a-z])ip(?:[^a-z]|$)|address|host|server|adresse",
     "card": r"card|visa|master|amex|credit|karte|carte|tarjeta|payment",
     "phone": r"phone|tel|call|mobile|fax|anruf|appel|llama",
     "iban": r"iban|account|bank|konto|compte|cuenta",
@@ -144,7 +142,7 @@ def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns: counts per base kind, a digest of the base spans, and all spans written out."""
     found = find(docs)
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_KINDS))
-    count = lambda k: reduce(lambda a, b: a, [F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")])
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
         "doc_id",
         *(count(k) for k in KINDS),
@@ -154,36 +152,36 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
-#: The base kinds in DuckDB, from the plain patterns; the checks are list expressions.  IBANs need a mod-97 fold.
-ORACLE = r"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-pat(kind, rank, p) AS (VALUES
- ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'),
- ('ip', 1, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
- ('card', 2, '[0-9]([\x20-]?[0-9])+'),
- ('phone', 3, '\+[0-9][\x20().0-9-]+[0-9]'),
- ('iban', 4, '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b')),
-m AS (
- SELECT doc_id, 'email' AS kind, 0 AS rank, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS f, string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS s FROM t WHERE text LIKE '%@%'
- UNION ALL SELECT doc_id, 'ip', 1, regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), string_split_regex(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM t
- UNION ALL SELECT doc_id, 'card', 2, regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'), string_split_regex(text, '[0-9]([\x20-]?[0-9])+') FROM t
- UNION ALL SELECT doc_id, 'phone', 3, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') FROM t WHERE text LIKE '%+%'
- UNION ALL SELECT doc_id, 'iban', 4, regexp_extract_all(text, '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b'), string_split_regex(text, '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b') FROM t),
-u AS (
- SELECT doc_id, kind, rank, i, f[i] AS v,
-  list_sum(list_transform(s[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(f[1:i-1], lambda x: length(x))), 0)::BIGINT AS start
- FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM m)),
-c AS (
- SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d, list_transform(string_split(v, '.'), lambda x: try_cast(x AS HUGEINT)) AS o FROM u),
-ok AS (
- SELECT doc_id, kind, rank, start, start + length(v) AS fin FROM c WHERE
-  kind = 'email'
-  OR (kind = 'ip' AND list_max(o) <= 255)
-  OR (kind = 'card' AND length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda k: CASE WHEN (length(d) - k) % 2 = 1 THEN (CAST(d[k] AS INT) * 2) - CASE WHEN d[k] >= '5' THEN 9 ELSE 0 END ELSE CAST(d[k] AS INT) END)) % 10 = 0)
-  OR (kind = 'phone' AND length(d) BETWEEN 10 AND 15)),
-g AS (
- SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
-  string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY start, rank) AS spans FROM ok GROUP BY doc_id)
-SELECT t.doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(spans, '')) AS base_sha256
-FROM t LEFT JOIN g USING (doc_id)
-"""
+# The same in DuckDB, from the plain patterns; checks are list expressions.  A word boundary stands for the IBAN's edges.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+}
+_CHECKS = {
+    "email": "true",
+    "ip": "list_max(list_transform(string_split(v, '.'), lambda x: coalesce(try_cast(x AS HUGEINT), 256))) <= 255",
+    "card": "length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda k: CASE WHEN (length(d) - k) % 2 = 1 THEN CAST(d[k] AS INT) * 2 - CASE WHEN d[k] >= '5' THEN 9 ELSE 0 END ELSE CAST(d[k] AS INT) END)) % 10 = 0",
+    "phone": "length(d) BETWEEN 10 AND 15",
+    "iban": "list_reduce(list_prepend(0, list_transform(string_split(array_to_string(list_transform(string_split(replace(v, ' ', '')[5:] || replace(v, ' ', '')[1:4], ''), lambda c: CASE WHEN c >= 'A' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), ''), ''), lambda c: CAST(c AS INT))), lambda a, c: (a * 10 + c) % 97) = 1",
+}
+
+
+def _oracle() -> str:
+    found = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {i} AS rank, regexp_extract_all(text, '{p}') AS f, string_split_regex(text, '{p}') AS s FROM t" for i, (k, p) in enumerate(_PLAIN.items()))
+    checks = " OR ".join(f"(kind = '{k}' AND {c})" for k, c in _CHECKS.items())
+    score = "CASE kind " + " ".join(f"WHEN '{k}' THEN {BASE_SCORE[k]} + CASE WHEN regexp_matches(near, '{CONTEXT[k]}') THEN {CONTEXT_BONUS} ELSE 0 END" for k in KINDS) + " END"
+    base = ", ".join(f"'{k}'" for k in BASE_KINDS)
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({found}),
+u AS (SELECT doc_id, kind, rank, f[i] AS v, coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(f[1:i-1], lambda x: length(x))), 0)::BIGINT AS start,
+  lower(right(s[i], {CONTEXT_CHARS}) || ' ' || left(s[i + 1], {CONTEXT_CHARS})) AS near FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM m WHERE len(f) > 0)),
+c AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM u),
+ok AS (SELECT doc_id, kind, rank, start, kind || ':' || start || ':' || (start + length(v)) AS span, printf('%.2f', {score}) AS score FROM c WHERE {checks}),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)}, string_agg(span, ',' ORDER BY start, rank) FILTER (kind IN ({base})) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans, string_agg(score, ',' ORDER BY start, rank) AS scores FROM ok GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM t LEFT JOIN g USING (doc_id)"""
+
+
+ORACLE = _oracle()
