@@ -1,6 +1,6 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Each source is cut into permuted blocks by a seeded hash of its documents.  Targets are shared by weight (a source stops
+Each source is cut into permuted blocks by a seeded hash of its documents' ids (MD5, so that SQL can follow it).  Targets are shared by weight (a source stops
 at ``MAX_REPEATS`` times its size, the excess is shared again), which gives each source an exact quota of blocks: whole
 passes over all its blocks, and for the last pass the first blocks of its permutation.  A binary tree over the output
 shards splits the quota vector with a multivariate hypergeometric draw at every node, so the leaves' quotas are disjoint
@@ -75,11 +75,11 @@ def split_tree(quotas: list[int], shards: int, seed: int) -> np.ndarray:
 
 def measured(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents with ``size`` (words) and the two seeded hashes that place them in their source."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    digest = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     return docs.withColumns({
         "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-        "_block_hash": F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(1 << 40)),
-        "_inner_hash": F.xxhash64(F.lit(SEED + 1), key),
+        "_block_hash": F.conv(F.substring(digest, 1, 10), 16, 10).cast("long"),
+        "_inner_hash": F.substring(digest, 11, 16),
     })
 
 
@@ -120,14 +120,14 @@ def plan(sized: DataFrame, out_shards: int = OUT_SHARDS, block_words: int = BLOC
         part = 0 if c is None else c["part"]
         if c is not None and whole_documents:
             part = c["size"] if 2 * part >= c["size"] else 0
-        full.append((i, source, size, target, passes, blocks, -1 if c is None else c["block"], 0 if c is None else c["_inner_hash"], part))
+        full.append((i, source, size, target, passes, blocks, -1 if c is None else c["block"], "" if c is None else c["_inner_hash"], part))
         quotas.append(passes * blocks + (0 if c is None else c["block"] + 1))
     tree = split_tree(quotas, out_shards, seed)
     out = []
     for row, n, leaves in zip(full, quotas, tree, strict=True):
         step = next((a for a in range(n * 618 // 1000 | 1, n + 2) if math.gcd(a, max(n, 1)) == 1), 1)
         out.append((*row, max(n, 1), step, [int(x) for x in np.cumsum(leaves)]))
-    return spark.createDataFrame(out, "src int, source string, source_size long, target double, passes int, blocks long, cut_block long, cut_hash long, cut_part long, quota long, step long, leaves array<long>")
+    return spark.createDataFrame(out, "src int, source string, source_size long, target double, passes int, blocks long, cut_block long, cut_hash string, cut_part long, quota long, step long, leaves array<long>")
 
 
 def with_source(sized: DataFrame, sources: DataFrame) -> DataFrame:
@@ -162,12 +162,27 @@ def taken(docs: DataFrame) -> DataFrame:
     """Digest per document: its size, its source's size and target, and the words that the mix takes of it."""
     sized = stash(measured(docs.select("doc_id", "text", "source")).drop("text"), "mix-sizes")
     return draws(sized, plan(sized)).select(
-        "doc_id", "size", "source_size", "target",
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"),
         F.aggregate("copies", F.lit(0).cast("long"), lambda acc, c: acc + c["words"]).alias("taken"),
         F.transform("copies", lambda c: c["shard"]).alias("mix_shards"),
     )
 
 
+#: The digest in DuckDB: capped shares in closed form (who caps first has the least room per weight), then each source's
+#: documents in the order of its permutation, up to the words that the last pass still needs.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS sz, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, CASE i % 3 WHEN 0 THEN {WEIGHTS[0]}::DOUBLE WHEN 1 THEN {WEIGHTS[1]}::DOUBLE ELSE {WEIGHTS[2]}::DOUBLE END AS w, {TOTAL_SHARE}::DOUBLE * sum(sz) OVER () AS t FROM s),
+o AS (SELECT *, t - coalesce(sum({MAX_REPEATS}::DOUBLE * sz) OVER (ORDER BY sz / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room, sum(w) OVER (ORDER BY sz / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ww FROM w),
+c AS (SELECT *, room / ww * w > {MAX_REPEATS}::DOUBLE * sz AS capped FROM o),
+g AS (SELECT *, CASE WHEN capped THEN {MAX_REPEATS}::DOUBLE * sz ELSE (SELECT room / ww FROM c WHERE NOT capped ORDER BY sz / w, i LIMIT 1) * w END AS target FROM c),
+q AS (SELECT *, CASE WHEN sz > 0 THEN least({int(MAX_REPEATS)}, CAST(floor(target / sz) AS BIGINT)) ELSE 0 END AS passes, least({MAX_BLOCKS}, greatest(1, CAST(ceil(sz / {BLOCK_WORDS}.0) AS BIGINT))) AS blocks FROM g),
+r AS (SELECT d.*, q.sz, q.target, q.passes, greatest(0, CAST(round_even(q.target, 0) AS BIGINT) - q.passes * q.sz) AS rest, CAST('0x' || h[1:10] AS BIGINT) % q.blocks AS block FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY block, h[11:26], doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+SELECT doc_id, size, sz AS source_size, round(target, 6) AS target, CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM b"""
+
+
 def mix(docs: DataFrame, out_shards: int = OUT_SHARDS, whole_documents: bool = True) -> DataFrame:
     """The mix itself: every drawn copy of a document with its output shard, to be sorted by ``mix_order`` inside it.
 
