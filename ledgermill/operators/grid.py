@@ -41,15 +41,17 @@ def annotated(grid: DataFrame) -> DataFrame:
     iso = F.col("cell_type") == "date"
     n = F.when(F.col("cell_type") == "number", raw.try_cast("decimal(28,6)")).when(~iso, numbers.parse_number(raw))
     bare = F.trim(F.regexp_replace(raw, r"\([^)]*\)", " "))
-    tolerant = F.coalesce(periods.parse(bare), periods.parse(F.element_at(F.split(bare, r"\s+"), -1)))
-    base = grid.withColumn("n", n).withColumn("wu", numbers.parse_number_with_unit(raw)).withColumn("p", F.when(F.col("cell_type") != "number", periods.parse(raw)))
-    base = base.withColumn("p", F.when(F.col("cell_type") == "number", F.when(raw.rlike(r"^20[0-4]\d(?:\.0+)?$"), periods.year(raw.cast("double").cast("int")))).otherwise(F.col("p")))
+    # The cell itself, without its brackets, its last word: one expression for all three.
+    read = F.transform(F.array(raw, bare, F.element_at(F.split(bare, r"\s+"), -1)), periods.parse)
+    base = grid.withColumn("n", n).withColumn("wu", numbers.parse_number_with_unit(raw)).withColumn("ps", read)
+    number_year = F.when(raw.rlike(r"^20[0-4]\d(?:\.0+)?$"), periods.year(raw.try_cast("double").cast("int")))
+    base = base.withColumn("p", F.when(F.col("cell_type") == "number", number_year).otherwise(F.get("ps", F.lit(0)))).withColumn("tolerant", F.coalesce(F.get("ps", F.lit(1)), F.get("ps", F.lit(2))))
     variant = names.detect_variant(raw)
     return base.select(
         "doc_id", "sheet", "row", "col", "raw", names.clean_name(raw).alias("name"), names.strip_unit(names.clean_name(raw)).alias("bare"),
         F.col("n"), F.when(F.col("cell_type") == "text", F.col("wu.value")).alias("un"), F.col("wu.unit.multiplier").alias("mult"), F.col("wu.unit.unit").alias("unit"), F.col("wu.unit.currency").alias("currency"),
         F.col("p.ptype").alias("ptype"), F.col("p.label").alias("plabel"), F.col("p.start").alias("pstart"), F.col("p.end").alias("pend"),
-        F.when(F.col("p").isNull() & variant.isNotNull(), tolerant).alias("tp"), variant.alias("variant"),
+        F.when(F.col("p").isNull() & variant.isNotNull(), F.col("tolerant")).alias("tp"), variant.alias("variant"),
         F.coalesce(periods.parse_date(F.trim(raw)), F.when(iso, raw.try_cast("date"))).alias("day"),
     ).select("*", F.col("tp.ptype").alias("tptype"), F.col("tp.label").alias("tplabel"), F.col("tp.start").alias("tpstart"), F.col("tp.end").alias("tpend")).drop("tp")
 
