@@ -202,3 +202,42 @@ def derived_pairs(payload: DataFrame) -> DataFrame:
     """
     a, b = (payload.select("answer_id", "unit", F.col("i").alias(f"{n}_i"), F.col("value").alias(n)) for n in ("a", "b"))
     return a.join(b, ["answer_id", "unit"]).where("a_i < b_i").select("answer_id", "unit", "a_i", "b_i", (F.col("a") + F.col("b")).alias("sum"), (F.col("a") - F.col("b")).alias("difference"), ratio(F.col("a"), F.col("b")).alias("ratio"))
+
+
+def is_aggregate(metrics: DataFrame) -> DataFrame:
+    """Metrics (metric, parent) with a mark for totals: by name, or by having children."""
+    parents = metrics.where("parent is not null").select(F.col("parent").alias("metric"), F.lit(True).alias("_p")).distinct()
+    return metrics.join(parents, "metric", "left").withColumn("is_aggregate", F.endswith("metric", F.lit(" итого")) | F.coalesce("_p", F.lit(False))).drop("_p")
+
+
+def history(series: DataFrame, last: int | None = 12) -> DataFrame:
+    """The last points of each metric with the unit and currency of its newest point, and where each came from."""
+    w = Window.partitionBy("metric")
+    newest = w.orderBy(F.col("period_end").desc())
+    rows = series.withColumn("_r", F.row_number().over(newest)).withColumn("unit", F.max_by("unit", "period_end").over(w)).withColumn("currency", F.max_by("currency", "period_end").over(w))
+    rows = rows.where(F.col("_r") <= last) if last else rows
+    return rows.withColumn("source", F.concat_ws(" · ", F.concat(F.lit("документ "), F.col("document_id").cast("string")), "period_label")).drop("_r")
+
+
+def share_of(series: DataFrame, part: str, whole: str) -> DataFrame:
+    """Share of one metric in another in their last common period, in percent."""
+    return compare_two(series, part, whole).select("period_end", F.col("a").alias("part"), F.col("b").alias("whole"), (F.col("ratio") * 100).alias("share_pct"))
+
+
+def forecast_effects(forecasts: DataFrame, series: DataFrame) -> DataFrame:
+    """What follows from a forecast: its change against the last fact and the width of its interval."""
+    last = last_values(series).select("metric", as_double("value").alias("last_fact"))
+    met = forecasts.join(last, "metric")
+    return met.select(
+        "metric", "base", "last_fact", (F.col("base") - F.col("last_fact")).alias("vs_fact_abs"), ((F.col("base") - F.col("last_fact")) / F.nullif("last_fact", F.lit(0.0)) * 100).alias("vs_fact_pct"),
+        (F.col("high") - F.col("low")).alias("interval_width"), ((F.col("high") - F.col("low")) / F.nullif(F.abs("base"), F.lit(0.0)) * 100).alias("interval_width_pct"),
+    )
+
+
+def daily_digest(series: DataFrame, kinds: DataFrame, shown: int = 5, ranked: int = 3) -> DataFrame:
+    """Lines of a digest (part, metric, value): last values of the first revenue and expense metrics, best growth."""
+    wanted = kinds.where(F.col("kind").isin("revenue", "expense")).select("metric")
+    last = last_values(series).join(wanted, "metric", "left_semi")
+    values = last.orderBy("metric").limit(shown).select(F.lit("last").alias("part"), "metric", as_double("value").alias("value"))
+    best = growth_rank(yearly(series), ranked).select(F.lit("growth").alias("part"), "metric", F.col("growth_pct").alias("value"))
+    return values.unionByName(best)

@@ -399,6 +399,22 @@ def sheet_texts(grid: DataFrame, most: int = 4000) -> DataFrame:
     return rows.groupBy("doc_id", "sheet").agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n"), F.lit(most)).alias("body"))
 
 
+def document_units(texts: DataFrame) -> DataFrame:
+    """Unit that a document's text states («Единица измерения: тыс. руб.», «в тыс. руб.»), for sheets without their own."""
+    said = F.regexp_extract("text", r"(?iu)(?:единиц[аы] измерения\s*[:\-–]?\s*|\(?в\s+)((?:тыс|млн|млрд)[^\n,;)]{0,24})", 1)
+    return texts.select("doc_id", numbers.detect_unit(said).alias("unit"), said.alias("said")).where("said <> ''").drop("said")
+
+
+def fact_texts(facts: DataFrame, metrics: int = 60, most: int = 1500, largest: int = 400) -> DataFrame:
+    """Sentences of a sheet's facts for search; sheets of very many facts are tables to be queried, not read."""
+    w = Window.partitionBy("doc_id", "sheet")
+    rows = facts.where(names.kind_of(F.col("metric")) != "identifier").withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") <= largest)
+    points = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("period_end", F.concat_ws(" — ", "period_label", F.col("value").cast("string")).alias("t")))), lambda x: x["t"]), ", ")
+    lines = rows.groupBy("doc_id", "sheet", "metric").agg(points.alias("points")).withColumn("line", F.concat(F.lit("Показатель «"), F.col("metric"), F.lit("»: "), F.col("points"), F.lit(";")))
+    lines = lines.withColumn("_r", F.row_number().over(w.orderBy("metric"))).where(F.col("_r") <= metrics)
+    return lines.groupBy("doc_id", "sheet").agg(F.left(F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit(most)).alias("body"))
+
+
 def check_totals(facts: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """Totals of a section that its parts miss by more than the tolerance."""
     keys = ["doc_id", "sheet", "section", "period_end", "variant"]

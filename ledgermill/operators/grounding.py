@@ -83,3 +83,18 @@ def review(answers: DataFrame, derived: bool = True) -> DataFrame:
     rows = answers.withColumn("numbers", extract_numbers(F.col("answer"))).withColumn("may_say", allowed)
     out = rows.withColumn("foreign", F.transform(foreign_numbers(F.col("numbers"), F.col("may_say")), lambda n: n["value"])).withColumn("misattributed", misattributed(F.col("answer"), F.col("history")))
     return out.select("answer_id", ((F.size("foreign") == 0) & (F.size("misattributed") == 0)).alias("ok"), "foreign", "misattributed")
+
+
+def allowed_of(rows: DataFrame, amounts: dict[str, str], shares: tuple[str, ...] = ()) -> DataFrame:
+    """What answers may say, from result rows (answer_id, …): amount columns with their unit, and percent columns.
+
+    One array per answer; a result row set is a report, so it is short.
+    """
+    cells = [F.struct(F.col(c).cast("double").alias("value"), F.lit(unit).alias("unit")) for c, unit in amounts.items()] + [F.struct(F.col(c).cast("double").alias("value"), F.lit("%").alias("unit")) for c in shares]
+    long = rows.select("answer_id", F.explode(F.array(*cells)).alias("x")).where("x.value is not null")
+    return long.groupBy("answer_id").agg(F.collect_list("x").alias("allowed"))
+
+
+def answer_or_template(tries: DataFrame) -> DataFrame:
+    """First try of each answer that passed review (answer_id, try, ok, answer, template), else the template."""
+    return tries.groupBy("answer_id").agg(F.min_by("answer", F.when(F.col("ok"), F.col("try"))).alias("passed"), F.first("template").alias("template")).select("answer_id", F.coalesce("passed", "template").alias("answer"), F.col("passed").isNotNull().alias("from_model"))

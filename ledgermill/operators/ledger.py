@@ -75,3 +75,31 @@ def parse_prices(text: str) -> dict[str, tuple[float, float]]:
 def incident_counts(events: DataFrame) -> DataFrame:
     """Occurrences, first and last time of each kind."""
     return events.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def add_entries(ops: DataFrame, new: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The journal with new entries, and the month facts with the months that they touch summed anew.
+
+    Months are recomputed from all their operations, so late entries and corrections come out right.
+    """
+    all_ = ops.unionByName(new)
+    touched = new.select(F.lower("header").alias("header"), F.trunc("when", "MM").alias("period_start")).distinct()
+    fresh = month_facts(all_).join(touched, ["header", "period_start"], "left_semi")
+    return all_, facts.join(touched, ["header", "period_start"], "left_anti").unionByName(fresh.select(*facts.columns))
+
+
+def ensure_journal(documents: DataFrame, orgs: DataFrame, name: str) -> DataFrame:
+    """Documents with one system journal per organisation; it belongs to no user."""
+    want = orgs.select("org_id", F.sha2(F.concat(F.lit("journal:"), F.col("org_id").cast("string")).cast("binary"), 256).alias("file_hash"), F.lit(name).alias("original_name"), F.lit(0).cast("long").alias("uploaded_by"))
+    return documents.unionByName(want.join(documents, ["org_id", "file_hash"], "left_anti"), allowMissingColumns=True)
+
+
+def expense_report(ops: DataFrame) -> dict[str, DataFrame]:
+    """Sheets of the expense report: months with totals, shares of categories, categories by month."""
+    spent = ops.where(F.col("kind") == "expense")
+    months = month_report(ops).orderBy(F.col("month").isNull(), "month")
+    shares = spent.groupBy("category").agg(F.sum("value").cast("decimal(28,6)").alias("value"), F.count(F.lit(1)).alias("n"))
+    whole = spent.agg(F.sum("value").cast("double").alias("_all"))
+    shares = shares.crossJoin(F.broadcast(whole)).withColumn("share_pct", F.col("value").cast("double") / F.nullif("_all", F.lit(0.0)) * 100).drop("_all").orderBy(F.col("value").desc(), "category")
+    by_month = spent.rollup("category", "month").agg(F.sum("value").cast("decimal(28,6)").alias("value")).where("category is not null")
+    return {"months": months, "categories": shares, "category_months": by_month}

@@ -88,6 +88,22 @@ def resolve(*steps: DataFrame) -> DataFrame:
     return all_.where("metric_id is not null").groupBy("query_id").agg(F.min_by("metric_id", "step").alias("metric_id"), F.min("step").alias("step"))
 
 
+def backfill_kinds(metrics: DataFrame) -> DataFrame:
+    """Kinds of metrics that have none, from their names."""
+    from ledgermill.functions.names import kind_of
+
+    return metrics.withColumn("kind", F.when(F.coalesce("kind", F.lit("other")) == "other", kind_of(F.col("name"))).otherwise(F.col("kind")))
+
+
+def unique_codes(metrics: DataFrame) -> DataFrame:
+    """Codes of metrics (metric_id, name): a slug, numbered from the second that has it."""
+    from ledgermill.functions.names import slug
+
+    w = Window.partitionBy("_slug").orderBy("metric_id")
+    rows = metrics.withColumn("_slug", slug(F.col("name"))).withColumn("_n", F.row_number().over(w))
+    return rows.withColumn("code", F.when(F.col("_n") == 1, F.col("_slug")).otherwise(F.concat_ws("_", "_slug", F.col("_n").cast("string")))).drop("_slug", "_n")
+
+
 def default_parent(metrics: DataFrame) -> DataFrame:
     """The metric that a question without one means: the only parent, else the first with money."""
     parents = metrics.join(metrics.where("parent_id is not null").select(F.col("parent_id").alias("metric_id")).distinct(), "metric_id", "left_semi")

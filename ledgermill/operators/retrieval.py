@@ -133,3 +133,23 @@ def snippet(body: Column, query: Column, radius: int = 1, most: int = 600, stopw
     near = F.transform(lines, lambda x, i: F.exists(F.slice(hit, F.greatest(i - radius + 1, F.lit(1)), F.lit(2 * radius + 1) - F.greatest(radius - i, F.lit(0))), lambda h: h))
     kept = F.filter(F.transform(lines, lambda x, i: F.when(F.get(near, i), F.concat(F.when((i > 0) & ~F.get(near, F.greatest(i - 1, F.lit(0))), "…\n").otherwise(""), x))), lambda x: x.isNotNull())
     return F.left(F.when(F.size(kept) > 0, F.array_join(kept, "\n")).otherwise(body), F.lit(most))
+
+
+def in_context(chunks: DataFrame) -> DataFrame:
+    """Text to embed: the chunk under its document's name and section; the stored body stays as it is."""
+    where = F.concat_ws(", ", F.concat(F.lit("Документ: "), F.col("document_name")), F.concat(F.lit("фрагмент: "), F.col("section")))
+    return chunks.withColumn("to_embed", F.concat_ws(". ", where, F.col("body")))
+
+
+def index_fingerprint(provider: str, model: str, dim: int) -> str:
+    """What vectors must agree on to be compared; kept with the table, checked before a search."""
+    return f"{provider}:{model}:{dim}"
+
+
+def explain(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = 5, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
+    """Snippets that answer questions (query_id, variant, text, vec): hybrid search, rerank, and a shared word at least."""
+    found = hybrid(chunks, vectors, questions, max(2 * k, 10)).select("query_id", "chunk_id", "semantic_score")
+    asked = questions.where("variant = 0").select(F.col("query_id").cast("string").alias("query_id"), F.col("text").alias("query"))
+    ranked = rerank(found.join(asked, "query_id").join(chunks.select("chunk_id", "body", "section"), "chunk_id"), k, stopwords)
+    shared = F.arrays_overlap(tokens(F.col("query"), stopwords), tokens(F.col("body"), stopwords))
+    return ranked.where(shared).select("query_id", "chunk_id", "rank", "score", snippet(F.col("body"), F.col("query"), stopwords=stopwords).alias("text"))

@@ -251,3 +251,22 @@ def containment_parent(spark, sf) -> DataFrame:
 def derived_pairs(spark, sf) -> DataFrame:
     payload = facts(spark, sf).groupBy(F.col("document_id").alias("answer_id"), F.col("variant").alias("unit"), F.year("period_end").alias("i")).agg(F.sum("value").cast("double").alias("value"))
     return an.derived_pairs(payload).select("answer_id", "unit", "a_i", "b_i", num("sum").alias("sum"), num("difference").alias("difference"), num("ratio", 6).alias("ratio"))
+
+
+@query("WITH m AS (SELECT DISTINCT p_type || '/' || p_brand AS metric, p_type AS parent FROM part UNION SELECT DISTINCT p_type, CAST(NULL AS VARCHAR) FROM part) SELECT metric, parent, metric LIKE '% итого' OR EXISTS (SELECT 1 FROM m c WHERE c.parent = m.metric) AS is_aggregate FROM m")
+def aggregate_marks(spark, sf) -> DataFrame:
+    part = table(spark, sf, "part")
+    metrics = part.select(F.concat_ws("/", "p_type", "p_brand").alias("metric"), F.col("p_type").alias("parent")).union(part.select("p_type", F.lit(None).cast("string"))).distinct()
+    return an.is_aggregate(metrics)
+
+
+@query(oracle(f"SELECT metric, period_label, {n('value', 'value')}, 'документ ' || document_id || ' · ' || period_label AS source FROM series QUALIFY row_number() OVER (PARTITION BY metric ORDER BY period_end DESC) <= 12"))
+def history_projection(spark, sf) -> DataFrame:
+    return an.history(series(spark, sf)).select("metric", "period_label", num("value").alias("value"), "source")
+
+
+@query(oracle("""SELECT a.period_end, round(100 * CAST(a.value AS DOUBLE) / nullif(CAST(b.value AS DOUBLE), 0), 6) AS share_pct FROM types a JOIN types b USING (period_end) WHERE a.metric = (SELECT l FROM two) AND b.metric = (SELECT r FROM two) ORDER BY 1 DESC LIMIT 1""", TYPES))
+def share_query(spark, sf) -> DataFrame:
+    rows = an.roll_up(series(spark, sf))
+    part, whole = rows.agg(F.min("metric"), F.max("metric")).first()
+    return an.share_of(rows, part, whole).select("period_end", num("share_pct", 6).alias("share_pct"))

@@ -64,3 +64,17 @@ ORACLES["forecast_ensemble"] = oracle(
 )
 ORACLES["forecast_scenario"] = oracle("SELECT e.metric, round(p.v + (e.base - p.v) * 0.5, 3) AS base, round(p.v, 3) AS reference FROM ens e JOIN pts p ON p.metric = e.metric AND p.i = p.n - 1", FOLDS)
 ORACLES["forecast_seasonal"] = oracle("SELECT metric, round(v[len(v) - 11], 3) AS seasonal_naive FROM (SELECT metric, list(CAST(value AS DOUBLE) ORDER BY period_end) AS v FROM series GROUP BY metric) WHERE len(v) >= 24")
+
+
+def forecast_effects(spark, sf) -> DataFrame:
+    years = _years(spark, sf)
+    rows = an.forecast_effects(fc.forecast(years), years)
+    return rows.select("metric", *(F.round(c, 3).alias(c) for c in ("vs_fact_abs", "vs_fact_pct", "interval_width", "interval_width_pct")))
+
+
+QUERIES["forecast_effects"] = forecast_effects
+ORACLES["forecast_effects"] = oracle(
+    "SELECT e.metric, round(base - v, 3) AS vs_fact_abs, round((base - v) / nullif(v, 0) * 100, 3) AS vs_fact_pct, round(base + h - low, 3) AS interval_width, round((base + h - low) / nullif(abs(base), 0) * 100, 3) AS interval_width_pct "
+    "FROM (SELECT *, abs(base) * rel * 1.28 AS h, CASE WHEN base > 0 THEN greatest(base - abs(base) * rel * 1.28, 0.0) ELSE base - abs(base) * rel * 1.28 END AS low FROM ens) e JOIN pts p ON p.metric = e.metric AND p.i = p.n - 1",
+    FOLDS,
+)

@@ -92,3 +92,13 @@ def usage_by_task(spark, sf) -> DataFrame:
 @query("SELECT event_type AS kind, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY event_type")
 def incident_counts(spark, sf) -> DataFrame:
     return ledger.incident_counts(table(spark, sf, "events").select(F.col("event_type").alias("kind"), "ts"))
+
+
+@query(f"SELECT category, value, n, round(value / sum(value) OVER () * 100, 4) AS share_pct FROM (SELECT o_orderpriority AS category, round(CAST(sum({V}) AS DOUBLE), 4) AS value, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)")
+def expense_report_shares(spark, sf) -> DataFrame:
+    return ledger.expense_report(ops(spark, sf))["categories"].select("category", num("value").alias("value"), "n", num("share_pct").alias("share_pct"))
+
+
+@query(f"SELECT category, month, round(CAST(sum(v) AS DOUBLE), 4) AS value FROM (SELECT o_orderpriority AS category, {M} AS month, {V} AS v FROM orders WHERE o_orderstatus <> 'F') GROUP BY ROLLUP (category, month) HAVING category IS NOT NULL")
+def expense_report_months(spark, sf) -> DataFrame:
+    return ledger.expense_report(ops(spark, sf))["category_months"].select("category", "month", num("value").alias("value"))
