@@ -94,9 +94,8 @@ def _piece(raw: bytes, first: bool) -> tuple[np.ndarray, np.ndarray]:
             lead = np.flatnonzero(~near)
             value = np.add.reduceat(value * np.where(near, np.uint64(3), np.uint64(1)), lead)
             starts, ends, number = starts[lead], ends[np.append(lead[1:], len(ends)) - 1], number[lead]
-    second = np.where(starts + 1 < ends, starts + 1, starts)
-    second = np.where(data[starts] == 0xC3, np.minimum(starts + 2, ends - 1), second)
-    titled = upper[starts] & ~upper[second] & (second > starts) & ~number
+    second = starts + np.where(data[starts] == 0xC3, 2, 1)
+    titled = upper[starts] & (second < ends) & ~upper[np.minimum(second, len(data) - 1)] & ~number
     # A capital begins a sentence if, blanks aside, a stop or the text's start comes before it.
     solid = np.where(BLANK[data], -1, np.arange(len(data)))
     before = np.maximum.accumulate(solid)
@@ -239,3 +238,36 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = _contaminated(docs.sparkSession.sparkContext.broadcast(index))
         docs = docs.where(~found(F.col("text").cast("string")))
     return docs
+
+
+_UNITS_SQL = ", ".join(f"'{u}'" for u in UNITS)
+
+
+def _canonical_sql(name: str, source: str, id_col: str) -> str:
+    """CTEs that give (id, pos, kind, lit, val) of a table's texts; kind is null for literals."""
+    word = r"[A-Za-z0-9\x{80}-\x{10FFFF}]"
+    return rf"""
+{name}_m AS (SELECT {id_col} AS id, regexp_extract_all(text, '([^A-Za-z0-9\x{{80}}-\x{{10FFFF}}]*)({word}+)', 1) AS seps, regexp_extract_all(text, '([^A-Za-z0-9\x{{80}}-\x{{10FFFF}}]*)({word}+)', 2) AS words FROM {source} WHERE text IS NOT NULL),
+{name}_t AS (SELECT id, i, seps[i] AS sep, words[i] AS w, rtrim(seps[i], ' ' || chr(9) || chr(13)) AS gap FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM {name}_m)),
+{name}_f AS (SELECT id, i, w, w[1] BETWEEN '0' AND '9' AS number, sep, regexp_matches(w, '^[A-ZÀ-ÖØ-Þ][^A-ZÀ-ÖØ-Þ]') AND NOT w[1] BETWEEN '0' AND '9' AS titled,
+  CASE WHEN gap = '' THEN i = 1 ELSE right(gap, 1) IN ('.', '!', '?', ':', ';', chr(10), '"', '(') END AS opens FROM {name}_t),
+{name}_n AS (SELECT *, coalesce(number AND lag(number) OVER w AND sep IN (',', '.'), false) AS near FROM {name}_f WINDOW w AS (PARTITION BY id ORDER BY i)),
+{name}_g AS (SELECT *, sum(CASE WHEN near THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i) AS pos FROM {name}_n),
+{name}_a AS (SELECT id, pos - 1 AS pos, bool_or(number) AS number, bool_or(titled AND NOT opens) AS named, string_agg(lower(w), '|' ORDER BY i) AS val FROM {name}_g GROUP BY id, pos),
+{name} AS (SELECT id, pos, val, CASE WHEN number THEN 1 WHEN named THEN 2 WHEN val IN ({_UNITS_SQL}) AND coalesce(lag(number) OVER (PARTITION BY id ORDER BY pos), false) THEN 3 END AS kind FROM {name}_a),
+{name}_w AS (SELECT id, pos, string_agg(coalesce('<' || kind || '>', val), ' ') OVER v AS win FROM {name} WINDOW v AS (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) QUALIFY count(*) OVER v = {WINDOW} AND count(*) FILTER (kind IS NULL) OVER v >= {LITERALS})"""
+
+
+#: The same in DuckDB for items of a window or more.
+ORACLE = rf"""
+WITH {_canonical_sql('d', 'documents', 'doc_id')}, {_canonical_sql('b', 'benchmark', 'item_id')},
+sizes AS (SELECT id, count(*) AS n FROM b GROUP BY id),
+met AS (SELECT d_w.id AS doc_id, b_w.id AS item_id, d_w.pos - b_w.pos AS shift, b_w.pos AS p FROM d_w JOIN b_w USING (win)),
+own AS (SELECT DISTINCT doc_id, item_id, shift, p + k AS p FROM (SELECT *, unnest(range(0, {WINDOW})) AS k FROM met)),
+slots AS (SELECT o.doc_id, o.item_id, o.shift, b.kind, b.val AS a, d.val AS v FROM own o JOIN b ON b.id = o.item_id AND b.pos = o.p JOIN d ON d.id = o.doc_id AND d.pos = o.p + o.shift WHERE b.kind IS NOT NULL),
+torn AS (SELECT doc_id, item_id, shift FROM slots GROUP BY doc_id, item_id, shift, kind, a HAVING count(DISTINCT v) > 1 UNION SELECT doc_id, item_id, shift FROM slots GROUP BY doc_id, item_id, shift, kind, v HAVING count(DISTINCT a) > 1),
+good AS (SELECT * FROM own ANTI JOIN torn USING (doc_id, item_id, shift)),
+cov AS (SELECT doc_id, item_id, count(DISTINCT p) AS covered FROM good GROUP BY ALL),
+moved AS (SELECT doc_id, item_id, max(c) AS changed FROM (SELECT doc_id, item_id, shift, count(*) FILTER (a <> v) AS c FROM slots ANTI JOIN torn USING (doc_id, item_id, shift) GROUP BY ALL) GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS item_tokens, CAST(covered AS INTEGER) AS covered_tokens, CAST(coalesce(changed, 0) AS INTEGER) AS changed_slots
+FROM cov JOIN sizes ON sizes.id = item_id LEFT JOIN moved USING (doc_id, item_id) WHERE covered >= {COVERAGE} * n"""
