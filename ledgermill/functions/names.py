@@ -69,8 +69,21 @@ INTENTS = (
     ("compare", r"по сравнению|сравни|изменил|во сколько|на ?сколько|отлич\w*|рост|снижени|дол[яи] .+ (в|от) |что лучше|лучше .+ или|упал|вырос|растёт|растет|падает|снизил|динамик|тренд|как измен", None),
     ("factual", r"\d|сколько|какая|какой|каков|покажи", None),
 )
+# Words and numbers that a scenario is told by.
+FALL, RISE = "упад|сниз|замедл|сократ|меньше", "вырас|выраст|ускор|увелич|больше"
+TIMES, PERCENT = r"в\s+(\d+(?:[.,]\d+)?)\s*раз", r"на\s+(\d+(?:[.,]\d+)?)\s*%"
 FACTORS = (("вдвое", 2.0), ("в два раза", 2.0), ("втрое", 3.0), ("в три раза", 3.0), ("вчетверо", 4.0))
 
+# Patterns of identifiers and their masks, and of units that end a name.
+MASKS = (
+    (r"(?<!\d)\d{4}\s\d{6}(?!\d)", "[ПАСПОРТ]"),
+    (r"(?<![\d.])\d{20}(?!\d)(?![.,]\d)", "[СЧЁТ]"),
+    (r"(?<![\d.])(?:\d{10}|\d{12})(?!\d)(?![.,]\d)", "[ИНН]"),
+    (r"\+7[\d\s()\-]{10,16}", "[ТЕЛЕФОН]"),
+    (r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]+", "[EMAIL]"),
+)
+UNIT_TAIL = r"(?iu)[\s,;]*\(?\s*(?:в\s+)?(?:тыс|млн|млрд)\.?\s*(?:руб|₽|долл|usd|eur|евро|шт)?\.?\s*\)?\s*$|[\s,;]*\(?\s*(?:руб|₽|usd|eur|евро|шт|%)\.?\s*\)?\s*$"
+
 
 def words(pattern: str) -> str:
     r"""``\b`` and ``\w`` of a pattern for text that is not ASCII."""
@@ -113,8 +126,7 @@ def clean_name(raw: Column) -> Column:
 
 def strip_unit(name: Column) -> Column:
     """The name without the unit it ends with; a name that is all unit stays."""
-    tail = r"(?iu)[\s,;]*\(?\s*(?:в\s+)?(?:тыс|млн|млрд)\.?\s*(?:руб|₽|долл|usd|eur|евро|шт)?\.?\s*\)?\s*$|[\s,;]*\(?\s*(?:руб|₽|usd|eur|евро|шт|%)\.?\s*\)?\s*$"
-    bare = F.regexp_replace(F.regexp_replace(name, tail, ""), r"^[ ,;:]+|[ ,;:]+$", "")
+    bare = F.regexp_replace(F.regexp_replace(name, UNIT_TAIL, ""), r"^[ ,;:]+|[ ,;:]+$", "")
     return F.when(bare == "", name).otherwise(bare)
 
 
@@ -145,10 +157,7 @@ def expand_query(text: Column) -> Column:
 def anonymize(text: Column, organisations: tuple[str, ...] = ()) -> Column:
     """Passports, accounts, tax numbers, phones, e-mails and the organisations' names (longest first) masked."""
     out = text
-    rules = [
-        (r"(?<!\d)\d{4}\s\d{6}(?!\d)", "[ПАСПОРТ]"), (r"(?<![\d.])\d{20}(?!\d)(?![.,]\d)", "[СЧЁТ]"), (r"(?<![\d.])(?:\d{10}|\d{12})(?!\d)(?![.,]\d)", "[ИНН]"),
-        (r"\+7[\d\s()\-]{10,16}", "[ТЕЛЕФОН]"), (r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]+", "[EMAIL]"),
-    ]
+    rules = list(MASKS)
     rules += [(rf"(?iu)\Q{name}\E", f"[ORG{i}]") for i, name in enumerate(sorted(filter(None, organisations), key=len, reverse=True))]
     for pattern, mask in rules:
         out = F.regexp_replace(out, pattern, mask)
@@ -167,12 +176,12 @@ def intent(question: Column) -> Column:
 def scenario(question: Column) -> Column:
     """Growth multiplier that a question supposes: 0.5 for a fall and 1.5 for a rise, unless it names a factor or percent."""
     q = F.lower(F.coalesce(question, F.lit("")))
-    down, up = q.rlike("упад|сниз|замедл|сократ|меньше"), q.rlike("вырас|выраст|ускор|увелич|больше")
+    down, up = q.rlike(FALL), q.rlike(RISE)
     number = lambda p: F.replace(F.regexp_extract(q, p, 1), F.lit(","), F.lit(".")).try_cast("double")
-    factor = number(r"в\s+(\d+(?:[.,]\d+)?)\s*раз")
+    factor = number(TIMES)
     for phrase, f in reversed(FACTORS):
         factor = F.when(F.contains(q, F.lit(phrase)), f).otherwise(factor)
-    pct = number(r"на\s+(\d+(?:[.,]\d+)?)\s*%") / 100
+    pct = number(PERCENT) / 100
     value = F.when(factor.isNotNull(), F.when(down, 1 / F.nullif(factor, F.lit(0.0))).otherwise(factor)).when(pct.isNotNull(), F.when(down, 1 - pct).otherwise(1 + pct)).otherwise(F.when(down, 0.5).otherwise(1.5))
     return F.when(down | up, value)
 

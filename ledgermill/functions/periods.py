@@ -14,6 +14,24 @@ MONTH = (
 )
 YEAR = r"20[0-4]\d"
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4}
+# The forms in which reports write periods, in the order in which they are tried.
+DATE_RANGE = r"(\d{2}[./]\d{2}[./]\d{4})\s*[-т]+\s*(\d{2}[./]\d{2}[./]\d{4})"
+DAY_IN_WORDS = rf"(\d{{1,2}})\s*({MONTH})\s*({YEAR})"
+MONTH_RANGE = rf"(?:за\s*)?({MONTH})\s*-\s*({MONTH})\s*({YEAR})"
+MONTHS_SO_FAR = rf"(?:за\s*)?(\d{{1,2}})\s*(?:мес[а-я]*\.?|м|m)\s*({YEAR})"
+HALF = rf"(?:за\s*)?([12])\s*(?:полугоди[а-я]*|п/г|h)\s*({YEAR})"
+HALF_ENGLISH = rf"h([12])\s*'?\s*({YEAR})"
+WHOLE_YEAR = rf"(?:fy|за)?\s*({YEAR})"
+QUARTER = rf"([1-4])\s*[-.\s]*(?:кв|квартал|q)[а-я]*\.?[-.\s]*({YEAR})"
+QUARTER_LAST = rf"({YEAR})\s*[-.\s]*(?:кв|квартал|q)[а-я]*\.?[-.\s]*([1-4])"
+QUARTER_WORD_FIRST = rf"(?:кв|q)[а-я]*\.?\s*([1-4])\s*[-.\s']*({YEAR}|\d\d)"
+QUARTER_ROMAN = rf"(i{{1,3}}|iv)\s*[-.\s]*(?:кв|квартал)[а-я]*\.?[-.\s]*({YEAR})"
+QUARTER_YEAR_FIRST = rf"({YEAR})\s*[-.\s]*([1-4])\s*кв"
+MONTH_IN_WORDS = rf"({MONTH})\s*({YEAR}|\d\d)"
+MONTH_NUMBER = rf"(0?[1-9]|1[0-2])\s*[./]\s*({YEAR})"
+MONTH_ISO = rf"({YEAR})-(0?[1-9]|1[0-2])"
+YEAR_TAIL = r"(?<=[\d\s.])\s*(?:г\.?|год[а-я]*|year)\s*\d?\s*$"
+LONGEST = 40
 
 
 def let(value: Column, use) -> Column:
@@ -78,8 +96,8 @@ def _month_number(stem: Column) -> Column:
 def parse(text: Column) -> Column:
     """The period that a header cell names, or null."""
     s = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.translate(text, "’–—", "'--"), r"[\u00a0\u202f]", " "), r"\s+", " ")))
-    fits = (F.length(s) > 0) & (F.length(s) <= 40)
-    s = F.trim(F.regexp_replace(s, r"(?<=[\d\s.])\s*(?:г\.?|год[а-я]*|year)\s*\d?\s*$", ""))
+    fits = (F.length(s) > 0) & (F.length(s) <= LONGEST)
+    s = F.trim(F.regexp_replace(s, YEAR_TAIL, ""))
     s = F.regexp_replace(s, r"^на\s+", "")
     return F.when(fits, let(s, _parse))
 
@@ -119,21 +137,21 @@ def _parse(s: Column) -> Column:
         return F.when(y < 100, y + 2000).otherwise(y)
 
     roman = F.create_map(*(F.lit(x) for kv in ROMAN.items() for x in kv))
-    case(r"(\d{2}[./]\d{2}[./]\d{4})\s*[-т]+\s*(\d{2}[./]\d{2}[./]\d{4})", date_range)
-    case(rf"(\d{{1,2}})\s*({MONTH})\s*({YEAR})", lambda p: from_date(_date(num(p, 3), _month_number(part(p, 2)), num(p, 1))))
-    case(rf"(?:за\s*)?({MONTH})\s*-\s*({MONTH})\s*({YEAR})", month_range)
-    case(rf"(?:за\s*)?(\d{{1,2}})\s*(?:мес[а-я]*\.?|м|m)\s*({YEAR})", lambda p: first_months(num(p, 2), num(p, 1)))
-    case(rf"(?:за\s*)?([12])\s*(?:полугоди[а-я]*|п/г|h)\s*({YEAR})", half)
-    case(rf"h([12])\s*'?\s*({YEAR})", half)
-    case(rf"(?:fy|за)?\s*({YEAR})", lambda p: year(num(p, 1)))
-    case(rf"([1-4])\s*[-.\s]*(?:кв|квартал|q)[а-я]*\.?[-.\s]*({YEAR})", lambda p: quarter(num(p, 2), num(p, 1)))
-    case(rf"({YEAR})\s*[-.\s]*(?:кв|квартал|q)[а-я]*\.?[-.\s]*([1-4])", lambda p: quarter(num(p, 1), num(p, 2)))
-    case(rf"(?:кв|q)[а-я]*\.?\s*([1-4])\s*[-.\s']*({YEAR}|\d\d)", lambda p: quarter(short(num(p, 2)), num(p, 1)))
-    case(rf"(i{{1,3}}|iv)\s*[-.\s]*(?:кв|квартал)[а-я]*\.?[-.\s]*({YEAR})", lambda p: quarter(num(p, 2), F.try_element_at(roman, part(p, 1))))
-    case(rf"({YEAR})\s*[-.\s]*([1-4])\s*кв", lambda p: quarter(num(p, 1), num(p, 2)))
-    case(rf"({MONTH})\s*({YEAR}|\d\d)", lambda p: month(short(num(p, 2)), _month_number(part(p, 1))))
-    case(rf"(0?[1-9]|1[0-2])\s*[./]\s*({YEAR})", lambda p: month(num(p, 2), num(p, 1)))
-    case(rf"({YEAR})-(0?[1-9]|1[0-2])", lambda p: month(num(p, 1), num(p, 2)))
+    case(DATE_RANGE, date_range)
+    case(DAY_IN_WORDS, lambda p: from_date(_date(num(p, 3), _month_number(part(p, 2)), num(p, 1))))
+    case(MONTH_RANGE, month_range)
+    case(MONTHS_SO_FAR, lambda p: first_months(num(p, 2), num(p, 1)))
+    case(HALF, half)
+    case(HALF_ENGLISH, half)
+    case(WHOLE_YEAR, lambda p: year(num(p, 1)))
+    case(QUARTER, lambda p: quarter(num(p, 2), num(p, 1)))
+    case(QUARTER_LAST, lambda p: quarter(num(p, 1), num(p, 2)))
+    case(QUARTER_WORD_FIRST, lambda p: quarter(short(num(p, 2)), num(p, 1)))
+    case(QUARTER_ROMAN, lambda p: quarter(num(p, 2), F.try_element_at(roman, part(p, 1))))
+    case(QUARTER_YEAR_FIRST, lambda p: quarter(num(p, 1), num(p, 2)))
+    case(MONTH_IN_WORDS, lambda p: month(short(num(p, 2)), _month_number(part(p, 1))))
+    case(MONTH_NUMBER, lambda p: month(num(p, 2), num(p, 1)))
+    case(MONTH_ISO, lambda p: month(num(p, 1), num(p, 2)))
     out = from_date(parse_date(s))
     for test, value in reversed(cases):
         out = F.when(test, value).otherwise(out)

@@ -19,11 +19,13 @@ STOPWORDS = tuple(
 
 
 def tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
-    """Words of two characters or more, lower-cased, without stop words, cut to five characters."""
-    words = F.filter(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w)), lambda w: F.length(w) > 1)
-    if stopwords:
-        words = F.filter(words, lambda w: ~w.isin(*stopwords))
-    return F.transform(words, lambda w: F.left(w, F.lit(STEM)))
+    """Words of two characters or more, lower-cased, without stop words, cut to five characters.
+
+    One pattern does it all: it begins at a word's start, passes over stop words and keeps the word's first letters.
+    """
+    w = WORD[:-1]
+    skip = rf"(?!(?:{'|'.join(sorted(stopwords))})(?!{w}))" if stopwords else ""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!{w}){skip}({w}{{2,{STEM}}}){w}*+"), F.lit(1))
 
 
 def corpus(chunks: DataFrame) -> DataFrame:
@@ -32,10 +34,13 @@ def corpus(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("_r", F.when(F.col("section").isNull(), 1).otherwise(F.row_number().over(w))).where("_r = 1").drop("_r")
 
 
-def postings(chunks: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
-    """(term, chunk_id, tf, length): length is the chunk's token count, at least 1."""
-    toks = chunks.select("chunk_id", tokens(F.col("body"), stopwords).alias("t")).withColumn("length", F.greatest(F.size("t"), F.lit(1)))
-    return toks.select("chunk_id", "length", F.explode("t").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+def postings(chunks: DataFrame, stopwords: tuple[str, ...] = STOPWORDS, only: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, tf, length): length is the chunk's token count, at least 1; ``only`` restricts the terms."""
+    toks = chunks.select("chunk_id", tokens(F.col("body"), stopwords).alias("t"))
+    long = toks.select("chunk_id", F.greatest(F.size("t"), F.lit(1)).alias("length"), F.explode("t").alias("term"))
+    if only is not None:
+        long = long.join(only.select("term").distinct(), "term", "left_semi")
+    return long.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
 def corpus_stats(chunks: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
@@ -50,7 +55,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 12, stopwords: tuple[st
     term's postings are split by the engine's skew handling, and its scores leave as partial sums per (query, chunk).
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"), stopwords)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    index = postings(chunks, stopwords).join(asked.select("term").distinct(), "term", "left_semi")
+    index = postings(chunks, stopwords, asked)
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = F.broadcast(corpus_stats(chunks, stopwords))  # one row
     weighted = asked.join(df, "term").crossJoin(stats).withColumn("idf", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("query_id", "term", "qtf", "idf", "avgdl")

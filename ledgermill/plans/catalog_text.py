@@ -92,7 +92,7 @@ def rrf_fusion(spark, sf) -> DataFrame:
     c, items = chunks(spark, sf), asked(spark, sf)
     sparse = rt.bm25(c, items, 12, NONE).select("query_id", "chunk_id", "rank")
     terms = items.select("query_id", F.explode(F.array_distinct(rt.tokens(F.col("text"), NONE))).alias("term"))
-    shared = rt.top(terms.join(rt.postings(c, NONE), "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("score")), 12).select("query_id", "chunk_id", "rank")
+    shared = rt.top(terms.join(rt.postings(c, NONE, terms), "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("score")), 12).select("query_id", "chunk_id", "rank")
     return rt.fuse(sparse.unionByName(shared), 8).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
