@@ -49,4 +49,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_fingerprints, op4_pii, op5_warc, op6_html_text, op7_jaccard_join, op8_quality, op9_decontamination, op10_mixing)}
-ORACLES: dict[str, str] = {"op4_pii": pii.ORACLE, "op5_warc": warc.ORACLE, "op6_html_text": html_extract.ORACLE, "op7_jaccard_join": jaccard.ORACLE, "op9_decontamination": decontam.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.ORACLE, "op4_pii": pii.ORACLE, "op5_warc": warc.ORACLE, "op6_html_text": html_extract.ORACLE, "op7_jaccard_join": jaccard.ORACLE, "op9_decontamination": decontam.ORACLE, "op10_mixing": mixing.ORACLE}

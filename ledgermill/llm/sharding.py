@@ -42,10 +42,9 @@ def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _slots(record_id: Column, text: Column) -> tuple[Column, Column]:
-    return (
-        F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(SLOTS)).cast("int").alias("vslot"),
-        F.pmod(F.xxhash64(F.coalesce(record_id.cast("string"), F.lit("")), F.lit(17)), F.lit(SUBS)).cast("int").alias("sub"),
-    )
+    """MD5 of the content and of the id (so that SQL can follow), modulo the numbers of slots and sub-slots."""
+    at = lambda c, start, n: F.pmod(F.conv(F.substring(F.md5(F.coalesce(c, F.lit("")).cast("binary")), start, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
+    return at(text, 1, SLOTS).alias("vslot"), at(record_id.cast("string"), 9, SUBS).alias("sub")
 
 
 def slot_bytes(recs: DataFrame) -> DataFrame:
@@ -153,3 +152,28 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
         .join(F.broadcast(placed.select("vslot", "sub", "shard", "start")), ["vslot", "sub"])
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("inside") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
     )
+
+
+#: The same in DuckDB: its own CRC-32 from the polynomial, the fold over units as a recursive query.
+ORACLE = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+x AS (SELECT doc_id, coalesce(text, '') AS text, string_split(hex(encode(coalesce(text, ''))), '') AS h FROM documents),
+y AS (SELECT doc_id, text, list_transform(range(1, strlen(text) + 1), lambda i: (strpos('0123456789ABCDEF', h[2 * i - 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i]) - 1) AS b FROM x),
+d AS (SELECT doc_id, strlen(text)::BIGINT + 1 AS size, xor(list_reduce(list_prepend(4294967295, b), lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8)), 4294967295)::BIGINT AS text_crc32,
+  CAST(CAST('0x' || md5(text)[1:8] AS BIGINT) % {SLOTS} AS INTEGER) AS vslot, CAST(CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), ''))[9:16] AS BIGINT) % {SUBS} AS INTEGER) AS sub FROM y, crc),
+sizes AS (SELECT vslot, sub, sum(size)::BIGINT AS bytes, count(*) AS rows FROM d GROUP BY ALL),
+tot AS (SELECT coalesce(sum(bytes), 0)::BIGINT AS total FROM sizes),
+hot AS (SELECT vslot FROM sizes, tot GROUP BY vslot, total HAVING sum(bytes) > {HOT_SHARE}::DOUBLE * total / {SHARDS}),
+units AS (SELECT vslot, CASE WHEN vslot IN (SELECT vslot FROM hot) THEN sub END AS sub, sum(bytes)::BIGINT AS bytes FROM sizes GROUP BY ALL),
+numbered AS (SELECT s.vslot, u.sub, coalesce(bytes, 0) AS bytes, (s.vslot % {SHARDS} + coalesce(u.sub, 0)) % {SHARDS} AS home, row_number() OVER (ORDER BY coalesce(bytes, 0) DESC, s.vslot, coalesce(u.sub, -1)) AS k
+  FROM (SELECT CAST(range AS INTEGER) AS vslot FROM range({SLOTS})) s LEFT JOIN units u USING (vslot)),
+room AS (SELECT CAST(total AS DOUBLE) * {1 + SLACK}::DOUBLE / {SHARDS} AS room FROM tot),
+fold(k, loads, shard) AS (
+ SELECT 0::BIGINT, list_transform(range({SHARDS}), lambda i: 0::BIGINT), -1
+ UNION ALL SELECT k, list_transform(loads, lambda v, i: CASE WHEN i - 1 = goes THEN v + bytes ELSE v END), goes FROM (
+  SELECT n.k, loads, bytes, CAST(CASE WHEN loads[home + 1] + bytes <= room THEN home ELSE list_position(loads, list_min(loads)) - 1 END AS INTEGER) AS goes FROM fold f JOIN numbered n ON n.k = f.k + 1, room)),
+placed AS (SELECT vslot, sub, shard FROM fold JOIN numbered USING (k)),
+homes AS (SELECT s.vslot, s.sub, s.rows, p.shard FROM sizes s JOIN placed p ON p.vslot = s.vslot AND (p.sub IS NULL OR p.sub = s.sub)),
+starts AS (SELECT vslot, sub, shard, coalesce(sum(rows) OVER (PARTITION BY shard ORDER BY vslot, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM homes)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(start + row_number() OVER (PARTITION BY vslot, sub ORDER BY doc_id, text_crc32, size) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, vslot AS virtual_slot
+FROM d JOIN starts USING (vslot, sub)"""
