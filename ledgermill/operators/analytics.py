@@ -27,17 +27,17 @@ def yearly(series: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
     A year of fewer than 12 months says so in its label.
     """
     only = Window.partitionBy(*keys)
-    marked = series.withColumn("_monthly", F.min((F.col("period_type") == "month").cast("int")).over(only) == 1)
-    others = marked.where("not _monthly").select(*keys, "period_type", "period_label", "period_start", "period_end", "value", F.lit(1).cast("long").alias("months"))
-    year = F.year("period_start")
-    summed = (
-        marked.where("_monthly").groupBy(*keys, year.alias("_y"))
-        .agg(F.sum("value").cast("decimal(28,6)").alias("value"), F.count(F.lit(1)).alias("months"))
-        .select(*keys, F.lit("year").alias("period_type"),
-                F.when(F.col("months") == 12, F.col("_y").cast("string")).otherwise(F.format_string("%d (%d мес.)", "_y", "months")).alias("period_label"),
-                F.make_date("_y", F.lit(1), F.lit(1)).alias("period_start"), F.make_date("_y", F.lit(12), F.lit(31)).alias("period_end"), "value", "months")
+    rows = series.withColumn("_monthly", F.min((F.col("period_type") == "month").cast("int")).over(only) == 1)
+    y = F.year("period_start")
+    of_year = lambda year, own: F.when(F.col("_monthly"), year).otherwise(F.col(own))
+    # One grouping for both: months fall into their year, any other row (a series has one a period) is its own group.
+    groups = (
+        F.col("_monthly"), of_year(F.lit("year"), "period_type").alias("period_type"), of_year(y.cast("string"), "period_label").alias("_label"),
+        of_year(F.make_date(y, F.lit(1), F.lit(1)), "period_start").alias("period_start"), of_year(F.make_date(y, F.lit(12), F.lit(31)), "period_end").alias("period_end"),
     )
-    return summed.unionByName(others)
+    summed = rows.groupBy(*keys, *groups).agg(F.sum("value").cast("decimal(28,6)").alias("value"), F.count(F.lit(1)).alias("months"))
+    label = F.when(~F.col("_monthly") | (F.col("months") == 12), F.col("_label")).otherwise(F.format_string("%s (%d мес.)", "_label", "months"))
+    return summed.select(*keys, "period_type", label.alias("period_label"), "period_start", "period_end", "value", "months")
 
 
 def total(series: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:

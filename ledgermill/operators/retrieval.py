@@ -37,7 +37,8 @@ def corpus(chunks: DataFrame) -> DataFrame:
 def postings(chunks: DataFrame, stopwords: tuple[str, ...] = STOPWORDS, only: DataFrame | None = None) -> DataFrame:
     """(term, chunk_id, tf, length): length is the chunk's token count, at least 1; ``only`` restricts the terms."""
     toks = chunks.select("chunk_id", tokens(F.col("body"), stopwords).alias("t"))
-    long = toks.select("chunk_id", F.greatest(F.size("t"), F.lit(1)).alias("length"), F.explode("t").alias("term"))
+    # An outer explode: for an inner one Spark would match the pattern again, to leave out texts without words.
+    long = toks.select("chunk_id", F.greatest(F.size("t"), F.lit(1)).alias("length"), F.explode_outer("t").alias("term")).where("term is not null")
     if only is not None:
         long = long.join(only.select("term").distinct(), "term", "left_semi")
     return long.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
@@ -56,7 +57,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 12, stopwords: tuple[st
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"), stopwords)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     index = postings(chunks, stopwords, asked)
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Both columns are used, so that this is the same subplan as below and its exchange is made once.
+    df = index.groupBy("term").agg(F.sum(F.when((F.col("tf") > 0) & (F.col("length") > 0), 1)).alias("df"))
     stats = F.broadcast(corpus_stats(chunks, stopwords))  # one row
     weighted = asked.join(df, "term").crossJoin(stats).withColumn("idf", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("query_id", "term", "qtf", "idf", "avgdl")
     score = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
