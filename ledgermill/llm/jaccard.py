@@ -120,11 +120,12 @@ def shared(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.nda
     return out
 
 
-def linked(sets: list[np.ndarray], left: np.ndarray, threshold: float) -> np.ndarray:
-    """Boolean matrix of the links among sets; where ``left`` has both values, only links across count."""
+def linked(sets: list[np.ndarray], left: np.ndarray, across: bool, threshold: float) -> np.ndarray:
+    """Boolean matrix of the links among sets; ``across`` counts those between ``left`` and the others only."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.float64)
-    across = left.any() and not left.all()
+    if across and (left.all() or not left.any()):  # the other block is empty
+        return np.zeros((m, m), dtype=bool)
     rows, cols = (np.flatnonzero(left), np.flatnonzero(~left)) if across else (np.arange(m), np.arange(m))
     if m <= 4:
         inter = np.array([[len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in cols] for i in rows], dtype=np.float64)
@@ -153,9 +154,9 @@ def roots(links: np.ndarray) -> np.ndarray:
 def verify(threshold: float):
     """Rows ordered by (grp, bi, bj): each run of equal keys is a block or a pair of blocks."""
 
-    def links_of(nodes: list[int], copies: list[int], sides: list[int], sets: list[bytes], bi: int) -> pd.DataFrame:
+    def links_of(nodes: list[int], copies: list[int], sides: list[int], sets: list[bytes], bi: int, bj: int) -> pd.DataFrame:
         arrays = [np.frombuffer(s, dtype=np.uint64) for s in sets]
-        found = linked(arrays, np.array(sides) == bi, threshold)
+        found = linked(arrays, np.array(sides) == bi, bi != bj, threshold)
         some = np.flatnonzero(found.any(axis=1))
         ids = np.array(nodes)
         return pd.DataFrame({"node": ids[some], "n_text_links": found[some].sum(axis=1).astype(np.int64), "n_doc_links": (found[some] @ np.array(copies, dtype=np.int64)), "root": ids[roots(found)[some]]})
@@ -166,12 +167,12 @@ def verify(threshold: float):
             for grp, bi, bj, node, copies, side, items in zip(*(pdf[c] for c in ("grp", "bi", "bj", "node", "copies", "side", "items")), strict=True):
                 if (grp, bi, bj) != key:
                     if len(held[0]) > 1:
-                        yield links_of(*held, key[1])
+                        yield links_of(*held, key[1], key[2])
                     key, held = (grp, bi, bj), ([], [], [], [])
                 for x, to in zip((node, copies, side, items), held, strict=True):
                     to.append(x)
         if len(held[0]) > 1:
-            yield links_of(*held, key[1])
+            yield links_of(*held, key[1], key[2])
 
     return run
 
