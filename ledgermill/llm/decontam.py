@@ -4,9 +4,11 @@ Texts are canonicalised: numbers, names (capitalised words that don't begin a se
 typed placeholders, everything else is lower-cased; punctuation is dropped.  Every window of ``WINDOW`` canonical tokens of
 a benchmark item is hashed; windows of the documents are hash-joined with them.  The windows that meet are lined up by
 their distance (position in the document less position in the item).  In each line-up the placeholders' values must be
-consistent: the same value in the item is always the same value in the document and the other way round.  That accepts the
-verbatim passage and the re-parameterised one, and refuses texts that merely share a frame.  A document is contaminated by
-an item if consistent windows cover at least ``COVERAGE`` of the item's tokens.
+consistent: the same value in the item is always the same value in the document.  That accepts the verbatim passage and the
+re-parameterised one (two values may become one), and refuses texts that merely share a frame.  Where a value of the item
+stands for two in the document, the windows that touch a changed one of its places go; of what is left of such a line-up,
+runs of at least ``LONG`` tokens count.  A document is contaminated by an item if consistent windows cover at least
+``COVERAGE`` of the item's tokens.
 
 The hash join runs on the map side: the benchmark is taken in parts of at most about ``PART_BYTES`` of text (all of it is one
 part unless it is larger), each part is broadcast and every document is held against each part.  Documents are never
@@ -35,6 +37,7 @@ WINDOW = 8
 LEAST = 5
 LITERALS = 3
 COVERAGE = 0.5
+LONG = 13
 PART_BYTES = 8 << 20
 #: Words that count as a unit after a number.
 UNITS = (
@@ -165,13 +168,9 @@ class Index:
             covered = np.zeros(len(item_tokens), dtype=bool)
             changed = 0
             for shift, places in lines.items():
-                own = np.zeros(len(item_tokens), dtype=bool)
-                for p in places:
-                    own[p : p + n] = True
-                moved = consistent(item_tokens, item_values, values, own, shift)
-                if moved is not None:
-                    covered |= own
-                    changed = max(changed, moved)
+                own, moved = consistent(item_tokens, item_values, values, places, n, shift)
+                covered |= own
+                changed = max(changed, moved)
             if covered.sum() >= COVERAGE * len(item_tokens):
                 out.append((item_id, len(item_tokens), int(covered.sum()), changed))
         return out
@@ -184,17 +183,33 @@ def windows(tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, run_hashes(mix64(tokens), n)[at]
 
 
-def consistent(item_tokens: np.ndarray, item_values: np.ndarray, values: np.ndarray, own: np.ndarray, shift: int) -> int | None:
-    """How many placeholders have another value in the document; None if a value stands for two, either way round."""
-    there: dict[tuple[int, int], int] = {}
-    back: dict[tuple[int, int], int] = {}
-    changed = 0
-    for p in np.flatnonzero(own & (item_tokens <= 3)):
-        kind, a, b = int(item_tokens[p]), int(item_values[p]), int(values[p + shift])
-        if there.setdefault((kind, a), b) != b or back.setdefault((kind, b), a) != a:
-            return None
-        changed += a != b
-    return changed
+def runs(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of set tokens."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
+    return edge[::2], edge[1::2]
+
+
+def consistent(item_tokens: np.ndarray, item_values: np.ndarray, values: np.ndarray, places: list[int], n: int, shift: int) -> tuple[np.ndarray, int]:
+    """The item's tokens that the consistent windows of a line-up cover, and how many placeholders have another value there."""
+
+    def cover(some: list[int]) -> np.ndarray:
+        own = np.zeros(len(item_tokens), dtype=bool)
+        for p in some:
+            own[p : p + n] = True
+        return own
+
+    own = cover(places)
+    slots = np.flatnonzero(own & (item_tokens <= 3))
+    moved = item_values[slots] != values[slots + shift]
+    there = defaultdict(set)
+    for p in slots:
+        there[int(item_tokens[p]), int(item_values[p])].add(int(values[p + shift]))
+    torn = [int(p) for p in slots[moved] if len(there[int(item_tokens[p]), int(item_values[p])]) > 1]
+    if torn:
+        own = cover([p for p in places if not any(p <= t < p + n for t in torn)])
+        for a, b in zip(*runs(own), strict=True):
+            own[a:b] = b - a >= LONG
+    return own, int((own[slots] & moved).sum())
 
 
 def parts(benchmark: DataFrame) -> Iterator[Index]:

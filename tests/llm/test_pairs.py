@@ -117,6 +117,20 @@ def test_inconsistent_slots_are_refused():
     assert decontam.Index([(1, item)]).hits(item.replace("then Anna", "then Berta")) == []
 
 
+def test_a_clash_drops_only_its_windows():
+    index = decontam.Index([(7, ITEM)])
+    n = len(decontam.canonical(ITEM)[0])
+    torn = ITEM.replace("later Maria", "later Boris")
+    assert index.hits(f"Some words before. {torn}") == [(7, n, n - 1, 0)]
+    both = ITEM.replace("called Maria", "called Olga").replace("later Maria", "later Boris")
+    assert [h[0] for h in index.hits(both)] == [7]
+
+
+def test_two_values_may_become_one():
+    item = "she has 3 apples and 5 pears in a basket and gives away two of them"
+    assert decontam.Index([(1, item)]).hits(item.replace("3", "4").replace("5", "4")) == [(1, 16, 16, 2)]
+
+
 def windows_by_brute_force(docs, items, n=8):
     """Documents that hold at least half of an item's words in runs of n equal words."""
     out = set()
