@@ -8,7 +8,7 @@ consistent: the same value in the item is always the same value in the document.
 re-parameterised one (two values may become one), and refuses texts that merely share a frame.  Where a value of the item
 stands for two in the document, the windows that touch a changed one of its places go; of what is left of such a line-up,
 runs of at least ``LONG`` tokens count.  A document is contaminated by an item if consistent windows cover at least
-``COVERAGE`` of the item's tokens.
+``COVERAGE`` of the item's tokens, or a run of ``LONG`` of them (however long the item is).
 
 The hash join runs on the map side: the benchmark is taken in parts of at most about ``PART_BYTES`` of text (all of it is one
 part unless it is larger), each part is broadcast and every document is held against each part.  Documents are never
@@ -166,12 +166,13 @@ class Index:
         for owner, lines in met.items():
             item_id, item_tokens, item_values, n = self.items[owner]
             covered = np.zeros(len(item_tokens), dtype=bool)
-            changed = 0
+            changed = longest = 0
             for shift, places in lines.items():
                 own, moved = consistent(item_tokens, item_values, values, places, n, shift)
                 covered |= own
+                longest = max(longest, *(b - a for a, b in zip(*runs(own), strict=True)), 0)
                 changed = max(changed, moved)
-            if covered.sum() >= COVERAGE * len(item_tokens):
+            if covered.sum() >= COVERAGE * len(item_tokens) or longest >= LONG:
                 out.append((item_id, len(item_tokens), int(covered.sum()), changed))
         return out
 

@@ -131,6 +131,14 @@ def test_two_values_may_become_one():
     assert decontam.Index([(1, item)]).hits(item.replace("3", "4").replace("5", "4")) == [(1, 16, 16, 2)]
 
 
+def test_a_long_passage_is_a_leak_however_long_the_item():
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    index = decontam.Index([(5, " ".join(words))])
+    said = lambda n: index.hits("before it " + " ".join(words[20 : 20 + n]) + " after it")
+    assert said(29) == [(5, 59, 29, 0)] and said(13) == [(5, 59, 13, 0)]
+    assert said(12) == []
+
+
 def windows_by_brute_force(docs, items, n=8):
     """Documents that hold at least half of an item's words in runs of n equal words."""
     out = set()
