@@ -6,9 +6,9 @@ adverts, forms, comments, by element, role, class or id), ``main`` (inside an ar
 For every host the token streams of its pages are concatenated, each page ended by a token of its own, and sorted as a
 suffix array (prefix doubling over token ranks, to the depth of the shortest run that counts).  Neighbours in that order
 that share at least ``RUN`` tokens are repeats; a position is covered if a repeat found on at least ``PAGES`` distinct pages
-runs over it.  Open blocks that are covered for the larger part are boilerplate and go; unique ones stay.  Blocks of a
-page that has a main zone are decided by markup alone, as an article may well quote what other pages quote; their covered
-tokens are reported.
+runs over it.  Open blocks that are covered for the larger part are boilerplate and go; unique ones stay, unless the page has
+a main zone of at least as many tokens: then they are what stands around the article.  Blocks of a main zone stay, as an
+article may well quote what other pages quote; their covered tokens are reported.
 
 A host is dealt by page id into blocks of bounded pages and bytes, and each block has its own suffix array, so a host
 with a third of all pages is many tasks; a page is in exactly one block.  Text that repeats over a host repeats in each
@@ -188,14 +188,16 @@ def main_texts(pages: list[str | None]) -> list[tuple[str, int]]:
     masks = covered([np.concatenate(t) if t else none for t in tokens])
     out = []
     for page, words, mask in zip(cut, tokens, masks, strict=True):
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        hits = [int(mask[b - len(w) : b].sum()) for w, b in zip(words, ends, strict=True)]
+        unique = [zone == OPEN and h <= COVERED * len(w) for (zone, _), w, h in zip(page, words, hits, strict=True)]
         has_main = any(zone == MAIN for zone, _ in page)
-        kept, repeated, at = [], 0, 0
-        for (zone, text), w in zip(page, words, strict=True):
-            hits = int(mask[at : at + len(w)].sum())
-            at += len(w)
-            if zone == MAIN if has_main else zone == OPEN and hits <= COVERED * len(w):
+        lead = sum(len(w) for w, u in zip(words, unique, strict=True) if u) > sum(len(w) for (zone, _), w in zip(page, words, strict=True) if zone == MAIN)
+        kept, repeated = [], 0
+        for (zone, text), u, h in zip(page, unique, hits, strict=True):
+            if zone == MAIN or u and (lead or not has_main):
                 kept.append(text)
-                repeated += hits
+                repeated += h
         out.append(("\n".join(kept), repeated))
     return out
 

@@ -83,6 +83,15 @@ def test_open_pages_lose_what_the_host_repeats():
     assert all(t for t, _ in html_extract.main_texts([pages[0]] * 5))
 
 
+def test_a_small_main_zone_leaves_the_open_story():
+    menu = " ".join(f"menu{i}" for i in range(12))
+    story = lambda i: " ".join(f"s{i}x{k}" for k in range(40))
+    pages = [f"<div>{menu}</div><article>Teaser {i}</article><p>{story(i)}</p>" for i in range(4)]
+    assert [t.split() for t, _ in html_extract.main_texts(pages)] == [f"Teaser {i} {story(i)}".split() for i in range(4)]
+    # open text that is less than the article stays out
+    assert html_extract.main_texts([f"<p>Read on<article>{story(9)}</article>"])[0][0] == story(9)
+
+
 def test_coverage_by_brute_force():
     rng = np.random.default_rng(2)
     streams = [rng.integers(0, 3, size=n).astype(np.uint64) for n in (60, 50, 0, 7, 40, 60, 3)]
