@@ -11,8 +11,11 @@ a main zone of at least as many tokens: then they are what stands around the art
 article may well quote what other pages quote; their covered tokens are reported.
 
 A host is dealt by page id into blocks of bounded pages and bytes, and each block has its own suffix array, so a host
-with a third of all pages is many tasks; a page is in exactly one block.  Text that repeats over a host repeats in each
-block; what repeats only between blocks stays.
+with a third of all pages is many tasks; a page is in exactly one block.  What repeats only between blocks is found by
+hashes: the pages of dealt hosts whose open blocks matter ask for their runs of ``RUN`` tokens, the distinct pages that hold
+such a run are counted over the whole host (each batch gives at most ``PAGES`` pages a run, so a run on every page is no
+hot key), and runs on ``PAGES`` pages or more go back to the blocks that asked.  So it doesn't matter for a text how its
+host is dealt.  Only ``n_repeated`` of main zones is counted inside a block.
 
 Defined cases: a null page is empty; null URLs form one host; repeated rows and pages with equal token streams count as
 one page for coverage (a mirror is no boilerplate); pages without text give an empty string; other columns are ignored;
@@ -24,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.llm.common import stash
-from ledgermill.llm.hashing import mix64, word_hashes
+from ledgermill.llm.hashing import mix64, run_hashes, word_hashes
 
 RUN = 8
 PAGES = 3
@@ -147,10 +151,15 @@ def suffix_ranks(tokens: np.ndarray, depth: int = RUN) -> np.ndarray:
     return rank
 
 
-def covered(streams: list[np.ndarray]) -> list[np.ndarray]:
+def runs(stream: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of RUN tokens of a page, by their start."""
+    return run_hashes(mix64(stream), RUN) if len(stream) >= RUN else np.empty(0, dtype=np.uint64)
+
+
+def covered(streams: list[np.ndarray], known: np.ndarray | None = None) -> list[np.ndarray]:
     """For each page's token stream: which tokens lie in a run of RUN tokens or more found on PAGES distinct pages.
 
-    Equal streams count as one page.
+    Equal streams count as one page.  ``known`` are hashes of runs that the whole host has on PAGES pages.
     """
     kinds = {s.tobytes(): k for k, s in enumerate(streams)}
     distinct = [streams[k] for k in kinds.values()]
@@ -177,15 +186,50 @@ def covered(streams: list[np.ndarray]) -> list[np.ndarray]:
         np.add.at(hit, at + RUN, -1)
         mask = np.cumsum(hit)[: len(flat)] > 0
     of = dict(zip(kinds, range(len(distinct)), strict=True))
+    if known is not None and len(known):
+        for s, a in zip(distinct, start, strict=True):
+            for i in np.flatnonzero(np.isin(runs(s), known)):
+                mask[a + i : a + i + RUN] = True
     return [mask[start[k] : start[k] + len(s)] for s, k in ((s, of[s.tobytes()]) for s in streams)]
 
 
-def main_texts(pages: list[str | None]) -> list[tuple[str, int]]:
+def asked(page: str | None) -> np.ndarray:
+    """Hashes of the runs over open blocks of a page whose open blocks aren't settled by markup alone."""
+    cut = blocks(page)
+    if not any(zone == OPEN for zone, _ in cut):
+        return np.empty(0, dtype=np.uint64)
+    words = [word_hashes(text) for _, text in cut]
+    size = lambda z: sum(len(w) for w, (zone, _) in zip(words, cut, strict=True) if zone == z)
+    if any(zone == MAIN for zone, _ in cut) and size(OPEN) <= size(MAIN):
+        return np.empty(0, dtype=np.uint64)
+    open_ = np.concatenate(([0], np.cumsum(np.repeat([zone == OPEN for zone, _ in cut], [len(w) for w in words]))))
+    return np.unique(runs(np.concatenate(words))[open_[RUN:] > open_[:-RUN]])
+
+
+def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for html, host, part in zip(*(pdf[c] for c in ("html", "host", "part")), strict=True):
+            if len(got := asked(html)):
+                yield pd.DataFrame({"host": host, "part": part, "run": got.view(np.int64)})
+
+
+def held_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(host, run, page): the runs of pages, each run of a batch with at most PAGES distinct pages, a page by its stream's hash."""
+    for pdf in batches:
+        for host, pages in pdf.groupby("host")["html"]:
+            streams = {s.tobytes(): s for s in (np.concatenate([np.empty(0, dtype=np.uint64), *(word_hashes(text) for _, text in blocks(p))]) for p in pages)}
+            each = [np.unique(runs(s)) for s in streams.values()]
+            ids = np.array([int.from_bytes(blake2b(raw, digest_size=8).digest(), "little") for raw in streams], dtype=np.uint64)
+            got = pd.DataFrame({"host": host, "run": np.concatenate(each).view(np.int64), "page": np.repeat(ids, [len(x) for x in each]).view(np.int64)})
+            yield got[got.groupby("run").cumcount() < PAGES]
+
+
+def main_texts(pages: list[str | None], known: np.ndarray | None = None) -> list[tuple[str, int]]:
     """(main text, covered tokens in it) of the pages of one block of a host."""
     cut = [blocks(p) for p in pages]
     tokens = [[word_hashes(text) for _, text in page] for page in cut]
     none = np.empty(0, dtype=np.uint64)
-    masks = covered([np.concatenate(t) if t else none for t in tokens])
+    masks = covered([np.concatenate(t) if t else none for t in tokens], known)
     out = []
     for page, words, mask in zip(cut, tokens, masks, strict=True):
         ends = np.cumsum([len(w) for w in words], dtype=np.int64)
@@ -203,19 +247,22 @@ def main_texts(pages: list[str | None]) -> list[tuple[str, int]]:
 
 
 def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows ordered by (host, part): each run of equal keys is one block of a host."""
-    key, held = None, []
+    """Rows ordered by (host, part): each run of equal keys is one block of a host; rows with ``often`` aren't pages."""
+    key, held, often = None, [], None
 
     def done() -> pd.DataFrame:
-        got = main_texts([r[2] for r in held])
+        got = main_texts([r[2] for r in held], often)
         return pd.DataFrame({"page_id": [r[0] for r in held], "url": [r[1] for r in held], "text": [t for t, _ in got], "n_chars": [len(t) for t, _ in got], "n_repeated": [n for _, n in got]})
 
     for pdf in batches:
-        for page_id, url, html, host, part in zip(*(pdf[c] for c in ("page_id", "url", "html", "host", "part")), strict=True):
+        for page_id, url, html, host, part, some in zip(*(pdf[c] for c in ("page_id", "url", "html", "host", "part", "often")), strict=True):
             if (host, part) != key:
                 if held:
                     yield done()
-                key, held = (host, part), []
+                key, held, often = (host, part), [], None
+            if some is not None:
+                often = np.asarray(some, dtype=np.int64).view(np.uint64)
+                continue
             held.append((page_id, url, html))
     if held:
         yield done()
@@ -233,9 +280,19 @@ def extract(pages: DataFrame, block_pages: int = BLOCK_PAGES, block_bytes: int =
     dealt = base.join(large, "host", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * total / block_bytes))
+    dealt = dealt.withColumn("often", F.lit(None).cast("array<long>"))
+    if not large.isEmpty():
+        inside = base.join(large, "host", "left_semi")
+        wanted = stash(dealt.join(large.select("host"), "host", "left_semi").select("html", "host", "part").mapInPandas(ask, "host string, part int, run long").distinct(), "asked-runs")
+        if not wanted.isEmpty():
+            # The joins' keys hold the run, so that no host is one task.
+            found = inside.join(wanted.select("host").distinct(), "host", "left_semi").select("host", "html").mapInPandas(held_runs, "host string, run long, page long")
+            often = found.join(wanted.select("host", "run").distinct(), ["host", "run"], "left_semi").distinct().groupBy("host", "run").count().where(F.col("count") >= PAGES)
+            back = wanted.join(often, ["host", "run"], "left_semi").groupBy("host", "part").agg(F.collect_list("run").alias("often"))
+            dealt = dealt.unionByName(back, allowMissingColumns=True)
     return (
         dealt.repartition(tasks, "host", "part")
-        .sortWithinPartitions("host", "part", "page_id")
+        .sortWithinPartitions("host", "part", F.col("often").isNull(), "page_id")
         .mapInPandas(run, "page_id string, url string, text string, n_chars long, n_repeated long")
         .withColumn("page_id", F.col("page_id").cast("long"))
     )

@@ -113,3 +113,17 @@ def test_extract_odd_pages(odd_pages):
     assert {r["text"] for r in got if r["page_id"] == 5} == {"é & ü"}
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert html_extract.extract(odd_pages.limit(0)).count() == 0
+
+
+def test_runs_count_over_the_whole_host(spark):
+    notice, menu = (" ".join(f"{w}{i}" for i in range(12)) for w in ("notice", "menu"))
+    story = lambda i: " ".join(f"s{i}x{k}" for k in range(30))
+    rows = [(i, f"http://a.example/{i}", f"<div>{menu}</div>" + f"<p>{notice}</p>" * (i % 12 == 0) + f"<p>{story(i)}</p>") for i in range(48)]
+    # a run on two pages, one of them mirrored, is no boilerplate; neither are runs that other hosts share
+    twice = " ".join(f"twice{i}" for i in range(12))
+    rows += [(i, "http://a.example/t", f"<p>{twice}</p><p>{story(min(i, 101))}</p>") for i in (100, 101, 102)]
+    rows += [(200 + i, f"http://b{i}.example/", f"<p>{notice}</p><p>{story(200 + i)}</p>") for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: story(i) for i in range(48)} | {i: f"{twice}\n{story(min(i, 101))}" for i in (100, 101, 102)} | {200 + i: f"{notice}\n{story(200 + i)}" for i in range(3)}
+    for size in (512, 4):
+        assert {r["page_id"]: r["text"] for r in html_extract.extract(pages, block_pages=size).collect()} == want
