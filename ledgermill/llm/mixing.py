@@ -165,6 +165,7 @@ def taken(docs: DataFrame) -> DataFrame:
         "doc_id", "size", "source_size", F.round("target", 6).alias("target"),
         F.aggregate("copies", F.lit(0).cast("long"), lambda acc, c: acc + c["words"]).alias("taken"),
         F.transform("copies", lambda c: c["shard"]).alias("mix_shards"),
+        F.transform("copies", lambda c: c["order"]).alias("mix_orders"),
     )
 
 

@@ -1,11 +1,14 @@
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from ledgermill.llm import mixing, sharding
+from ledgermill.llm.queries import QUERIES
 
 
 def test_shards_are_even_gapless_and_keep_copies_together(documents):
@@ -115,3 +118,31 @@ def test_mix_odd_rows(odd_docs, no_docs):
     assert set(odd_docs.columns) <= set(mixed.columns)
     assert all(r["size"] == 9 for r in mixed.collect())
     assert mixing.taken(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
+
+
+def test_shards_query_by_brute_force(spark, sf, documents, tmp_path):
+    plan = {r["source"]: r for r in mixing.plan(mixing.measured(documents.select("doc_id", "text", "source")).drop("text"), block_words=mixing.BLOCK_WORDS).collect()}
+    source = {r["doc_id"]: r["source"] for r in documents.select("doc_id", "source").collect()}
+    tree = mixing.split_tree([plan[s]["quota"] for s in sorted(plan)], mixing.OUT_SHARDS, mixing.SEED)
+    for k, s in enumerate(sorted(plan)):
+        p = plan[s]
+        # every block of the quota is drawn once, and each shard draws as many as its leaf says
+        drawn = [sum(e <= b * p["step"] % p["quota"] for e in p["leaves"]) for b in range(p["quota"])]
+        assert Counter(drawn) == Counter({i: int(n) for i, n in enumerate(tree[k]) if n})
+    rows = QUERIES["op10_mixing_shards"](spark, sf).collect()
+    assert len(rows) == len(source)
+    for r in rows:
+        p = plan[source[r["doc_id"]]]
+        block = int(hashlib.md5(f"{mixing.SEED}:{r['doc_id']}".encode()).hexdigest()[:10], 16) % p["blocks"]
+        full = [sum(e <= (c * p["blocks"] + block) * p["step"] % p["quota"] for e in p["leaves"]) for c in range(p["passes"] + 1)]
+        assert list(r["mix_shards"]) == full[: len(r["mix_shards"])] and bool(r["mix_shards"]) == (r["taken"] > 0)
+    # the local shuffle: each shard's files hold its copies in their order
+    mixing.write_mix(mixing.mix(documents, whole_documents=False), f"file://{tmp_path}/mix")
+    want = Counter((r["doc_id"], s, o) for r in rows for s, o in zip(r["mix_shards"], r["mix_orders"], strict=True))
+    got = Counter()
+    for folder in (tmp_path / "mix").glob("mix_shard=*"):
+        (file,) = folder.glob("*.parquet")
+        there = [(r["doc_id"], int(folder.name.split("=")[1]), r["mix_order"]) for r in pq.ParquetFile(file).read(["doc_id", "mix_order"]).to_pylist()]
+        assert [o for *_, o in there] == sorted(o for *_, o in there)
+        got.update(there)
+    assert got == want
