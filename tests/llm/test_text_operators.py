@@ -50,6 +50,20 @@ def test_pii_iban_and_context(spark):
     assert [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()][1] == "mail me: <email>"
 
 
+def test_iban_ends_at_its_length(spark):
+    texts = {
+        "DE89370400440532013000 BIC COBADEFF": ["iban:0:22"],
+        "GB82 WEST 1234 5698 7654 32 AND": ["iban:0:27"],
+        "REF AB12 DE89 3704 0044 0532 0130 00 FR14 2004 1010 0505 0001 3M02 606": ["iban:9:36", "iban:37:70"],
+        "DE89 3704 0044 0532 0130 001": [],
+        "DE88370400440532013000 BIC": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("iban")] for r in pii.digest(docs).collect()}
+    assert got == dict(enumerate(texts.values()))
+    assert [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()][0] == "<iban> BIC COBADEFF"
+
+
 def test_pii_odd_rows(odd_docs, no_docs):
     assert pii.digest(odd_docs).count() == 10 and pii.digest(no_docs).count() == 0
     assert pii.redact(odd_docs).columns == odd_docs.columns
