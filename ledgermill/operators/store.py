@@ -94,20 +94,22 @@ def containment_parent(new: DataFrame, known: DataFrame) -> DataFrame:
     return met.groupBy("name").agg(F.min("inner").alias("parent"))
 
 
-def orphans(metrics: DataFrame, facts: DataFrame, rounds: int = 16) -> DataFrame:
+def orphans(metrics: DataFrame, facts: DataFrame) -> DataFrame:
     """Metrics (name, parent) with neither facts nor children, and then those that this leaves bare, to the fixed point.
 
-    Anti joins over the metric dictionary; it ends when a round finds none.
+    Anti joins over the metric dictionary; it ends when a round finds none.  Metrics on a cycle have children and stay.
     """
+    cut = (lambda d: d.checkpoint()) if metrics.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.localCheckpoint())
     used = facts.select(F.col("metric").alias("name")).distinct()
     left, gone = metrics, None
-    for _ in range(rounds):
+    while True:
         parents = left.where("parent is not null").select(F.col("parent").alias("name")).distinct()
         bare = left.join(used, "name", "left_anti").join(parents, "name", "left_anti")
         if bare.isEmpty():
             break
         gone = bare if gone is None else gone.unionByName(bare)
-        left = left.join(bare.select("name"), "name", "left_anti")
+        # Each round reads the one before it several times: without a cut the plan would grow as a power of the depth.
+        left = cut(left.join(bare.select("name"), "name", "left_anti"))
     return metrics.limit(0) if gone is None else gone
 
 

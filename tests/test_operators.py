@@ -102,6 +102,13 @@ def test_save_replaces_only_its_documents(spark, tmp_path):
     assert sorted((r["document_id"], r["metric"]) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (2, "d")]
 
 
+def test_orphans_of_a_deep_chain(spark):
+    chain = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(19)]
+    metrics = spark.createDataFrame([*chain, ("x", "y"), ("y", "x"), ("used", None)], "name string, parent string")
+    facts = spark.createDataFrame([("used",)], "metric string")
+    assert {r["name"] for r in store.orphans(metrics, facts).collect()} == {n for n, _ in chain}
+
+
 def test_orphans_to_the_fixed_point(spark):
     metrics = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", None)], "name string, parent string")
     facts = spark.createDataFrame([("d",)], "metric string")
