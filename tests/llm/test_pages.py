@@ -70,41 +70,103 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <aside>side</aside><form><p>Sign up</form><div id="cookie-notice">Cookies</div><footer>&copy; all"""
 
 
+def texts(*pages):
+    return html_extract.main_texts([html_extract.left(p) for p in pages])
+
+
 def test_zones():
-    (text, _), = html_extract.main_texts([PAGE])
-    assert text == "Title & more\nOne two.\nThree four <x>\nFive"
+    assert texts(PAGE) == ["Title & more\n\nOne two.\n\nThree four <x>\n\nFive"]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body class="no-sidebar"><article class="post has-sidebar menu">Body<p>text</p></article>', "Body\n\ntext"),
+        ('<main><section id="comments"><article>Reader says</article></section><p>Story', "Story"),
+        ("<aside><article>Teaser</article></aside><article>Story</article>", "Story"),
+        ("<article data-u=https://a.b/>In the article</article><p>outside of it", "In the article"),
+        ('<article><p title="' + "x" * 200_000 + ">\">Long attribute</p></article>", "Long attribute"),
+        ("<p>don't</p><article title=\"a > b\" data-x='\">'>It's \"so\" <b>bold</b>", 'It\'s "so" bold'),
+        ("<form id=aspnetForm><p>search</p><article>Inside a form</article></form>", "Inside a form"),
+        ("<article>Story<form><p>Sign up</p></form><p>goes on</article>", "Story\n\ngoes on"),
+        ('<div class="wrap ad-slot"><p>Buy</div><div class="upload">Kept</div>', "Kept"),
+        ('<div class="with-comments">Kept</div><div class="post comments">Gone</div><ul role=navigation><li>Gone</ul>', "Kept"),
+    ],
+)
+def test_markup_cases(page, want):
+    assert texts(page) == [want]
 
 
 def test_open_pages_lose_what_the_host_repeats():
     menu = " ".join(f"menu{i}" for i in range(12))
-    pages = [f"<div>{menu}</div><p>unique text of page {i} " + " ".join(f"w{i}x{k}" for k in range(20)) + "</p>" for i in range(5)]
-    assert [t for t, _ in html_extract.main_texts(pages)] == [" ".join(p.split("<p>")[1].removesuffix("</p>").split()) for p in pages]
+    pages = [f"<div>{menu}</div><div>Home About Contact</div><p>unique text of page {i} " + " ".join(f"w{i}x{k}" for k in range(20)) + "</p>" for i in range(5)]
+    assert texts(*pages) == [" ".join(p.split("<p>")[1].removesuffix("</p>").split()) for p in pages]
     # a mirror is no boilerplate
-    assert all(t for t, _ in html_extract.main_texts([pages[0]] * 5))
+    assert all(texts(*[pages[0]] * 5))
 
 
 def test_a_small_main_zone_leaves_the_open_story():
     menu = " ".join(f"menu{i}" for i in range(12))
     story = lambda i: " ".join(f"s{i}x{k}" for k in range(40))
     pages = [f"<div>{menu}</div><article>Teaser {i}</article><p>{story(i)}</p>" for i in range(4)]
-    assert [t.split() for t, _ in html_extract.main_texts(pages)] == [f"Teaser {i} {story(i)}".split() for i in range(4)]
+    assert [t.split() for t in texts(*pages)] == [f"Teaser {i} {story(i)}".split() for i in range(4)]
     # open text that is less than the article stays out
-    assert html_extract.main_texts([f"<p>Read on<article>{story(9)}</article>"])[0][0] == story(9)
+    assert texts(f"<p>Read on<article>{story(9)}</article>") == [story(9)]
+
+
+def notice_site(n, on):
+    """Articles with an unlabelled notice on the first ``on`` of n pages."""
+    notice = " ".join(f"notice{i}" for i in range(12))
+    story = lambda i: " ".join(f"s{i}x{k}" for k in range(30))
+    pages = [f"<article><h1>Introduction</h1>{f'<p>{notice}</p>' if i < on else ''}<p>{story(i)}</p></article>" for i in range(n)]
+    return pages, [f"Introduction\n\n{notice}\n\n{story(i)}" if i < on else f"Introduction\n\n{story(i)}" for i in range(n)], [f"Introduction\n\n{story(i)}" for i in range(n)]
+
+
+def test_articles_lose_what_stands_all_over_the_site():
+    for n, on in ((30, 30), (30, 15)):
+        pages, _, without = notice_site(n, on)
+        assert texts(*pages) == without
+    for n, on in ((30, 14), (11, 11)):  # a passage that some pages quote, a site too small to tell
+        pages, with_it, _ = notice_site(n, on)
+        assert texts(*pages) == with_it
 
 
-def test_coverage_by_brute_force():
+def test_site_wide_runs_do_not_depend_on_blocks(spark):
+    for on in (20, 19):
+        pages, with_it, without = notice_site(40, on)
+        docs = spark.createDataFrame([(i, f"http://a.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+        for size in (512, 7, 3):
+            got = {r["page_id"]: r["text"] for r in html_extract.extract(docs, block_pages=size).collect()}
+            assert got == dict(enumerate(without if on == 20 else with_it))
+
+
+def test_shuffled_runs_count_like_broadcast_ones(spark, monkeypatch):
+    pages, _, without = notice_site(40, 40)
+    docs = spark.createDataFrame([(i, f"http://a.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    monkeypatch.setattr(html_extract, "BROADCAST_RUNS", 0)
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(docs, block_pages=7).collect()} == dict(enumerate(without))
+
+
+def test_counts_by_brute_force():
     rng = np.random.default_rng(2)
-    streams = [rng.integers(0, 3, size=n).astype(np.uint64) for n in (60, 50, 0, 7, 40, 60, 3)]
-    got = html_extract.covered(streams)
+    words = "abc"
+    kinds = ["".join(rng.choice(["m", "o"], size=k)) for k in (3, 4, 1, 5, 2)]
+    pages = [html_extract.Page(z, "\n".join(" ".join(words[i] for i in rng.integers(0, 3, size=rng.integers(1, 25))) for _ in z)) for z in kinds]
+    pages += [pages[0], html_extract.Page("", "")]
+    lines = [(p.zones, [t.split() for t in p.texts]) for p in pages]
     n = html_extract.RUN
-    for s, mask in zip(streams, got, strict=True):
-        want = np.zeros(len(s), dtype=bool)
-        for i in range(len(s) - n + 1):
-            run = s[i : i + n].tobytes()
-            on = sum(any(t[j : j + n].tobytes() == run for j in range(len(t) - n + 1)) for t in streams)
-            if on >= html_extract.PAGES:
-                want[i : i + n] = True
-        assert (mask == want).all()
+
+    def holds(run, zones, blocks):
+        flat = [w for b in blocks for w in b]
+        if len(run) == n:
+            return any(flat[i : i + n] == run for i in range(len(flat) - n + 1))
+        return any(z == "o" and b == run for z, b in zip(zones, blocks, strict=True))
+
+    for p, (got_kinds, got_rows) in zip(pages, html_extract.tally(pages), strict=True):
+        flat = [w for t in p.texts for w in t.split()]
+        for start, length, k, r in zip(*p.runs[:2], got_kinds, got_rows, strict=True):
+            on = [j for j, x in enumerate(lines) if holds(flat[start : start + length], *x)]
+            assert (len({pages[j].key for j in on}), len(on)) == (k, r)
 
 
 def test_extract_odd_pages(odd_pages):
@@ -124,6 +186,6 @@ def test_runs_count_over_the_whole_host(spark):
     rows += [(i, "http://a.example/t", f"<p>{twice}</p><p>{story(min(i, 101))}</p>") for i in (100, 101, 102)]
     rows += [(200 + i, f"http://b{i}.example/", f"<p>{notice}</p><p>{story(200 + i)}</p>") for i in range(3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    want = {i: story(i) for i in range(48)} | {i: f"{twice}\n{story(min(i, 101))}" for i in (100, 101, 102)} | {200 + i: f"{notice}\n{story(200 + i)}" for i in range(3)}
+    want = {i: story(i) for i in range(48)} | {i: f"{twice}\n\n{story(min(i, 101))}" for i in (100, 101, 102)} | {200 + i: f"{notice}\n\n{story(200 + i)}" for i in range(3)}
     for size in (512, 4):
         assert {r["page_id"]: r["text"] for r in html_extract.extract(pages, block_pages=size).collect()} == want
