@@ -45,13 +45,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(table(spark, sf_dir, "documents")).drop("mix_shards", "mix_orders")
+    return mixing.taken(table(spark, sf_dir, "documents")).drop("mix_orders")
 
 
-def op10_mixing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the splitting tree puts each copy of a document; apart from op10_mixing, as SQL can't follow the tree's draws."""
-    return mixing.taken(table(spark, sf_dir, "documents")).select("doc_id", "taken", "mix_shards", "mix_orders")
-
-
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_fingerprints, op4_pii, op5_warc, op6_html_text, op7_jaccard_join, op8_quality, op9_decontamination, op10_mixing, op10_mixing_shards)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_fingerprints, op4_pii, op5_warc, op6_html_text, op7_jaccard_join, op8_quality, op9_decontamination, op10_mixing)}
 ORACLES: dict[str, str] = {"op1_sharding": sharding.ORACLE, "op4_pii": pii.ORACLE, "op5_warc": warc.ORACLE, "op6_html_text": html_extract.ORACLE, "op7_jaccard_join": jaccard.ORACLE, "op9_decontamination": decontam.ORACLE, "op10_mixing": mixing.ORACLE}

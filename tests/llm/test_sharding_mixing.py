@@ -8,7 +8,6 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from ledgermill.llm import mixing, sharding
-from ledgermill.llm.queries import QUERIES
 
 
 def test_shards_are_even_gapless_and_keep_copies_together(documents):
@@ -120,29 +119,80 @@ def test_mix_odd_rows(odd_docs, no_docs):
     assert mixing.taken(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
 
 
-def test_shards_query_by_brute_force(spark, sf, documents, tmp_path):
+def test_draws_follow_the_hypergeometric_law():
+    from math import comb
+
+    for good, bad, sample in ((7, 5, 6), (3, 40, 10), (40, 3, 41)):
+        law = [comb(good, k) * comb(bad, sample - k) / comb(good + bad, sample) for k in range(min(good, sample) + 1)]
+        for u in np.linspace(0, 0.999, 50):
+            want = next(k for k in range(len(law)) if sum(law[: k + 1]) > u + 1e-12 or k == len(law) - 1)
+            assert mixing.hypergeometric(good, bad, sample, u) == want
+
+
+def test_shards_by_brute_force(spark, sf, documents, tmp_path):
     plan = {r["source"]: r for r in mixing.plan(mixing.measured(documents.select("doc_id", "text", "source")).drop("text"), block_words=mixing.BLOCK_WORDS).collect()}
-    source = {r["doc_id"]: r["source"] for r in documents.select("doc_id", "source").collect()}
+    docs = {r["doc_id"]: r for r in documents.collect()}
     tree = mixing.split_tree([plan[s]["quota"] for s in sorted(plan)], mixing.OUT_SHARDS, mixing.SEED)
     for k, s in enumerate(sorted(plan)):
         p = plan[s]
         # every block of the quota is drawn once, and each shard draws as many as its leaf says
         drawn = [sum(e <= b * p["step"] % p["quota"] for e in p["leaves"]) for b in range(p["quota"])]
         assert Counter(drawn) == Counter({i: int(n) for i, n in enumerate(tree[k]) if n})
-    rows = QUERIES["op10_mixing_shards"](spark, sf).collect()
-    assert len(rows) == len(source)
+    rows = mixing.taken(documents).collect()
+    assert len(rows) == len(docs)
+    copies = Counter()
     for r in rows:
-        p = plan[source[r["doc_id"]]]
-        block = int(hashlib.md5(f"{mixing.SEED}:{r['doc_id']}".encode()).hexdigest()[:10], 16) % p["blocks"]
+        doc = docs[r["doc_id"]]
+        p = plan[doc["source"]]
+        key = f"{mixing.SEED}:{r['doc_id']}:{hashlib.md5(doc['text'].encode()).hexdigest()}"
+        block = int(hashlib.md5(key.encode()).hexdigest()[:10], 16) % p["blocks"]
         full = [sum(e <= (c * p["blocks"] + block) * p["step"] % p["quota"] for e in p["leaves"]) for c in range(p["passes"] + 1)]
-        assert list(r["mix_shards"]) == full[: len(r["mix_shards"])] and bool(r["mix_shards"]) == (r["taken"] > 0)
+        parts = [tuple(map(int, x.split(":"))) for x in r["shards"].split(",") if x]
+        assert [s for s, _ in parts] == full[: len(parts)] and sum(n for _, n in parts) == r["taken"]
+        copies.update((r["doc_id"], s, o) for (s, _), o in zip(parts, r["mix_orders"], strict=True))
     # the local shuffle: each shard's files hold its copies in their order
     mixing.write_mix(mixing.mix(documents, whole_documents=False), f"file://{tmp_path}/mix")
-    want = Counter((r["doc_id"], s, o) for r in rows for s, o in zip(r["mix_shards"], r["mix_orders"], strict=True))
     got = Counter()
     for folder in (tmp_path / "mix").glob("mix_shard=*"):
         (file,) = folder.glob("*.parquet")
         there = [(r["doc_id"], int(folder.name.split("=")[1]), r["mix_order"]) for r in pq.ParquetFile(file).read(["doc_id", "mix_order"]).to_pylist()]
         assert [o for *_, o in there] == sorted(o for *_, o in there)
         got.update(there)
-    assert got == want
+    assert got == copies
+
+
+def taken_by_source(rows):
+    got, want = Counter(), {}
+    for r in rows:
+        got[r["source_size"]] += r["taken"]
+        want[r["source_size"]] = r["target"]
+        assert r["taken"] == sum(int(x.split(":")[1]) for x in r["shards"].split(",") if x) and r["taken"] <= 2 * r["size"]
+    return got, want
+
+
+def test_ties_at_the_cut_meet_the_target(spark):
+    def make(key, value):
+        ties = [(key, value, "a", i % 3) for i in range(1000)] + [(None, value + " more", "a", 1) for _ in range(1000)]
+        return [*ties, *((k, " ".join(["w"] * (k % 9)), "b", 2) for k in range(4000, 4200)), *((None, f"own text {k}", None, 0) for k in range(300))]
+
+    for key in (7, None):
+        docs = spark.createDataFrame(make(key, "ten words of the same text that all rows share"), "doc_id long, text string, source string, other int")
+        got, want = taken_by_source(mixing.taken(docs).collect())
+        assert all(abs(got[s] - want[s]) <= 1 for s in want)
+        again, _ = taken_by_source(mixing.taken(docs).collect())
+        assert again == got
+        whole = Counter()
+        for r in mixing.mix(docs).collect():
+            whole[r["source"]] += len(r["text"].split())
+        sizes = {"a": 21_000, "b": sum(k % 9 for k in range(4000, 4200)), None: 900}
+        assert all(abs(whole[s] - want[n]) <= 12 for s, n in sizes.items())
+        parts = Counter()
+        for r in mixing.mix(docs, whole_documents=False).collect():
+            parts[r["source"]] += len(r["text"].split())
+        assert all(abs(parts[s] - want[n]) <= 1 for s, n in sizes.items())
+
+
+def test_many_sources_are_joined_by_a_shuffle(documents, monkeypatch):
+    rows = sorted(map(tuple, mixing.taken(documents).drop("mix_orders").collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.taken(documents).drop("mix_orders").collect())) == rows
