@@ -12,6 +12,10 @@ from ledgermill.llm import decontam, jaccard, mixing, quality, sharding
 from ledgermill.llm.common import id_remainder, stash, table
 
 
+#: Tasks that an output shard of the mix is cut into.
+LANES = 64
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line chain rejects go; fold 2 of 4 stays unseen in training, as in op8."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), id_remainder("doc_id", 4) != 2)
@@ -29,8 +33,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by source, in whole documents: a document comes as often as it is drawn."""
-    return mixing.mix(docs).select(*docs.columns)
+    """The mix by source, in whole documents: a document comes as often as it is drawn.
+
+    The table's rows lie by output shard and shuffled inside it; its columns are those of ``documents``.
+    """
+    return mixing.in_order(mixing.mix(docs), LANES).select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
