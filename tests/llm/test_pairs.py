@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 from ledgermill.llm import decontam, jaccard
@@ -139,19 +140,25 @@ def test_a_long_passage_is_a_leak_however_long_the_item():
     assert said(12) == []
 
 
+def plain_tokens(text):
+    """Values of the tokens as their definition reads: runs of word characters, digits joined by a point or comma are one."""
+    return [m[0].lower().replace(",", ".") for m in re.finditer(r"[0-9][A-Za-z0-9\x80-\U0010ffff]*(?:[.,][0-9][A-Za-z0-9\x80-\U0010ffff]*)*|[A-Za-z0-9\x80-\U0010ffff]+", text or "")]
+
+
 def windows_by_brute_force(docs, items, n=8):
-    """Documents that hold at least half of an item's words in runs of n equal words."""
+    """Documents that hold at least half of an item's words, or 13 in a row, in runs of n equal words."""
     out = set()
     for d, t in docs:
-        w = decontam.canonical(t)[1].tolist()
+        w = plain_tokens(t)
         runs = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
         for k, text in items:
-            v = decontam.canonical(text)[1].tolist()
-            held = set()
+            v = plain_tokens(text)
+            held = [False] * len(v)
             for i in range(len(v) - n + 1):
                 if tuple(v[i : i + n]) in runs:
-                    held |= set(range(i, i + n))
-            if len(held) >= 0.55 * len(v):
+                    held[i : i + n] = [True] * n
+            longest = max(map(len, "".join("x" if h else " " for h in held).split()), default=0)
+            if sum(held) >= 0.5 * len(v) or longest >= 13:
                 out.add((d, k))
     return out
 
@@ -166,12 +173,39 @@ def test_verbatim_leaks_are_found(spark, sf):
     assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()} - {d for d, _ in got}
 
 
-def test_benchmark_in_parts(spark, monkeypatch):
-    d = "/root/testdata/sf0.001"
+def test_short_items_are_sentences_of_their_own(spark):
+    index = decontam.Index([(1, "name the capital now"), (2, "who is the king of Spain"), (3, "42")])
+    said = lambda text: [h[0] for h in index.hits(text)]
+    assert said("Before it. Name the capital now! And after") == [1] and said("name the capital now") == [1]
+    assert said("please name the capital now") == [] and said("Name the capital now please.") == []
+    assert said("They ask who is the king of Spain today") == [2]
+    assert said("It is 42 now") == [] and said("The answer: 42.") == [3]
+
+
+def test_windows_of_placeholders_meet_verbatim_and_beside_others():
+    item = "Add 3 4 5 6 7 8 9 10 11 12 13 and tell the whole sum of them"
+    index = decontam.Index([(1, item)])
+    n = len(decontam.canonical(item)[0])
+    assert index.hits("So: " + item) == [(1, n, n, 0)]
+    other = "Add 30 40 50 60 70 80 90 100 110 120 130 and tell the whole sum of them"
+    assert index.hits("So: " + other) == [(1, n, n, 11)]
+    numbers = " ".join(str(k) for k in range(100, 116))
+    assert [h[0] for h in decontam.Index([(2, numbers)]).hits(f"table {numbers} end")] == [2]
+    assert decontam.Index([(2, numbers)]).hits("table " + " ".join(str(k) for k in range(300, 330))) == []
+
+
+def test_large_benchmarks_are_joined_by_a_shuffle(spark, monkeypatch):
+    d = "/root/testdata/sf0.01"
     docs, bench = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
-    whole = {tuple(r) for r in decontam.find(docs, bench).collect()}
-    monkeypatch.setattr(decontam, "PART_BYTES", 3000)
-    assert {tuple(r) for r in decontam.find(docs, bench).collect()} == whole
+    more = spark.createDataFrame([(-1, ITEM), (None, "name the capital now"), (-3, ITEM), (-4, None), (-5, "")], "item_id long, text string")
+    leaks = spark.createDataFrame([(None, ITEM.replace("Maria", "Olga")), (-8, "So: name the capital now."), (-8, "So: name the capital now."), (-9, None)], "doc_id long, text string")
+    docs, bench = docs.select("doc_id", "text").union(leaks), bench.select("item_id", "text").union(more)
+    found = sorted(map(str, decontam.find(docs, bench).collect()))
+    kept = sorted(map(str, decontam.clean(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "PART_BYTES", 0)
+    assert sorted(map(str, decontam.find(docs, bench).collect())) == found and len(found) > 8
+    assert sorted(map(str, decontam.clean(docs, bench).collect())) == kept
+    assert decontam.find(docs.limit(0), bench).count() == 0
 
 
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
