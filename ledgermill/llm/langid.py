@@ -1,9 +1,11 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-A text is lower-cased, every run of non-letters becomes one space, and its n-grams of 1 to ``ORDERS`` characters are
-hashed into ``BUCKETS`` features.  Training adds up counts per (language, feature) on the executors; the matrix of
-log-probabilities (features x languages, 4 bytes each) is broadcast and its size is fixed by ``BUCKETS`` and the number of
-languages.  Scoring gathers a row of the matrix per n-gram and adds them up, over whole texts, in pieces of bounded size.
+A text is lower-cased, every run of characters that are neither letters nor marks becomes one space, and its n-grams of 1 to
+``ORDERS`` characters are hashed into ``BUCKETS`` features.  Training adds up counts per (language, feature) on the
+executors; the matrix of log-probabilities (features x languages, 4 bytes each) is broadcast and its size is fixed by
+``BUCKETS`` and the number of languages.  Scoring takes a batch of texts as a sparse matrix, rows of feature numbers end to
+end, and multiplies it by that matrix: one gather, one sum per row.  Long texts are rows of at most ``PIECE`` characters
+that share no n-gram, and their sums are added.
 
 The model is fitted on a bounded sample: at most about ``SAMPLE`` documents a language, chosen by a hash of the id.  That
 bound is the only one; every text is scored in full.
@@ -18,6 +20,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
@@ -31,30 +34,33 @@ ORDERS = 4
 BUCKETS = 1 << 16
 SAMPLE = 4_000
 SMOOTHING = 0.5
-PIECE = 1 << 18
+PIECE = 1 << 17
 UND = "und"
 _MUL = (seeds(ORDERS, 71) >> np.uint64(33)).astype(np.uint32) | np.uint32(1)
 
 
 @lru_cache(1)
-def _fold() -> np.ndarray:
-    """Code point to its lower-case letter, 0 for what is no letter."""
-    out = np.zeros(sys.maxunicode + 1, dtype=np.uint32)
-    for k in range(sys.maxunicode + 1):
+def _fold() -> tuple[np.ndarray, np.ndarray]:
+    """Code point to its lower-case letter or mark, 0 for anything else; and which are letters.  Planes past 3 hold few of either."""
+    fold, letter = np.zeros(sys.maxunicode + 1, dtype=np.uint32), np.zeros(sys.maxunicode + 1, dtype=bool)
+    for k in (*range(0x33480), *range(0xE0100, 0xE01F0)):
         c = chr(k)
-        if c.isalpha():
+        if (kind := category(c)[0]) in "LM":
             low = c.lower()
-            out[k] = ord(low) if len(low) == 1 else k
-    return out
+            fold[k] = ord(low) if len(low) == 1 else k
+            letter[k] = kind == "L"
+    return fold, letter
 
 
 def letters(text: str) -> np.ndarray:
-    """Lower-cased code points with one 0 for each run of non-letters and one at either end; empty without letters."""
+    """Lower-cased code points with one 0 for each run of others and one at either end; empty without letters."""
+    fold, letter = _fold()
     out, had = [], False
     for lo in range(0, len(text), PIECE):
-        cps = _fold()[np.frombuffer(text[lo : lo + PIECE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        raw = np.frombuffer(text[lo : lo + PIECE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        cps = fold[raw]
+        had = had or bool(letter[raw].any())
         keep = cps != 0
-        had = had or bool(keep.any())
         keep[1:] |= keep[:-1] & (cps[1:] == 0)
         if lo == 0 or (out and len(out[-1]) and out[-1][-1] != 0):
             keep[:1] = True
@@ -77,24 +83,49 @@ def features(cps: np.ndarray) -> Iterator[np.ndarray]:
         yield (mixed >> np.uint32(16)) & np.uint32(BUCKETS - 1)
 
 
-def spans(cps: np.ndarray) -> Iterator[np.ndarray]:
-    """cps in overlapping windows, so that every n-gram of order ORDERS lies in one; shorter ones at a seam count twice."""
-    step = PIECE
-    for lo in range(0, len(cps), step):
-        yield cps[lo : lo + step + ORDERS - 1]
+def rows_of(texts: Iterator[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Sparse rows of about PIECE code points together: which text each row is of, the rows' starts, and features by order.
+
+    The features are an array of orders x code points, BUCKETS where no n-gram of a row begins.
+    """
+    held: list[tuple[int, np.ndarray, int]] = []
+    size = 0
+
+    def done() -> tuple[list[int], np.ndarray, np.ndarray]:
+        flat = np.concatenate([part for _, part, _ in held])
+        sizes = np.array([len(part) for _, part, _ in held])
+        starts = np.cumsum(sizes) - sizes
+        row = np.repeat(np.arange(len(held)), sizes)
+        inside = np.arange(len(flat)) - starts[row] < np.array([n for *_, n in held])[row]
+        out = np.full((ORDERS, len(flat)), BUCKETS, dtype=np.uint32)
+        for n, f in enumerate(features(flat)):
+            good = inside[: len(f)] & (row[: len(f)] == row[n:])
+            out[n, : len(f)][good] = f[good]
+        return [k for k, *_ in held], starts, out
+
+    for k, text in enumerate(texts):
+        cps = letters(text or "")
+        for lo in range(0, len(cps), PIECE):
+            # An n-gram is in the piece that it begins in; the next piece's first characters are there to end it.
+            held.append((k, cps[lo : lo + PIECE + ORDERS - 1], PIECE))
+            size += len(held[-1][1])
+            if size >= PIECE:
+                yield done()
+                held, size = [], 0
+    if held:
+        yield done()
 
 
 def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per language the counts of its features, once a task."""
     total: dict[str, np.ndarray] = {}
     for pdf in batches:
-        for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-            got = total.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-            for part in spans(letters(text)):
-                for f in features(part):
-                    got += np.bincount(f, minlength=BUCKETS)
+        for lang, some in pdf.groupby("lang")["text"]:
+            got = total.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))
+            for _, _, found in rows_of(some):
+                got += np.bincount(found.reshape(-1), minlength=BUCKETS + 1)
     for lang, got in total.items():
-        at = np.flatnonzero(got)
+        at = np.flatnonzero(got[:BUCKETS])
         yield pd.DataFrame({"lang": lang, "feature": at.astype(np.int32), "n": got[at]})
 
 
@@ -112,17 +143,23 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     return langs, np.log(table / table.sum(axis=0)).astype(np.float32) if langs else table.astype(np.float32)
 
 
-def score(text: str | None, langs: list[str], table: np.ndarray) -> tuple[str, float]:
-    """The likeliest language and its posterior; priors are even."""
-    cps = letters(text or "")
-    if not len(cps) or not langs:
-        return UND, 0.0
-    total = np.zeros(len(langs))
-    for part in spans(cps):
-        for f in features(part):
-            total += np.take(table, f, axis=0).sum(axis=0, dtype=np.float64)
-    best = int(total.argmax())
-    return langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
+def scores(texts: list[str | None], langs: list[str], table: np.ndarray) -> list[tuple[str, float]]:
+    """The likeliest language of each text and its posterior; priors are even."""
+    out = [(UND, 0.0)] * len(texts)
+    if not langs:
+        return out
+    padded = np.concatenate((table, np.zeros((1, len(langs)), dtype=table.dtype)))
+    total = np.zeros((len(texts), len(langs)))
+    seen = set()
+    for which, starts, found in rows_of(texts):
+        for f in found:
+            np.add.at(total, which, np.add.reduceat(np.take(padded, f, axis=0), starts, axis=0, dtype=np.float64))
+        seen.update(which)
+    best = total.argmax(axis=1)
+    sure = 1 / np.exp(np.clip(total - total.max(axis=1, keepdims=True), -700, 0)).sum(axis=1)
+    for k in seen:
+        out[k] = langs[best[k]], float(sure[k])
+    return out
 
 
 def identify(docs: DataFrame, train_on: Column, id_col: str = "doc_id") -> DataFrame:
@@ -135,7 +172,7 @@ def identify(docs: DataFrame, train_on: Column, id_col: str = "doc_id") -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         langs, table = model.value
         for pdf in batches:
-            got = [score(t, langs, table) for t in pdf["text"]]
+            got = scores(list(pdf["text"]), langs, table)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [x for x, _ in got], "score": [s for _, s in got]})
 
     return base.mapInPandas(run, "doc_id string, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))

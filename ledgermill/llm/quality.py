@@ -7,10 +7,12 @@ quality.  A monotone calibration, also fitted on the training rows, puts the bes
 
 Labels are per document, lines are not labelled.  Training treats that as a latent chain: all lines of a good document
 are good; the lines of a bad document are relabelled by the model itself for a few rounds, and at least the worst half of
-the document's length stays bad.  Weights are found by gradient ascent on the exact chain likelihood.
+the document's length stays bad.  Emission and transition weights are found together, by gradient ascent on the exact
+likelihood of the labelled chains until the gradient is small (``CLOSE``) or ``STEPS`` are done.
 
-The fit uses a bounded sample: about ``SAMPLE`` labelled documents of each label, by a hash of the id; executors send the
-driver their lines' features, not their texts.  Every text, of the sample or not, is taken with all its lines.
+The fit uses a bounded sample: about ``SAMPLE`` labelled documents of each label, by a hash of the id, of at most
+``SAMPLE_LINES`` lines each; executors send the driver their lines' features, not their texts.  Every text is scored with
+all its lines, and a line is one element of the chain however long it is.
 
 Defined cases: a null text is empty; an empty text is one empty line and gets the score that this line gets; without
 labelled rows, or with one label only, the score is the share of that label (0.5 without any); null ids count as an empty
@@ -30,9 +32,8 @@ from ledgermill.llm.common import id_remainder
 
 CUT = 0.7
 SAMPLE = 1_000
-ROUNDS, STEPS, RATE, RIDGE = 3, 150, 0.1, 1e-3
-#: Lines longer than this are measured in pieces that are chain elements of their own.
-LINE_CHARS = 4_000
+SAMPLE_LINES = 256
+ROUNDS, STEPS, RATE, RIDGE, CLOSE = 3, 300, 0.1, 1e-3, 2e-4
 ODD = str.maketrans("", "", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,;:!?'\"()-\t_")
 N_OWN = 10
 
@@ -63,12 +64,8 @@ def shape(line: str) -> tuple[float, ...]:
 
 def lines_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Own features and lengths of the lines that hold anything (of one empty line, if none does)."""
-    parts: list[str] = []
-    for line in (text or "").split("\n"):
-        if line.strip():
-            parts += [line] if len(line) <= LINE_CHARS else [line[i : i + LINE_CHARS] for i in range(0, len(line), LINE_CHARS)]
-    parts = parts or [""]
-    return np.array([shape(p) for p in parts]), np.array([len(p) + 1.0 for p in parts])
+    lines = [line for line in (text or "").split("\n") if line.strip()] or [""]
+    return np.array([shape(x) for x in lines]), np.array([len(x) + 1.0 for x in lines])
 
 
 def with_neighbours(own: np.ndarray) -> np.ndarray:
@@ -120,6 +117,46 @@ def marginals(emit: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.array(out), pairs
 
 
+class Chains:
+    """Chains of several documents, by descending length, so that each step of a pass is one operation on all that go on."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.order = np.argsort(-lengths, kind="stable")
+        self.starts = (np.cumsum(lengths) - lengths)[self.order]
+        by_length = lengths[self.order]
+        self.active = [int(np.searchsorted(-by_length, -t, side="left")) for t in range(int(lengths.max()))]
+
+    def marginals(self, emit: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(line good) of every line, and per document (in the order given) its summed pair marginals, as ``marginals`` has them."""
+        e = np.exp(np.clip(trans, -30, 30))
+        good = 1 / (1 + np.exp(-np.clip(emit, -60, 60)))
+        own = np.stack((1 - good, good), axis=1)
+        forward = np.empty_like(own)
+        a = own[self.starts]
+        forward[self.starts] = a
+        for t, k in enumerate(self.active[1:], 1):
+            at = self.starts[:k] + t
+            a = (forward[at - 1] @ e) * own[at]
+            forward[at] = a / a.sum(axis=1, keepdims=True)
+        out = np.empty(len(emit))
+        pairs = np.zeros((len(self.starts), 2, 2))
+        after = np.ones((len(self.starts), 2))
+        for t in range(len(self.active) - 1, -1, -1):
+            k = self.active[t]
+            at = self.starts[:k] + t
+            x = forward[at] * after[:k]
+            out[at] = x[:, 1] / x.sum(axis=1)
+            if t:
+                u = own[at] * after[:k]
+                m = forward[at - 1][:, :, None] * e * u[:, None, :]
+                pairs[:k] += m / m.sum(axis=(1, 2), keepdims=True)
+                c = u @ e.T
+                after[:k] = c / c.sum(axis=1, keepdims=True)
+        back = np.empty_like(pairs)
+        back[self.order] = pairs
+        return out, back
+
+
 class Model:
     """Weights of a fitted chain, and the raw quality at which a document counts as good."""
 
@@ -160,39 +197,35 @@ def fit(docs: list[tuple[tuple[np.ndarray, np.ndarray], int]]) -> Model:
     at = np.cumsum([0, *map(len, x)])
     size = np.concatenate([s for _, s in feats])
     of_doc = np.repeat(np.arange(len(docs)), np.diff(at))
-    share = size / np.bincount(of_doc, size)[of_doc]
     balance = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
     y = labels[of_doc].astype(float)
-    w = np.zeros(every.shape[1])
-    trans = np.zeros((2, 2))
+    lengths = np.diff(at)
+    chains = Chains(lengths)
+    # A document weighs by its label's share, a line of it by its part of the document.
+    line_weight = (balance / lengths)[of_doc]
+    pair_weight = balance / np.maximum(1, lengths - 1)
+    inner = np.flatnonzero(of_doc[1:] == of_doc[:-1])
+    k = every.shape[1]
+    theta = np.zeros(k + 4)
     for _ in range(ROUNDS):
-        # Emissions: weighted logistic ascent (Adam) on the current line labels; a line weighs by its share of the document.
-        line_weight = share * balance[of_doc]
-        m, v = np.zeros_like(w), np.zeros_like(w)
+        seen = np.zeros((2, 2))
+        path = y.astype(int)
+        np.add.at(seen, (path[inner], path[inner + 1]), pair_weight[of_doc[inner]])
+        m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, STEPS + 1):
-            p = 1 / (1 + np.exp(-np.clip(every @ w, -60, 60)))
-            g = every.T @ (line_weight * (y - p)) - RIDGE * w
+            # Observed less expected counts, and Adam's step along them.
+            p, pairs = chains.marginals(every @ theta[:k], theta[k:].reshape(2, 2))
+            g = np.concatenate((every.T @ (line_weight * (y - p)), (seen - np.tensordot(pair_weight, pairs, 1)).reshape(-1))) - RIDGE * theta
+            if np.abs(g).max() < CLOSE:
+                break
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        # Chain: exact gradient of the log-likelihood of the labelled chains, observed minus expected counts.
-        for _ in range(6):
-            emit = every @ w
-            g_trans, g_w = np.zeros((2, 2)), np.zeros_like(w)
-            for d in range(len(docs)):
-                lo, hi = at[d], at[d + 1]
-                p, pairs = marginals(emit[lo:hi], trans)
-                seen = np.zeros((2, 2))
-                path = y[lo:hi].astype(int)
-                np.add.at(seen, (path[:-1], path[1:]), 1)
-                g_trans += balance[d] * (seen - pairs) / max(1, hi - lo - 1)
-                g_w += balance[d] / (hi - lo) * ((y[lo:hi] - p) @ every[lo:hi])
-            trans += 2.0 * (g_trans - RIDGE * trans)
-            w = w + 2.0 * (g_w - RIDGE * w)
+            theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         # Lines of bad documents get their labels anew.
-        emit = every @ w
+        p, _ = chains.marginals(every @ theta[:k], theta[k:].reshape(2, 2))
         for d in np.flatnonzero(labels == 0):
             lo, hi = at[d], at[d + 1]
-            y[lo:hi] = worst_half(marginals(emit[lo:hi], trans)[0], size[lo:hi])
+            y[lo:hi] = worst_half(p[lo:hi], size[lo:hi])
+    w, trans = theta[:k], theta[k:].reshape(2, 2)
     model = Model(w, trans, 0.5)
     raw = np.array([model.raw(own, s) for own, s in feats])
     return Model(w, trans, best_cut(raw, labels))
@@ -218,8 +251,9 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, sample: int = SA
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [lines_of(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "own": [own.reshape(-1) for own, _ in got], "size": [size for _, size in got]})
+            few = pdf[[(t or "").count("\n") < SAMPLE_LINES for t in pdf["text"]]]
+            got = [lines_of(t) for t in few["text"]]
+            yield pd.DataFrame({"doc_id": few["doc_id"], "quality": few["quality"], "own": [own.reshape(-1) for own, _ in got], "size": [size for _, size in got]})
 
     # The sample is bounded, and so is what is broadcast of it.
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInPandas(measure, "doc_id long, quality int, own array<double>, size array<double>").collect()
