@@ -2,7 +2,8 @@
 
 Every kind has one pattern, written so that the leftmost match of the plain form is found without rescanning: a match may
 only begin where a run of its leading characters begins or where the previous match ended (``\\G``), and repeats are
-possessive.  That keeps the matcher linear on very long texts and its stack flat; the spans are the same.
+possessive.  Besides the contract's four kinds there are bank accounts (mod-97), access keys and assigned passwords (their
+values must look random) and national identity numbers (check letter, or the ranges that are given out).  That keeps the matcher linear on very long texts and its stack flat; the spans are the same.
 
 Offsets come from cutting the text at the matches: start = characters before it.  Everything is a SQL expression over
 the document's own row, so there is no shuffle and no skew.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Kinds in the order of the contract; those after the fourth are added by this operator.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban")
+KINDS = (*BASE_KINDS, "iban", "secret", "national")
 #: Length of an IBAN by country.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN", 21: "CH HR LI LV",
@@ -28,6 +29,15 @@ IBAN_LENGTHS = {
 }
 _KNOWN = "(?:" + "|".join(" ".join(IBAN_LENGTHS.values()).split()) + ")[0-9]{2}"
 _BY_LENGTH = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+#: How well-known access keys begin and how long they are; names that a secret is assigned to; the check letters
+#: of Spanish identity numbers, by the number modulo 23.
+KEY_FORMS = r"A[KS]IA[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24}|AIza[A-Za-z0-9_-]{35}|xox[abp]-[A-Za-z0-9-]{20,80}"
+SECRET_NAMES = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key"
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+#: A secret's value: at least this many characters, and as many different ones.
+_VALUE, SECRET_KINDS = r"[A-Za-z0-9+/_~-]{11,}[A-Za-z0-9]", 8
+_SECRET = rf"(?:{KEY_FORMS}|(?i:{SECRET_NAMES})\x20?[:=]\x20?[\x22\x27]?{_VALUE})"
+_NATIONAL = r"(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{8}-?[A-Z])"
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -36,9 +46,13 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     # A known country's IBAN ends at its length; another's runs on, but not into the start of a known one.
     "iban": rf"(?<![A-Za-z0-9])(?:{_BY_LENGTH}|(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]|\x20(?!{_KNOWN})[A-Z0-9]){{11,30}})(?![A-Za-z0-9])",
+    # An access key of a known form, or the assignment of a value to a secret's name.
+    "secret": rf"(?<![A-Za-z0-9_]){_SECRET}(?![A-Za-z0-9_])",
+    # A US social security number, or a Spanish identity number.
+    "national": rf"(?<![A-Za-z0-9_]){_NATIONAL}(?![A-Za-z0-9_])",
 }
 #: Cheap tests that a text must pass before a pattern is run.
-NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}"}
+NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "secret": r"[:=]|A[KS]IA|gh[opsu]_|sk_live_|AIza|xox[abp]-", "national": r"[0-9]{2}-[0-9]{4}|[0-9]{8}-?[A-Z]"}
 #: Words near a span that raise its score, by kind.
 CONTEXT = {
     "email": r"e-?mail|contact|correo|courriel|write to",
@@ -46,8 +60,10 @@ CONTEXT = {
     "card": r"card|visa|master|amex|credit|karte|carte|tarjeta|payment",
     "phone": r"phone|tel|call|mobile|fax|anruf|appel|llama",
     "iban": r"iban|account|bank|konto|compte|cuenta",
+    "secret": r"login|credential|secret|private|auth|aws|config|passwort|contrase",
+    "national": r"ssn|social security|dni|identity|identidad|passport",
 }
-BASE_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.85}
+BASE_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.85, "secret": 0.7, "national": 0.5}
 CONTEXT_BONUS = 0.15
 CONTEXT_CHARS = 40
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
@@ -91,6 +107,13 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.length(F.regexp_replace(match, r"[^0-9]", "")).between(10, 15)
     if kind == "iban":
         return mod97(F.regexp_replace(match, r"\x20", ""))
+    if kind == "secret":
+        value = F.regexp_extract(match, _VALUE, 0)
+        return (F.size(F.array_distinct(F.split(value, ""))) >= SECRET_KINDS) & (match.rlike(rf"^(?:{KEY_FORMS})$") | (value.rlike("[0-9]") & value.rlike("[A-Za-z]")))
+    if kind == "national":
+        digits = F.substring(match, 1, 8).cast("int")
+        social = ~match.rlike("^(?:000|666|9)|-00-|-0000$")
+        return F.when(match.rlike("^[0-9]{8}"), F.right(match, F.lit(1)) == F.substring(F.lit(DNI_LETTERS), digits % 23 + 1, F.lit(1))).otherwise(social)
     return F.lit(True)
 
 
@@ -159,6 +182,7 @@ def digest(docs: DataFrame) -> DataFrame:
         F.sha2(written(base), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
         F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
@@ -169,6 +193,8 @@ _PLAIN = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+    "secret": rf"\b{_SECRET}\b",
+    "national": rf"\b{_NATIONAL}\b",
 }
 _CHECKS = {
     "email": "true",
@@ -176,6 +202,8 @@ _CHECKS = {
     "card": "length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda k: CASE WHEN (length(d) - k) % 2 = 1 THEN CAST(d[k] AS INT) * 2 - CASE WHEN d[k] >= '5' THEN 9 ELSE 0 END ELSE CAST(d[k] AS INT) END)) % 10 = 0",
     "phone": "length(d) BETWEEN 10 AND 15",
     "iban": "list_reduce(list_prepend(0, list_transform(string_split(array_to_string(list_transform(string_split(replace(v, ' ', '')[5:] || replace(v, ' ', '')[1:4], ''), lambda c: CASE WHEN c >= 'A' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), ''), ''), lambda c: CAST(c AS INT))), lambda a, c: (a * 10 + c) % 97) = 1",
+    "secret": f"len(list_distinct(string_split(regexp_extract(v, '{_VALUE}'), ''))) >= {SECRET_KINDS} AND (regexp_full_match(v, '{KEY_FORMS}') OR (regexp_matches(regexp_extract(v, '{_VALUE}'), '[0-9]') AND regexp_matches(regexp_extract(v, '{_VALUE}'), '[A-Za-z]')))",
+    "national": f"CASE WHEN regexp_matches(v, '^[0-9]{{8}}') THEN right(v, 1) = '{DNI_LETTERS}'[CAST(v[1:8] AS INT) % 23 + 1] ELSE NOT regexp_matches(v, '^(000|666|9)|-00-|-0000$') END",
 }
 
 
@@ -191,7 +219,7 @@ u AS (SELECT doc_id, kind, rank, f[i] AS v, coalesce(list_sum(list_transform(s[1
 c AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM u),
 ok AS (SELECT doc_id, kind, rank, start, kind || ':' || start || ':' || (start + length(v)) AS span, printf('%.2f', {score}) AS score FROM c WHERE {checks}),
 g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)}, string_agg(span, ',' ORDER BY start, rank) FILTER (kind IN ({base})) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans, string_agg(score, ',' ORDER BY start, rank) AS scores FROM ok GROUP BY doc_id)
-SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM t LEFT JOIN g USING (doc_id)"""
+SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores, ({' + '.join(f'coalesce(n_{k}, 0)' for k in KINDS)})::BIGINT AS n_spans FROM t LEFT JOIN g USING (doc_id)"""
 
 
 ORACLE = _oracle()
