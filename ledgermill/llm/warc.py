@@ -5,8 +5,8 @@ becomes one file through Spark's text sink, so archives land wherever Spark can
 count.  The sink ends a file with its line separator, which is set to one more gzip member: a fixed metadata record that
 marks the archive's end.  The digest of a payload decides which page holds it: the one with the largest id keeps the
 payload as a response, the others become revisit records that refer to it.  Only (digest, id) pairs are grouped, with
-partial aggregation, and the join back builds on the side with one row a digest, so a payload that a third of all pages
-share is no hot group.
+partial aggregation.  Digests of more than a ``HOT_PART`` of all pages, so fewer than that many, are looked up in the page's
+own task; the others, none of them large, join by a shuffle on their digest.  So a payload that a third of all pages share is no hot group.
 
 Reading: files come as binary rows.  A member is decompressed incrementally, a record is framed by its headers' blank
 line and Content-Length, block and payload digests are verified.
@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermill.llm.common import new_path
+from ledgermill.llm.common import new_path, stash
 
 CHUNK = 8 << 20
 SLICE = 1 << 16
 DATE = "1970-01-01T00:00:00Z"
 LEVEL = 4
+#: A digest is hot if more than one page in so many has it.
+HOT_PART = 2_000
 SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, verified boolean"
 
 
@@ -86,11 +88,19 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def write(pages: DataFrame, path: str) -> None:
+def write(pages: DataFrame, path: str, hot_part: int = HOT_PART) -> None:
     """Archive pages (page_id, url, html) under ``path``, equal payloads once."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
-    holders = base.groupBy("digest").agg(F.max("page_id").alias("holder"))
-    joined = base.join(holders.hint("shuffle_hash"), "digest").select("page_id", "url", "payload", "holder")
+    counts = stash(base.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("pages")), "holders")
+    hot = counts.where(F.col("pages") > counts.agg(F.sum("pages")).first()[0] / hot_part) if not counts.isEmpty() else counts
+    marked = base.join(F.broadcast(hot.select("digest", F.col("holder").alias("hot_holder"), F.lit(True).alias("hot"))), "digest", "left")
+    # A page with a hot digest knows its holder; its key meets nothing and only deals it evenly.
+    key = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.xxhash64("page_id", "url").cast("string"))
+    joined = (
+        marked.withColumn("key", key)
+        .join(counts.select(F.col("digest").alias("key"), "holder").hint("shuffle_hash"), "key", "left")
+        .select("page_id", "url", "payload", F.coalesce("hot_holder", "holder").alias("holder"))
+    )
     made = joined.mapInArrow(chunks, "value binary").select(F.col("value").cast("string").alias("value"))
     made.write.option("lineSep", END.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 

@@ -35,6 +35,18 @@ def test_warc_round_trip(spark, odd_pages, tmp_path):
             assert r["payload"] == (raw if r["record_type"] == "response" else None)
 
 
+def test_warc_hot_payload(spark, tmp_path):
+    pages = spark.range(900).selectExpr("id as page_id", "concat('http://h/', id) as url", "if(id % 3 = 0, '<p>everywhere</p>', concat('<p>', id % 250, '</p>')) as html")
+    path = f"file://{tmp_path}/w"
+    warc.write(pages, path, hot_part=10)
+    got = {r["page_id"]: r for r in warc.read(spark, path).collect()}
+    largest = {r["html"]: r["page_id"] for r in pages.orderBy("page_id").collect()}
+    assert len(got) == 900
+    for p in pages.collect():
+        top = largest[p["html"]]
+        assert (got[p["page_id"]]["record_type"], got[p["page_id"]]["refers_to"]) == (("response", None) if top == p["page_id"] else ("revisit", top))
+
+
 def test_archive_is_plain_gzip(spark, odd_pages, tmp_path):
     path = f"{tmp_path}/w"
     warc.write(odd_pages.where("page_id = 5"), f"file://{path}")
