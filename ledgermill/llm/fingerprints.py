@@ -5,13 +5,14 @@ pass a stricter test than above it, and no chunk is shorter than ``MIN`` or long
 the chunks around it, so the set of chunk digests, weighted by chunk length, measures how much of a text another one
 contains.
 
-To compare each document with the next one by descending id, rows are dealt by id range.  The first document of each
-range is sent to the range before it as well (one extra row a range), so every neighbour is met inside one partition and
-each text is shuffled once.  Range bounds come from approximate quantiles; they decide only the balance.
+To compare each document with the next one by descending id, rows are dealt by id range; an id that fills whole ranges, and
+the rows without one, are parted by the hash of the text.  The first document of each range is sent to the range before it as
+well (one extra row a range), so every neighbour is met inside one partition and each text is shuffled once.  Range bounds
+come from approximate quantiles; they decide only the balance.
 
 Defined cases: a null text is empty, its fingerprint is the empty string, and two empty fingerprints are alike (1.0), an
-empty and another are not (0.0); null ids come after all others; rows with equal ids are ordered by text; a single
-document is its own next one; an empty table gives an empty result; other columns are ignored.
+empty and another are not (0.0); null ids come after all others; rows with equal ids are ordered by a hash of the text
+(rows repeated in full stay in one range); a single document is its own next one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,8 @@ MIN, NORMAL, MAX = 24, 48, 192
 #: Boundaries need 6 or 4 zero bits at the top of the hash.
 STRICT, LOOSE = np.uint32(32 - 6), np.uint32(32 - 4)
 GEAR = (seeds(256, 5) >> np.uint64(32)).astype(np.uint32)
-RANGE_BYTES, MAX_RANGES = 4 << 20, 20_000
+#: A task's share of the text; beyond MAX_RANGES times that it grows, so that the bounds (one row a range on the driver) don't.
+RANGE_BYTES, MAX_RANGES = 4 << 20, 100_000
 #: A text's boundaries are found in windows of this many bytes, so memory does not follow the longest text.
 WINDOW = 1 << 22
 
@@ -148,29 +151,38 @@ def edited(text: str, own: Print, next_text: str, next_print: Print) -> tuple:
     return n, sha.hexdigest(), text_of(own.kinds), text_of(other), containment(own.kinds, other), containment(own.kinds, next_print.kinds)
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and its likeness to both that and the next document's."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    ranges = max(1, min(MAX_RANGES, math.ceil(total / RANGE_BYTES)))
-    bounds = rows.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 10 * ranges).alias("b")).first()["b"] or [0]
-    splits = [-math.inf, *sorted({float(b) for b in bounds}), math.inf]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    sizes = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"), F.sum(F.when(F.col("doc_id").isNull(), F.octet_length("text"))).alias("null_bytes")).first()
+    ranges = max(1, min(MAX_RANGES, math.ceil((sizes["bytes"] or 0) / range_bytes)))
+    bounds = rows.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], min(10 * ranges, 1_000_000)).alias("b")).first()["b"] or [0]
+    # An id that takes up whole ranges gets a range of its own, which is parted by the hash of the text.
+    hot = {float(b): n + 1 for b, n in Counter(bounds).items() if n > 1 and abs(b) < 1 << 53}
+    splits = [-math.inf, *sorted({*map(float, bounds), *(np.nextafter(b, math.inf) for b in hot)}), math.inf]
+    pieces = {splits.index(b): n for b, n in hot.items()} | {-1: max(1, math.ceil((sizes["null_bytes"] or 0) / range_bytes))}
+    parts = docs.sparkSession.createDataFrame(sorted(pieces.items()), "bucket int, pieces int")
     dealt = Bucketizer(splits=splits, inputCol="at", outputCol="bucket", handleInvalid="keep").transform(rows.withColumn("at", F.col("doc_id").cast("double")))
-    dealt = dealt.select("doc_id", "text", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("bucket").cast("int")).alias("rng"))
-    heads = sorted((r["rng"], r["head"]) for r in dealt.groupBy("rng").agg(F.max("doc_id").alias("head")).collect())
-    to = [(head, heads[(k + 1) % len(heads)][0]) for k, (_, head) in enumerate(heads)]
-    guests = docs.sparkSession.createDataFrame(to, "head long, to int")
-    own = F.struct(F.col("rng"), F.lit(False).alias("guest"))
-    visit = F.struct(F.col("to").alias("rng"), F.lit(True).alias("guest"))
+    dealt = dealt.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("bucket").cast("int"))).join(F.broadcast(parts), "bucket", "left")
+    # Ranges by falling id, then by rising hash of the text; those without an id come last.
+    piece = F.floor((F.col("mark") / float(1 << 64) + 0.5) * F.col("pieces")).cast("int")
+    rng = F.struct((-F.col("bucket")).alias("turn"), F.least(F.coalesce(piece, F.lit(0)), F.coalesce("pieces", F.lit(1)) - 1).alias("piece"))
+    dealt = dealt.select("doc_id", "text", "mark", rng.alias("rng"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.bitwise_not("doc_id").alias("fall"), "mark"))
+    heads = sorted(((tuple(r["rng"]), r["first"]) for r in dealt.groupBy("rng").agg(first.alias("first")).collect()), key=lambda x: x[0])
+    to = [(None if f["no_id"] else ~f["fall"], f["mark"], *heads[k - 1][0]) for k, (_, f) in enumerate(heads)]
+    guests = docs.sparkSession.createDataFrame(to, "head long, head_mark long, turn int, piece int")
+    own = F.struct("rng", F.lit(False).alias("guest"))
+    visit = F.struct(F.struct("turn", "piece").alias("rng"), F.lit(True).alias("guest"))
     sent = (
-        dealt.join(F.broadcast(guests), dealt["doc_id"].eqNullSafe(guests["head"]), "left")
-        .select("doc_id", "text", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, visit))).alias("x"))
-        .select("doc_id", "text", "x.rng", "x.guest")
+        dealt.join(F.broadcast(guests), dealt["doc_id"].eqNullSafe(guests["head"]) & (dealt["mark"] == guests["head_mark"]), "left")
+        .select("doc_id", "text", "mark", F.explode(F.when(F.col("turn").isNull(), F.array(own)).otherwise(F.array(own, visit))).alias("x"))
+        .select("doc_id", "text", "mark", F.xxhash64("x.rng").alias("rng"), "x.guest")
     )
     return (
         sent.repartition(max(2, ranges), "rng")
-        .sortWithinPartitions("rng", "guest", F.col("doc_id").desc_nulls_last(), "text")
-        .withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would turn ids with nulls among them into floats
+        .sortWithinPartitions("rng", "guest", F.col("doc_id").desc_nulls_last(), "mark")
+        .select(F.col("doc_id").cast("string").alias("doc_id"), "text", "rng", "guest")  # pandas would turn ids with nulls among them into floats
         .mapInPandas(compare, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
         .withColumn("doc_id", F.col("doc_id").cast("long"))
     )

@@ -133,6 +133,19 @@ def test_fingerprints_against_brute_force(documents):
     assert sum(r["near_edited"] for r in got.values()) / len(got) > 0.5
 
 
+def test_fingerprints_of_hot_ids(spark):
+    """A third of the rows without an id, a third with one and the same; many small ranges."""
+    docs = spark.range(900).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 40, id)) as doc_id", "concat_ws(' ', 'text', id, sha2(cast(id as string), 512), 'end', id * id) as text").withColumn("h", F.xxhash64("text"))
+    rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"]))
+    got = {r["edited_sha256"]: r for r in fingerprints.with_next(docs, range_bytes=4000).collect()}
+    assert len(got) == 900
+    for this, nxt in zip(rows, rows[1:] + rows[:1], strict=True):
+        text, n = this["text"], len(this["text"]) // 3
+        edited = text[: len(text) - n] + nxt["text"][:n]
+        r = got[hashlib.sha256(edited.encode()).hexdigest()]
+        assert (r["doc_id"], r["fingerprint"], r["edited_fingerprint"]) == (this["doc_id"], fingerprints.fingerprint(text), fingerprints.fingerprint(edited))
+
+
 def test_fingerprints_odd_rows(odd_docs, no_docs):
     rows = fingerprints.with_next(odd_docs).collect()
     assert len(rows) == 10
