@@ -36,6 +36,27 @@ def test_hot_copies_are_split(spark):
     assert len(sizes) == 8 and max(sizes) < 1.1 * min(sizes)
 
 
+def test_heavy_slots_keep_other_copies_together(spark):
+    """Texts that share the heavy text's slot, and one more slot that is heavy by many texts, each in several copies."""
+    slot = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % sharding.SLOTS
+    hot = "same " * 50
+    beside = [t for t in (f"text {i}" for i in range(40_000)) if slot(t) == slot(hot)]
+    many = [t + " " * 400 for t in (f"other {i}" for i in range(60_000)) if slot(t + " " * 400) == 7]
+    rows = [hot] * 3000 + beside * 5 + many * 40 + [f"filler {i} " * 20 for i in range(3000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sharding.shard(docs, part_rows=100).collect()}
+    homes = defaultdict(set)
+    for i, t in enumerate(rows):
+        homes[t].add(got[i]["shard"])
+    assert len(beside) > 5 and len(many) > 5 and len(homes[hot]) == 8
+    assert all(len(h) == 1 for t, h in homes.items() if t != hot)
+    assert len({s for t in many for s in homes[t]}) > 1
+    by = defaultdict(list)
+    for r in got.values():
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
 def test_map_is_versioned_and_rebalancing_moves_little(spark, documents):
     sizes = sharding.slot_bytes(sharding.records(documents))
     m = sharding.SlotMap(spark).create(8)
