@@ -6,9 +6,12 @@
 2. Band hashes are shuffled; in each bucket with more than one representative every member is tied to the smallest one (a
    star, not all pairs).  Connected components of the stars are the candidate groups: two texts that share a bucket are
    in the same group.
-3. Only representatives in a candidate group fetch their shingles again.  A group that is larger than a block is dealt by
-   hash into blocks, and every pair of blocks is one task's work: full sets are intersected there, all pairs at a time,
-   and what leaves is a row for each text (its links, and a root of the links seen), never a pair.
+3. Only representatives in a candidate group fetch their shingles again.  A group of up to ``BLOCK`` texts is verified
+   whole, all its pairs.  A larger one is dealt into blocks by locality: each text belongs to the largest of its buckets, and that to as
+   many blocks as it needs.  Two blocks meet only where some bucket has texts of both, so a long chain of groups costs what its
+   links cost, not the square of its length; full sets are intersected there, and what leaves is a row for each text (its
+   links, and a root of the links seen), never a pair.  Pairs that share a band are verified at every size; a small group's
+   other pairs are too.
 4. Links add up per text; components of the roots are the classes.
 
 Result: one row per document with ``class_id`` (smallest id of its class), ``n_links`` (other documents whose set is at
@@ -17,7 +20,8 @@ least ``THRESHOLD`` alike, copies included), ``n_text_links`` (different texts a
 Defined cases: words are runs without ASCII white space, compared as they stand; a text of fewer than five words is one
 shingle of all of them; texts without words (null, empty) have the empty set and are copies of one another; documents
 with a null id are not compared and come back with class null and no links; repeated rows are copies; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored.  Where different texts share an id, their classes may share a ``class_id``;
+``keep_one`` tells them apart by id and text.
 """
 
 from __future__ import annotations
@@ -31,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.llm.common import stash
-from ledgermill.llm.graph import components
+from ledgermill.llm.graph import SALTS, components, spread
 from ledgermill.llm.hashing import mix64, seeds, shingles
 
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9998
 MAX_HASHES = 192
-#: Most texts of a block; a group is cut into SPLIT blocks before its blocks get that large.
+#: Most texts of a block; a group is cut into about SPLIT blocks before its blocks get that large.
 BLOCK, SPLIT = 1024, 24
 #: A block holds about this many shingles at most (unless one text has more), which bounds a task's memory.
 BLOCK_SHINGLES = 2_000_000
@@ -84,7 +88,7 @@ def sketch(bands: int, rows: int, words: int):
                 h2.append(b)
                 sizes.append(len(items))
                 marks.append(band_hashes(items, bands, rows, hashes, mixers) if len(items) else np.empty(0, np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": h1, "check": h2, "n": sizes, "bands": marks})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "mark": pdf["mark"], "node": h1, "check": h2, "n": sizes, "bands": marks})
 
     return run
 
@@ -152,7 +156,7 @@ def roots(links: np.ndarray) -> np.ndarray:
 
 
 def verify(threshold: float):
-    """Rows ordered by (grp, bi, bj): each run of equal keys is a block or a pair of blocks."""
+    """Rows ordered by (bi, bj): each run of equal keys is a block or a pair of blocks."""
 
     def links_of(nodes: list[int], copies: list[int], sides: list[int], sets: list[bytes], bi: int, bj: int) -> pd.DataFrame:
         arrays = [np.frombuffer(s, dtype=np.uint64) for s in sets]
@@ -164,72 +168,105 @@ def verify(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, ([], [], [], [])
         for pdf in batches:
-            for grp, bi, bj, node, copies, side, items in zip(*(pdf[c] for c in ("grp", "bi", "bj", "node", "copies", "side", "items")), strict=True):
-                if (grp, bi, bj) != key:
+            for bi, bj, node, copies, side, items in zip(*(pdf[c] for c in ("bi", "bj", "node", "copies", "side", "items")), strict=True):
+                if (bi, bj) != key:
                     if len(held[0]) > 1:
-                        yield links_of(*held, key[1], key[2])
-                    key, held = (grp, bi, bj), ([], [], [], [])
+                        yield links_of(*held, *key)
+                    key, held = (bi, bj), ([], [], [], [])
                 for x, to in zip((node, copies, side, items), held, strict=True):
                     to.append(x)
         if len(held[0]) > 1:
-            yield links_of(*held, key[1], key[2])
+            yield links_of(*held, *key)
 
     return run
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, class_id, n_links, n_text_links, n_copies of every document."""
+def dealt(tied: DataFrame, posted: DataFrame, block: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """(node, side) of every candidate, and the pairs of sides (bi <= bj) to be verified; a side is a block's number."""
+    groups = tied.groupBy("grp").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
+    # Groups of a block at most: cut by hash for the tasks' sake, all parts meet.
+    small = groups.where(F.col("texts") <= block).select("grp", F.greatest(F.least(F.lit(SPLIT), F.ceil(F.col("texts") * SPLIT / (2 * block))), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("blocks"))
+    numbered = lambda k: F.xxhash64(F.lit("group"), "grp", k)
+    near = tied.join(small, "grp").select("node", numbered(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("side"))
+    upto = F.col("blocks") - 1
+    met = small.select("grp", "blocks", F.explode(F.sequence(F.lit(0), upto)).alias("i")).select("grp", "i", F.explode(F.sequence("i", upto)).alias("j")).select(numbered(F.col("i")).alias("x"), numbered(F.col("j")).alias("y"))
+    # Larger ones: who is in which bucket, and in which of its own a text is at home.
+    large = groups.where(F.col("texts") > block).select("grp", F.least(F.lit(block), F.ceil(F.col("texts") / SPLIT)).alias("size"))
+    members = tied.join(large, "grp").select("node", "n", "size")
+    inside = stash(posted.join(members.hint("merge"), "node").select("node", "n", "size", "bucket"), "large-groups")
+    fullness = inside.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    anchor = inside.join(fullness, "bucket").groupBy("node", "n", "size").agg(F.max(F.struct("members", "bucket")).alias("home")).select("node", "n", "size", F.col("home.bucket").alias("home"))
+    parts = anchor.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.first("size")), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("parts"))
+    far = stash(anchor.join(parts, "home").select("node", F.xxhash64(F.lit("bucket"), "home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("side")), "large-group-sides")
+    joined = inside.select("node", "bucket").join(far, "node").select("bucket", "side").distinct().groupBy("bucket").agg(F.collect_list("side").alias("sides"))
+    far_met = joined.select(F.explode("sides").alias("x"), "sides").select("x", F.explode(F.filter("sides", lambda y: y >= F.col("x"))).alias("y"))
+    return near.unionByName(far), met.unionByName(far_met).select(F.least("x", "y").alias("bi"), F.greatest("x", "y").alias("bj")).distinct()
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Every document with an id: doc_id, mark (hash of its text), its class (``root``) and class_id, and the counts of ``join``.
+
+    ``first`` is the (doc_id, mark) that stands first in the class.
+    """
     bands, rows = band_plan(threshold, recall)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = stash(base.where(F.col("doc_id").isNotNull()).mapInPandas(sketch(bands, rows, words), "doc_id long, node long, check long, n int, bands array<long>"), "sketches")
+    base = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    sketched = stash(base.mapInPandas(sketch(bands, rows, words), "doc_id long, mark long, node long, check long, n int, bands array<long>"), "sketches")
     reps = stash(
-        sketched.groupBy("node", "check").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")),
+        sketched.groupBy("node", "check").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")),
         "representatives",
     )
     posted = reps.where("n > 0").select("node", F.explode("bands").alias("bucket"))
     buckets = posted.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "low")
     stars = posted.join(buckets, "bucket").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
     groups = stash(components(stars, "candidates").select("node", F.col("root").alias("grp")), "groups")
-    tied = reps.select("node", "rep", "copies", "n").join(groups, "node")
-    sizes = tied.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.least(F.lit(SPLIT), F.ceil(F.count(F.lit(1)) * 12 / block)), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
-    placed = tied.join(sizes, "grp").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = base.join(placed.select("node", "rep").hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("node", "text")
+    tied = stash(reps.select("node", "rep", "copies", "n").join(groups, "node"), "candidates")
+    sides, pairs = dealt(tied, posted, block, block_shingles)
+    texts = base.join(tied.select("node", "rep.*").hint("shuffle_hash"), ["doc_id", "mark"]).select("node", "text")
     items = texts.mapInPandas(fetch(words), "node long, items binary").dropDuplicates(["node"])
-    pairs = (
-        placed.join(items, "node")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("grp", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "node", "copies", "side", "items")
-    )
+    # A block's texts go wherever it meets another block, or itself.
+    ends = pairs.select(F.col("bi").alias("side"), "bi", "bj").unionByName(pairs.where("bi <> bj").select(F.col("bj").alias("side"), "bi", "bj"))
+    meets = ends.groupBy("side").agg(F.collect_list(F.struct("bi", "bj")).alias("meet"))
+    sent = tied.select("node", "copies").join(sides, "node").join(meets, "side").join(items, "node").select("node", "copies", "side", "items", F.explode("meet").alias("meet")).select("meet.*", "node", "copies", "side", "items")
     found = stash(
-        pairs.repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "node").mapInPandas(verify(threshold), "node long, n_text_links long, n_doc_links long, root long"),
+        sent.repartition("bi", "bj").sortWithinPartitions("bi", "bj", "node").mapInPandas(verify(threshold), "node long, n_text_links long, n_doc_links long, root long"),
         "links",
     )
     counts = found.groupBy("node").agg(F.sum("n_text_links").alias("n_text_links"), F.sum("n_doc_links").alias("n_doc_links"))
-    classes = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "classes")
+    roots_ = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "classes")
     each = (
         reps.select("node", "check", "rep", "copies")
         .join(counts, "node", "left")
-        .join(classes, "node", "left")
+        .join(roots_, "node", "left")
         .select("node", "check", "rep", "copies", F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), F.coalesce("n_doc_links", F.lit(0)).alias("n_doc_links"), F.coalesce("root", "node").alias("root"))
     )
-    names = each.groupBy("root").agg(F.min("rep").alias("class_id"))
-    told = each.join(names, "root").select("node", "check", "class_id", (F.col("n_doc_links") + F.col("copies") - 1).alias("n_links"), "n_text_links", F.col("copies").alias("n_copies"))
-    known = sketched.select("doc_id", "node", "check").join(told, ["node", "check"]).select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
+    # Salted: a class may hold a third of all texts.
+    names = spread(each.groupBy("root").agg(F.min("rep").alias("first")))
+    named = each.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(names, ["root", "salt"])
+    told = named.select("node", "check", "root", "first", F.col("first.doc_id").alias("class_id"), (F.col("n_doc_links") + F.col("copies") - 1).alias("n_links"), "n_text_links", F.col("copies").alias("n_copies"))
+    return sketched.select("doc_id", "mark", "node", "check").join(told, ["node", "check"]).drop("node", "check")
+
+
+def join(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, n_links, n_text_links, n_copies of every document; ``options`` are those of ``classes``."""
     zero = F.lit(0).cast("long")
-    return known.union(base.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long"), zero, zero, zero + 1))
+    without = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long"), F.lit(None).cast("long"), zero, zero, zero + 1)
+    return classes(docs, **options).select("doc_id", "class_id", "n_links", "n_text_links", "n_copies").union(without)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents without their near-duplicates: of each class the document with the smallest id, columns as they were.
 
-    Rows with a null id stay; of rows that repeat the kept id, one stays.
+    Rows with a null id stay; of rows that repeat the kept id and its text, one stays, and other texts of that id go by their
+    own classes.
     """
-    kept = stash(join(docs, **options).where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")), "kept")
-    once = docs.join(kept.where("times = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    again = kept.where("times > 1").select("doc_id")
+    kept = stash(classes(docs, **options).where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))).groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("times")), "kept")
+    own = [F.col(f"_row.{c}").alias(c) for c in docs.columns]
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
+    once = rows.join(kept.where("times = 1").select("doc_id", "mark").hint("shuffle_hash"), ["doc_id", "mark"], "left_semi")
+    again = kept.where("times > 1").select("doc_id", "mark")
     if not again.isEmpty():
-        once = once.unionByName(docs.join(again.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+        once = once.unionByName(rows.join(again.hint("shuffle_hash"), ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"]))
+    return once.select(*own).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 #: The same by brute force in DuckDB: full sets, an inverted index, and the closure of the links.

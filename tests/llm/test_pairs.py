@@ -79,6 +79,24 @@ def test_join_odd_rows(odd_docs, no_docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "4", "6", "None", "None"]
 
 
+def test_keep_one_of_repeated_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    kept = lambda rows: sorted(tuple(r) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept([(3, a), (5, a), (5, b)]) == [(3, a), (5, b)]
+    assert kept([(5, a), (5, b), (5, b)]) == [(5, a), (5, b)]
+
+
+def test_long_chains_cost_what_their_links_cost(spark):
+    """Windows sliding over one word list: neighbours are alike, the ends have nothing in common."""
+    words = [f"w{i * 7919 % 100_003}" for i in range(3000)]
+    rows = [(i, " ".join(words[6 * i : 6 * i + 200])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.join(docs, block=16).collect()} == brute(rows)
+    tied = spark.range(400).selectExpr("id as node", "0L as grp", "100 as n")
+    posted = spark.range(400).selectExpr("id as node", "explode(array(id, id + 1)) as bucket")
+    assert 25 <= jaccard.dealt(tied, posted, 16, 1 << 20)[1].count() <= 1000  # 25 blocks of 16 would be 325 pairs, of 2 texts 20,100
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(a, a + 1) for a in range(0, 40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(500, 500)]
