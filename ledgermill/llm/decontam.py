@@ -277,7 +277,7 @@ def _met(docs: DataFrame, items: DataFrame) -> DataFrame:
     wanted = stash(items.select("text").distinct().mapInPandas(_item_windows, "hash long, size int, item string").withColumn("item_key", F.md5(F.col("item").cast("binary"))).drop("item"), "benchmark-windows")
     # The table of hashes is put together from 32-bit words, on executors; its size does not depend on the benchmark's.
     at = F.shiftrightunsigned("hash", 64 - TABLE_BITS)
-    words = wanted.groupBy(F.shiftright(at, 5).cast("int").alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1), F.pmod(at, F.lit(32)).cast("int"))).alias("bits")).toPandas()
+    words = wanted.groupBy(F.shiftright(at, 5).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod(at, F.lit(32)).cast("int"))).alias("bits")).toPandas()
     table = np.zeros(1 << (TABLE_BITS - 5), dtype=np.uint32)
     table[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int32).view(np.uint32)
     sizes = [r["size"] for r in wanted.select("size").distinct().collect()]

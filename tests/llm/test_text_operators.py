@@ -210,3 +210,71 @@ def test_marginals_by_enumeration():
         z += w
         good += w * np.array(path)
     assert np.allclose(quality.marginals(emit, trans)[0], good / z)
+
+
+def test_langid_against_brute_force(spark):
+    """Counts, probabilities and posteriors by loops over plain text, with hashes of their own."""
+    import math
+    from collections import Counter
+    from unicodedata import category
+
+    train = [("en", "The cat, the hat and 7 rats."), ("en", "What is that?"), ("de", "Die Katze und der Hut; das Übliche!"), ("hi", "\u0939\u093f\u0928\u094d\u0926\u0940 \u092d\u093e\u0937\u093e"), ("de", None), (None, "no language")]
+    asked = ["That hat.", "Der Hut", "\u092d\u093e\u0937\u093e", "12 34", None, "", "x" * 300_000 + " the"]
+    mul = [int(m) for m in langid._MUL]
+
+    def grams(text):
+        kept = "".join(c.lower() if category(c)[0] in "LM" else " " for c in text)
+        if not any(category(c)[0] == "L" for c in text):
+            return []
+        points = [0 if c == " " else ord(c) for c in " " + " ".join(kept.split()) + " "]
+        out = []
+        for i in range(len(points)):
+            h = 0
+            for n in range(min(langid.ORDERS, len(points) - i)):
+                h = (h * 0x01000193 + points[i + n] * mul[n]) % 2**32
+                out.append((((h ^ (h >> 15)) * (0x85EBCA6B + 2 * n) % 2**32) >> 16) % langid.BUCKETS)
+        return out
+
+    seen = {}
+    for lang, text in train:
+        if lang and text:
+            seen.setdefault(lang, Counter()).update(grams(text))
+    rows = [(k, t, lang) for k, (lang, t) in enumerate(train)] + [(100 + k, t, None) for k, t in enumerate(asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(docs, F.col("doc_id") < 100).collect()}
+    for k, text in enumerate(asked):
+        found = grams(text or "")
+        r = got[100 + k]
+        if not found:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        total = {lang: sum(math.log((c[g] + langid.SMOOTHING) / (c.total() + langid.SMOOTHING * langid.BUCKETS)) for g in found) for lang, c in seen.items()}
+        best = max(sorted(total), key=total.get)
+        assert r["lang_pred"] == best
+        assert r["score"] == pytest.approx(1 / sum(math.exp(max(-700, v - total[best])) for v in total.values()), abs=1e-3)
+
+
+def test_quality_scores_against_all_paths():
+    """Marginals and scores from the sum over every labelling of the lines."""
+    import itertools
+    import math
+
+    import numpy as np
+
+    rng = random.Random(3)
+    good = ["the old house stood near the river, and nobody came.", "She said it was late; we agreed.", "A plain sentence of some words follows here."]
+    bad = ["$$ !! || BUY BUY BUY || !!", "### 1234 %%% @@@", "CLICK HERE!!! WIN WIN WIN"]
+    texts = [("\n".join(rng.choice(good if y else bad) for _ in range(rng.randrange(1, 6))), y) for y in [0, 1] * 8]
+    model = quality.fit([(quality.lines_of(t), y) for t, y in texts])
+    for text, y in [*texts, ("", 1), ("one\n\n### %% ##\ntwo words", 1)]:
+        own, size = quality.lines_of(text)
+        x = [[1.0, *own[i], *(own[i - 1] if i else [0.0] * quality.N_OWN), *(own[i + 1] if i + 1 < len(own) else [0.0] * quality.N_OWN)] for i in range(len(own))]
+        emit = [sum(a * b for a, b in zip(row, model.weights, strict=True)) for row in x]
+        weight = {p: math.exp(sum(e * s for e, s in zip(emit, p, strict=True)) + sum(model.trans[a][b] for a, b in itertools.pairwise(p))) for p in itertools.product((0, 1), repeat=len(own))}
+        good_lines = [sum(w for p, w in weight.items() if p[i]) / sum(weight.values()) for i in range(len(own))]
+        assert np.allclose(model.lines(own), good_lines)
+        raw = sum(g * s for g, s in zip(good_lines, size, strict=True)) / sum(size)
+        want = raw / model.cut * 0.7 if raw < model.cut else 0.7 + (raw - model.cut) / (1 - model.cut) * 0.3
+        assert model.score(text) == pytest.approx(want)
+        if (text, y) in texts:
+            assert (model.score(text) >= quality.CUT) == bool(y)
