@@ -18,6 +18,11 @@ _EDGE = r"(?<![\p{L}\p{N}_])"
 _END = r"(?![\p{L}\p{N}_])"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def plain(text: Column) -> Column:
     """Compatibility forms that occur in reports replaced by their plain characters; no full NFKC exists in Spark."""
     t = F.translate(text, FULL_WIDTH, "0123456789()%,.-+")
@@ -26,7 +31,10 @@ def plain(text: Column) -> Column:
 
 def detect_unit(text: Column) -> Column:
     """struct(multiplier, unit, currency) said by a text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    return let(F.lower(F.coalesce(text, F.lit(""))), _unit_of)
+
+
+def _unit_of(low: Column) -> Column:
     pct = low.rlike(r"%|в процентах|[,(]\s*процент[\p{L}]*\s*\)?\s*$")
     mult, cur, unit = F.lit(1), F.lit(None).cast("string"), F.lit(None).cast("string")
     for pattern, factor in reversed(SCALES):
@@ -38,36 +46,45 @@ def detect_unit(text: Column) -> Column:
     return F.struct(F.when(pct, 1).otherwise(mult).cast("long").alias("multiplier"), F.coalesce(unit, F.when(pieces, "шт")).alias("unit"), cur.alias("currency"))
 
 
+#: Thousands parted by dots, and by commas.
+DOTTED, COMMAED = r"^\d{1,3}(\.\d{3})+(,\d+)?$", r"^(\d{1,3}(,\d{3})+\.\d+|\d{1,3}(,\d{3}){2,})$"
+
+
 def parse_number(text: Column, multiplier: Column | int = 1) -> Column:
     """Decimal of a cell: brackets and a leading or trailing minus negate; blanks and apostrophes part thousands.
 
     «1.234,56» and «1.234» have thousands dots, «1,234.56» and «1,234,567» thousands commas; any other comma is decimal.
     """
     mult = F.lit(multiplier) if isinstance(multiplier, int) else multiplier
-    s = F.replace(plain(text), F.lit("−"), F.lit("-"))
-    none = s.isNull() | F.lower(s).isin(*NO_VALUE)
-    bracket = s.rlike(r"^\(.*\)$")
-    s = F.when(bracket, F.regexp_replace(s, r"^\(|\)$", "")).otherwise(s)
-    minus = s.rlike("^-|-$")
-    s = F.trim(F.when(minus, F.replace(s, F.lit("-"), F.lit(""))).otherwise(s))
-    s = F.regexp_replace(F.regexp_replace(s, r"%$", ""), r"[\s'’]", "")
-    s = (
-        F.when(s.rlike(r"^\d{1,3}(\.\d{3})+(,\d+)?$"), F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(s.rlike(r"^(\d{1,3}(,\d{3})+\.\d+|\d{1,3}(,\d{3}){2,})$"), F.replace(s, F.lit(","), F.lit("")))
-        .otherwise(F.replace(s, F.lit(","), F.lit(".")))
-    )
-    value = F.when(s.rlike(r"^[+-]?\d{1,20}(\.\d+)?$"), s.try_cast("decimal(38,12)"))
-    value = F.round(value * mult.cast("decimal(10,0)"), 6).cast(MONEY)
-    return F.when(~none, F.when(bracket | minus, -value).otherwise(value))
+
+    def signed(s: Column) -> Column:
+        bracket = s.rlike(r"^\(.*\)$")
+        bare = let(F.when(bracket, F.regexp_replace(s, r"^\(|\)$", "")).otherwise(s), unsigned)
+        return F.when(s.isNotNull() & ~F.lower(s).isin(*NO_VALUE), F.when(bracket, -F.abs(bare)).otherwise(bare))
+
+    def unsigned(s: Column) -> Column:
+        minus = s.rlike("^-|-$")
+        digits = F.trim(F.when(minus, F.replace(s, F.lit("-"), F.lit(""))).otherwise(s))
+        value = let(F.regexp_replace(F.regexp_replace(digits, r"%$", ""), r"[\s'’]", ""), amount)
+        return F.when(minus, -value).otherwise(value)
+
+    def amount(s: Column) -> Column:
+        dotted = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        return let(F.when(s.rlike(DOTTED), dotted).when(s.rlike(COMMAED), F.replace(s, F.lit(","), F.lit(""))).otherwise(F.replace(s, F.lit(","), F.lit("."))), scaled)
+
+    def scaled(s: Column) -> Column:
+        value = F.when(s.rlike(r"^[+-]?\d{1,20}(\.\d+)?$"), s.try_cast("decimal(38,12)"))
+        return F.round(value * mult.cast("decimal(10,0)"), 6).cast(MONEY)
+
+    return let(F.replace(plain(text), F.lit("−"), F.lit("-")), signed)
 
 
 def parse_number_with_unit(text: Column) -> Column:
     """struct(value, unit): a number with its scale, currency or unit in the same cell."""
-    info = detect_unit(text)
     words = "|".join(UNIT_WORDS)
     bare = F.regexp_replace(plain(text), rf"(?iu){_EDGE}(?:{words}){_END}\.?|[%₽$€]", " ")
     bare = F.trim(F.regexp_replace(bare, r"(?<=\d)[\s'’](?=\d)", ""))
-    return F.struct(parse_number(bare, info["multiplier"]).alias("value"), info.alias("unit"))
+    return let(detect_unit(text), lambda info: F.struct(parse_number(bare, info["multiplier"]).alias("value"), info.alias("unit")))
 
 
 def fmt_number(value: Column, digits: int = 2) -> Column:
@@ -107,8 +124,10 @@ def extract_numbers(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(rf"(?iu)(?:{number}){unit}"), F.lit(0))
 
     def one(x: Column) -> Column:
-        digits = F.regexp_replace(F.regexp_extract(x, rf"^(?:{number})", 0), r"[   '’]", "")
-        tail = F.lower(F.regexp_replace(x, rf"^(?:{number})", ""))
+        digits = F.regexp_replace(F.regexp_extract(x, rf"^(?:{number})", 0), r"[   '’]", "")
+        return let(F.lower(F.regexp_replace(x, rf"^(?:{number})", "")), lambda tail: of_tail(digits, tail))
+
+    def of_tail(digits: Column, tail: Column) -> Column:
         factor = F.when(tail.rlike("млрд"), 1e9).otherwise(1.0) * F.when(tail.rlike("млн"), 1e6).otherwise(1.0) * F.when(tail.rlike("тыс|thousand"), 1e3).otherwise(1.0)
         kind = F.when(tail.rlike("%"), "%").when(tail.rlike(r"руб|₽|р\.|rub"), "₽").when(tail.rlike(r"usd|долл|\$"), "$").when(tail.rlike("eur|евро|€"), "€").otherwise("")
         return F.struct((F.replace(digits, F.lit(","), F.lit(".")).cast("double") * factor).alias("value"), kind.alias("unit"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgermill.functions.numbers import let
+
 TYPE = "struct<ptype:string,label:string,start:date,end:date>"
 #: Month names by their first letters; short forms stand alone.
 MONTHS = {"янв": 1, "фев": 2, "мар": 3, "апр": 4, "май": 5, "мая": 5, "июн": 6, "июл": 7, "авг": 8, "сен": 9, "окт": 10, "ноя": 11, "дек": 12}
@@ -34,11 +36,6 @@ YEAR_TAIL = r"(?<=[\d\s.])\s*(?:г\.?|год[а-я]*|year)\s*\d?\s*$"
 LONGEST = 40
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _struct(ptype, label: Column, start: Column, end: Column) -> Column:
     return F.struct((F.lit(ptype) if isinstance(ptype, str) else ptype).alias("ptype"), label.alias("label"), start.alias("start"), end.alias("end"))
 

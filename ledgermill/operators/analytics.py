@@ -46,9 +46,16 @@ def total(series: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
 
 
 def share_in_parent(series: DataFrame) -> DataFrame:
-    """Each row with its parent's value of the same period, and its share of it in percent."""
-    parents = series.select(F.col("metric").alias("parent"), F.col("period_type"), F.col("period_end"), F.col("value").alias("parent_value"))
-    return series.join(parents, ["parent", "period_type", "period_end"], "left").withColumn("share_pct", ratio(F.col("value"), F.col("parent_value")) * 100)
+    """Each row with its parent's value of the same period, and its share of it in percent.
+
+    Where the series say unit and currency, the parent's must be the same (both may be missing).
+    """
+    measured = [c for c in ("unit", "currency") if c in series.columns]
+    parents = series.select(F.col("metric").alias("_metric"), F.col("period_type").alias("_type"), F.col("period_end").alias("_end"), F.col("value").alias("parent_value"), *(F.col(c).alias(f"_{c}") for c in measured))
+    same = (F.col("parent") == F.col("_metric")) & (F.col("period_type") == F.col("_type")) & (F.col("period_end") == F.col("_end"))
+    for c in measured:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return series.join(parents, same, "left").drop("_metric", "_type", "_end", *(f"_{c}" for c in measured)).withColumn("share_pct", ratio(F.col("value"), F.col("parent_value")) * 100)
 
 
 def roll_up(series: DataFrame) -> DataFrame:

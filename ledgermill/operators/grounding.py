@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgermill.functions.numbers import extract_numbers
+from ledgermill.functions.numbers import extract_numbers, let
 
 RELATIVE, ABSOLUTE = 0.005, 0.011
 SCALES = (1.0, 1e3, 1e6, 1e9)
@@ -38,15 +38,34 @@ def foreign_numbers(numbers: Column, allowed: Column) -> Column:
     """The numbers that the data doesn't explain; bare years and small counts need no explanation."""
     shares = F.transform(F.filter(allowed, lambda a: a["unit"] == "%"), lambda a: a["value"])
 
-    def explained(n: Column) -> Column:
-        bare = (n["unit"] == "") & (n["value"] == F.floor(n["value"]))
-        year = bare & n["value"].between(1900, 2100)
-        count = bare & (n["value"] > 0) & (n["value"] <= COUNTER)
-        known = F.exists(allowed, lambda a: same_unit(n["unit"], a["unit"]) & same_amount(n["value"], a["value"]))
-        spread = (n["unit"] == "%") & (F.size(shares) > 0) & n["value"].between(F.array_min(shares) - PERCENT_SLACK, F.array_max(shares) + PERCENT_SLACK)
-        return year | count | known | spread
+    def unexplained(lows: Column) -> Column:
+        def explained(n: Column) -> Column:
+            bare = (n["unit"] == "") & (n["value"] == F.floor(n["value"]))
+            year = bare & n["value"].between(1900, 2100)
+            count = bare & (n["value"] > 0) & (n["value"] <= COUNTER)
+            spread = (n["unit"] == "%") & lows["least"].isNotNull() & n["value"].between(lows["least"] - PERCENT_SLACK, lows["most"] + PERCENT_SLACK)
+            return year | count | spread | said(n, lows["all"])
 
-    return F.filter(numbers, lambda n: ~explained(n))
+        return F.filter(numbers, lambda n: ~explained(n))
+
+    return let(F.struct(F.array_min(shares).alias("least"), F.array_max(shares).alias("most"), allowed.alias("all")), unexplained)
+
+
+def said(n: Column, allowed: Column) -> Column:
+    """Is the number one of the allowed ones, in any scale?"""
+    return F.exists(allowed, lambda a: same_unit(n["unit"], a["unit"]) & same_amount(n["value"], a["value"]))
+
+
+def derived(amounts: Column) -> Column:
+    """Sums, differences, growth and shares of all pairs of amounts."""
+    pairs = F.flatten(F.transform(amounts, lambda a: F.transform(amounts, lambda b: F.struct(a["value"].alias("a"), b["value"].alias("b"), a["unit"].alias("unit")))))
+    of = lambda p: F.array(
+        F.struct((p["a"] + p["b"]).alias("value"), p["unit"].alias("unit")),
+        F.struct((p["a"] - p["b"]).alias("value"), p["unit"].alias("unit")),
+        F.struct(F.coalesce((p["a"] / F.nullif(p["b"], F.lit(0.0)) - 1) * 100, F.lit(0.0)).alias("value"), F.lit("%").alias("unit")),
+        F.struct(F.coalesce(p["a"] / F.nullif(p["b"], F.lit(0.0)) * 100, F.lit(0.0)).alias("value"), F.lit("%").alias("unit")),
+    )
+    return F.flatten(F.transform(pairs, of))
 
 
 def claims(answer: Column) -> Column:
@@ -64,25 +83,27 @@ def misattributed(answer: Column, history: Column) -> Column:
     )
 
 
-def review(answers: DataFrame, derived: bool = True) -> DataFrame:
+def review(answers: DataFrame, with_derived: bool = True) -> DataFrame:
     """answers (answer_id, answer, template, allowed, history) with ok, foreign and misattributed.
 
-    With ``derived``, sums, differences and growth of the allowed amounts are allowed as well.
+    With ``with_derived``, sums, differences and growth of the allowed amounts are allowed as well; they are made only where
+    numbers remain that nothing else explains, and for those alone.
     """
-    allowed = F.concat(F.col("allowed"), extract_numbers(F.coalesce("template", F.lit(""))))
-    if derived:
-        amounts = F.filter(F.col("allowed"), lambda a: a["unit"] != "%")
-        pairs = F.flatten(F.transform(amounts, lambda a: F.transform(amounts, lambda b: F.struct(a["value"].alias("a"), b["value"].alias("b"), a["unit"].alias("unit")))))
-        made = F.flatten(F.transform(pairs, lambda p: F.array(
-            F.struct((p["a"] + p["b"]).alias("value"), p["unit"].alias("unit")),
-            F.struct((p["a"] - p["b"]).alias("value"), p["unit"].alias("unit")),
-            F.struct(F.coalesce((p["a"] / F.nullif(p["b"], F.lit(0.0)) - 1) * 100, F.lit(0.0)).alias("value"), F.lit("%").alias("unit")),
-            F.struct(F.coalesce(p["a"] / F.nullif(p["b"], F.lit(0.0)) * 100, F.lit(0.0)).alias("value"), F.lit("%").alias("unit")),
-        )))
-        allowed = F.concat(allowed, made)
-    rows = answers.withColumn("numbers", extract_numbers(F.col("answer"))).withColumn("may_say", allowed)
-    out = rows.withColumn("foreign", F.transform(foreign_numbers(F.col("numbers"), F.col("may_say")), lambda n: n["value"])).withColumn("misattributed", misattributed(F.col("answer"), F.col("history")))
-    return out.select("answer_id", ((F.size("foreign") == 0) & (F.size("misattributed") == 0)).alias("ok"), "foreign", "misattributed")
+    direct = F.concat(F.col("allowed"), extract_numbers(F.coalesce("template", F.lit(""))))
+
+    def rest(left: Column) -> Column:
+        if not with_derived:
+            return left
+        made = lambda: derived(F.filter(F.col("allowed"), lambda a: a["unit"] != "%"))
+        return F.when(F.size(left) == 0, left).otherwise(let(made(), lambda m: unspread(left, m)))
+
+    def unspread(left: Column, made: Column) -> Column:
+        return foreign_numbers(left, F.concat(direct, made))
+
+    foreign = let(foreign_numbers(extract_numbers(F.col("answer")), direct), rest)
+    both = F.struct(F.transform(foreign, lambda n: n["value"]).alias("foreign"), misattributed(F.col("answer"), F.col("history")).alias("misattributed"))
+    checked = let(both, lambda x: F.struct(((F.size(x["foreign"]) == 0) & (F.size(x["misattributed"]) == 0)).alias("ok"), x["foreign"].alias("foreign"), x["misattributed"].alias("misattributed")))
+    return answers.select("answer_id", F.inline(F.array(checked)))
 
 
 def allowed_of(rows: DataFrame, amounts: dict[str, str], shares: tuple[str, ...] = ()) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgermill.shared import written
 
 def with_documents(facts: DataFrame, documents: DataFrame) -> DataFrame:
     """Facts with is_private, superseded, uploaded_by of their documents."""
@@ -50,9 +51,12 @@ def in_months(rows: DataFrame, months: Iterable[int]) -> DataFrame:
     return rows.where((F.col("period_type") == "month") & F.month("period_start").isin(*months))
 
 
-def latest_wins(facts: DataFrame, keys: tuple[str, ...] = ("org_id", "metric", "variant", "period_type", "period_end")) -> DataFrame:
-    """One row per series point: the one of the newest document."""
-    newest = Window.partitionBy(*keys).orderBy(F.col("document_id").desc(), F.col("value").desc())
+def latest_wins(facts: DataFrame, keys: tuple[str, ...] = ("org_id", "metric", "variant", "period_end")) -> DataFrame:
+    """One row per series point: the one of the newest document; of one document, that of the longest period.
+
+    A point is where a period ends, so a year and its December are one point and a series is never both.
+    """
+    newest = Window.partitionBy(*keys).orderBy(F.col("document_id").desc(), "period_start", F.col("value").desc())
     return facts.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
@@ -83,13 +87,12 @@ def tree(spark: SparkSession, nodes: DataFrame) -> DataFrame:
 def containment_parent(new: DataFrame, known: DataFrame) -> DataFrame:
     """For each new name the first known name (alphabetically) that it contains and is longer than.
 
-    Known names are hashed by their words: a name that another contains shares its longest word's grams with it, so
-    candidates meet on whole words instead of in a cross product.  Names that begin or end inside a word are found by
-    their 4-character prefix grams.
+    A known name is posted under its first three characters (all of it, if it is shorter), a new one under each run of one to
+    three of its own, so the two meet by a hash join and not in a cross product.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    left = new.select(F.col("name"), F.explode(grams(F.col("name"))).alias("gram"))
-    right = known.select(F.col("name").alias("inner"), F.substring("name", 1, 3).alias("gram"))
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    left = new.select("name", F.explode(F.array_distinct(F.concat(*(grams(F.col("name"), n) for n in (1, 2, 3))))).alias("gram"))
+    right = known.where("name <> ''").select(F.col("name").alias("inner"), F.left("name", F.lit(3)).alias("gram"))
     met = left.join(right, "gram").where(F.contains("name", "inner") & (F.length("name") > F.length("inner")))
     return met.groupBy("name").agg(F.min("inner").alias("parent"))
 
@@ -97,20 +100,18 @@ def containment_parent(new: DataFrame, known: DataFrame) -> DataFrame:
 def orphans(metrics: DataFrame, facts: DataFrame) -> DataFrame:
     """Metrics (name, parent) with neither facts nor children, and then those that this leaves bare, to the fixed point.
 
-    Anti joins over the metric dictionary; it ends when a round finds none.  Metrics on a cycle have children and stay.
+    Anti joins over the metric dictionary; it ends when a round finds none.  Metrics on a cycle have children and stay.  Each
+    round reads the one before it several times, so rounds are written to the shared folder.
     """
-    cut = (lambda d: d.checkpoint()) if metrics.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.localCheckpoint())
     used = facts.select(F.col("metric").alias("name")).distinct()
-    left, gone = metrics, None
+    left, gone = metrics, metrics.limit(0)
     while True:
         parents = left.where("parent is not null").select(F.col("parent").alias("name")).distinct()
-        bare = left.join(used, "name", "left_anti").join(parents, "name", "left_anti")
+        bare = written(left.join(used, "name", "left_anti").join(parents, "name", "left_anti"), "orphans")
         if bare.isEmpty():
-            break
-        gone = bare if gone is None else gone.unionByName(bare)
-        # Each round reads the one before it several times: without a cut the plan would grow as a power of the depth.
-        left = cut(left.join(bare.select("name"), "name", "left_anti"))
-    return metrics.limit(0) if gone is None else gone
+            return gone
+        gone = gone.unionByName(bare)
+        left = written(left.join(bare.select("name"), "name", "left_anti"), "metrics-left")
 
 
 def supersede_candidates(documents: DataFrame, returned: int = 3) -> DataFrame:
@@ -137,8 +138,10 @@ def duplicates(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def confirm(facts: DataFrame, document_id: int, uid: int | None = None) -> DataFrame:
+    """The document's facts as reviewed, and certain where the table has a confidence."""
     mine = (F.col("document_id") == document_id) & (visible_to(uid) if uid is not None else F.lit(True))
-    return facts.withColumn("needs_review", F.col("needs_review") & ~mine)
+    out = facts.withColumn("needs_review", F.col("needs_review") & ~mine)
+    return out.withColumn("confidence", F.when(mine, F.lit(1.0)).otherwise(F.col("confidence"))) if "confidence" in facts.columns else out
 
 
 def supersede(documents: DataFrame, old_id: int, new_id: int) -> DataFrame:
@@ -162,6 +165,11 @@ def delete_document(documents: DataFrame, children: dict[str, DataFrame], docume
     return left, {name: rows.join(F.broadcast(target), "document_id", "left_anti") for name, rows in children.items()}
 
 
+def without_orphans(metrics: DataFrame, facts: DataFrame) -> DataFrame:
+    """The dictionary after a deletion: without the metrics that it leaves with neither facts nor children."""
+    return metrics.join(orphans(metrics, facts).select("name"), "name", "left_anti")
+
+
 def unreferenced(files: DataFrame, documents: DataFrame) -> DataFrame:
     return files.join(documents.select("stored_path"), "stored_path", "left_anti")
 

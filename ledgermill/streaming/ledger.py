@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgermill.functions.entries import parse_entry
+from ledgermill.shared import new_path
 
 
 def entries(messages: DataFrame) -> DataFrame:
@@ -54,10 +55,18 @@ def uploads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_once(result: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drain what a stream holds now into a table in memory; for tests and small reports."""
-    query: StreamingQuery = result.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Drain what a stream holds now into a table of the shared folder, its state beside it.
+
+    In mode ``complete`` every batch replaces the table, in others it is appended.
+    """
+    spark = result.sparkSession
+    path = new_path(spark, name)
+    rows = f"{path}/rows"
+    spark.createDataFrame([], result.schema).write.parquet(rows)
+    keep = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(rows)
+    query: StreamingQuery = result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return result.sparkSession.table(name)
+    return spark.read.schema(result.schema).parquet(rows)
 
 
 def append_usage(batch: DataFrame, path: str) -> None:
