@@ -69,6 +69,13 @@ INTENTS = (
     ("compare", r"по сравнению|сравни|изменил|во сколько|на ?сколько|отлич\w*|рост|снижени|дол[яи] .+ (в|от) |что лучше|лучше .+ или|упал|вырос|растёт|растет|падает|снизил|динамик|тренд|как измен", None),
     ("factual", r"\d|сколько|какая|какой|каков|покажи", None),
 )
+# Words of a question that say what is asked and not of which metric.
+NOT_THE_METRIC = (
+    r"прогноз\w*", r"предскаж\w*", r"ожидает\w*", r"перспектив\w*", r"почему", r"из-за чего", r"сравни", r"по сравнению", r"каки\w+\s+позици\w+", r"сколько", r"какая", r"какой", r"какие", r"каков", r"во сколько",
+    r"\bбыл\w?\b", r"\bбыли\b", r"\bесть\b", r"\bу\b", r"компани\w*", r"организаци\w*", r"на сколько", r"покажи", r"что\s+говор\w+", r"объясни", r"расскажи", r"год\w*", r"факт\w*", r"план\w*", r"отлич\w*",
+    r"структур\w*", r"состав\w*", r"разбивк\w*", r"детализ\w*", r"динамик\w*", r"топ", r"источник\w*", r"канал\w*", r"лучш\w*", r"худш\w*", r"всего", r"итого", r"что будет", r"ожидат\w*", r"сильнее", r"слабее",
+    r"\bпо\b", r"\bна\b", r"\bза\b", r"\bесли\b", r"\bтемп\w*", r"\bупад\w*", r"\bвдвое\b", r"\bв\b", r"\bраз\b",
+)
 # Words and numbers that a scenario is told by.
 FALL, RISE = "упад|сниз|замедл|сократ|меньше", "вырас|выраст|ускор|увелич|больше"
 TIMES, PERCENT = r"в\s+(\d+(?:[.,]\d+)?)\s*раз", r"на\s+(\d+(?:[.,]\d+)?)\s*%"
@@ -173,6 +180,25 @@ def intent(question: Column) -> Column:
     return out
 
 
+def metric_query(question: Column) -> Column:
+    """What is left of a question without years, question words and punctuation; all of it, if nothing is."""
+    bare = F.regexp_replace(question, words(r"\b20\d\d\b"), "")
+    bare = F.regexp_replace(bare, words("|".join(NOT_THE_METRIC)), " ")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"[?.!,;:]+", " "), r"\s+", " "))
+    return F.when(bare == "", question).otherwise(bare)
+
+
+def classify(question: Column) -> Column:
+    """struct(intent, metric_query, years, months, target_year, scenario) of a question, by rules alone."""
+    from ledgermill.functions.periods import months_in, years_in
+
+    asked, years = intent(question), years_in(question)
+    return F.struct(
+        asked.alias("intent"), metric_query(question).alias("metric_query"), years.alias("years"), months_in(question).alias("months"),
+        F.when((asked == "forecast") & (F.size(years) > 0), F.array_max(years)).alias("target_year"), scenario(question).alias("scenario"),
+    )
+
+
 def scenario(question: Column) -> Column:
     """Growth multiplier that a question supposes: 0.5 for a fall and 1.5 for a rise, unless it names a factor or percent."""
     q = F.lower(F.coalesce(question, F.lit("")))

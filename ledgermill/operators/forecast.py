@@ -100,8 +100,15 @@ def forecast(series: DataFrame, period_type: str = "year", target_year: int | No
     got = got.withColumn("base", base).withColumn("half", wide).withColumn("to_date", to_date)
     low = F.when(F.col("base") > 0, F.greatest(F.col("base") - F.col("half"), F.lit(0.0))).otherwise(F.col("base") - F.col("half"))
     confidence = F.when((F.col("n") >= 12) & (F.col("rel_err") <= 0.07), "высокая").when((F.col("n") >= 4) & (F.col("rel_err") <= 0.2), "средняя").otherwise("низкая")
+    last_value = F.element_at("v", -1)
+    notes = F.filter(F.array(
+        F.when(F.col("n") < 4, F.format_string("короткий ряд (%d точек) — интервал широкий", "n")),
+        F.when(F.col("rel_err") > 0.2, F.format_string("высокая ошибка на исторической проверке (%.0f%%)", F.col("rel_err") * 100)),
+        F.when(F.exists("v", lambda x: x <= 0), F.lit("ряд содержит нулевые/отрицательные значения — темповые модели ограничены")),
+        F.when((F.col("base") < 0) & (last_value > 0), F.lit("ансамбль ушёл в минус (резкий спад при коротком ряде) — отнеситесь к прогнозу осторожно")),
+    ), lambda x: x.isNotNull())
     return got.select(
-        "metric", "n", "steps", (F.col("base") + F.col("to_date")).alias("base"), (low + F.col("to_date")).alias("low"), (F.col("base") + F.col("half") + F.col("to_date")).alias("high"), "reference",
+        "metric", "n", "steps", notes.alias("notes"), (F.col("base") + F.col("to_date")).alias("base"), (low + F.col("to_date")).alias("low"), (F.col("base") + F.col("half") + F.col("to_date")).alias("high"), "reference",
         F.col("to_date").alias("fact_to_date"), F.col("base").alias("rest_forecast"), (F.col("rel_err") * 100).alias("backtest_error_pct"), confidence.alias("confidence"),
         F.map_from_arrays(F.transform("m", lambda a: a["method"]), F.transform("m", lambda a: a["pred"] + F.col("to_date"))).alias("methods"),
         F.map_from_arrays(F.transform("m", lambda a: a["method"]), F.col("w")).alias("weights"),

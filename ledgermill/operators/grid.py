@@ -126,6 +126,7 @@ def service(name: str) -> bool:
 class Sheet:
     name: str
     cells: dict[tuple[int, int], Cell]
+    default: Unit | None = None
     warnings: list[str] = field(default_factory=list)
 
     def __post_init__(self):
@@ -162,6 +163,7 @@ class Sheet:
         """Unit said by the sheet's name or by the rows at hand."""
         if (own := sheet_unit(self.name)).says:
             return own
+        own = self.default if self.default is not None else own
         for r in near:
             for c, x in self.rows.get(r, {}).items():
                 if not (r == skip[0] and c in skip[1]) and x.own.says:
@@ -384,7 +386,9 @@ def sheet_of(pdf: pd.DataFrame) -> Sheet:
         head = Period(x.tptype, x.tplabel, x.tpstart, x.tpend) if none(x.tptype) else None
         own = Unit(int(none(x.mult) or 1), none(x.unit), none(x.currency))
         cells[x.row, x.col] = Cell(x.raw, x.name or "", x.bare or "", none(x.n), none(x.un), own, period, head, none(x.variant), none(x.day))
-    return Sheet(pdf["sheet"].iloc[0], cells)
+    said = pdf.iloc[0]
+    default = Unit(int(said["dmult"]), none(said["dunit"]), none(said["dcurrency"])) if "dmult" in pdf and none(said["dmult"]) else None
+    return Sheet(pdf["sheet"].iloc[0], cells, default)
 
 
 def layout(pdf: pd.DataFrame, today: date, want: str) -> pd.DataFrame:
@@ -407,13 +411,20 @@ def layout(pdf: pd.DataFrame, today: date, want: str) -> pd.DataFrame:
     )
 
 
-def _sheets(grid: DataFrame, today: date, want: str, schema: str) -> DataFrame:
-    return annotated(grid).groupBy("doc_id", "sheet").applyInPandas(lambda pdf: layout(pdf, today, want), schema)
+def _sheets(grid: DataFrame, today: date, want: str, schema: str, units: DataFrame | None = None) -> DataFrame:
+    cells = annotated(grid)
+    if units is not None:
+        said = units.select("doc_id", F.col("unit.multiplier").alias("dmult"), F.col("unit.unit").alias("dunit"), F.col("unit.currency").alias("dcurrency"))
+        cells = cells.join(said, "doc_id", "left")
+    return cells.groupBy("doc_id", "sheet").applyInPandas(lambda pdf: layout(pdf, today, want), schema)
 
 
-def scan(grid: DataFrame, today: date) -> DataFrame:
-    """Facts of all sheets; the same name under several sections of a document gets its section in brackets."""
-    rows = _sheets(grid, today, "facts", SCANNED)
+def scan(grid: DataFrame, today: date, units: DataFrame | None = None) -> DataFrame:
+    """Facts of all sheets; the same name under several sections of a document gets its section in brackets.
+
+    ``units`` (doc_id, unit; see ``document_units``) holds for wide sheets that say none themselves.
+    """
+    rows = _sheets(grid, today, "facts", SCANNED, units)
     w = Window.partitionBy("doc_id", "sheet", "metric")
     several = F.size(F.collect_set("section").over(w)) > 1
     return rows.withColumn("metric", F.when(several & F.col("section").isNotNull(), F.concat("metric", F.lit(" ("), "section", F.lit(")"))).otherwise(F.col("metric")))

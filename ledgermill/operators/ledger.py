@@ -44,20 +44,32 @@ def journal(ops: DataFrame) -> DataFrame:
 
 
 def undo_last(ops: DataFrame) -> DataFrame:
-    """Without each journal's newest entry."""
-    last = Window.partitionBy("header")
-    return ops.withColumn("_last", F.max("op_id").over(last)).where("op_id <> _last").drop("_last")
+    """Without each journal's newest entry; journals are few and large, so only their newest ids are grouped."""
+    newest = ops.groupBy(F.col("header").alias("_header")).agg(F.max("op_id").alias("_last"))
+    return ops.join(newest, ops["header"].eqNullSafe(F.col("_header")) & (ops["op_id"] == F.col("_last")), "left_anti")
 
 
 def usage_snapshot(calls: DataFrame, prices: dict[str, tuple[float, float]], by: str = "model") -> DataFrame:
-    """Calls, tokens and cost of each model or task; prices are per million input and output tokens."""
+    """Calls, tokens and cost of each model or task; prices are per million input and output tokens.
+
+    Cached and reasoning tokens are summed as well where the journal has them.
+    """
     rate: Column = F.lit(0.0)
-    sums = calls.groupBy(by).agg(F.count(F.lit(1)).alias("calls"), *(F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens")))
+    counters = [c for c in ("prompt_tokens", "completion_tokens", "cached_tokens", "reasoning_tokens") if c in calls.columns]
+    sums = calls.groupBy(by).agg(F.count(F.lit(1)).alias("calls"), *(F.sum(c).alias(c) for c in counters))
     for name, (per_in, per_out) in sorted(prices.items()):
         rate = F.when(F.col(by) == name, F.col("prompt_tokens") / 1e6 * per_in + F.col("completion_tokens") / 1e6 * per_out).otherwise(rate)
     return sums.withColumn("cost", rate)
 
 
+def budget_left(calls: DataFrame, prices: dict[str, tuple[float, float]], budget: float, task: str = "compose") -> DataFrame:
+    """One row: what is spent and left of a budget, the mean price of a question (a call of ``task``) and how many more it pays for."""
+    spent = usage_snapshot(calls, prices).agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("spent"))
+    asked = calls.where(F.col("task") == task).agg(F.count(F.lit(1)).alias("questions"))
+    one = spent.crossJoin(asked).withColumn("left", F.lit(budget) - F.col("spent")).withColumn("per_question", F.col("spent") / F.nullif("questions", F.lit(0)))
+    return one.withColumn("questions_left", F.greatest("left", F.lit(0.0)) / F.nullif("per_question", F.lit(0.0)))
+
+
 def parse_prices(text: str) -> dict[str, tuple[float, float]]:
     """«model=in/out, …»; the output price defaults to the input's, items that don't parse are skipped."""
     out = {}

@@ -88,6 +88,17 @@ def resolve(*steps: DataFrame) -> DataFrame:
     return all_.where("metric_id is not null").groupBy("query_id").agg(F.min_by("metric_id", "step").alias("metric_id"), F.min("step").alias("step"))
 
 
+def link_hierarchy(scanned: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(metric_id, parent_id): the section of a metric's first fact if it is a metric, else its parent hint; never itself.
+
+    ``scanned``: metric, section, parent_hint, cell_ref (the first by it counts); ``dictionary``: metric_id, name.
+    """
+    first = scanned.groupBy("metric").agg(F.min_by(F.struct("section", "parent_hint"), "cell_ref").alias("said")).select(F.col("metric").alias("name"), F.lower("said.section").alias("section"), F.lower("said.parent_hint").alias("parent_hint"))
+    named = lambda name, id_: dictionary.select(F.lower("name").alias(name), F.col("metric_id").alias(id_))
+    met = first.join(dictionary.select("name", "metric_id"), "name").join(named("section", "_section"), "section", "left").join(named("parent_hint", "_hint"), "parent_hint", "left")
+    return met.select("metric_id", F.coalesce("_section", "_hint").alias("parent_id")).where("parent_id is not null and parent_id <> metric_id")
+
+
 def backfill_kinds(metrics: DataFrame) -> DataFrame:
     """Kinds of metrics that have none, from their names."""
     from ledgermill.functions.names import kind_of

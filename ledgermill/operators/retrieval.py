@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgermill.functions.numbers import let
+from ledgermill.operators.store import visible_to
+from ledgermill.shared import written
+
 K1, B = 1.5, 0.75
 RRF_K = 60
 STEM = 5
@@ -49,20 +55,44 @@ def corpus_stats(chunks: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -> D
     return chunks.select(F.greatest(F.size(tokens(F.col("body"), stopwords)), F.lit(1)).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 12, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
+#: The term under which an index lists every chunk, with its length.
+EVERY = ""
+
+
+def index(chunks: DataFrame, stopwords: tuple[str, ...] = STOPWORDS, only: DataFrame | None = None) -> DataFrame:
+    """Postings (term, chunk_id, tf, length) as a written table; the term EVERY lists each chunk once.
+
+    Texts are read and cut into words once; document frequencies, corpus statistics and scores all come from the table.
+    ``only`` (term) restricts it to the terms that will be asked for.
+    """
+    toks = chunks.select("chunk_id", tokens(F.col("body"), stopwords).alias("t"))
+    long = toks.select("chunk_id", F.greatest(F.size("t"), F.lit(1)).alias("length"), F.explode_outer(F.concat("t", F.array(F.lit(EVERY)))).alias("term"))
+    if only is not None:
+        asked = only.select("term").union(only.sparkSession.createDataFrame([(EVERY,)], "term string")).distinct()
+        long = long.join(asked, "term", "left_semi")
+    return written(long.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")), "postings")
+
+
+def asked_terms(queries: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
+    """(query_id, term, qtf) of queries (query_id, text)."""
+    return queries.select("query_id", F.explode(tokens(F.col("text"), stopwords)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 12, stopwords: tuple[str, ...] = STOPWORDS, postings_: DataFrame | None = None) -> DataFrame:
     """Top k chunks of every query (query_id, text) by Okapi BM25; a query's repeated terms count again.
 
-    Only postings of query terms are scored.  Query terms and their frequencies join the postings on the term; a frequent
-    term's postings are split by the engine's skew handling, and its scores leave as partial sums per (query, chunk).
+    Only postings of query terms are scored (``postings_`` is an ``index`` that holds them).  Query terms and their
+    frequencies join the postings on the term; a frequent term's postings are split by the engine's skew handling, and its
+    scores leave as partial sums per (query, chunk).
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"), stopwords)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    index = postings(chunks, stopwords, asked)
-    # Both columns are used, so that this is the same subplan as below and its exchange is made once.
-    df = index.groupBy("term").agg(F.sum(F.when((F.col("tf") > 0) & (F.col("length") > 0), 1)).alias("df"))
-    stats = F.broadcast(corpus_stats(chunks, stopwords))  # one row
+    asked = asked_terms(queries, stopwords)
+    table = index(chunks, stopwords, asked) if postings_ is None else postings_
+    stats = F.broadcast(table.where(F.col("term") == EVERY).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl")))  # one row
+    found = table.where(F.col("term") != EVERY)
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = asked.join(df, "term").crossJoin(stats).withColumn("idf", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("query_id", "term", "qtf", "idf", "avgdl")
     score = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    scored = index.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(score), 9).alias("score"))
+    scored = found.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(score), 9).alias("score"))
     return top(scored, k)
 
 
@@ -79,8 +109,25 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.when(norm(a) * norm(b) == 0, 1.0).otherwise(norm(a) * norm(b))
 
 
+def searchable(chunks: DataFrame, documents: DataFrame, uid: int | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of documents that the reader may see and that nothing supersedes; with ``kinds``, only chunks of these.
+
+    ``documents``: document_id, is_private, superseded_by_id, uploaded_by.
+    """
+    open_ = documents.where(visible_to(uid) & F.col("superseded_by_id").isNull()).select("document_id")
+    rows = chunks.where(F.col("kind").isin(*kinds)) if kinds else chunks
+    return rows.join(open_, "document_id", "left_semi")
+
+
+def merge_hits(own: DataFrame, mirror: DataFrame, allowed: DataFrame, k: int = 5) -> DataFrame:
+    """Hits (query_id, chunk_id, score) of the store and of a mirror of it, checked against the chunks allowed; the store's score wins."""
+    both = own.select("query_id", "chunk_id", "score", F.lit(0).alias("_from")).unionByName(mirror.select("query_id", "chunk_id", "score", F.lit(1).alias("_from")))
+    best = both.groupBy("query_id", "chunk_id").agg(F.min_by("score", "_from").alias("score"))
+    return top(best.join(allowed.select("chunk_id"), "chunk_id", "left_semi"), k)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Top k vectors (chunk_id, vec) of every query vector (query_id, vec), exactly.
+    """Top k vectors (chunk_id, vec) of every query vector (query_id, vec), exactly; ``searchable`` says which may be found.
 
     The stated query set is held against all rows; queries are what is broadcast, if Spark finds them small enough.
     """
@@ -105,18 +152,26 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 8
     return fuse(both, k).join(sem, ["query_id", "chunk_id"])
 
 
-def rerank(candidates: DataFrame, k: int = 8, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
-    """Heuristic score of candidates (query_id, query, chunk_id, body, section, semantic_score).
+def rerank(candidates: DataFrame, k: int = 8, stopwords: tuple[str, ...] = STOPWORDS, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The k best candidates (query_id, query, chunk_id, body, section, semantic_score) by a scorer of (query, body).
 
-    Half is token overlap, a fifth each the doubled semantic score and the whole phrase; a metric card that overlaps gets
-    0.15 more; fragments of under 100 characters count 0.7.
+    Without one, the score is heuristic: half is token overlap, a fifth each the doubled semantic score and the whole phrase;
+    a metric card that overlaps gets 0.15 more; fragments of under 100 characters count 0.7.
     """
-    q, c = F.array_distinct(tokens(F.col("query"), stopwords)), F.array_distinct(tokens(F.col("body"), stopwords))
-    overlap = F.size(F.array_intersect(q, c)) / F.greatest(F.size(q), F.lit(1))
-    phrase = F.when((F.trim("query") != "") & F.contains(F.lower("body"), F.lower(F.trim("query"))), 1.0).otherwise(0.0)
-    card = F.when((overlap > 0) & F.startswith(F.coalesce("section", F.lit("")), F.lit("карточка:")), 0.15).otherwise(0.0)
-    raw = 0.5 * overlap + 0.2 * F.least(F.coalesce("semantic_score", F.lit(0.0)) * 2.0, F.lit(1.0)) + 0.2 * phrase + card
-    return top(candidates.withColumn("score", F.round(raw * F.when(F.length("body") < 100, 0.7).otherwise(1.0), 9)), k)
+    if scorer is not None:
+        return top(candidates.withColumn("score", scorer(F.col("query"), F.col("body"))), k)
+
+    def of_tokens(x: Column) -> Column:
+        return let(F.size(F.array_intersect(x["q"], x["c"])) / F.greatest(F.size(x["q"]), F.lit(1)), of_overlap)
+
+    def of_overlap(overlap: Column) -> Column:
+        phrase = F.when((F.trim("query") != "") & F.contains(F.lower("body"), F.lower(F.trim("query"))), 1.0).otherwise(0.0)
+        card = F.when((overlap > 0) & F.startswith(F.coalesce("section", F.lit("")), F.lit("карточка:")), 0.15).otherwise(0.0)
+        raw = 0.5 * overlap + 0.2 * F.least(F.coalesce("semantic_score", F.lit(0.0)) * 2.0, F.lit(1.0)) + 0.2 * phrase + card
+        return F.round(raw * F.when(F.length("body") < 100, 0.7).otherwise(1.0), 9)
+
+    both = F.struct(F.array_distinct(tokens(F.col("query"), stopwords)).alias("q"), F.array_distinct(tokens(F.col("body"), stopwords)).alias("c"))
+    return top(candidates.withColumn("score", let(both, of_tokens)), k)
 
 
 def hash_embedding(chunks: DataFrame, dim: int = 768, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
@@ -149,10 +204,16 @@ def in_context(chunks: DataFrame) -> DataFrame:
 
 
 def index_fingerprint(provider: str, model: str, dim: int) -> str:
-    """What vectors must agree on to be compared; kept with the table, checked before a search."""
+    """What vectors must agree on to be compared; kept in the table's column ``fingerprint``."""
     return f"{provider}:{model}:{dim}"
 
 
+def same_index(vectors: DataFrame, fingerprint: str) -> DataFrame:
+    """The vectors, each of which must be of that index; one of another fails the search."""
+    other = F.raise_error(F.concat(F.lit(f"a vector is not of index {fingerprint} but of "), F.coalesce("fingerprint", F.lit("none"))))
+    return vectors.where(F.when(F.col("fingerprint") == fingerprint, F.lit(True)).otherwise(other.cast("boolean")))
+
+
 def explain(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = 5, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
     """Snippets that answer questions (query_id, variant, text, vec): hybrid search, rerank, and a shared word at least."""
     found = hybrid(chunks, vectors, questions, max(2 * k, 10)).select("query_id", "chunk_id", "semantic_score")

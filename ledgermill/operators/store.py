@@ -170,6 +170,21 @@ def without_orphans(metrics: DataFrame, facts: DataFrame) -> DataFrame:
     return metrics.join(orphans(metrics, facts).select("name"), "name", "left_anti")
 
 
+def newest_documents(documents: DataFrame, org: int, uid: int | None = None, most: int = 50) -> DataFrame:
+    """The documents of an organisation that the reader may see, newest first."""
+    mine = documents.where((F.col("org_id") == org) & visible_to(uid))
+    return mine.orderBy(F.col("uploaded_at").desc(), F.col("document_id").desc()).limit(most)
+
+
+def delete_user(documents: DataFrame, children: dict[str, DataFrame], uid: int) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Without everything that a user uploaded: documents, back references to them, and their rows elsewhere."""
+    target = documents.where((F.col("uploaded_by") == uid) & (F.col("uploaded_by") != 0)).select("document_id")
+    left = documents.join(target, "document_id", "left_anti")
+    gone = target.select(F.col("document_id").alias("_gone"))
+    left = left.join(gone, left["superseded_by_id"] == F.col("_gone"), "left").withColumn("superseded_by_id", F.when(F.col("_gone").isNull(), F.col("superseded_by_id"))).drop("_gone")
+    return left, {name: rows.join(target, "document_id", "left_anti") for name, rows in children.items()}
+
+
 def unreferenced(files: DataFrame, documents: DataFrame) -> DataFrame:
     return files.join(documents.select("stored_path"), "stored_path", "left_anti")
 

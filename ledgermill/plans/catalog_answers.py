@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.operators import grounding, resolve, store
-from ledgermill.plans import sqlguard
-from ledgermill.plans.testdata import FACTS_SQL, ORG, UID, facts, table
+from ledgermill.plans import dispatch, sqlguard
+from ledgermill.plans.testdata import FACTS_SQL, ORG, UID, facts, oracle, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,32 @@ def resolve_lexical(spark, sf) -> DataFrame:
     none = metrics.limit(0).select("metric_id", F.col("name").alias("text"))
     asked = part.select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", F.lit("how much"), "p_name", "p_type").alias("metric_query"))
     return resolve.lexical(asked, resolve.entries(metrics, none), ())
+
+
+@query(oracle("""SELECT metric || CASE k WHEN 0 THEN '?2000' ELSE '?' END AS query_id, metric, 0 AS step, round(CAST(sum(value) AS DOUBLE), 4) AS total, count(*) AS periods
+ FROM series, (VALUES (0), (1)) t(k) WHERE k = 1 OR year(period_start) = 2000 GROUP BY ALL"""))
+def questions_to_totals(spark, sf) -> DataFrame:
+    """Two questions about every metric, from their words to the figures: intent, years and metric come from the text."""
+    base = facts(spark, sf)
+    metrics = base.select("metric").distinct()
+    ids = metrics.select(F.col("metric").alias("name"), F.xxhash64("metric").alias("metric_id"), F.lit("other").alias("kind"))
+    none = ids.limit(0).select("metric_id", F.col("name").alias("text"))
+    text = F.concat(F.lit("Сколько всего "), "metric", F.when(F.col("k") == 0, " за 2000 год?").otherwise("?"))
+    asked = metrics.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.concat("metric", F.when(F.col("k") == 0, "?2000").otherwise("?")).alias("query_id"), text.alias("text"))
+    got = dispatch.answer_factual(asked, base, resolve.entries(ids, none), ORG, UID)
+    return got.select("query_id", "metric", "step", F.round(F.col("total").cast("double"), 4).alias("total"), "periods")
+
+
+HINTS = "h AS (SELECT p_partkey AS metric_id, p_partkey::VARCHAR AS name, CASE WHEN p_partkey % 3 = 0 THEN (p_partkey // 10)::VARCHAR WHEN p_partkey % 7 = 0 THEN 'раздел ' || p_partkey END AS section, CASE WHEN p_partkey % 2 = 0 THEN (p_partkey // 2)::VARCHAR END AS parent_hint FROM part)"
+
+
+@query(f"WITH {HINTS} SELECT h.metric_id, coalesce(s.metric_id, p.metric_id) AS parent_id FROM h LEFT JOIN h s ON s.name = h.section LEFT JOIN h p ON p.name = h.parent_hint WHERE coalesce(s.metric_id, p.metric_id) <> h.metric_id")
+def link_sections(spark, sf) -> DataFrame:
+    """Parents of metrics from the section and the hint that their facts carry."""
+    k = F.col("p_partkey")
+    scanned = table(spark, sf, "part").select(
+        k.cast("string").alias("metric"), F.when(k % 3 == 0, F.floor(k / 10).cast("string")).when(k % 7 == 0, F.concat(F.lit("раздел "), k.cast("string"))).alias("section"),
+        F.when(k % 2 == 0, F.floor(k / 2).cast("string")).alias("parent_hint"), F.lit("A1").alias("cell_ref"),
+    )
+    dictionary = table(spark, sf, "part").select(k.alias("metric_id"), k.cast("string").alias("name"))
+    return resolve.link_hierarchy(scanned, dictionary).select("metric_id", "parent_id")

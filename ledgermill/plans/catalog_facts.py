@@ -211,6 +211,44 @@ def supersede_candidates(spark, sf) -> DataFrame:
     return store.supersede_candidates(docs)
 
 
+DOCUMENTS = "docs AS (SELECT o_orderkey AS document_id, CAST(o_custkey % 3 AS INTEGER) AS org_id, o_orderdate AS uploaded_at, o_custkey % 5 AS uploaded_by, o_orderkey % 4 = 0 AS is_private, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey + 7 END AS superseded_by_id FROM orders)"
+
+
+def documents(spark, sf) -> DataFrame:
+    """Orders as uploaded documents of three organisations and five users (0 is the system)."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf, "orders").select(
+        k.alias("document_id"), (c % 3).cast("int").alias("org_id"), F.col("o_orderdate").alias("uploaded_at"), (c % 5).alias("uploaded_by"), (k % 4 == 0).alias("is_private"), F.when(k % 7 == 0, k + 7).alias("superseded_by_id")
+    )
+
+
+@query(f"WITH {DOCUMENTS} SELECT document_id, uploaded_at FROM docs WHERE org_id = 1 AND (NOT is_private OR uploaded_by = 2) ORDER BY uploaded_at DESC, document_id DESC LIMIT 50")
+def newest_documents(spark, sf) -> DataFrame:
+    return store.newest_documents(documents(spark, sf), 1, 2).select("document_id", "uploaded_at")
+
+
+@query(f"""WITH {DOCUMENTS}, l AS (SELECT d.*, g.document_id AS gone FROM docs d LEFT JOIN docs g ON g.document_id = d.superseded_by_id AND g.uploaded_by = 2 WHERE d.uploaded_by <> 2)
+SELECT 'documents' AS part, org_id, count(*) AS n, count(CASE WHEN gone IS NULL THEN superseded_by_id END) AS superseded FROM l GROUP BY org_id
+UNION ALL SELECT 'lines', d.org_id, count(*), 0 FROM lineitem JOIN docs d ON d.document_id = l_orderkey WHERE d.uploaded_by <> 2 GROUP BY d.org_id""")
+def delete_user(spark, sf) -> DataFrame:
+    """What is left of documents and lines when user 2 is deleted."""
+    docs = documents(spark, sf)
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"))
+    left, rest = store.delete_user(docs, {"lines": lines}, 2)
+    mine = left.groupBy("org_id").agg(F.count(F.lit(1)).alias("n"), F.count("superseded_by_id").alias("superseded")).select(F.lit("documents").alias("part"), "org_id", "n", "superseded")
+    kept = rest["lines"].join(docs.select("document_id", "org_id"), "document_id").groupBy("org_id").agg(F.count(F.lit(1)).alias("n"))
+    return mine.unionByName(kept.select(F.lit("lines").alias("part"), "org_id", "n", F.lit(0).cast("long").alias("superseded")))
+
+
+@query("""WITH RECURSIVE used(k) AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 49 UNION SELECT k // 10 FROM used WHERE k >= 10) SELECT p_partkey AS part FROM part WHERE p_partkey NOT IN (SELECT k FROM used)""")
+def orphans_of_a_hierarchy(spark, sf) -> DataFrame:
+    """Parts under the part of a tenth of their number: those with no large line in themselves or anything below."""
+    k = F.col("p_partkey")
+    metrics = table(spark, sf, "part").select(k.cast("string").alias("name"), F.when(k >= 10, F.floor(k / 10).cast("string")).alias("parent"))
+    used = table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").cast("string").alias("metric"))
+    return store.orphans(metrics, used).select(F.col("name").cast("long").alias("part"))
+
+
 @query("""SELECT p_partkey AS part FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)""")
 def orphans_anti(spark, sf) -> DataFrame:
     metrics = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("name"), F.lit(None).cast("string").alias("parent"))

@@ -89,6 +89,16 @@ def usage_by_task(spark, sf) -> DataFrame:
     return ledger.usage_snapshot(calls(spark, sf), {}, "task").drop("cost")
 
 
+COST = "CASE event_type WHEN 'click' THEN 0.5 WHEN 'view' THEN 0.1 WHEN 'purchase' THEN 2.0 ELSE 0.0 END + 2 * CASE event_type WHEN 'click' THEN 1.5 WHEN 'view' THEN 0.1 WHEN 'purchase' THEN 4.0 ELSE 0.0 END"
+
+
+@query(f"WITH s AS (SELECT sum(k / 1e6 * ({COST})) AS spent, count(*) FILTER (user_id % 4 = 1) AS questions FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)) SELECT round(spent, 9) AS spent, questions, round(50 - spent, 6) AS \"left\", round(spent / questions, 9) AS per_question, round(greatest(50 - spent, 0) / (spent / questions), 3) AS questions_left FROM s")
+def usage_budget_left(spark, sf) -> DataFrame:
+    """What is left of a budget of 50, and for how many questions (calls of task 1) it will do."""
+    row = ledger.budget_left(calls(spark, sf), PRICES, 50.0, "task1")
+    return row.select(F.round("spent", 9).alias("spent"), "questions", F.round("left", 6).alias("left"), F.round("per_question", 9).alias("per_question"), F.round("questions_left", 3).alias("questions_left"))
+
+
 @query("SELECT event_type AS kind, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY event_type")
 def incident_counts(spark, sf) -> DataFrame:
     return ledger.incident_counts(table(spark, sf, "events").select(F.col("event_type").alias("kind"), "ts"))

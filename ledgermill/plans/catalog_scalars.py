@@ -153,3 +153,69 @@ def stream_month_refresh(spark, sf) -> DataFrame:
     ops = stream.select(F.col("event_type").alias("header"), F.col("ts").cast("date").alias("when"), F.col("value").cast("decimal(28,6)").alias("value"))
     rows = st.run_once(st.month_totals(ops), f"months_{uuid.uuid4().hex}")
     return rows.select("header", "month", F.round(F.col("value").cast("double"), 4).alias("value"), "n")
+
+
+def _cases(values) -> str:
+    return "CASE CAST(o_orderkey % " + str(len(values)) + " AS INTEGER) " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+def _sql(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else "[" + ", ".join(map(str, v)) + "]" if isinstance(v, list) else str(v)
+
+
+#: Questions with what the rules must read in them: metric words, years, months, target year, factor.
+ASKED = (
+    ("Прогноз выручки на 2027 год", "выручки", [2027], [], 2027, None), ("сколько прибыли за март 2025?", "прибыли март", [2025], [3], None, None), ("Сравни расходы 2024 и 2025", "расходы и", [2024, 2025], [], None, None),
+    ("что будет, если темп роста упадёт вдвое", "роста", [], [], None, 0.5), ("покажи", "покажи", [], [], None, None), ("сколько будет аренда, если она вырастет на 20%", "будет аренда она вырастет 20%", [], [], None, 1.2),
+)
+
+
+@query("SELECT o_orderkey AS id, " + ", ".join(f"{_cases([_sql(a[i]) for a in ASKED])} AS {n}" for i, n in ((1, "metric_query"), (4, "target_year"), (5, "scenario"))) + ", CAST(len(" + _cases([_sql(a[2]) + "::INTEGER[]" for a in ASKED]) + ") AS INTEGER) AS n_years FROM orders")
+def classify_questions(spark, sf) -> DataFrame:
+    q = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), pick(tuple(a[0] for a in ASKED), "o_orderkey").alias("q"))
+    got = q.select("id", names.classify(F.col("q")).alias("c"))
+    return got.select("id", F.col("c.metric_query").alias("metric_query"), F.col("c.target_year").alias("target_year"), F.round("c.scenario", 6).alias("scenario"), F.size("c.years").alias("n_years"))
+
+
+#: Forms of periods of a day d, with the type, first and last day that each must give.
+_Y, _Q = "year(d)", "quarter(d)"
+PERIOD_FORMS = (
+    ("concat_ws(' ', '9 мес.', year(d))", "'ytd'", "make_date(year(d), 1, 1)", "make_date(year(d), 9, 30)"),
+    ("concat_ws(' ', '1 полугодие', year(d))", "'halfyear'", "make_date(year(d), 1, 1)", "make_date(year(d), 6, 30)"),
+    ("concat('H2 ', year(d))", "'halfyear'", "make_date(year(d), 7, 1)", "make_date(year(d), 12, 31)"),
+    ("concat(year(d), '-', lpad(month(d), 2, '0'))", "'month'", "CAST(date_trunc('month', d) AS DATE)", "last_day(d)"),
+    ("concat(lpad(month(d), 2, '0'), '.', year(d))", "'month'", "CAST(date_trunc('month', d) AS DATE)", "last_day(d)"),
+    ("concat('III квартал ', year(d))", "'quarter'", "make_date(year(d), 7, 1)", "make_date(year(d), 9, 30)"),
+    ("concat('на 31.12.', year(d))", "'year'", "make_date(year(d), 1, 1)", "make_date(year(d), 12, 31)"),
+    ("concat('за январь - март ', year(d))", "'ytd'", "make_date(year(d), 1, 1)", "make_date(year(d), 3, 31)"),
+    ("concat(year(d), ' год')", "'year'", "make_date(year(d), 1, 1)", "make_date(year(d), 12, 31)"),
+    ("concat('01.01.', year(d), '-31.12.', year(d))", "'year'", "make_date(year(d), 1, 1)", "make_date(year(d), 12, 31)"),
+    ("concat('итоги ', year(d))", "NULL", "NULL", "NULL"),
+)
+
+
+@query("SELECT o_orderkey AS id, " + ", ".join(f"{_cases([f[i] for f in PERIOD_FORMS])} AS {n}" for i, n in ((1, "ptype"), (2, "since"), (3, "until"))) + " FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 24 YEAR AS DATE) AS d FROM orders)")
+def parse_period_forms(spark, sf) -> DataFrame:
+    """Eleven more forms in which reports write periods, and one that is none."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.add_months(F.col("o_orderdate").cast("date"), 288).alias("d"))
+    raw = F.expr("CASE CAST(o_orderkey % " + str(len(PERIOD_FORMS)) + " AS INT) " + " ".join(f"WHEN {i} THEN {f[0]}" for i, f in enumerate(PERIOD_FORMS)) + " END")
+    return o.select(F.col("o_orderkey").alias("id"), periods.parse(raw).alias("p")).select("id", F.col("p.ptype").alias("ptype"), F.col("p.start").alias("since"), F.col("p.end").alias("until"))
+
+
+CYRILLIC_NAMES = ("Выручка от продаж", "Щётки и ящики", "Объём, шт.", "Цех №5", "Юридические услуги")
+
+
+@query("SELECT o_orderkey AS id, trim(regexp_replace(x, '[^a-z0-9]+', '_', 'g'), '_') AS code FROM (SELECT o_orderkey, " + "replace(" * 10 + f"translate(lower({pick_sql(CYRILLIC_NAMES, 'o_orderkey')}), '{names.ONE_TO_ONE[0]}', '{names.ONE_TO_ONE[1]}')" + "".join(f", '{k}', '{v}')" for k, v in names.LETTERS.items()) + " AS x FROM orders)")
+def slug_cyrillic(spark, sf) -> DataFrame:
+    """Latin codes of Russian names."""
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), names.slug(pick(CYRILLIC_NAMES, "o_orderkey")).alias("code"))
+
+
+@query("SELECT o_orderkey AS id, " + ", ".join(f"{_cases(v)} AS {n}" for n, v in (("prompt_tokens", ("o_orderkey", "o_orderkey", "0")), ("cached_tokens", ("7", "o_orderkey // 2", "0")), ("reasoning_tokens", ("3", "0", "0")))) + " FROM orders")
+def provider_usage(spark, sf) -> DataFrame:
+    """Token counters out of providers' answers of two makes, and of none."""
+    k = F.col("o_orderkey").cast("string")
+    one = F.concat(F.lit('{"prompt_tokens": '), k, F.lit(', "completion_tokens": 5, "prompt_tokens_details": {"cached_tokens": 7}, "completion_tokens_details": {"reasoning_tokens": 3}}'))
+    two = F.concat(F.lit('{"prompt_tokens": '), k, F.lit(', "prompt_cache_hit_tokens": '), F.floor(F.col("o_orderkey") / 2).cast("string"), F.lit("}"))
+    body = F.when(F.col("o_orderkey") % 3 == 0, one).when(F.col("o_orderkey") % 3 == 1, two).otherwise("no json")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), names.token_usage(body).alias("u")).select("id", "u.prompt_tokens", "u.cached_tokens", "u.reasoning_tokens")

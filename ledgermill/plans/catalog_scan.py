@@ -343,3 +343,30 @@ def document_units(spark, sf) -> DataFrame:
     said = F.element_at(F.array(F.lit("Единица измерения: тыс. руб.\nОтчёт"), F.lit("суммы (в млн рублей), округлены"), F.lit("Единицы измерения - млрд руб"), F.lit("без единиц")), (F.col("n_nationkey") % 4 + 1).cast("int"))
     texts = table(spark, sf, "nation").select(F.col("n_name").alias("doc_id"), said.alias("text"))
     return grid.document_units(texts).select("doc_id", "unit.multiplier", "unit.currency")
+
+
+@query(f"""WITH {SALES}, v AS (SELECT doc_id, seg, y, sum(v) AS v, CAST(split_part(doc_id, '_', 2) AS INTEGER) % 2 AS odd FROM sales GROUP BY ALL)
+SELECT doc_id, lower(seg) AS metric, CAST(y AS VARCHAR) AS period_label, CAST(v AS DOUBLE) * CASE odd WHEN 1 THEN 1000 ELSE 1 END AS value, CASE odd WHEN 1 THEN 'RUB' END AS currency FROM v""")
+def scan_document_unit(spark, sf) -> DataFrame:
+    """Sheets without a unit beside a document's text that states one (odd files)."""
+    said = F.when(F.split_part("doc_id", F.lit("_"), F.lit(2)).cast("int") % 2 == 1, "Единица измерения: тыс. руб.").otherwise("Отчёт")
+    cells = segment_cells(spark, sf)
+    units = grid.document_units(cells.select("doc_id").distinct().withColumn("text", said))
+    found = grid.scan(grids.grids(as_csv(cells, 1 + len(YEARS))), TODAY, units)
+    return found.select("doc_id", "metric", "period_label", F.col("value").cast("double").alias("value"), "currency")
+
+
+@query("SELECT n_name AS doc_id, n_nationkey % 4 = 0 AS read, CASE n_nationkey % 4 WHEN 1 THEN 'BadZipFile' WHEN 2 THEN 'ValueError' WHEN 3 THEN 'ParseError' END AS reason FROM nation")
+def scan_problem_files(spark, sf) -> DataFrame:
+    """Damaged archives, unknown endings and broken XML give a reason each and leave the other files alone."""
+    n = table(spark, sf, "nation").withColumn("k", F.col("n_nationkey") % 4)
+
+    def broken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make = {0: ("csv", b"a;1\nb;2\n"), 1: ("xlsx", b"no archive"), 2: ("exe", b""), 3: ("ods", zipped({"content.xml": "<open"}))}
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["n_name"], "path": [f"x.{make[k][0]}" for k in pdf["k"]], "content": [make[k][1] for k in pdf["k"]]})
+
+    cells = grids.grids(n.select("n_name", "k").mapInPandas(broken, FILES), strict=False)
+    kind = F.split_part("reason", F.lit(":"), F.lit(1))
+    bad = grids.problems(cells).select("doc_id", F.lit(False).alias("read"), kind.alias("reason"))
+    return bad.unionByName(grids.usable(cells).select("doc_id", F.lit(True).alias("read"), F.lit(None).cast("string").alias("reason")).distinct())

@@ -83,6 +83,44 @@ def knn_per_label(spark, sf) -> DataFrame:
     return near.groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"))
 
 
+ALLOWED = "doc AS (SELECT *, label % 3 = 0 AS hidden, label % 5 = 1 AS old FROM embeddings), ok AS (SELECT * FROM doc WHERE NOT (hidden AND label % 2 <> 1) AND NOT old AND vec_id % 4 <> 3)"
+
+
+def allowed_vectors(spark, sf) -> DataFrame:
+    """The vectors that user 1 may search: documents are labels, private by threes, superseded by fives, of user label % 2."""
+    v = vectors(spark, sf).withColumn("document_id", F.col("label")).withColumn("kind", F.when(F.col("chunk_id") % 4 == 3, "identifier").otherwise("text"))
+    label = F.col("label")
+    documents = v.select("label").distinct().select(label.alias("document_id"), (label % 3 == 0).alias("is_private"), F.when(label % 5 == 1, 0).alias("superseded_by_id"), (label % 2).alias("uploaded_by"))
+    return rt.searchable(v, documents, 1, ("text",))
+
+
+@query(f"WITH {ALLOWED}, {COS}, r AS (SELECT cs.*, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM cs JOIN ok ON ok.vec_id = chunk_id) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
+def knn_visible(spark, sf) -> DataFrame:
+    """Nearest vectors among those that the reader may see, of current documents and of kind text."""
+    q = vectors(spark, sf).where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
+    return rt.nearest(allowed_vectors(spark, sf), q, 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {ALLOWED}, {COS}, h AS (SELECT query_id, chunk_id, min_by(s, f) AS score FROM (SELECT query_id, chunk_id, score AS s, 0 AS f FROM csr JOIN embeddings e ON e.vec_id = chunk_id WHERE rank <= 10 AND label % 3 <> 0 UNION ALL SELECT query_id, chunk_id, round(score * 0.9, 9), 1 FROM csr WHERE rank <= 10) GROUP BY ALL),
+r AS (SELECT h.*, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM h JOIN ok ON ok.vec_id = chunk_id) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+def knn_mirror_merge(spark, sf) -> DataFrame:
+    """Hits of a store that lacks some documents, merged with those of a mirror and checked against what may be seen."""
+    v = vectors(spark, sf)
+    q = v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
+    hits = rt.nearest(v, q, 10).select("query_id", "chunk_id", "score").join(v.select("chunk_id", "label"), "chunk_id")
+    own, mirror = hits.where("label % 3 <> 0").drop("label"), hits.drop("label").withColumn("score", F.round(F.col("score") * 0.9, 9))
+    return rt.merge_hits(own, mirror, allowed_vectors(spark, sf), 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("WITH d AS (SELECT DISTINCT conv_id FROM conversations WHERE NOT (conv_id % 3 = 0 AND conv_id % 2 <> 1) AND conv_id % 5 <> 1) SELECT conv_id AS document_id, role AS section, min(turn) AS turn FROM conversations JOIN d USING (conv_id) GROUP BY ALL")
+def corpus_first_of_section(spark, sf) -> DataFrame:
+    """The search corpus: one chunk a named section of each document that the reader may see."""
+    c = table(spark, sf, "conversations").select(F.col("turn").alias("chunk_id"), F.col("conv_id").alias("document_id"), F.col("role").alias("section"), F.col("text").alias("body"))
+    d = F.col("document_id")
+    documents = c.select("document_id").distinct().select(d, (d % 3 == 0).alias("is_private"), F.when(d % 5 == 1, 0).alias("superseded_by_id"), (d % 2).alias("uploaded_by"))
+    return rt.corpus(rt.searchable(c, documents, 1)).select("document_id", "section", F.col("chunk_id").alias("turn"))
+
+
 SHARED = """sh0 AS (SELECT item_id AS query_id, doc_id AS chunk_id, count(*) AS c FROM q JOIN post USING (term) GROUP BY ALL), sh AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, chunk_id) AS INTEGER) AS rank FROM sh0 QUALIFY rank <= 12)"""
 
 
@@ -90,9 +128,10 @@ SHARED = """sh0 AS (SELECT item_id AS query_id, doc_id AS chunk_id, count(*) AS
 def rrf_fusion(spark, sf) -> DataFrame:
     """BM25 fused with a list by the number of shared words."""
     c, items = chunks(spark, sf), asked(spark, sf)
-    sparse = rt.bm25(c, items, 12, NONE).select("query_id", "chunk_id", "rank")
-    terms = items.select("query_id", F.explode(F.array_distinct(rt.tokens(F.col("text"), NONE))).alias("term"))
-    shared = rt.top(terms.join(rt.postings(c, NONE, terms), "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("score")), 12).select("query_id", "chunk_id", "rank")
+    terms = rt.asked_terms(items, NONE).select("query_id", "term")
+    postings = rt.index(c, NONE, terms)
+    sparse = rt.bm25(c, items, 12, NONE, postings).select("query_id", "chunk_id", "rank")
+    shared = rt.top(terms.join(postings, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("score")), 12).select("query_id", "chunk_id", "rank")
     return rt.fuse(sparse.unionByName(shared), 8).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgermill.operators import analytics as an
 from ledgermill.operators import store
@@ -61,3 +62,21 @@ def answer(facts: DataFrame, intent: str, org: int, uid: int | None, metric: str
     if intent == "forecast":
         return forecast(an.yearly(rows), target_year=target_year)
     return an.last_values(rows).orderBy("metric").limit(30)
+
+
+def answer_factual(questions: DataFrame, facts: DataFrame, dictionary: DataFrame, org: int, uid: int | None) -> DataFrame:
+    """Totals that answer factual questions (query_id, text), all of them in one plan.
+
+    Questions are classified by rules, their words resolved against the dictionary (``resolve.entries``) by name and then by
+    words, and the series met on (metric, period): with years only the periods that touch one of them count.
+    """
+    from ledgermill.functions import names
+    from ledgermill.operators import resolve as rs
+
+    asked = questions.select("query_id", F.inline(F.array(names.classify(F.col("text"))))).where("intent = 'factual'")
+    found = rs.resolve(rs.exact(asked, dictionary), rs.lexical(asked, dictionary)).select("query_id", "metric_id", "step")
+    named = dictionary.where("from_synonym = 0").select("metric_id", F.col("name").alias("metric"))
+    wanted = asked.join(found, "query_id").join(named, "metric_id").select("query_id", "metric", "years", "step")
+    rows = wanted.join(store.series(facts, org, uid, review=False), "metric")
+    kept = rows.where((F.size("years") == 0) | F.exists("years", lambda y: y.between(F.year("period_start"), F.year("period_end"))))
+    return an.total(kept, ("query_id", "metric", "step"))

@@ -25,6 +25,8 @@ MAX_FILE, MAX_UNPACKED, MAX_ENTRIES = 20 << 20, 300 << 20, 5_000
 MAX_COLUMNS, MAX_ROWS, MAX_BLANK = 512, 50_000, 200
 FORMATS = {"xlsx": "xlsx", "csv": "csv", "txt": "text", "html": "html", "htm": "html", "ods": "ods", "docx": "docx"}
 Row = tuple[str, int, int, str, str]
+#: Cell type of the row that stands for a file that could not be read.
+ERROR = "error"
 
 
 def text_grid(texts: DataFrame, gap: str = r"\s{2,}", least_columns: int = 2, least_rows: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,7 +208,7 @@ def ods_cells(data: bytes) -> Iterator[Row]:
     for table in _all(root, "table"):
         r = 0
         for row in _all(table, "table-row"):
-            again = min(int(attr(row, "number-rows-repeated") or 1), MAX_BLANK)
+            again = int(attr(row, "number-rows-repeated") or 1)
             cells, c = [], 0
             for cell in row:
                 if _local(cell.tag) not in ("table-cell", "covered-table-cell"):
@@ -218,7 +220,7 @@ def ods_cells(data: bytes) -> Iterator[Row]:
                     as_ = "date" if kind == "date" else "number" if kind in ("float", "currency", "percentage") else "text"
                     cells += [(c + k, raw.strip(), as_) for k in range(min(times, MAX_COLUMNS - c))]
                 c += times
-            for k in range(again if cells else 1):
+            for k in range(min(again, MAX_ROWS - r) if cells else 0):
                 for col, raw, as_ in cells:
                     yield attr(table, "name") or "", r + k, col, raw, as_
             r += again
@@ -258,21 +260,48 @@ def line_cells(data: bytes) -> Iterator[Row]:
 READERS = {"xlsx": xlsx_cells, "csv": csv_cells, "html": html_cells, "ods": ods_cells, "docx": docx_cells, "text": line_cells}
 
 
-def read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def cells_of(path: str, content: bytes) -> list[Row]:
+    ext = path.rpartition(".")[2].lower()
+    if ext not in FORMATS:
+        raise ValueError(f"no reader for .{ext}")
+    if len(content) > MAX_FILE:
+        raise ValueError(f"{path} is larger than {MAX_FILE} bytes")
+    return list(READERS[FORMATS[ext]](content))
+
+
+def reader(strict: bool):
     names = [c.split()[0] for c in GRID.split(", ")]
-    for pdf in batches:
-        for doc_id, path, content in zip(pdf["doc_id"], pdf["path"], pdf["content"], strict=True):
-            ext = path.rpartition(".")[2].lower()
-            if ext not in FORMATS:
-                raise ValueError(f"no reader for .{ext}")
-            if len(content) > MAX_FILE:
-                raise ValueError(f"{path} is larger than {MAX_FILE} bytes")
-            yield pd.DataFrame([(doc_id, *cell) for cell in READERS[FORMATS[ext]](content)], columns=names)
-
-
-def grids(files: DataFrame) -> DataFrame:
-    """Long grid of files (doc_id, path, content); the path's ending names the format, another one is an error."""
-    return files.select(F.col("doc_id").cast("string").alias("doc_id"), "path", "content").mapInPandas(read_files, GRID)
+
+    def read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc_id, path, content in zip(pdf["doc_id"], pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows = cells_of(path, content)
+                except (ValueError, KeyError, IndexError, TypeError, AttributeError, zipfile.BadZipFile, ElementTree.ParseError, csv.Error) as e:
+                    if strict:
+                        raise
+                    rows = [("", -1, -1, f"{type(e).__name__}: {e}", ERROR)]
+                yield pd.DataFrame([(doc_id, *cell) for cell in rows], columns=names)
+
+    return read_files
+
+
+def grids(files: DataFrame, strict: bool = True) -> DataFrame:
+    """Long grid of files (doc_id, path, content); the path's ending names the format.
+
+    A file that can't be read (another ending, too large, damaged) fails the job, or without ``strict`` gives one row of
+    cell type ERROR that says why; ``usable`` and ``problems`` part the two.
+    """
+    return files.select(F.col("doc_id").cast("string").alias("doc_id"), "path", "content").mapInPandas(reader(strict), GRID)
+
+
+def usable(grid: DataFrame) -> DataFrame:
+    return grid.where(F.col("cell_type") != ERROR)
+
+
+def problems(grid: DataFrame) -> DataFrame:
+    """(doc_id, reason) of the files that could not be read."""
+    return grid.where(F.col("cell_type") == ERROR).select("doc_id", F.col("raw").alias("reason"))
 
 
 def folder(spark: SparkSession, path: str) -> DataFrame:

@@ -240,3 +240,44 @@ def test_ledger_reports(spark):
     rep = {str(r["month"]): float(r["balance_expense_minus_income"]) for r in ledger.month_report(ops.withColumn("month", F.trunc("when", "MM"))).collect()}
     assert rep == {"2024-01-01": 5.0, "2024-02-01": 2.0, "None": 7.0}
     assert {r["op_id"] for r in ledger.undo_last(ops.withColumn("header", F.lower("header"))).collect()} == {1, 2}
+
+
+def test_short_known_names_are_found(spark):
+    new = spark.createDataFrame([("общая НД",), ("ab",), ("x",), ("",)], "name string")
+    known = spark.createDataFrame([("НД",), ("a",), ("x",), ("",)], "name string")
+    assert {(r["name"], r["parent"]) for r in store.containment_parent(new, known).collect()} == {("общая НД", "НД"), ("ab", "a")}
+
+
+def test_a_period_end_has_one_point(spark):
+    from datetime import date
+
+    rows = [(1, "m", "fact", 1, "month", date(2024, 12, 1), date(2024, 12, 31), 5.0), (1, "m", "fact", 1, "year", date(2024, 1, 1), date(2024, 12, 31), 60.0), (1, "m", "fact", 2, "month", date(2024, 11, 1), date(2024, 11, 30), 4.0)]
+    facts = spark.createDataFrame(rows, "org_id int, metric string, variant string, document_id long, period_type string, period_start date, period_end date, value double")
+    assert {(r["period_type"], r["value"]) for r in store.latest_wins(facts).collect()} == {("year", 60.0), ("month", 4.0)}
+    later = facts.unionByName(facts.where("period_type = 'month'").withColumn("document_id", F.lit(9).cast("long")).withColumn("value", F.lit(7.0)))
+    assert {r["value"] for r in store.latest_wins(later).collect()} == {7.0}
+
+
+def test_deletion_leaves_no_orphans(spark):
+    metrics = spark.createDataFrame([(str(k), str(k - 1) if k else None) for k in range(20)] + [("used", None), ("child", "used")], "name string, parent string")
+    facts = spark.createDataFrame([("child",)], "metric string")
+    assert {r["name"] for r in store.without_orphans(metrics, facts).collect()} == {"used", "child"}
+
+
+def test_confirmed_facts_are_certain(spark):
+    facts = spark.createDataFrame([(1, True, 0.5), (2, True, 0.5)], "document_id long, needs_review boolean, confidence double")
+    assert {tuple(r) for r in store.confirm(facts, 1).collect()} == {(1, False, 1.0), (2, True, 0.5)}
+
+
+def test_vectors_of_another_index_fail(spark):
+    v = spark.createDataFrame([(1, "hash:md5:64"), (2, "hash:md5:32")], "chunk_id long, fingerprint string")
+    want = rt.index_fingerprint("hash", "md5", 64)
+    assert rt.same_index(v.where("chunk_id = 1"), want).count() == 1
+    with pytest.raises(Exception, match="not of index"):
+        rt.same_index(v, want).collect()
+
+
+def test_share_needs_the_same_unit(spark):
+    rows = [("a", "p", "RUB", 10.0), ("b", "p", None, 5.0), ("p", None, "RUB", 40.0)]
+    s = spark.createDataFrame([(m, p, "шт" if c is None else "руб", c, "year", "2024-12-31", v) for m, p, c, v in rows], "metric string, parent string, unit string, currency string, period_type string, period_end string, value double")
+    assert {r["metric"]: r["share_pct"] for r in an.share_in_parent(s).collect()} == {"a": 25.0, "b": None, "p": None}
