@@ -9,8 +9,9 @@
 3. Only representatives in a candidate group fetch their shingles again.  A group of up to ``BLOCK`` texts is verified
    whole, all its pairs.  A larger one is dealt into blocks by locality: each text belongs to the largest of its buckets, and that to as
    many blocks as it needs.  Two blocks meet only where some bucket has texts of both, so a long chain of groups costs what its
-   links cost, not the square of its length; full sets are intersected there, and what leaves is a row for each text (its
-   links, and a root of the links seen), never a pair.  Pairs that share a band are verified at every size; a small group's
+   links cost, not the square of its length.  Of two that meet the smaller one goes to the larger, so the many small blocks
+   around a few large ones cost little.  Full sets are intersected there, and what leaves is a row for each text (its links,
+   and a root of the links seen), never a pair.  Pairs that share a band are verified at every size; a small group's
    other pairs are too.
 4. Links add up per text; components of the roots are the classes.
 
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermill.llm.common import stash
@@ -47,6 +48,8 @@ BLOCK, SPLIT = 1024, 24
 #: A block holds about this many shingles at most (unless one text has more), which bounds a task's memory.
 BLOCK_SHINGLES = 2_000_000
 COLUMNS = 2048
+#: The batch of a block's own pairs.
+OWN = -1
 
 
 def band_plan(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -156,11 +159,11 @@ def roots(links: np.ndarray) -> np.ndarray:
 
 
 def verify(threshold: float):
-    """Rows ordered by (bi, bj): each run of equal keys is a block or a pair of blocks."""
+    """Rows ordered by (block, batch): each run of equal keys is a block's own pairs, or those with a batch of other blocks."""
 
-    def links_of(nodes: list[int], copies: list[int], sides: list[int], sets: list[bytes], bi: int, bj: int) -> pd.DataFrame:
+    def links_of(nodes: list[int], copies: list[int], sides: list[int], sets: list[bytes], block: int, batch: int) -> pd.DataFrame:
         arrays = [np.frombuffer(s, dtype=np.uint64) for s in sets]
-        found = linked(arrays, np.array(sides) == bi, bi != bj, threshold)
+        found = linked(arrays, np.array(sides) == block, batch != OWN, threshold)
         some = np.flatnonzero(found.any(axis=1))
         ids = np.array(nodes)
         return pd.DataFrame({"node": ids[some], "n_text_links": found[some].sum(axis=1).astype(np.int64), "n_doc_links": (found[some] @ np.array(copies, dtype=np.int64)), "root": ids[roots(found)[some]]})
@@ -168,11 +171,11 @@ def verify(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, ([], [], [], [])
         for pdf in batches:
-            for bi, bj, node, copies, side, items in zip(*(pdf[c] for c in ("bi", "bj", "node", "copies", "side", "items")), strict=True):
-                if (bi, bj) != key:
+            for block, batch, node, copies, side, items in zip(*(pdf[c] for c in ("block", "batch", "node", "copies", "side", "items")), strict=True):
+                if (block, batch) != key:
                     if len(held[0]) > 1:
                         yield links_of(*held, *key)
-                    key, held = (bi, bj), ([], [], [], [])
+                    key, held = (block, batch), ([], [], [], [])
                 for x, to in zip((node, copies, side, items), held, strict=True):
                     to.append(x)
         if len(held[0]) > 1:
@@ -182,7 +185,10 @@ def verify(threshold: float):
 
 
 def dealt(tied: DataFrame, posted: DataFrame, block: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
-    """(node, side) of every candidate, and the pairs of sides (bi <= bj) to be verified; a side is a block's number."""
+    """(node, side) of every candidate, and which sides meet in which task; a side is a block's number.
+
+    A task is a (block, batch): the block's own texts and, but for batch OWN, those of other blocks that are held against it.
+    """
     groups = tied.groupBy("grp").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
     # Groups of a block at most: cut by hash for the tasks' sake, all parts meet.
     small = groups.where(F.col("texts") <= block).select("grp", F.greatest(F.least(F.lit(SPLIT), F.ceil(F.col("texts") * SPLIT / (2 * block))), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("blocks"))
@@ -200,7 +206,17 @@ def dealt(tied: DataFrame, posted: DataFrame, block: int, block_shingles: int) -
     far = stash(anchor.join(parts, "home").select("node", F.xxhash64(F.lit("bucket"), "home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("side")), "large-group-sides")
     joined = inside.select("node", "bucket").join(far, "node").select("bucket", "side").distinct().groupBy("bucket").agg(F.collect_list("side").alias("sides"))
     far_met = joined.select(F.explode("sides").alias("x"), "sides").select("x", F.explode(F.filter("sides", lambda y: y >= F.col("x"))).alias("y"))
-    return near.unionByName(far), met.unionByName(far_met).select(F.least("x", "y").alias("bi"), F.greatest("x", "y").alias("bj")).distinct()
+    sides = stash(near.unionByName(far), "sides")
+    # Of two blocks that meet, the smaller one goes to the larger; what goes to one block comes in batches of a block's size.
+    sized = sides.groupBy("side").agg(F.count(F.lit(1)).alias("texts"))
+    met = met.unionByName(far_met).distinct()
+    for end in ("x", "y"):
+        met = met.join(sized.select(F.col("side").alias(end), F.struct("texts", "side").alias(f"of_{end}")), end)
+    uneven = met.where("x <> y").select(F.greatest("of_x", "of_y").alias("to"), F.least("of_x", "of_y").alias("from")).select(F.col("to.side").alias("block"), F.col("from.side").alias("side"), "from.texts")
+    before = Window.partitionBy("block").orderBy("side").rowsBetween(Window.unboundedPreceding, -1)
+    guests = stash(uneven.distinct().select("block", F.floor(F.coalesce(F.sum("texts").over(before), F.lit(0)) / block).cast("int").alias("batch"), "side"), "block-meetings")
+    hosts = guests.select("block", "batch").distinct().unionByName(sized.select(F.col("side").alias("block"), F.lit(OWN).alias("batch"))).select("block", "batch", F.col("block").alias("side"))
+    return sides, guests.unionByName(hosts)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -220,15 +236,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
     stars = posted.join(buckets, "bucket").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
     groups = stash(components(stars, "candidates").select("node", F.col("root").alias("grp")), "groups")
     tied = stash(reps.select("node", "rep", "copies", "n").join(groups, "node"), "candidates")
-    sides, pairs = dealt(tied, posted, block, block_shingles)
+    sides, tasks = dealt(tied, posted, block, block_shingles)
     texts = base.join(tied.select("node", "rep.*").hint("shuffle_hash"), ["doc_id", "mark"]).select("node", "text")
     items = texts.mapInPandas(fetch(words), "node long, items binary").dropDuplicates(["node"])
-    # A block's texts go wherever it meets another block, or itself.
-    ends = pairs.select(F.col("bi").alias("side"), "bi", "bj").unionByName(pairs.where("bi <> bj").select(F.col("bj").alias("side"), "bi", "bj"))
-    meets = ends.groupBy("side").agg(F.collect_list(F.struct("bi", "bj")).alias("meet"))
-    sent = tied.select("node", "copies").join(sides, "node").join(meets, "side").join(items, "node").select("node", "copies", "side", "items", F.explode("meet").alias("meet")).select("meet.*", "node", "copies", "side", "items")
+    sent = tied.select("node", "copies").join(sides, "node").join(items, "node").join(tasks.groupBy("side").agg(F.collect_list(F.struct("block", "batch")).alias("tasks")), "side")
+    sent = sent.select("node", "copies", "side", "items", F.explode("tasks").alias("task")).select("task.*", "node", "copies", "side", "items")
     found = stash(
-        sent.repartition("bi", "bj").sortWithinPartitions("bi", "bj", "node").mapInPandas(verify(threshold), "node long, n_text_links long, n_doc_links long, root long"),
+        sent.repartition("block", "batch").sortWithinPartitions("block", "batch", "node").mapInPandas(verify(threshold), "node long, n_text_links long, n_doc_links long, root long"),
         "links",
     )
     counts = found.groupBy("node").agg(F.sum("n_text_links").alias("n_text_links"), F.sum("n_doc_links").alias("n_doc_links"))
