@@ -54,7 +54,7 @@ def lexical(questions: DataFrame, dictionary: DataFrame, stopwords: tuple[str, .
     whole = questions.select("query_id", _squeezed(F.col("metric_query")).alias("all")).withColumn("gram", F.explode(grams(F.col("all"))))
     glued = named.select("name", "metric_id", "from_synonym", F.size("words").alias("n"), _squeezed(F.col("name")).alias("glued")).where(F.length("glued") >= 4).withColumn("gram", F.left("glued", F.lit(4)))
     inside = whole.join(glued, "gram").where(F.contains("all", "glued") & (F.col("n") > 0)).select("query_id", "name", "metric_id", "from_synonym", "n")
-    w = Window.partitionBy("query_id").orderBy(F.col("n").desc(), "from_synonym", "name")
+    w = Window.partitionBy("query_id").orderBy(F.col("n").desc(), "from_synonym", "name", "metric_id")
     return met.union(inside).distinct().withColumn("_r", F.row_number().over(w)).where("_r = 1").select("query_id", "metric_id", "name")
 
 

@@ -66,9 +66,15 @@ def resolve_exact(spark, sf) -> DataFrame:
     return resolve.exact(asked, resolve.entries(metrics, none))
 
 
-@query()
+_ASKED = "lower('how much ' || p_name || ' ' || p_type)"
+
+
+@query(f"""WITH d AS (SELECT name, min(metric_id) AS metric_id, any_value(ws) AS ws, replace(lower(name), ' ', '') AS g FROM (SELECT p_name AS name, p_partkey AS metric_id, list_distinct(list_transform(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) > 1), lambda w: w[1:5])) AS ws FROM part) GROUP BY name),
+q AS (SELECT p_partkey AS query_id, list_transform(string_split({_ASKED}, ' '), lambda w: w[1:5]) AS ts, replace({_ASKED}, ' ', '') AS g FROM part)
+SELECT query_id, metric_id, name FROM q, d WHERE (len(list_filter(d.ws, lambda w: len(list_filter(q.ts, lambda t: t = w OR (length(w) < 5 AND starts_with(t, w)))) > 0)) = len(d.ws)) OR (length(d.g) >= 4 AND contains(q.g, d.g))
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY len(d.ws) DESC, name) = 1""")
 def resolve_lexical(spark, sf) -> DataFrame:
-    """Lines of the conversations against the parts' names as a dictionary."""
+    """Questions about parts, by name and type, against the parts' names as a dictionary."""
     part = table(spark, sf, "part")
     metrics = part.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("metric_id"), F.lit("other").alias("kind"))
     none = metrics.limit(0).select("metric_id", F.col("name").alias("text"))
