@@ -78,6 +78,28 @@ def compare_previous(years: DataFrame, complete_only: bool = True) -> DataFrame:
     return out.withColumn("abs_change", F.col("value") - F.col("previous")).withColumn("change_pct", ratio(F.col("abs_change"), F.col("previous")) * 100)
 
 
+def compare_latest(years: DataFrame) -> DataFrame:
+    """Without named years: each metric's last two full years or, where it has fewer, its first and last period."""
+    full = F.filter("_p", lambda x: x["months"] == 12)
+    points = years.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("period_end", "period_label", "value", "months"))).alias("_p")).withColumn("_full", full).where(F.size("_p") >= 2)
+    two = F.when(F.size("_full") >= 2, F.slice("_full", -2, 2)).otherwise(F.array(F.element_at("_p", 1), F.element_at("_p", -1)))
+    ends = points.select("metric", two.alias("_e")).select("metric", F.col("_e")[0].alias("a"), F.col("_e")[1].alias("b"))
+    out = ends.select("metric", F.col("a.period_label").alias("label_from"), F.col("b.period_label").alias("label_to"), F.col("a.value").alias("first_value"), F.col("b.value").alias("last_value"))
+    return out.withColumn("abs_change", F.col("last_value") - F.col("first_value")).withColumn("change_pct", ratio(F.col("abs_change"), F.col("first_value")) * 100)
+
+
+def compare_year(years: DataFrame, year: int) -> DataFrame:
+    """A single named year against the period before it, complete or not."""
+    return compare_previous(years, complete_only=False).where(F.year("period_end") == year)
+
+
+def breakdown_of(asked: DataFrame, series: DataFrame, own: DataFrame | None = None, top: int = TOP) -> DataFrame:
+    """Breakdowns of the metrics asked for (metric, parent): of its own children or, for a total or a leaf without any, of its parent's."""
+    parents = series.where("parent is not null").select(F.col("parent").alias("metric")).distinct().withColumn("_has", F.lit(True))
+    target = asked.join(parents, "metric", "left").select(F.col("metric").alias("asked"), F.when(F.col("_has"), F.col("metric")).otherwise(F.col("parent")).alias("parent"))
+    return target.join(breakdown(series, own, top), "parent")
+
+
 def plan_fact(facts: DataFrame) -> DataFrame:
     """Plan and fact of the last period that has both, and the deviation in percent of the plan."""
     both = (

@@ -92,6 +92,30 @@ PLAN_FACT = """, pf AS (
  SELECT metric, period_end, max(value) FILTER (variant = 'plan') AS plan, max(value) FILTER (variant = 'fact') AS fact FROM both_ GROUP BY ALL HAVING plan IS NOT NULL AND fact IS NOT NULL)"""
 
 
+ENDS = """pts AS (SELECT *, count(*) FILTER (months = 12) OVER (PARTITION BY metric) AS f, count(*) OVER (PARTITION BY metric) AS n, row_number() OVER (PARTITION BY metric ORDER BY period_end) AS k, row_number() OVER (PARTITION BY metric, months = 12 ORDER BY period_end DESC) AS r FROM years),
+a AS (SELECT * FROM pts WHERE n >= 2 AND CASE WHEN f >= 2 THEN months = 12 AND r = 2 ELSE k = 1 END), b AS (SELECT * FROM pts WHERE n >= 2 AND CASE WHEN f >= 2 THEN months = 12 AND r = 1 ELSE k = n END)"""
+
+
+@query(oracle(f"SELECT metric, a.period_label AS label_from, b.period_label AS label_to, {n('b.value - a.value', 'abs_change')}, round(100 * CAST(b.value - a.value AS DOUBLE) / nullif(CAST(a.value AS DOUBLE), 0), 6) AS change_pct FROM a JOIN b USING (metric)", ENDS))
+def compare_latest(spark, sf) -> DataFrame:
+    return an.compare_latest(an.yearly(series(spark, sf))).select("metric", "label_from", "label_to", num("abs_change").alias("abs_change"), F.round("change_pct", 6).alias("change_pct"))
+
+
+@query(oracle(f"SELECT metric, {n('value', 'value')}, {n('previous', 'previous')} FROM (SELECT *, lag(value) OVER (PARTITION BY metric ORDER BY period_end) AS previous FROM years) WHERE previous IS NOT NULL AND year(period_end) = 1999"))
+def compare_year(spark, sf) -> DataFrame:
+    return an.compare_year(an.yearly(series(spark, sf)), 1999).select("metric", num("value").alias("value"), num("previous").alias("previous"))
+
+
+@query(oracle("""SELECT asked, parent, count(*) AS items, max_by(metric, (value, metric)) AS "first" FROM (SELECT m.metric AS asked, x.parent, x.metric, x.value, row_number() OVER (PARTITION BY m.metric ORDER BY x.value DESC, x.metric) AS r
+ FROM (SELECT DISTINCT metric, parent FROM series UNION SELECT DISTINCT parent, CAST(NULL AS VARCHAR) FROM series) m JOIN last x ON x.parent = coalesce(m.parent, m.metric)) WHERE r <= 12 GROUP BY ALL""",
+ "cover AS (SELECT parent, period_end, count(DISTINCT metric) AS n FROM series GROUP BY ALL), whole AS (SELECT parent, count(DISTINCT metric) AS n FROM series GROUP BY ALL), ends AS (SELECT parent, max(period_end) AS period_end FROM cover JOIN whole USING (parent) WHERE cover.n >= least(2, whole.n) GROUP BY parent), last AS (SELECT parent, metric, sum(value) AS value FROM series JOIN ends USING (parent, period_end) GROUP BY ALL)"))
+def breakdown_of_any(spark, sf) -> DataFrame:
+    """A leaf asked for its parts gives those of its parent, with itself among them."""
+    s = series(spark, sf)
+    asked = s.select("metric", "parent").union(s.select(F.col("parent").alias("metric"), F.lit(None).cast("string"))).distinct()
+    return an.breakdown_of(asked, s).groupBy("asked", "parent").agg(F.count(F.lit(1)).alias("items"), F.min_by("metric", "rank").alias("first"))
+
+
 @query(oracle(
     f"SELECT metric, period_end, {n('plan', 'plan')}, {n('fact', 'fact')}, {n('fact - plan', 'deviation')}, round(100 * CAST(fact - plan AS DOUBLE) / nullif(CAST(plan AS DOUBLE), 0), 6) AS deviation_pct FROM pf QUALIFY row_number() OVER (PARTITION BY metric ORDER BY period_end DESC) = 1",
     series_sql("plan", "planned"), "both_ AS (SELECT * FROM series UNION ALL SELECT * FROM planned)" + PLAN_FACT,

@@ -53,10 +53,11 @@ def answer(facts: DataFrame, intent: str, org: int, uid: int | None, metric: str
         return an.total(store.in_years(rows, years) if years else rows)
     if intent == "compare":
         by_year = an.yearly(rows)
-        return an.compare_years(by_year, min(years), max(years)) if len(years) >= 2 else an.compare_previous(by_year)
+        return an.compare_years(by_year, min(years), max(years)) if len(years) >= 2 else an.compare_year(by_year, years[0]) if years else an.compare_latest(by_year)
     if intent == "breakdown":
-        out = an.breakdown(store.in_years(rows, years) if years else rows)
-        return out.where(out["parent"] == metric) if metric else out
+        rows = store.in_years(rows, years) if years else rows
+        asked = rows.where(F.col("metric") == metric).select("metric", "parent").union(rows.where(F.col("parent") == metric).select(F.col("parent").alias("metric"), F.lit(None).cast("string"))).groupBy("metric").agg(F.max("parent").alias("parent"))
+        return an.breakdown_of(asked, rows) if metric else an.breakdown(rows)
     if intent == "rank":
         return an.month_rank(rows) if metric else an.growth_rank(an.yearly(rows))
     if intent == "forecast":
