@@ -140,12 +140,12 @@ def fuse(lists: DataFrame, k: int = 8) -> DataFrame:
     return top(lists.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 12).alias("score")), k)
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 8, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
     """Text and vector search of every variant of a query (query_id, variant, text, vec), fused."""
     deep = max(3 * k, 12)
     key = F.concat_ws("#", F.col("query_id").cast("string"), F.col("variant").cast("string"))
     q = queries.withColumn("_key", key)
-    sparse = bm25(chunks, q.select(F.col("_key").alias("query_id"), "text"), deep).withColumn("source", F.lit("text"))
+    sparse = bm25(chunks, q.select(F.col("_key").alias("query_id"), "text"), deep, stopwords).withColumn("source", F.lit("text"))
     dense = nearest(vectors, q.select(F.col("_key").alias("query_id"), "vec"), deep).withColumn("source", F.lit("vector"))
     both = sparse.unionByName(dense).withColumn("query_id", F.split_part("query_id", F.lit("#"), F.lit(1)))
     sem = both.groupBy("query_id", "chunk_id").agg(F.max(F.when(F.col("source") == "vector", F.col("score"))).alias("semantic_score"))

@@ -126,7 +126,16 @@ def anonymize_texts(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", names.anonymize(F.col("text")).alias("masked"))
 
 
-@query()
+_WORDS = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')"
+_FULL = "(a.n + x.n > 300 AND a.n > 0)"
+_HEAD = f"CASE WHEN {_FULL} THEN array_to_string({_WORDS.format('a.now')}[-50:], ' ') ELSE a.now END"
+
+
+@query(f"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\r?\\n[ \\t]*\\r?\\n'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents),
+f AS (SELECT doc_id, list_reduce(list_prepend({{'done': []::VARCHAR[], 'now': '', 'n': 0}}, list_transform(ps, lambda x: {{'done': []::VARCHAR[], 'now': x, 'n': CAST(len({_WORDS.format('x')}) AS INTEGER)}})), lambda a, x: {{
+  'done': CASE WHEN {_FULL} THEN list_append(a.done, a.now) ELSE a.done END, 'now': CASE WHEN {_HEAD} = '' THEN x.now ELSE {_HEAD} || chr(10) || chr(10) || x.now END,
+  'n': CAST(CASE WHEN {_FULL} THEN least(50, len({_WORDS.format('a.now')})) ELSE a.n END + x.n AS INTEGER)}}) AS s FROM p)
+SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk, unnest(c) AS body FROM (SELECT doc_id, CASE WHEN s.now = '' THEN s.done ELSE list_append(s.done, s.now) END AS c FROM f)""")
 def split_document_chunks(spark, sf) -> DataFrame:
     lines = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
     return table(spark, sf, "documents").select("doc_id", F.posexplode(names.split_chunks(lines)).alias("chunk", "body"))

@@ -144,14 +144,24 @@ def heuristic_rerank(spark, sf) -> DataFrame:
     return rt.rerank(rows, 8, NONE).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+HYBRID = f"""{BM25}, tk AS (SELECT 'q' AS s, item_id AS id, term, count(*) AS tf FROM (SELECT item_id, unnest({TOKS.format('text')}) AS term FROM benchmark) GROUP BY ALL UNION ALL SELECT 'd', doc_id, term, tf FROM post),
+cell AS (SELECT s, id, CAST('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2] AS BIGINT) % 64 AS spot, sum(CASE WHEN CAST('0x' || h[9:10] AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END * (1 + ln(tf))) AS w FROM (SELECT *, md5(term) AS h FROM tk) GROUP BY ALL),
+vec AS (SELECT s, id, spot, CAST(CAST(w / sqrt(sum(w * w) OVER (PARTITION BY s, id)) AS FLOAT) AS DOUBLE) AS x FROM cell), nrm AS (SELECT s, id, sqrt(sum(x * x)) AS n FROM vec GROUP BY ALL),
+dots AS (SELECT a.id AS query_id, b.id AS chunk_id, sum(a.x * b.x) AS dot FROM vec a JOIN vec b USING (spot) WHERE a.s = 'q' AND b.s = 'd' GROUP BY ALL),
+sim AS (SELECT i.item_id AS query_id, d.doc_id AS chunk_id, round(coalesce(dot / (x.n * y.n), 0), 9) AS score FROM benchmark i CROSS JOIN documents d LEFT JOIN dots ON dots.query_id = i.item_id AND dots.chunk_id = d.doc_id LEFT JOIN nrm x ON x.s = 'q' AND x.id = i.item_id LEFT JOIN nrm y ON y.s = 'd' AND y.id = d.doc_id),
+simr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sim QUALIFY rank <= 24),
+f AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 12) AS score, max(v) AS sem FROM (SELECT query_id, chunk_id, rank, NULL AS v FROM bmr WHERE rank <= 24 UNION ALL SELECT query_id, chunk_id, rank, score FROM simr) GROUP BY ALL)"""
+
+
+@query(f"WITH {HYBRID} SELECT CAST(query_id AS VARCHAR) AS query_id, chunk_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank, round(sem, 6) AS semantic_score FROM f QUALIFY rank <= 8")
 def hybrid_search(spark, sf) -> DataFrame:
     """Benchmark items against documents by words and by hashed vectors, fused."""
     c = chunks(spark, sf)
     vec = rt.hash_embedding(c, 64, NONE)
     items = asked(spark, sf)
     qv = rt.hash_embedding(items.select(F.col("query_id").alias("chunk_id"), F.col("text").alias("body")), 64, NONE).withColumnRenamed("chunk_id", "query_id")
-    return rt.hybrid(c, vec, items.join(qv, "query_id").withColumn("variant", F.lit(0)), 8)
+    found = rt.hybrid(c, vec, items.join(qv, "query_id").withColumn("variant", F.lit(0)), 8, NONE)
+    return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank", F.round("semantic_score", 6).alias("semantic_score"))
 
 
 @query("SELECT a.doc_id AS file_id, sha256(a.text) AS file_hash, min(b.doc_id) AS original_id FROM documents a JOIN documents b ON sha256(a.text) = sha256(b.text) AND a.source = b.source GROUP BY ALL")
