@@ -78,3 +78,22 @@ ORACLES["forecast_effects"] = oracle(
     "FROM (SELECT *, abs(base) * rel * 1.28 AS h, CASE WHEN base > 0 THEN greatest(base - abs(base) * rel * 1.28, 0.0) ELSE base - abs(base) * rel * 1.28 END AS low FROM ens) e JOIN pts p ON p.metric = e.metric AND p.i = p.n - 1",
     FOLDS,
 )
+
+#: Monthly series towards the end of 2001, each fold with its training values, steps ahead and the months that count.
+MONTHLY = """m AS (SELECT metric, list(CAST(value AS DOUBLE) ORDER BY period_end) AS v, count(*) AS n, max(period_end) AS last_end, coalesce(sum(CAST(value AS DOUBLE)) FILTER (year(period_start) = 2001), 0) AS own FROM series GROUP BY metric HAVING count(*) >= 2),
+st AS (SELECT *, greatest((2001 - year(last_end + INTERVAL 1 DAY)) * 12 + 13 - month(last_end + INTERVAL 1 DAY), 1) AS steps FROM m), wi AS (SELECT *, CASE WHEN year(last_end) < 2001 THEN least(12, steps) ELSE steps END AS win FROM st),
+fo AS (SELECT * FROM (SELECT *, unnest(CASE WHEN n >= 3 THEN [0, win, win + 1, win + 2] ELSE [0] END) AS f FROM wi) WHERE f = 0 OR n - f >= 2),
+tr AS (SELECT metric, n, steps, win, f, v[1:n - f] AS t, n - f AS k, CASE WHEN f = 0 THEN steps ELSE win END AS ahead, list_sum(v[n - f + 1:n - f + win]) AS actual FROM fo),
+tg AS (SELECT *, exp(list_sum(list_transform(range(1, k), lambda i: ln(t[i + 1] / t[i]))) / (k - 1)) AS g, list_avg(t) AS my, (k - 1) / 2.0 AS mx, range(ahead - win + 1, ahead + 1) AS path FROM tr),
+ts AS (SELECT *, list_sum(list_transform(range(1, k + 1), lambda i: (i - 1 - mx) * (t[i] - my))) / list_sum(list_transform(range(1, k + 1), lambda i: (i - 1 - mx) * (i - 1 - mx))) AS s FROM tg),
+mp AS (SELECT metric, n, steps, f, actual, 'naive' AS method, t[k] * win AS pred FROM ts UNION ALL SELECT metric, n, steps, f, actual, 'mean_growth', list_sum(list_transform(path, lambda i: t[k] * pow(g, i))) FROM ts
+ UNION ALL SELECT metric, n, steps, f, actual, 'linear_trend', list_sum(list_transform(path, lambda i: my + s * (k - 1 + i - mx))) FROM ts UNION ALL SELECT metric, n, steps, f, actual, 'seasonal_naive', list_sum(list_transform(path, lambda i: t[k - 11 + (i - 1) % 12])) FROM ts WHERE k >= 12 AND n >= 24),
+me AS (SELECT metric, steps, method, max(pred) FILTER (f = 0) AS pred, coalesce(avg(abs(pred - actual) / greatest(abs(actual), 1e-9)) FILTER (f > 0), CASE WHEN method = 'naive' AND steps > 1 THEN 0.5 END) AS err FROM mp GROUP BY metric, steps, method),
+mw AS (SELECT *, CASE WHEN max(err) OVER q IS NULL THEN 1.0 ELSE 1 / (coalesce(err, greatest(max(err) OVER q, 0.15)) + 0.05) END AS w FROM me WHERE pred IS NOT NULL WINDOW q AS (PARTITION BY metric)),
+ma AS (SELECT metric, sum(w * pred) / sum(w) AS base, CASE WHEN max(err) IS NULL THEN 0.15 ELSE sum(CASE WHEN err IS NOT NULL THEN w * err END) / sum(CASE WHEN err IS NOT NULL THEN w END) END AS rel FROM mw GROUP BY metric),
+mr AS (SELECT metric, n, steps, base, rel, abs(base) * rel * 1.28 AS h, CASE WHEN year(last_end) = 2001 THEN own ELSE 0 END AS own FROM ma JOIN wi USING (metric))"""
+ORACLES["forecast_months_to_year"] = oracle(
+    "SELECT metric, CAST(n AS INTEGER) AS n, CAST(steps AS INTEGER) AS steps, round(base + own, 2) AS base, round(CASE WHEN base > 0 THEN greatest(base - h, 0.0) ELSE base - h END + own, 2) AS low, round(base + h + own, 2) AS high, round(CAST(own AS DOUBLE), 2) AS fact_to_date, "
+    "CASE WHEN n >= 12 AND rel <= 0.07 THEN 'высокая' WHEN n >= 4 AND rel <= 0.2 THEN 'средняя' ELSE 'низкая' END AS confidence FROM mr",
+    MONTHLY,
+)

@@ -133,3 +133,31 @@ def _bomb():
 def test_text_grid(spark):
     df = spark.createDataFrame([("a", "x  1\ny  2\nz  3"), ("b", "x  1\ny  2"), ("c", None)], "doc_id string, text string")
     assert {(r["doc_id"], r["row"], r["col"], r["raw"]) for r in grids.text_grid(df).collect()} == {("a", r, c, v) for r, row in enumerate(("x1", "y2", "z3")) for c, v in enumerate(row)}
+
+
+def test_period_inside_titles():
+    said = {
+        "Сделки_1 кв. 2026.xlsx": ("quarter", date(2026, 1, 1), date(2026, 3, 31)),
+        "за январь 2026 сделки": ("month", date(2026, 1, 1), date(2026, 1, 31)),
+        "сделки 2026-02.csv": ("month", date(2026, 2, 1), date(2026, 2, 28)),
+        "итоги, 2 полугодие 2025": ("halfyear", date(2025, 7, 1), date(2025, 12, 31)),
+        "за 2025 год сделки": ("year", date(2025, 1, 1), date(2025, 12, 31)),
+        "отчёт(2024)": ("year", date(2024, 1, 1), date(2024, 12, 31)),
+    }
+    for text, want in said.items():
+        p, found = grid.period_inside(text)
+        assert (p.ptype, p.start, p.end) == want and found, text
+    assert grid.period_inside("без периода 12345") == (None, "")
+
+
+def test_ods_repeats(tmp_path):
+    office(tmp_path / "r.ods", {"content.xml": '<d xmlns:t="t" xmlns:o="o" xmlns:x="x"><t:table t:name="Л"><t:table-row t:number-rows-repeated="300"><t:table-cell o:value-type="float" o:value="7"/></t:table-row><t:table-row t:number-rows-repeated="40"><t:table-cell/></t:table-row><t:table-row><t:table-cell o:value-type="string"><x:p>end</x:p></t:table-cell></t:table-row></t:table></d>'})
+    cells = list(grids.ods_cells((tmp_path / "r.ods").read_bytes()))
+    assert [c[1] for c in cells] == [*range(300), 340] and cells[-1][3] == "end"
+
+
+def test_problem_files_leave_the_others_alone(spark):
+    files = spark.createDataFrame([("a", "a.csv", bytearray(b"x;1\ny;2\n")), ("b", "b.xlsx", bytearray(b"none")), ("c", "c.pdf", bytearray(b""))], "doc_id string, path string, content binary")
+    cells = grids.grids(files, strict=False)
+    assert {r["doc_id"] for r in grids.problems(cells).collect()} == {"b", "c"}
+    assert {r["raw"] for r in grids.usable(cells).collect()} == {"x", "1", "y", "2"}
