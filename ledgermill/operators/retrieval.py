@@ -16,12 +16,14 @@ RRF_K = 60
 STEM = 5
 WORD = r"[\p{L}\p{N}_]+"
 #: Function words of questions that carry no topic.
-STOPWORDS = tuple(
-    "и в во на по за от до из у о об обо с со к ко для при про без над под между через а но или же ли бы не ни да нет то это эта этот эти тот та те там тут здесь "
-    "что чем чему кто кого кому как какой какая какое какие каков какова где когда куда откуда сколько почему зачем который которая которые чей чья чьи был была было были быть есть будет будут "
-    "является являются мне мой моя мои наш наша наше наши ваш ваша ваши его её их ему ей им них покажи скажи расскажи объясни говорится сказано указано написано "
-    "документ документе документа отчёт отчет отчёте отчете файл файле компания компании организация организации".split()
-)
+STOPWORDS = (
+    "и", "в", "во", "на", "по", "за", "от", "до", "из", "у", "о", "об", "обо", "с", "со", "к", "ко", "для", "при", "про", "без", "над", "под", "между", "через", "а", "но", "или", "же",
+    "ли", "бы", "не", "ни", "да", "нет", "то", "это", "эта", "этот", "эти", "тот", "та", "те", "там", "тут", "здесь", "что", "чем", "чему", "кто", "кого", "кому", "как", "какой",
+    "какая", "какое", "какие", "каков", "какова", "где", "когда", "куда", "откуда", "сколько", "почему", "зачем", "который", "которая", "которые", "чей", "чья", "чьи", "был", "была",
+    "было", "были", "быть", "есть", "будет", "будут", "является", "являются", "мне", "мой", "моя", "мои", "наш", "наша", "наше", "наши", "ваш", "ваша", "ваши", "его", "её", "их",
+    "ему", "ей", "им", "них", "покажи", "скажи", "расскажи", "объясни", "говорится", "сказано", "указано", "написано", "документ", "документе", "документа", "отчёт", "отчет", "отчёте",
+    "отчете", "файл", "файле", "компания", "компании", "организация", "организации",
+)
 
 
 def tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
@@ -68,7 +70,7 @@ def index(chunks: DataFrame, stopwords: tuple[str, ...] = STOPWORDS, only: DataF
     toks = chunks.select("chunk_id", tokens(F.col("body"), stopwords).alias("t"))
     long = toks.select("chunk_id", F.greatest(F.size("t"), F.lit(1)).alias("length"), F.explode_outer(F.concat("t", F.array(F.lit(EVERY)))).alias("term"))
     if only is not None:
-        asked = only.select("term").union(only.sparkSession.createDataFrame([(EVERY,)], "term string")).distinct()
+        asked = only.select("term").union(only.sparkSession.range(1).select(F.lit(EVERY))).distinct()
         long = long.join(asked, "term", "left_semi")
     return written(long.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")), "postings")
 
