@@ -26,3 +26,19 @@ def test_queries_run_on_whole_tables(spark, sf):
     for name, query in QUERIES.items():
         n = query(spark, sf).count()
         assert n == (pages if name in ("op5_warc", "op6_html_text") else n if name.startswith("op9") else docs), name
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf, odd_docs, no_docs):
+    """Nulls in every column, repeated rows and ids, empty and very long texts, other columns; and no rows at all."""
+    for docs in (odd_docs, no_docs):
+        columns, before = docs.columns, docs.count()
+        for (name, stage), most in zip(corpus_pipeline.STAGES, (before, before, before, 2 * before, 2 * before), strict=True):
+            docs = stash(stage(spark, docs, sf), "test-stage")
+            assert docs.count() <= most, name
+            assert docs.columns == columns if name != "sharding" else set(columns) <= set(docs.columns), name
+
+
+def test_near_duplicates_of_repeated_ids_keep_one_row_a_text(spark, odd_docs):
+    kept = corpus_pipeline.near_duplicate_stage(spark, odd_docs, "")
+    rows = [r.asDict() for r in kept.collect()]
+    assert len([r for r in rows if r["doc_id"] is not None]) == len({r["text"] for r in rows if r["doc_id"] is not None})
