@@ -6,14 +6,17 @@ that the mix takes twice is two equal rows from there on.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgermill.llm import decontam, jaccard, mixing, quality, sharding
 from ledgermill.llm.common import id_remainder, stash, table
 
 
-#: Tasks that an output shard of the mix is cut into.
-LANES = 64
+#: Tasks that an output shard of the mix is cut into: at least so many, and more where one would get more than LANE_BYTES of text.
+LANES, LANE_BYTES = 64, 32 << 20
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +40,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     The table's rows lie by output shard and shuffled inside it; its columns are those of ``documents``.
     """
-    return mixing.in_order(mixing.mix(docs), LANES).select(*docs.columns)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    lanes = max(LANES, math.ceil(mixing.TOTAL_SHARE * size / mixing.OUT_SHARDS / LANE_BYTES))
+    return mixing.in_order(mixing.mix(docs), lanes).select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
