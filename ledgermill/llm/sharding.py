@@ -8,7 +8,8 @@ itself heavier than that is dealt by record id, so a group of copies that holds
 
 Everything here is DataFrame expressions; documents are read once for their keys.  What is broadcast is the map (a row a
 slot, and ``2 * SUBS`` for each split one) and the split slots and heavy texts, of which there are at most
-``shards / HOT_SHARE`` each, whatever the input.  Positions are numbered inside parts of about ``PART_ROWS`` records.
+``shards / HOT_SHARE`` each, whatever the input.  Positions are numbered inside parts of a few average slots' records, so a
+heavy slot or text is many parts.
 
 Defined cases: a null text has size 1 and checksum 0; null ids hash like an empty id; rows repeated in full each get
 their own position; an empty table gives an empty result; columns other than the id and the text are ignored, so
@@ -29,8 +30,8 @@ SUBS = 64
 HOT_SHARE = 0.5
 #: How far above an even share a shard may be filled by the slots that stay where they are.
 SLACK = 0.0005
-#: About as many records are numbered in one task.
-PART_ROWS = 1 << 20
+#: Records numbered in one task: as many as PART_SLOTS average slots hold, and no more than PART_ROWS.
+PART_SLOTS, PART_ROWS = 4, 1 << 20
 #: The sub-slot of a slot that is whole.
 WHOLE = -1
 
@@ -164,7 +165,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     recs = records(docs, id_col, text_col, shards)
     slot_map = slot_map or SlotMap(docs.sparkSession).create(shards)
     sizes = stash(slot_bytes(recs), "slot-bytes")
-    placed = stash(shard_of(sizes, slot_map.rebalance(sizes, shards, 0)).withColumn("parts", F.ceil(F.col("rows") / part_rows)), "placed-slots")
+    few = sizes.groupBy().agg(F.least(F.lit(part_rows), F.greatest(F.lit(1), F.ceil(F.sum("rows") * PART_SLOTS / SLOTS))).alias("few"))
+    placed = shard_of(sizes, slot_map.rebalance(sizes, shards, 0)).crossJoin(F.broadcast(few))
+    placed = stash(placed.withColumn("parts", F.ceil(F.col("rows") / F.col("few"))), "placed-slots")
     parted = recs.join(F.broadcast(placed.select("vslot", "sub", "shard", "parts")), ["vslot", "sub"]).withColumn("part", F.pmod("id_key", "parts"))
     before = Window.partitionBy("shard").orderBy("vslot", "sub", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parted.groupBy("vslot", "sub", "part", "shard").agg(F.count(F.lit(1)).alias("rows")).withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)).cast("long"))
@@ -187,7 +190,7 @@ tot AS (SELECT coalesce(sum(size), 0)::BIGINT AS total FROM d),
 hot AS (SELECT vslot FROM d, tot GROUP BY vslot, total HAVING sum(size) > {HOT_SHARE}::DOUBLE * total / {SHARDS}),
 heavy AS (SELECT vslot, text_key FROM d, tot WHERE vslot IN (SELECT vslot FROM hot) GROUP BY vslot, text_key, total HAVING sum(size) > {HOT_SHARE}::DOUBLE * total / {SHARDS}),
 e AS (SELECT *, CAST(CASE WHEN (vslot, text_key) IN (SELECT (vslot, text_key) FROM heavy) THEN {SUBS} + id_key % {SUBS} WHEN vslot IN (SELECT vslot FROM hot) THEN text_key % {SUBS} ELSE {WHOLE} END AS INTEGER) AS sub FROM d),
-sizes AS (SELECT vslot, sub, sum(size)::BIGINT AS bytes, CAST(ceil(count(*) / {PART_ROWS}) AS BIGINT) AS parts FROM e GROUP BY ALL),
+sizes AS (SELECT vslot, sub, sum(size)::BIGINT AS bytes, CAST(ceil(count(*) / (SELECT least({PART_ROWS}, greatest(1, ceil(count(*) * {PART_SLOTS} / {SLOTS}))) FROM d)) AS BIGINT) AS parts FROM e GROUP BY ALL),
 units AS (SELECT vslot, CASE WHEN sub >= 0 THEN sub END AS sub, bytes FROM sizes),
 numbered AS (SELECT s.vslot, u.sub, coalesce(bytes, 0) AS bytes, (s.vslot % {SHARDS} + coalesce(u.sub, 0)) % {SHARDS} AS home, row_number() OVER (ORDER BY coalesce(bytes, 0) DESC, s.vslot, coalesce(u.sub, -1)) AS k
   FROM (SELECT CAST(range AS INTEGER) AS vslot FROM range({SLOTS})) s LEFT JOIN units u USING (vslot)),
