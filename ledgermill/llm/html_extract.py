@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
@@ -287,7 +288,13 @@ def left(page: str | None) -> tuple[str, str]:
 def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         cut = [left(p) for p in pdf["html"]]
-        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": pdf["host"], "zones": [z for z, _ in cut], "text": [t for _, t in cut]})
+        raw = [t.encode("utf-8", "surrogatepass") for _, t in cut]
+        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": pdf["host"], "zones": [z for z, _ in cut], "text": [zlib.compress(t, 1) for t in raw], "size": [len(t) for t in raw]})
+
+
+def unpacked(text: bytes) -> str:
+    """Blocks travel deflated: they are dealt up to twice."""
+    return zlib.decompress(text).decode("utf-8", "surrogatepass")
 
 
 def grouped(batches: Iterator[pd.DataFrame], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -307,7 +314,7 @@ def grouped(batches: Iterator[pd.DataFrame], columns: tuple[str, ...]) -> Iterat
 def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The runs of each block whose counts over the whole host can decide something."""
     for (host, part), rows in grouped(batches, ("zones", "text")):
-        pages = [Page(*r) for r in rows]
+        pages = [Page(zones, unpacked(text)) for zones, text in rows]
         found = []
         for p, (_, times) in zip(pages, tally(pages), strict=True):
             some = (times >= SITE_SHARE * len(pages)) & p.touches(MAIN)
@@ -319,7 +326,7 @@ def held_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(host, run, page, times): who holds which runs; each run of a batch with at most SITE_PAGES distinct pages, the others added to the first."""
     for pdf in batches:
         for host, some in pdf.groupby("host"):
-            pages = [Page(*p) for p in zip(some["zones"], some["text"], strict=True)]
+            pages = [Page(zones, unpacked(text)) for zones, text in zip(some["zones"], some["text"], strict=True)]
             times = Counter(p.key for p in pages)
             each = {p.key: np.unique(p.runs[2]) for p in pages}
             ids = np.array([int.from_bytes(k, "little") for k in each], dtype=np.uint64)
@@ -339,7 +346,7 @@ def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             runs = [r[5:] for r in rows if r[5] is not None]
             known = tuple(np.concatenate([np.empty(0, dtype=np.int64), *(np.asarray(r[k], dtype=np.int64) for r in runs)]).view(np.uint64) for k in (0, 1))
         pages = [r for r in rows if r[5] is None]
-        got = main_texts([(r[2], r[3]) for r in pages], known)
+        got = main_texts([(r[2], unpacked(r[3])) for r in pages], known)
         if pages:
             yield pd.DataFrame({"page_id": [r[0] for r in pages], "url": [r[1] for r in pages], "text": got, "n_chars": [len(t) for t in got]})
 
@@ -350,15 +357,15 @@ def extract(pages: DataFrame, block_pages: int = BLOCK_PAGES, block_bytes: int =
         F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"),
         F.coalesce(F.regexp_extract(F.lower("url"), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")).alias("host"),
     )
-    cut = stash(base.mapInPandas(parse, "page_id string, url string, host string, zones string, text string"), "page-blocks")
+    cut = stash(base.mapInPandas(parse, "page_id string, url string, host string, zones string, text binary, size long"), "page-blocks")
     # One row a host, written: Spark knows then how large the table of large hosts is.
-    sizes = stash(cut.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.octet_length("text")).alias("bytes")), "hosts")
+    sizes = stash(cut.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("size").alias("bytes")), "hosts")
     large = stash(sizes.select("host", "pages", F.greatest(F.ceil(F.col("pages") / block_pages), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("parts")).where("parts > 1"), "large-hosts")
     none = F.lit(None).cast("array<long>")
     dealt = (
         cut.join(large.select("host", "parts"), "host", "left")
         .withColumns({"part": F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("parts")), F.lit(0)).cast("int"), "dealt": F.col("parts").isNotNull(), "often": none, "wide": none})
-        .drop("parts")
+        .drop("parts", "size")
     )
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * total / block_bytes))
