@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgermill.llm import decontam, fingerprints, html_extract, jaccard, langid, mixing, pii, quality, sharding, topk, warc, whitening
+from ledgermill.llm import decontam, fingerprints, html_extract, jaccard, langid, mixing, pii, quality, sharding, topk, trie, warc, whitening
 from ledgermill.llm.common import table
 
 
@@ -52,9 +52,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.build(table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
+
+
 def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.every_fiftieth(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_fingerprints, op4_pii, op5_warc, op6_html_text, op7_jaccard_join, op8_quality, op9_decontamination, op10_mixing, op11_whitening, op13_topk)}
-ORACLES: dict[str, str] = {"op1_sharding": sharding.ORACLE, "op4_pii": pii.ORACLE, "op5_warc": warc.ORACLE, "op6_html_text": html_extract.ORACLE, "op7_jaccard_join": jaccard.ORACLE, "op9_decontamination": decontam.ORACLE, "op10_mixing": mixing.ORACLE, "op13_topk": topk.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_langid, op3_fingerprints, op4_pii, op5_warc, op6_html_text, op7_jaccard_join, op8_quality, op9_decontamination, op10_mixing, op11_whitening, op12_prefix_trie, op13_topk)}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.ORACLE, "op4_pii": pii.ORACLE, "op5_warc": warc.ORACLE, "op6_html_text": html_extract.ORACLE, "op7_jaccard_join": jaccard.ORACLE, "op9_decontamination": decontam.ORACLE, "op10_mixing": mixing.ORACLE, "op12_prefix_trie": trie.ORACLE, "op13_topk": topk.ORACLE}
