@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ledgermill.operators import grid
 from ledgermill.plans.testdata import table
-from ledgermill.sources import grids, sinks
+from ledgermill.shared import written
+from ledgermill.sources import grids, page_words, sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -205,6 +206,39 @@ def scan_wide_docx(spark, sf) -> DataFrame:
     return scanned(as_office(wide_cells(spark, sf), WIDTH, "docx"))
 
 
+#: Lines of a page in the reports by pages.
+PAGE_LINES = 9
+
+
+def words_of(cells: DataFrame) -> DataFrame:
+    """The report's cells as words on pages: names begin where their column does, amounts end there, lines waver by a unit.
+
+    Every second document repeats the header and the numbering row at the head of each page; all have a page number at the
+    foot, and a first page that states nothing but who the report is for.
+    """
+    page = F.floor(F.greatest(F.col("row") - 3, F.lit(0)) / PAGE_LINES).cast("int")
+    again = F.pmod(F.length("doc_id"), F.lit(2)) == 0
+    last = cells.groupBy("doc_id").agg(F.max(page).alias("last"))
+    own = cells.select("doc_id", page.alias("page"), F.when(page == 0, F.col("row")).otherwise(F.col("row") - page * PAGE_LINES - 3 + F.when(again, 2).otherwise(0)).alias("line"), "col", "text")
+    repeated = cells.where(F.col("row").isin(1, 2)).join(last.where(again), "doc_id").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("page"), (F.col("row") - 1).alias("line"), "col", "text").where("page > 0")
+    foot = last.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("page")).select("doc_id", "page", F.lit(40).alias("line"), F.lit(4).alias("col"), F.concat(F.lit("стр. "), (F.col("page") + 2).cast("string")).alias("text"))
+    cover = last.select("doc_id", F.lit(-1).alias("page"), F.lit(20).alias("line"), F.lit(1).alias("col"), F.lit("Отчёт составлен для совета директоров").alias("text"))
+    rows = own.unionByName(repeated).unionByName(foot).unionByName(cover).where("text <> ''")
+    left = F.when(F.col("col") == 0, 40.0).when(F.col("col") == 1, 90.0).otherwise(200.0 + 100 * F.col("col") - 5 * F.length("text"))
+    spread = rows.select("doc_id", (F.col("page") + 2).alias("page"), "line", left.alias("left"), F.posexplode(F.split("text", " ")).alias("at", "word"), "text")
+    before = F.length(F.array_join(F.slice(F.split("text", " "), F.lit(1), F.col("at")), " ")) + F.when(F.col("at") > 0, 1).otherwise(0)
+    x0 = F.col("left") + 5.0 * before
+    return spread.select("doc_id", "page", x0.alias("x0"), (x0 + 5.0 * F.length("word")).alias("x1"), (60.0 + 14 * F.col("line") + F.pmod(F.hash("word"), F.lit(3)) - 1).alias("y"), F.col("word").alias("text"))
+
+
+@query(wide_sql("стр. 2, таблица 1"))
+def scan_wide_pages(spark, sf) -> DataFrame:
+    """The wide reports as words on pages: the tables go on over page breaks, with the header again or without it."""
+    words = written(words_of(written(wide_cells(spark, sf), "report-cells")), "page-words")
+    rows = grid.scan(page_words.page_grid(words), TODAY)
+    return rows.select("doc_id", "sheet", "metric", "period_type", "period_label", "period_start", "period_end", F.col("value").cast("double").alias("value"), "unit", "currency", "variant", "section", "parent_hint", "is_total", "cell_ref", "layout")
+
+
 @query(f"""WITH {SALES}, p AS (SELECT doc_id, seg, y, CASE o_orderstatus WHEN 'O' THEN 'plan' WHEN 'F' THEN 'fact' END AS variant, sum(v) AS v, CAST(split_part(doc_id, '_', 2) AS INTEGER) % 2 AS odd FROM sales WHERE o_orderstatus IN ('O', 'F') GROUP BY ALL)
 SELECT doc_id, lower(seg) AS metric, CAST(y AS VARCHAR) AS period_label, variant, CAST(v AS DOUBLE) * 1000000 AS value FROM p""")
 def scan_plan_and_fact(spark, sf) -> DataFrame:
