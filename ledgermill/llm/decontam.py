@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgermill.llm.common import stash
-from ledgermill.llm.hashing import mix64, pieces, run_hashes, span_hashes
+from ledgermill.llm.hashing import PIECE, mix64, pieces, run_hashes, span_hashes
 
 WINDOW = 8
 LEAST = 5
@@ -76,17 +76,15 @@ def _hash_of(word: str) -> int:
 UNIT_HASHES = np.sort(np.array([_hash_of(u) for u in UNITS], dtype=np.uint64))
 
 
-def _piece(raw: bytes, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = np.frombuffer(raw, dtype=np.uint8)
-    none = np.empty(0, dtype=np.uint64)
-    if not len(data):
-        return none, none, none.astype(bool)
+def _words(data: np.ndarray, at: int, opening: bool) -> tuple[np.ndarray, ...]:
+    """The tokens of a piece that begins at byte ``at``: start, end, value, is it a number, has it a capital, does it begin a sentence, is it behind a comma or point."""
     wordy = np.zeros(len(data) + 2, dtype=np.int8)
     wordy[1:-1] = WORDY[data]
     edge = np.flatnonzero(np.diff(wordy))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return none, none, none.astype(bool)
+        none = np.empty(0, dtype=np.int64)
+        return none, none, none.astype(np.uint64), *(none.astype(bool) for _ in range(4))
     low = LOWER[data]
     latin = np.flatnonzero(data[:-1] == 0xC3) + 1
     latin = latin[(data[latin] >= 0x80) & (data[latin] <= 0x9E) & (data[latin] != 0x97)]
@@ -95,37 +93,47 @@ def _piece(raw: bytes, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     low[latin] += 0x20
     value = span_hashes(low, starts, ends)
     number = DIGIT[data[starts]]
-    # 1,234.5 is one number: its later parts are dropped, their digits are kept in its value.
-    if number.any():
-        near = np.zeros(len(starts), dtype=bool)
-        gap = (starts[1:] == ends[:-1] + 1) & number[1:] & number[:-1]
-        near[1:] = gap & np.isin(data[np.minimum(ends[:-1], len(data) - 1)], (44, 46))
-        if near.any():
-            lead = np.flatnonzero(~near)
-            value = np.add.reduceat(value * np.where(near, np.uint64(3), np.uint64(1)), lead)
-            starts, ends, number = starts[lead], ends[np.append(lead[1:], len(ends)) - 1], number[lead]
     second = starts + np.where(data[starts] == 0xC3, 2, 1)
     titled = upper[starts] & (second < ends) & ~upper[np.minimum(second, len(data) - 1)] & ~number
     # A capital begins a sentence if, blanks aside, a stop or the text's start comes before it.
     solid = np.where(BLANK[data], -1, np.arange(len(data)))
     before = np.maximum.accumulate(solid)
     prev = np.where(starts > 0, before[np.maximum(starts - 1, 0)], -1)
-    opens = np.where(prev >= 0, STOPS[data[np.maximum(prev, 0)]], first)
+    opens = np.where(prev >= 0, STOPS[data[np.maximum(prev, 0)]], opening)
+    comma = (starts > 0) & np.isin(data[np.maximum(starts - 1, 0)], (44, 46))
+    return starts + at, ends + at, value, number, titled, opens, comma
+
+
+def canonical(text: str | None, size: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text's tokens: the canonical ones (1 to 3 are placeholders, anything else is a literal's hash), the values, and which begin a sentence.
+
+    Bytes are read in pieces; what a token is depends on its neighbours, so that is decided over the pieces' seams.
+    """
+    parts, at, opening = [], 0, True
+    for raw in pieces((text or "").encode("utf-8", "surrogatepass"), size):
+        data = np.frombuffer(raw, dtype=np.uint8)
+        parts.append(_words(data, at, opening))
+        at += len(data)
+        solid = np.flatnonzero(~BLANK[data])
+        if len(solid):
+            opening = bool(STOPS[data[solid[-1]]])
+    starts, ends, value, number, titled, opens, comma = (np.concatenate(x) for x in zip(*parts, strict=True))
     name = titled & ~opens
     unit = np.zeros(len(starts), dtype=bool)
     if number.any():
-        at = np.minimum(np.searchsorted(UNIT_HASHES, value), len(UNIT_HASHES) - 1)
-        unit[1:] = (UNIT_HASHES[at] == value)[1:] & number[:-1]
+        # 1,234.5 is one number: its later parts are dropped, their digits are kept in its value.
+        near = np.zeros(len(starts), dtype=bool)
+        near[1:] = (starts[1:] == ends[:-1] + 1) & number[1:] & number[:-1] & comma[1:]
+        if near.any():
+            lead = np.flatnonzero(~near)
+            value = np.add.reduceat(value * np.where(near, np.uint64(3), np.uint64(1)), lead)
+            number, name, opens, unit = number[lead], name[lead], opens[lead], unit[lead]
+        found = np.minimum(np.searchsorted(UNIT_HASHES, value), len(UNIT_HASHES) - 1)
+        unit[1:] = (UNIT_HASHES[found] == value)[1:] & number[:-1]
     kind = np.where(number, NUM, np.where(name, NAME, np.where(unit, UNIT, np.uint64(0))))
     return np.where(kind > 0, kind, value | np.uint64(8)), value, opens
 
 
-def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text's tokens: the canonical ones (1 to 3 are placeholders, anything else is a literal's hash), the values, and which begin a sentence."""
-    parts = [_piece(raw, k == 0) for k, raw in enumerate(pieces((text or "").encode("utf-8", "surrogatepass")))]
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
 class Index:
     """The windows of some benchmark items, sorted by hash."""
 
@@ -333,8 +341,10 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item contaminates, columns as they were."""
     items, small = _items(benchmark)
     if not small:
-        hit = _met(docs.select(F.col("text").cast("string").alias("text")), items).select(F.col("digest").alias("_hit")).distinct()
-        return docs.join(hit, F.md5(F.col("text").cast("string").cast("binary")) == F.col("_hit"), "left_anti")
+        taken = {c.lower() for c in docs.columns}
+        hit = next(c for c in ("_hit", *(f"_hit{k}" for k in range(len(taken)))) if c not in taken)
+        met = _met(docs.select(F.col("text").cast("string").alias("text")), items).select(F.col("digest").alias(hit)).distinct()
+        return docs.join(met, F.md5(F.col("text").cast("string").cast("binary")) == F.col(hit), "left_anti")
     shared = _index(items)
 
     @F.pandas_udf("boolean")

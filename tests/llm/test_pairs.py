@@ -234,3 +234,29 @@ def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     assert decontam.find(odd_docs, bench.limit(0)).count() == 0
     leak = spark.createDataFrame([(None, ITEM), (8, ITEM)], "doc_id long, text string")
     assert decontam.find(leak, bench).count() == 4
+
+
+def test_decontamination_over_seams(spark):
+    item = "A train runs 5 km to the town of Port Anna. It takes 1,234.5 seconds, 20 minutes or so"
+    index = decontam.Index([(1, item), (2, "Name the capital now")])
+    frame = "and so on. " + item + ". Name the capital now. Then it ends"
+    whole = decontam.canonical(frame)
+    for size in range(1, len(frame) + 1):
+        for got, want in zip(decontam.canonical(frame, size), whole, strict=True):
+            assert got.tolist() == want.tolist(), size
+    fill = "word " * ((decontam.PIECE - len(frame)) // 5)
+    want = sorted(index.hits("x. " + frame))
+    assert [h[0] for h in want] == [1, 2] and want[0][1] == want[0][2]
+    gaps = [0, *(m.end() for m in re.finditer(r"\s+", frame)), len(frame)]
+    for at in gaps:  # the seam stands before every word in turn
+        lead = "w" * (decontam.PIECE - len(fill) - at - 3) + ". "
+        text = fill + lead + " " + frame
+        assert len(fill + lead) + 1 + at == decontam.PIECE
+        assert sorted(index.hits(text)) == want, at
+
+
+def test_clean_keeps_clashing_columns(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "nothing here", 7)], "doc_id long, text string, _hit int")
+    bench = spark.createDataFrame([(1, "Name the capital of the northern land now please")], "item_id long, text string")
+    monkeypatch.setattr(decontam, "PART_BYTES", 0)
+    assert decontam.clean(docs, bench).collect() == docs.collect()
