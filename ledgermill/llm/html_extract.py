@@ -2,7 +2,9 @@
 
 A page is cut into text blocks.  Markup puts each block in a zone: ``out`` (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, by element, role, class or id), ``main`` (inside an article or main element), or ``open``.  An
-article or main element inside an ``out`` zone stays out, unless a form is all that it stands in.
+article or main element inside an ``out`` zone stays out, unless a form is all that it stands in; an article whose class
+or id calls it a comment or an advert is out as well.  Inside the main zone a class is a name of boilerplate only as a
+whole (``share``, ``share-buttons``): ``social-history`` is what a text is about.
 
 For every host the token streams of its pages (main and open blocks) are concatenated, each page ended by a token of its
 own, and sorted as a suffix array (prefix doubling over token ranks, to the depth of the shortest run that counts).
@@ -11,9 +13,10 @@ Neighbours in that order that share at least ``RUN`` tokens are repeats; what th
 * an open block that is covered for the larger part by runs of at least ``PAGES`` distinct pages goes; an open block of
   fewer than ``RUN`` tokens is a run of its own.  Unique open blocks stay, unless the page has a main zone of at least as
   many tokens: then they are what stands around the article;
-* a main block of ``RUN`` tokens or more goes if it is covered for the larger part by runs that stand on at least half of
-  the host's pages, ``SITE_PAGES`` distinct ones or more: an unlabelled notice inside the article.  Rarer repeats stay, as
-  an article may well quote what other pages quote.
+* a main block goes if it is covered for the larger part by runs that stand on at least half of the host's pages,
+  ``SITE_PAGES`` distinct ones or more: an unlabelled notice inside the article.  A shorter block than ``RUN`` tokens is a
+  run of its own there too, but a short heading stays, as articles of one kind share their headings.  Rarer repeats stay,
+  as an article may well quote what other pages quote.
 
 A host is dealt by page id into blocks of bounded pages and bytes, and each block has its own suffix array, so a host
 with a third of all pages is many tasks.  What a dealt host repeats is counted over the whole host: the blocks ask for the
@@ -55,7 +58,7 @@ BLOCK_PAGES = 512
 BLOCK_BYTES = 8 << 20
 #: Asked runs are broadcast up to this many (16 bytes each) and joined by a shuffle beyond it.
 BROADCAST_RUNS = 1_000_000
-OUT, MAIN, OPEN, FORM = "x", "m", "o", "f"
+OUT, MAIN, HEAD, OPEN, FORM = "x", "m", "h", "o", "f"
 
 #: A quote opens a value only behind an equals sign; elsewhere it is a character like any other.
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>|<[!?/][^>]*>""", re.S)
@@ -65,7 +68,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 FOREIGN = frozenset("svg math".split())
 DROPPED = frozenset("head nav header footer aside form noscript template button select dialog menu svg object audio video canvas datalist fieldset map".split())
 BREAKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody tfoot thead title tr ul".split())
-SPACES = frozenset("br td th wbr".split())
+SPACES = frozenset("br td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NESTING = (BREAKS | DROPPED) - frozenset("p hr li dd dt h1 h2 h3 h4 h5 h6 option tr html body".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words that a class or id of boilerplate is, begins or ends with; a class that begins with a word of STATES says something of other elements.
@@ -74,6 +78,13 @@ NAMES = frozenset(
     "newsletter subscribe signup popup modal overlay sidebar side-bar nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead topbar comment comments commentlist replies "
     "respond disqus related recommended share sharing social widget widgets toolbar pagination pager disclaimer copyright".split()
 )
+#: Names that an article element may have without being the main text.
+ARTICLE_NAMES = frozenset("comment comments commentlist reply replies ad ads advert adverts advertisement advertisements advertising promo promoted sponsor sponsored".split())
+#: What stands beside such a word in the class of a part of a page; beside any other word, inside the main text, the class says what the text is about.
+PARTS = frozenset(
+    "area article articles author bar block body bottom box button buttons container content count depth entry form header icon icons inline inner item items left link links list meta "
+    "outer page panel post posts reader right section single site slot sticky story text thread top tree unit up user wrap wrapper".split()
+)
 HEADER_NAMES = frozenset("header page-header site-header".split())
 STATES = frozenset("has no with without is not js show hide enable".split())
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?![^\s=/])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -92,6 +103,15 @@ def named(a: dict[str, str], words: frozenset[str]) -> bool:
     return False
 
 
+def named_whole(a: dict[str, str], words: frozenset[str]) -> bool:
+    """Is a class or the id one of ``words``, alone or among words for parts of a page and numbers?"""
+    for token in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
+        parts = re.split("[-_]+", token)
+        if token in words or (not words.isdisjoint(parts) and all(p in words or p in PARTS or not p or p.isdigit() for p in parts)):
+            return True
+    return False
+
+
 def zone_of(tag: str, raw: str, zone: str) -> str:
     """Zone inside an element that opens in ``zone``."""
     if zone == OUT or tag in ("html", "body"):
@@ -100,9 +120,11 @@ def zone_of(tag: str, raw: str, zone: str) -> str:
     role = a.get("role", "").lower()
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
         return OUT
-    if tag in ("article", "main") or role in ("main", "article"):
+    if tag == "main" or role == "main":
         return MAIN
-    if role in ROLES or named(a, NAMES):
+    if tag == "article" or role == "article":
+        return OUT if named_whole(a, ARTICLE_NAMES) else MAIN
+    if role in ROLES or (named_whole if zone == MAIN else named)(a, NAMES):
         return OUT
     if tag == "header" or named(a, HEADER_NAMES):
         return MAIN if zone == MAIN else OUT
@@ -117,23 +139,26 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     held: list[str] = []
     stack: list[tuple[str, str]] = []
-    zone, at, size = OPEN, 0, len(page)
+    zone, at, size, heading = OPEN, 0, len(page), False
+
+    def hold(text: str) -> None:
+        held.append(unescape(text) if "&" in text else text)
 
     def close() -> None:
         if held:
             text = "".join(held)
             held.clear()
-            text = " ".join((unescape(text) if "&" in text else text).split())
+            text = " ".join(text.split())
             if text:
-                out.append((zone, text))
+                out.append((HEAD if heading and zone == MAIN else zone, text))
 
     while at < size:
         m = TAG.search(page, at)
         if m is None:
-            held.append(page[at:])
+            hold(page[at:])
             break
         if m.start() > at:
-            held.append(page[at : m.start()])
+            hold(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -143,6 +168,7 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             held.append(" ")
         if tag in BREAKS:
             close()
+            heading = tag in HEADINGS and not end
         if end:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -193,18 +219,18 @@ class Page:
 
     @cached_property
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, hash) of the runs of RUN tokens, then of the open blocks that are shorter."""
+        """(start, length, hash) of the runs of RUN tokens, then of the blocks that are shorter, headings aside."""
         n = len(self.stream)
         long = run_hashes(mix64(self.stream), RUN) if n >= RUN else np.empty(0, dtype=np.uint64)
-        short = [k for k, (z, size) in enumerate(zip(self.zones, self.sizes, strict=True)) if z == OPEN and size < RUN]
+        short = [k for k, (z, size) in enumerate(zip(self.zones, self.sizes, strict=True)) if z != HEAD and size < RUN]
         own = [run_hashes(mix64(self.stream[self.starts[k] : self.starts[k + 1]]), RUN) for k in short]
         starts = np.concatenate((np.arange(len(long)), self.starts[short])).astype(np.int64)
         lengths = np.concatenate((np.full(len(long), RUN), np.array(self.sizes, dtype=np.int64)[short])).astype(np.int64)
         return starts, lengths, np.concatenate([long, *own])
 
     def touches(self, zone: str) -> np.ndarray:
-        """Which of ``runs`` hold a token of a zone."""
-        at = np.concatenate(([0], np.cumsum(np.repeat([z == zone for z in self.zones], self.sizes).astype(np.int64)))) if len(self.stream) else np.zeros(1, dtype=np.int64)
+        """Which of ``runs`` hold a token of a zone; a heading is of the main zone."""
+        at = np.concatenate(([0], np.cumsum(np.repeat([z == zone or (zone == MAIN and z == HEAD) for z in self.zones], self.sizes).astype(np.int64)))) if len(self.stream) else np.zeros(1, dtype=np.int64)
         starts, lengths, _ = self.runs
         return at[starts + lengths] > at[starts]
 
@@ -261,10 +287,10 @@ def main_text(page: Page, often: np.ndarray, wide: np.ndarray) -> str:
     hits, site = page.covered(often), page.covered(wide)
     kept = []
     for zone, n, h, s in zip(page.zones, page.sizes, hits, site, strict=True):
-        kept.append(h <= COVERED * n if zone == OPEN else n < RUN or s <= COVERED * n)
-    size = lambda zone: sum(n for z, n, k in zip(page.zones, page.sizes, kept, strict=True) if z == zone and k)
-    lead = MAIN not in page.zones or size(OPEN) > size(MAIN)
-    return "\n\n".join(t for z, t, k in zip(page.zones, page.texts, kept, strict=True) if k and (z == MAIN or lead))
+        kept.append(h <= COVERED * n if zone == OPEN else (zone == HEAD and n < RUN) or s <= COVERED * n)
+    size = lambda open_: sum(n for z, n, k in zip(page.zones, page.sizes, kept, strict=True) if (z == OPEN) == open_ and k)
+    lead = not set(page.zones) - {OPEN} or size(True) > size(False)
+    return "\n\n".join(t for z, t, k in zip(page.zones, page.texts, kept, strict=True) if k and (z != OPEN or lead))
 
 
 def site_wide(kinds: np.ndarray, rows: np.ndarray, pages: int) -> np.ndarray:
@@ -281,7 +307,7 @@ def main_texts(pages: list[tuple[str, str]], known: tuple[np.ndarray, np.ndarray
 
 def left(page: str | None) -> tuple[str, str]:
     """What markup leaves of a page: the zones of its main and open blocks, and the blocks by line."""
-    some = [(z, t) for z, t in blocks(page) if z in (MAIN, OPEN)]
+    some = [(z, t) for z, t in blocks(page) if z in (MAIN, HEAD, OPEN)]
     return "".join(z for z, _ in some), "\n".join(t for _, t in some)
 
 
