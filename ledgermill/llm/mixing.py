@@ -283,9 +283,10 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(taken AS BIGI
 def mix(docs: DataFrame, out_shards: int = OUT_SHARDS, whole_documents: bool = True) -> DataFrame:
     """The mix itself: every drawn copy of a document with its output shard, to be sorted by ``mix_order`` inside it.
 
-    Where a document is cut (``whole_documents=False``), its text ends after the last word that is taken.
+    Where a document is cut (``whole_documents=False``), its text ends after the last word that is taken.  Columns of the
+    documents that have the name of an added one (``mix_pass``, ``mix_words``, ``mix_shard``, ``mix_order``) are replaced.
     """
-    keep = docs.columns
+    keep = [c for c in docs.columns if c.lower() not in ("mix_pass", "mix_words", "mix_shard", "mix_order")]
     base = measured(docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source"))
     sizes = stash(base.select("doc_id", "source", "size", "_block_hash", "_inner_hash"), "mix-sizes")
     drawn = draws(base, plan(sizes, out_shards, whole_documents=whole_documents), base.columns).withColumn("_copy", F.explode("copies"))

@@ -107,12 +107,17 @@ class SlotMap:
     def read(self, version: int) -> DataFrame:
         return self.spark.read.schema("vslot int, sub int, shard int").parquet(f"{self.path}/version={version}")
 
-    def rebalance(self, sizes: DataFrame, shards: int, version: int) -> DataFrame:
-        """Edit version ``version`` for the measured bytes, append the result as the next version and return it.
+    def latest(self) -> int:
+        """The newest version that is there in full: one whose write was broken off has no files yet."""
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path).agg(F.max("version")).first()[0]
+
+    def rebalance(self, sizes: DataFrame, shards: int, version: int | None = None) -> DataFrame:
+        """Edit version ``version`` (the latest) for the measured bytes, append the result as the next version and return it.
 
         Units go from the largest to the smallest: each stays at home while that shard has room, otherwise it moves to
         the lightest shard.  The fold runs over one array, whose length the number of slots and of split slots bounds.
         """
+        version = self.latest() if version is None else version
         units = sizes.groupBy("vslot", F.when(F.col("sub") >= 0, F.col("sub")).alias("sub")).agg(F.sum("bytes").alias("bytes"))
         home = self.read(version)
         # A slot that was split before and is whole again goes home with its first sub-slot.
@@ -148,15 +153,19 @@ def shard_of(sizes: DataFrame, slot_map: DataFrame) -> DataFrame:
     return sizes.join(F.broadcast(slot_map.select("vslot", F.coalesce("sub", F.lit(WHOLE)).alias("sub"), "shard")), ["vslot", "sub"])
 
 
-def place(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, columns as they were, with ``shard`` and ``virtual_slot`` added: no document is shuffled."""
+def place(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", slot_map: SlotMap | None = None) -> DataFrame:
+    """The documents with ``shard`` and ``virtual_slot`` added (columns of these names are replaced, all others stay): no document is shuffled.
+
+    With a kept ``slot_map`` its latest version is edited, so that few slots move.
+    """
     keyed = _keyed(docs, id_col, text_col)
     split = _split(keyed, shards)
     sizes = stash(slot_bytes(_with_sub(keyed, *split)), "slot-bytes")
-    placed = shard_of(sizes, SlotMap(docs.sparkSession).create(shards).rebalance(sizes, shards, 0)).select("vslot", "sub", "shard")
+    slot_map = slot_map or SlotMap(docs.sparkSession).create(shards)
+    placed = shard_of(sizes, slot_map.rebalance(sizes, shards)).select("vslot", "sub", "shard")
     rows = docs.select(F.struct("*").alias("_row"), *(F.col(c).alias(a) for c, a in ((id_col, "doc_id"), (text_col, "text"))))
     subs = _with_sub(rows.select("_row", *_keys(F.col("doc_id"), F.col("text"))), *split)
-    old = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("shard", "virtual_slot")]
+    old = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in ("shard", "virtual_slot")]
     return subs.join(F.broadcast(placed), ["vslot", "sub"]).select(*old, "shard", F.col("vslot").alias("virtual_slot"))
 
 
@@ -166,7 +175,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     slot_map = slot_map or SlotMap(docs.sparkSession).create(shards)
     sizes = stash(slot_bytes(recs), "slot-bytes")
     few = sizes.groupBy().agg(F.least(F.lit(part_rows), F.greatest(F.lit(1), F.ceil(F.sum("rows") * PART_SLOTS / SLOTS))).alias("few"))
-    placed = shard_of(sizes, slot_map.rebalance(sizes, shards, 0)).crossJoin(F.broadcast(few))
+    placed = shard_of(sizes, slot_map.rebalance(sizes, shards)).crossJoin(F.broadcast(few))
     placed = stash(placed.withColumn("parts", F.ceil(F.col("rows") / F.col("few"))), "placed-slots")
     parted = recs.join(F.broadcast(placed.select("vslot", "sub", "shard", "parts")), ["vslot", "sub"]).withColumn("part", F.pmod("id_key", "parts"))
     before = Window.partitionBy("shard").orderBy("vslot", "sub", "part").rowsBetween(Window.unboundedPreceding, -1)

@@ -67,6 +67,30 @@ def test_map_is_versioned_and_rebalancing_moves_little(spark, documents):
     assert sum(first[k] != second[k] for k in first) < 0.1 * len(first)
 
 
+def test_a_kept_map_is_edited_from_its_latest_version(spark):
+    documents = spark.range(20_000).select(F.col("id").alias("doc_id"), F.expr("concat('text ', id, repeat(' more', cast(id % 41 as int)))").alias("text"))
+    m = sharding.SlotMap(spark).create(8)
+    homes = []
+    for part in (0.5, 0.75, 1.0):
+        rows = sharding.place(documents.where(F.crc32(F.col("doc_id").cast("string")) < part * 2**32), slot_map=m).select("virtual_slot", "shard").distinct().collect()
+        homes.append({r["virtual_slot"]: r["shard"] for r in rows})
+        assert m.latest() == len(homes)
+    rows = sharding.shard(documents, slot_map=m).select("doc_id", "shard").collect()
+    assert len(rows) == documents.count() and m.latest() == 4
+    for a, b in zip(homes, homes[1:]):
+        both = a.keys() & b.keys()
+        assert len(both) > 1000 and sum(a[k] != b[k] for k in both) < 0.1 * len(both)
+
+
+def test_clashing_columns_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "mine", 5), (2, "d e", "y", "mine", 6)], "doc_id long, text string, source string, mix_shard string, Virtual_Slot int")
+    mixed = mixing.in_order(mixing.mix(docs))
+    assert sorted(mixed.columns) == sorted(["doc_id", "text", "source", "Virtual_Slot", "mix_pass", "mix_words", "mix_shard", "mix_order"])
+    assert "mine" not in {r["mix_shard"] for r in mixed.collect()}
+    placed = sharding.place(docs)
+    assert placed.columns == ["doc_id", "text", "source", "mix_shard", "shard", "virtual_slot"] and placed.count() == 2
+
+
 def test_place_keeps_columns(odd_docs, no_docs):
     out = sharding.place(odd_docs)
     assert out.columns == [c for c in odd_docs.columns if c != "shard"] + ["shard", "virtual_slot"]
