@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgermill.functions.numbers import let
+
 #: Kinds in the order of the contract; those after the fourth are added by this operator.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "secret", "national")
@@ -117,29 +119,56 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+#: Arrays are added up and folded in runs of this many entries: a fold copies its state at every step, so none carries more than a run.
+RUN = 256
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda acc, n: acc + n)
+
+
+def _run_of(i: Column) -> Column:
+    return F.floor(i / RUN).cast("int")
+
+
+def _runs(array: Column) -> Column:
+    return F.sequence(F.lit(0), _run_of(F.greatest(F.size(array) - 1, F.lit(0))))
+
+
+def _run(array: Column, i: Column) -> Column:
+    return F.slice(array, i * RUN + 1, F.lit(RUN))
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each number the sum of those before it: sums of runs first, then a run's own numbers."""
+
+    def of_runs(all_: Column, sums: Column) -> Column:
+        return let(F.transform(sums, lambda _, i: _total(F.slice(sums, F.lit(1), i))), lambda starts: F.transform(all_, lambda _, i: F.get(starts, _run_of(i)) + _total(F.slice(all_, _run_of(i) * RUN + 1, i % RUN))))
+
+    return let(numbers, lambda all_: let(F.transform(_runs(all_), lambda i: _total(_run(all_, i))), lambda sums: of_runs(all_, sums)))
+
+
 def candidates(kind: str, text: Column) -> Column:
-    """Confirmed spans of one kind, as (start, rank of the kind, end, kind, score), ordered by start."""
-    rank = KINDS.index(kind)
-    cut = F.split(text, PATTERNS[kind], -1)
-    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-
-    def step(state, i):
-        before, match, after = F.get(state["cut"], i), F.get(state["found"], i), F.get(state["cut"], i + 1)
-        start = state["at"] + F.length(before)
-        end = start + F.length(match)
+    """Confirmed spans of one kind, as (start, rank of the kind, end, kind, score), ordered by start; linear in the text."""
+    rank, pattern = KINDS.index(kind), PATTERNS[kind]
+    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,score:double>>)")
+
+    def span(cut: Column, ends: Column, match: Column, i: Column) -> Column:
+        before, after = F.get(cut, i), F.get(cut, i + 1)
         near = F.lower(F.concat_ws(" ", F.right(before, F.lit(CONTEXT_CHARS)), F.left(after, F.lit(CONTEXT_CHARS))))
         score = F.lit(BASE_SCORE[kind]) + F.when(near.rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0)
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
-        return F.struct(end.alias("at"), F.when(confirmed(kind, match), F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"), state["cut"].alias("cut"), state["found"].alias("found"))
+        start = F.get(ends, i) + F.length(before)
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(match)).alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,score:double>>)")
-    spans = F.aggregate(
-        F.sequence(F.lit(0), F.size(found) - 1),
-        F.struct(F.lit(0).alias("at"), none.alias("spans"), cut.alias("cut"), found.alias("found")),
-        step,
-        lambda s: s["spans"],
-    )
-    return F.when(text.rlike(NEEDS[kind]) & text.rlike(PATTERNS[kind]), spans).otherwise(none)
+    def of_cut(found: Column, cut: Column) -> Column:
+        # Where the match before each one ends.
+        ends = sums_before(F.transform(found, lambda m, i: F.length(F.get(cut, i)) + F.length(m)))
+        good = F.filter(F.transform(found, lambda m, i: F.struct(m.alias("match"), i.alias("i"))), lambda m: confirmed(kind, m["match"]))
+        return let(ends, lambda e: F.transform(good, lambda m: span(cut, e, m["match"], m["i"])))
+
+    # The text is cut at its matches only if there are any.
+    of_found = lambda found: F.when(F.size(found) > 0, let(F.split(text, pattern, -1), lambda cut: of_cut(found, cut))).otherwise(none)
+    return F.when(text.rlike(NEEDS[kind]), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of_found)).otherwise(none)
 
 
 def written(spans: Column) -> Column:
@@ -153,22 +182,42 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return each.select("doc_id", F.sort_array(F.concat(*KINDS)).alias("spans"))
 
 
+def _apart(spans: Column) -> Column:
+    """Runs (at, spans) of the spans that none before them overlaps: ``at`` is where the last span of the runs before ends."""
+    end = lambda run, at: F.aggregate(run, at, lambda a, s: F.when(s["start"] < a, a).otherwise(s["end"]))
+    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,score:double>>)")
+
+    def kept(run: Column, at: Column) -> Column:
+        state = F.struct(at.alias("at"), none.alias("kept"))
+        return F.aggregate(run, state, lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.array_append(acc["kept"], s).alias("kept"))), lambda acc: acc["kept"])
+
+    def of_all(all_: Column) -> Column:
+        begins = F.aggregate(_runs(all_), F.array(F.lit(0)), lambda acc, i: F.array_append(acc, end(_run(all_, i), F.element_at(acc, -1))))
+        return let(begins, lambda at: F.transform(_runs(all_), lambda i: F.struct(F.get(at, i).alias("at"), F.get(at, i + 1).alias("to"), kept(_run(all_, i), F.get(at, i)).alias("spans"))))
+
+    return let(spans, of_all)
+
+
 def redact(docs: DataFrame, least: float = 0.0, text_col: str = "text") -> DataFrame:
     """The documents with every span that scores at least ``least`` replaced by its kind in angle brackets.
 
-    Where spans overlap, the one that starts first wins.
+    Where spans overlap, the one that starts first wins.  A run's stretch of the text is cut out first, then its spans from it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = F.filter(F.sort_array(F.concat(*(candidates(k, text) for k in KINDS))), lambda s: s["score"] >= least)
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), text.alias("all")),
-        lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(acc["all"], acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">")).alias("out"), acc["all"].alias("all"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(acc["all"], acc["at"] + 1, F.length(acc["all"]))),
-    )
-    return docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), done))
+
+    def of_run(r: Column, stretch: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            begin = F.when(i == 0, r["at"]).otherwise(F.get(r["spans"], F.greatest(i - 1, F.lit(0)))["end"])
+            return F.concat(F.substring(stretch, begin - r["at"] + 1, s["start"] - begin), F.lit("<"), s["kind"], F.lit(">"))
+
+        return F.array_join(F.transform(r["spans"], piece), "")
+
+    def of_runs(runs: Column) -> Column:
+        done = F.transform(runs, lambda r: let(F.substring(text, r["at"] + 1, r["to"] - r["at"]), lambda stretch: of_run(r, stretch)))
+        return F.concat(F.array_join(done, ""), F.substring(text, F.element_at(runs, -1)["to"] + 1, F.length(text)))
+
+    return docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), let(_apart(spans), of_runs)))
 
 
 def digest(docs: DataFrame) -> DataFrame:

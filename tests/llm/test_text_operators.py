@@ -43,6 +43,23 @@ def test_pii_matches_plain_patterns(spark, documents):
             assert r["n_card"] == sum(s.startswith("card") for s in want)
 
 
+def test_pii_of_a_text_full_of_addresses(spark):
+    """More spans than several runs hold: positions, digest and redaction are those of the plain patterns."""
+    rng = random.Random(8)
+    kinds = (lambda i: f"u{i}@é{i}.example.com", lambda i: f"10.0.{i % 300}.7", lambda i: "+49 30 1234567", lambda i: "4111 1111 1111 1111", lambda i: f"word{i}ü😀", lambda i: f"a{i}@b.c@10.1.1.{i % 256}")
+    for n in (0, 1, pii.RUN - 1, pii.RUN, pii.RUN + 1, 5 * pii.RUN + 3):
+        text = " x ".join(rng.choice(kinds)(i) for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        got = pii.digest(docs).first()
+        assert got["spans"] == ",".join(base_spans(text))
+        out, at = [], 0
+        for kind, start, end in (s.split(":") for s in base_spans(text)):
+            if int(start) >= at:
+                out.append(text[at : int(start)] + f"<{kind}>")
+                at = int(end)
+        assert pii.redact(docs).first()["text"] == "".join(out) + text[at:]
+
+
 def test_pii_iban_and_context(spark):
     docs = spark.createDataFrame([(1, "IBAN GB82 WEST 1234 5698 7654 32 and GB83 WEST 1234 5698 7654 32"), (2, "mail me: a@b.co"), (3, "zz a@b.co")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in pii.digest(docs).collect()}
