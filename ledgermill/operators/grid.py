@@ -2,7 +2,8 @@
 
 Cells are read in the JVM first: every cell gets its number, its number with a unit, its period, its unit and its variant as
 columns (``annotated``).  What is left for Python is the part that depends on the order of rows in one sheet, so sheets are
-grouped and each is walked once.  A sheet has at most 50,000 rows, which bounds a group.
+grouped and each is walked once.  A file has a bounded size and
+number of cells, which bounds a group.
 
 Layouts are tried in this order: wide (periods across), ledger (dated operations), vertical (periods down), categorical
 (names and values without periods).

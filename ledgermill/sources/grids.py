@@ -13,6 +13,7 @@ import zipfile
 from collections.abc import Iterator
 from datetime import date, timedelta
 from html.parser import HTMLParser
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from ledgermill.schemas import GRID
 
 MAX_FILE, MAX_UNPACKED, MAX_ENTRIES = 20 << 20, 300 << 20, 5_000
-MAX_COLUMNS, MAX_ROWS, MAX_BLANK = 512, 50_000, 200
+#: Cells of one file, merged and repeated ones spelled out; a file of more is refused as a whole, never cut.
+MAX_CELLS = 4_000_000
 FORMATS = {"xlsx": "xlsx", "csv": "csv", "txt": "text", "html": "html", "htm": "html", "ods": "ods", "docx": "docx"}
 Row = tuple[str, int, int, str, str]
 #: Cell type of the row that stands for a file that could not be read.
@@ -152,6 +154,12 @@ def cell_name(row: int, col: int) -> str:
     return f"{name}{row + 1}"
 
 
+def within_bound(cells: int) -> int:
+    if cells > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells")
+    return cells
+
+
 def xlsx_cells(data: bytes) -> Iterator[Row]:
     z = opened(data)
     names = set(z.namelist())
@@ -171,11 +179,8 @@ def xlsx_cells(data: bytes) -> Iterator[Row]:
         target = next((rels[v] for k, v in sheet.attrib.items() if _local(k) == "id"), "").lstrip("/")
         root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
         found: dict[tuple[int, int], tuple[str, str]] = {}
-        last = -1
         for cell in _all(root, "c"):
             at = a1(cell.get("r"))
-            if at[1] >= MAX_COLUMNS or at[0] >= MAX_ROWS or (last >= 0 and at[0] - last > MAX_BLANK):
-                continue
             value = next((v.text for v in cell if _local(v.tag) == "v"), None)
             kind, raw, as_ = cell.get("t", "n"), None, "text"
             if kind == "s" and value is not None:
@@ -190,14 +195,12 @@ def xlsx_cells(data: bytes) -> Iterator[Row]:
                 raw = value
             if raw is not None and raw.strip():
                 found[at] = (raw.strip(), as_)
-                last = at[0]
         for merge in _all(root, "mergeCell"):
             lo, _, hi = merge.get("ref").partition(":")
             (r0, c0), (r1, c1) = a1(lo), a1(hi or lo)
             if (anchor := found.get((r0, c0))) is not None:
-                for r in range(r0, min(r1, MAX_ROWS) + 1):
-                    for c in range(c0, min(c1, MAX_COLUMNS - 1) + 1):
-                        found[r, c] = anchor
+                within_bound(len(found) + (r1 - r0 + 1) * (c1 - c0 + 1))
+                found.update(((r, c), anchor) for r in range(r0, r1 + 1) for c in range(c0, c1 + 1))
         for (r, c), (raw, as_) in sorted(found.items()):
             yield sheet.get("name"), r, c, raw, as_
 
@@ -218,14 +221,12 @@ def ods_cells(data: bytes) -> Iterator[Row]:
                 raw = {"float": attr(cell, "value"), "currency": attr(cell, "value"), "percentage": attr(cell, "value"), "date": (attr(cell, "date-value") or "")[:10]}.get(kind) or "\n".join("".join(p.itertext()) for p in _all(cell, "p"))
                 if raw and raw.strip():
                     as_ = "date" if kind == "date" else "number" if kind in ("float", "currency", "percentage") else "text"
-                    cells += [(c + k, raw.strip(), as_) for k in range(min(times, MAX_COLUMNS - c))]
+                    cells += [(c + k, raw.strip(), as_) for k in range(within_bound(times))]
                 c += times
-            for k in range(min(again, MAX_ROWS - r) if cells else 0):
+            for k in range(again if cells else 0):
                 for col, raw, as_ in cells:
                     yield attr(table, "name") or "", r + k, col, raw, as_
             r += again
-            if r >= MAX_ROWS:
-                break
 
 
 def docx_cells(data: bytes) -> Iterator[Row]:
@@ -266,7 +267,9 @@ def cells_of(path: str, content: bytes) -> list[Row]:
         raise ValueError(f"no reader for .{ext}")
     if len(content) > MAX_FILE:
         raise ValueError(f"{path} is larger than {MAX_FILE} bytes")
-    return list(READERS[FORMATS[ext]](content))
+    rows = list(islice(READERS[FORMATS[ext]](content), MAX_CELLS + 1))
+    within_bound(len(rows))
+    return rows
 
 
 def reader(strict: bool):
@@ -289,7 +292,7 @@ def reader(strict: bool):
 def grids(files: DataFrame, strict: bool = True) -> DataFrame:
     """Long grid of files (doc_id, path, content); the path's ending names the format.
 
-    A file that can't be read (another ending, too large, damaged) fails the job, or without ``strict`` gives one row of
+    A file that can't be read (another ending, too large, damaged, of more than MAX_CELLS cells) fails the job, or without ``strict`` gives one row of
     cell type ERROR that says why; ``usable`` and ``problems`` part the two.
     """
     return files.select(F.col("doc_id").cast("string").alias("doc_id"), "path", "content").mapInPandas(reader(strict), GRID)

@@ -1,3 +1,5 @@
+import io
+import zipfile
 from datetime import date
 from decimal import Decimal
 
@@ -25,6 +27,22 @@ def test_workbook_round_trip(spark):
     assert names == ['A & "B"', 'A & "B"', "Second"]
 
 
+def test_no_cell_is_dropped_in_silence(spark, monkeypatch):
+    far = grids.xlsx_cells(sinks.xlsx({"S": [["a"], *[[] for _ in range(60_000)], [*[None] * 600, "b"]]}))
+    assert [(r, c, raw) for _, r, c, raw, _ in far] == [(0, 0, "a"), (60_001, 600, "b")]
+    row = '<table:table-row table:number-rows-repeated="{}"><table:table-cell office:value-type="string"><text:p>{}</text:p></table:table-cell></table:table-row>'
+    content = '<d xmlns:table="t" xmlns:office="o" xmlns:text="x"><table:table table:name="S">' + row.format(60_000, "a") + row.format(1, "b") + "</table:table></d>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("content.xml", content)
+    cells = grids.cells_of("x.ods", out.getvalue())
+    assert len(cells) == 60_001 and cells[-1][1:4] == (60_000, 0, "b")
+    monkeypatch.setattr(grids, "MAX_CELLS", 60_000)
+    for name, data in (("x.ods", out.getvalue()), ("x.csv", b"a;b\n" * 30_001)):
+        with pytest.raises(ValueError, match="more than 60000 cells"):
+            grids.cells_of(name, data)
+
+
 def test_reports_have_a_bound(spark, monkeypatch):
     monkeypatch.setattr(sinks, "MAX_REPORT_ROWS", 2)
     with pytest.raises(ValueError, match="more than 2 rows"):
