@@ -29,11 +29,14 @@ STOPWORDS = (
 def tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Words of two characters or more, lower-cased, without stop words, cut to five characters.
 
-    One pattern does it all: it begins at a word's start, passes over stop words and keeps the word's first letters.
+    A match takes a word as a whole, so no look-around is needed to find where words begin; stop words match without a stem.
     """
     w = WORD[:-1]
-    skip = rf"(?!(?:{'|'.join(sorted(stopwords))})(?!{w}))" if stopwords else ""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!{w}){skip}({w}{{2,{STEM}}}){w}*+"), F.lit(1))
+    stem = rf"({w}{{2,{STEM}}}){w}*+"
+    if not stopwords:
+        return F.regexp_extract_all(F.lower(text), F.lit(stem), F.lit(1))
+    stop = rf"(?:{'|'.join(sorted(stopwords))})(?!{w})"
+    return F.array_remove(F.regexp_extract_all(F.lower(text), F.lit(f"{stop}|{stem}"), F.lit(1)), "")
 
 
 def corpus(chunks: DataFrame) -> DataFrame:

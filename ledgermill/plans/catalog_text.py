@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgermill.operators import retrieval as rt
 from ledgermill.operators import store
+from ledgermill.operators.text_index import TextIndex
 from ledgermill.plans.testdata import table
+from ledgermill.shared import new_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +61,35 @@ def bm25_topk(spark, sf) -> DataFrame:
     return rt.bm25(chunks(spark, sf), asked(spark, sf), 12, NONE).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+#: The documents after the changes below: no later copies of a text; texts that are shorter than the mean also name their source.
+CHANGED = "fin AS (SELECT doc_id, CASE WHEN n_chars < (SELECT avg(n_chars) FROM documents) THEN text || ' ' || source ELSE text END AS text FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text))"
+
+
+def changed_index(spark, sf) -> TextIndex:
+    """An index of all documents that then loses later copies, gets new texts for short documents and is compacted before the last change."""
+    docs = table(spark, sf, "documents")
+    index = TextIndex.create(chunks(spark, sf), new_path(spark, "text-index"), NONE)
+    index.add(chunks(spark, sf))
+    first = docs.groupBy("text").agg(F.min("doc_id").alias("chunk_id"))
+    index.remove(chunks(spark, sf).join(first, "chunk_id", "left_anti"))
+    index.compact()
+    short = docs.join(docs.agg(F.avg("n_chars").alias("mean")), F.col("n_chars") < F.col("mean")).select(F.col("doc_id").alias("chunk_id"), F.concat_ws(" ", "text", "source").alias("body"))
+    index.add(short.join(first, "chunk_id", "left_semi"))
+    return index
+
+
+@query(f"WITH {CHANGED}, {BM25.replace('FROM documents', 'FROM fin')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 12")
+def index_search_after_changes(spark, sf) -> DataFrame:
+    """Search of an index that has seen additions, removals and replacements: the rows of one built anew."""
+    return changed_index(spark, sf).search(asked(spark, sf), 12).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {CHANGED}, {INDEX.replace('FROM documents', 'FROM fin')} SELECT term, df, CAST(sum(dl) AS BIGINT) AS total FROM post JOIN df USING (term) JOIN lens USING (doc_id) GROUP BY ALL UNION ALL SELECT '', count(*), CAST(sum(dl) AS BIGINT) FROM lens")
+def index_terms_after_changes(spark, sf) -> DataFrame:
+    """Statistics that such an index keeps by differences: chunks per term and their length."""
+    return changed_index(spark, sf).terms()
+
+
 COS = """cs AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0),
 csr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM cs)"""
 
