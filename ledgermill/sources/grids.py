@@ -26,6 +26,8 @@ MAX_FILE, MAX_UNPACKED, MAX_ENTRIES = 20 << 20, 300 << 20, 5_000
 #: Cells of one file, merged and repeated ones spelled out; a file of more is refused as a whole, never cut.
 MAX_CELLS = 4_000_000
 FORMATS = {"xlsx": "xlsx", "csv": "csv", "txt": "text", "html": "html", "htm": "html", "ods": "ods", "docx": "docx"}
+#: Fixed value of HTML: a cell spans at most so many columns; rows it spans end with the table.
+MAX_ACROSS = 1_000
 Row = tuple[str, int, int, str, str]
 #: Cell type of the row that stands for a file that could not be read.
 ERROR = "error"
@@ -112,8 +114,10 @@ def html_cells(data: bytes) -> Iterator[Row]:
             for text, across, down in row:
                 while (r, c) in taken:
                     c += 1
-                for rr in range(r, r + min(down, MAX_ROWS)):
-                    for cc in range(c, c + min(across, MAX_COLUMNS)):
+                across, down = min(across, MAX_ACROSS), min(down, len(rows) - r)
+                within_bound(len(taken) + across * down)
+                for rr in range(r, r + down):
+                    for cc in range(c, c + across):
                         taken.add((rr, cc))
                         if text:
                             yield f"таблица {k}", rr, cc, text, "text"

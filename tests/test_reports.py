@@ -37,6 +37,8 @@ def test_no_cell_is_dropped_in_silence(spark, monkeypatch):
         z.writestr("content.xml", content)
     cells = grids.cells_of("x.ods", out.getvalue())
     assert len(cells) == 60_001 and cells[-1][1:4] == (60_000, 0, "b")
+    page = b"<table><tr><td rowspan=70000>a<td>b</tr><tr><td colspan=9000>c</tr></table>"
+    assert sorted((r, c, raw) for _, r, c, raw, _ in grids.cells_of("x.html", page)) == [(0, 0, "a"), (0, 1, "b"), (1, 0, "a"), *((1, 1 + c, "c") for c in range(1000))]
     monkeypatch.setattr(grids, "MAX_CELLS", 60_000)
     for name, data in (("x.ods", out.getvalue()), ("x.csv", b"a;b\n" * 30_001)):
         with pytest.raises(ValueError, match="more than 60000 cells"):
