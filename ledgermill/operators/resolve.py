@@ -27,10 +27,13 @@ def entries(metrics: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def exact(questions: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """query_id and metric_id where the metric words are a name, or else a synonym."""
+    """query_id and metric_id where the metric words are a name, or else a synonym.
+
+    A name is looked up in its first entry only, so that a name of many entries doesn't meet its questions once for each.
+    """
     q = questions.select("query_id", F.lower(F.trim("metric_query")).alias("name"))
-    w = Window.partitionBy("query_id").orderBy("from_synonym", "metric_id")
-    return q.join(dictionary.withColumn("name", F.lower("name")), "name").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("query_id", "metric_id")
+    first = dictionary.groupBy(F.lower("name").alias("name")).agg(F.min(F.struct("from_synonym", "metric_id")).alias("first"))
+    return q.join(first, "name").groupBy("query_id").agg(F.min("first").alias("first")).select("query_id", "first.metric_id")
 
 
 def _squeezed(c: Column) -> Column:

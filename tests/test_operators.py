@@ -14,6 +14,7 @@ from ledgermill.operators import retrieval as rt
 from ledgermill.plans import dispatch, sqlguard
 from ledgermill.schemas import FACTS
 from ledgermill.streaming import ledger as st
+from tests.plans import most_rows
 
 
 def yearly(spark, **series):
@@ -160,6 +161,14 @@ def test_lexical_resolution(spark):
     assert resolve.exact(asked, d).count() == 0
 
 
+def test_exact_resolution_of_a_name_with_many_entries(spark):
+    asked = spark.range(400).selectExpr("id as query_id", "if(id % 2 = 0, ' Blue RING', 'none') as metric_query")
+    entries = spark.range(400).selectExpr("'blue ring' as name", "1000 - id as metric_id", "cast(id % 2 as int) as from_synonym")
+    found = resolve.exact(asked, entries)
+    assert {tuple(r) for r in found.collect()} == {(i, 602) for i in range(0, 400, 2)}
+    assert most_rows(found) <= 400
+
+
 def test_semantic_decision(spark):
     rows = [(1, "сделки", 1, "сделки заключенные", False, 0.6), (1, "сделки", 2, "сделки отмененные", False, 0.58), (2, "аренда", 3, "аренда офиса", False, 0.7), (2, "аренда", 4, "выручка", False, 0.9), (3, "всего сделок", 5, "сделки сайта", False, 0.6), (3, "всего сделок", 6, "сделки", True, 0.5)]
     got = {r["query_id"]: (r["metric_id"], r["clarify"]) for r in resolve.semantic(spark.createDataFrame(rows, "query_id long, metric_query string, metric_id long, name string, is_aggregate boolean, score double")).collect()}
