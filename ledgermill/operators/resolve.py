@@ -45,20 +45,36 @@ def lexical(questions: DataFrame, dictionary: DataFrame, stopwords: tuple[str, .
 
     A name's word is covered by an equal word of the question, one of under five letters also as its beginning; a name
     of four letters or more is covered too if it stands in the question without regard to blanks.
+
+    Questions of the same words are one form, looked up once, and so are names of the same words; a name meets only the
+    forms that have the word (or the gram of four letters) of it that is in the fewest of them.
     """
     split_digits = F.regexp_replace("metric_query", r"(?iu)(?<=\d)(?=[а-яёa-z])", " ")
-    asked = questions.select("query_id", F.explode(F.array_distinct(tokens(split_digits, stopwords))).alias("t"))
-    keys = asked.select("query_id", F.explode(F.array_union(F.array("t"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.left("t", i)))).alias("word")).distinct()
-    named = dictionary.withColumn("words", F.array_distinct(tokens(F.col("name"), stopwords)))
-    by_word = named.where(F.size("words") > 0).select("name", "metric_id", "from_synonym", F.size("words").alias("n"), F.explode("words").alias("word"))
+    asked = questions.select("query_id", F.array_distinct(tokens(split_digits, stopwords)).alias("t"), _squeezed(F.col("metric_query")).alias("all"))
+    asked = asked.groupBy("query_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("t")))).alias("words"), F.sort_array(F.collect_set("all")).alias("texts"))
+    forms = asked.groupBy("words", "texts").agg(F.min("query_id").alias("form"))
+    named = dictionary.groupBy("name").agg(F.min(F.struct("from_synonym", "metric_id")).alias("_first")).withColumn("words", F.sort_array(F.array_distinct(tokens(F.col("name"), stopwords)))).where(F.size("words") > 0)
+    named = named.select("words", F.struct((-F.size("words")).alias("n"), "_first.from_synonym", "name", "_first.metric_id").alias("best"), _squeezed(F.col("name")).alias("glued"))
     # Only short words of a name may be met by a prefix; a longer one has five letters and is its own key.
-    met = keys.join(by_word, "word").groupBy("query_id", "name", "metric_id", "from_synonym", "n").agg(F.count_distinct("word").alias("covered")).where("covered = n").drop("covered")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))), lambda i: F.substring(c, i, F.lit(4))))
-    whole = questions.select("query_id", _squeezed(F.col("metric_query")).alias("all")).withColumn("gram", F.explode(grams(F.col("all"))))
-    glued = named.select("name", "metric_id", "from_synonym", F.size("words").alias("n"), _squeezed(F.col("name")).alias("glued")).where(F.length("glued") >= 4).withColumn("gram", F.left("glued", F.lit(4)))
-    inside = whole.join(glued, "gram").where(F.contains("all", "glued") & (F.col("n") > 0)).select("query_id", "name", "metric_id", "from_synonym", "n")
-    w = Window.partitionBy("query_id").orderBy(F.col("n").desc(), "from_synonym", "name", "metric_id")
-    return met.union(inside).distinct().withColumn("_r", F.row_number().over(w)).where("_r = 1").select("query_id", "metric_id", "name")
+    prefixes = F.flatten(F.transform("words", lambda t: F.array_union(F.array(t), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.left(t, i)))))
+    met = _covered(forms.select("form", F.array_distinct(prefixes).alias("has")), named.groupBy(F.col("words").alias("needs")).agg(F.min("best").alias("best")))
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))), lambda i: F.substring(c, i, F.lit(4)))
+    glued = named.where(F.length("glued") >= 4).groupBy("glued").agg(F.min("best").alias("best")).select("best", "glued", F.array_distinct(grams(F.col("glued"))).alias("needs"))
+    whole = forms.select("form", F.array_distinct(F.flatten(F.transform("texts", grams))).alias("has"), "texts")
+    inside = _covered(whole, glued).where(F.exists("texts", lambda t: F.contains(t, F.col("glued"))))
+    found = met.select("form", "best").unionByName(inside.select("form", "best")).groupBy("form").agg(F.min("best").alias("best"))
+    answers = forms.join(found, "form").select(F.col("words").alias("_words"), F.col("texts").alias("_texts"), "best")
+    return asked.join(answers, (F.col("words") == F.col("_words")) & (F.col("texts") == F.col("_texts"))).select("query_id", "best.metric_id", "best.name")
+
+
+def _covered(forms: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of forms (form, has) and names (best, needs), both with what else they hold, where the form has all that the name needs."""
+    held = forms.select("*", F.explode("has").alias("_key"))
+    often = held.groupBy("_key").agg(F.count(F.lit(1)).alias("_often"))
+    met = names.select("best", F.size("needs").alias("_n"), F.explode("needs").alias("_key")).join(often, "_key")
+    rarest = met.groupBy("best", "_n").agg(F.min(F.struct("_often", "_key")).alias("_rarest"), F.count(F.lit(1)).alias("_met")).where("_met = _n")
+    by_key = names.join(rarest.select("best", F.col("_rarest._key").alias("_key")), "best")
+    return held.join(by_key, "_key").where(F.size(F.array_except("needs", "has")) == 0)
 
 
 def semantic(candidates: DataFrame, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:

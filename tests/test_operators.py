@@ -169,6 +169,22 @@ def test_exact_resolution_of_a_name_with_many_entries(spark):
     assert most_rows(found) <= 400
 
 
+def test_lexical_resolution_of_many_questions_of_the_same_words(spark):
+    asked = spark.range(300).selectExpr("id as query_id", "concat('how much ', if(id % 3 = 0, 'blue ring', 'old plate'), ' large') as metric_query")
+    entries = spark.range(300).selectExpr("if(id % 2 = 0, 'blue ring', 'bluering') as name", "id as metric_id", "0 as from_synonym").union(spark.createDataFrame([("old", 7, 1), ("plate old", 9, 1), ("new plate", 8, 0)], "name string, metric_id long, from_synonym int"))
+    found = resolve.lexical(asked, entries, ())
+    assert {tuple(r) for r in found.collect()} == {(i, 0, "blue ring") if i % 3 == 0 else (i, 9, "plate old") for i in range(300)}
+    assert most_rows(found) < 1500
+
+
+def test_lexical_resolution_meets_on_the_rarest_word(spark):
+    asked = spark.range(200).selectExpr("id as query_id", "concat('total x', lpad(id, 3, '0')) as metric_query")
+    entries = spark.range(200).selectExpr("concat('x', lpad(id, 3, '0'), ' total') as name", "id as metric_id", "0 as from_synonym")
+    found = resolve.lexical(asked, entries, ())
+    assert {(r["query_id"], r["metric_id"]) for r in found.collect()} == {(i, i) for i in range(200)}
+    assert most_rows(found) < 10_000
+
+
 def test_semantic_decision(spark):
     rows = [(1, "сделки", 1, "сделки заключенные", False, 0.6), (1, "сделки", 2, "сделки отмененные", False, 0.58), (2, "аренда", 3, "аренда офиса", False, 0.7), (2, "аренда", 4, "выручка", False, 0.9), (3, "всего сделок", 5, "сделки сайта", False, 0.6), (3, "всего сделок", 6, "сделки", True, 0.5)]
     got = {r["query_id"]: (r["metric_id"], r["clarify"]) for r in resolve.semantic(spark.createDataFrame(rows, "query_id long, metric_query string, metric_id long, name string, is_aggregate boolean, score double")).collect()}
