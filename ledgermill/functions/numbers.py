@@ -93,14 +93,16 @@ def fmt_number(value: Column, digits: int = 2) -> Column:
     return F.coalesce(shown, F.lit("—"))
 
 
-def fmt_money(value: Column, currency: Column) -> Column:
-    """Amount in its natural scale with the currency's sign."""
+def fmt_money(value: Column, currency: Column, largest: int = 1_000_000_000) -> Column:
+    """Amount in its natural scale, at most ``largest``, with the currency's sign."""
     size = F.abs(value)
     sign = F.lit("")
     for code, mark in SIGNS.items():
         sign = F.when(currency == code, f" {mark}").otherwise(sign)
     scaled = lambda by, word: F.concat(fmt_number(value / F.lit(by)), F.lit(f" {word}"))
-    shown = F.when(size >= 1_000_000_000, scaled(1_000_000_000, "млрд")).when(size >= 1_000_000, scaled(1_000_000, "млн")).when(size >= 1_000, scaled(1_000, "тыс.")).otherwise(fmt_number(value))
+    shown = fmt_number(value)
+    for by, word in ((1_000, "тыс."), (1_000_000, "млн"), (1_000_000_000, "млрд")):
+        shown = F.when(size >= by, scaled(by, word)).otherwise(shown) if by <= largest else shown
     return F.when(value.isNull(), "—").otherwise(F.concat(shown, sign))
 
 

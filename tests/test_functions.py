@@ -30,6 +30,11 @@ def test_numbers_with_units(spark):
     assert [u["unit"] for u in units] == [None, "%", "шт", "руб", None] and units[3]["multiplier"] == 1000
 
 
+def test_money_in_millions_at_most(spark):
+    million = lambda c: numbers.fmt_money(c.cast("decimal(28,6)"), F.lit("RUB"), largest=1_000_000)
+    assert run(spark, million, ["1234567.891", "2e9", "-2e9", "-45000"]) == ["1,23 млн ₽", "2 000,00 млн ₽", "-2 000,00 млн ₽", "-45,00 тыс. ₽"]
+
+
 def test_formats(spark):
     dec = lambda c: c.cast("decimal(28,6)")
     assert run(spark, lambda c: numbers.fmt_money(dec(c), F.lit("RUB")), ["1234567.891", "999", "-45000", None, "2e9"]) == ["1,23 млн ₽", "999,00 ₽", "-45,00 тыс. ₽", "—", "2,00 млрд ₽"]
