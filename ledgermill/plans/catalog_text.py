@@ -159,10 +159,9 @@ SHARED = """sh0 AS (SELECT item_id AS query_id, doc_id AS chunk_id, count(*) AS
 def rrf_fusion(spark, sf) -> DataFrame:
     """BM25 fused with a list by the number of shared words."""
     c, items = chunks(spark, sf), asked(spark, sf)
-    terms = rt.asked_terms(items, NONE).select("query_id", "term")
-    postings = rt.index(c, NONE, terms)
-    sparse = rt.bm25(c, items, 12, NONE, postings).select("query_id", "chunk_id", "rank")
-    shared = rt.top(terms.join(postings, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("score")), 12).select("query_id", "chunk_id", "rank")
+    index = rt.index(c, rt.asked_terms(items, NONE), NONE)
+    sparse = rt.bm25(c, items, 12, NONE, index).select("query_id", "chunk_id", "rank")
+    shared = rt.by_shared_words(items, index, 12, NONE).select("query_id", "chunk_id", "rank")
     return rt.fuse(sparse.unionByName(shared), 8).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 

@@ -1,12 +1,14 @@
-from collections import Counter
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgermill.operators import retrieval as rt
 from ledgermill.operators import text_index
 from ledgermill.operators.text_index import TextIndex
 from ledgermill.shared import new_path
+from tests.plans import most_rows
 
 CHUNK, QUERY = "chunk_id long, body string", "query_id long, text string"
 
@@ -91,3 +93,20 @@ def test_words_are_counted_without_a_shuffle(spark, words):
     assert {(r["term"], r["chunk_id"], r["tf"]) for r in twice.collect()} == {("ab", 1, 3), ("cd", 1, 1), ("", 1, 1)}
     none = rt.postings(spark.createDataFrame([(1, "ab"), (2, None)], CHUNK), (), spark.createDataFrame([("cd",)], "term string"), every=True)
     assert {(r["term"], r["chunk_id"], r["length"]) for r in none.collect()} == {("", 1, 1), ("", 2, 1)}
+
+
+def test_search_gives_on_no_row_for_each_pair(spark, words):
+    texts = {i: "w0 " + words(2 + i % 25) for i in range(600)} | {600: "", 601: None, 602: "w1 w1"}
+    chunks = spark.createDataFrame([*texts.items(), *((i, "w0 w5") for i in range(700, 760))], CHUNK).repartition(3)
+    queries = spark.createDataFrame([(i, f"w0 w{i} w{i} w{i + 7}") for i in range(40)] + [(99, "absent")], QUERY)
+    p, asked = rt.postings(chunks, (), every=True), rt.asked_terms(queries, ())
+    n, mean = p.where("term = ''").agg(F.count("*"), F.avg("length")).first()
+    df = p.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    score = F.col("qtf") * F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("length") / mean))
+    want = rt.top(p.join(asked, "term").join(df, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(score), 9).alias("score")), 6)
+    found = rt.bm25(chunks, queries, 6, ())
+    assert rows(found) == rows(want)
+    assert most_rows(found) < 662 * 40 / 4
+    shared = rt.top(p.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score")), 6)
+    assert rows(rt.by_shared_words(queries, rt.index(chunks, asked, ()), 6, ())) == rows(shared)
+    assert rows(rt.bm25(chunks.limit(0), queries, 6, ())) == [] == rows(rt.bm25(chunks, queries.limit(0), 6, ()))
