@@ -54,6 +54,37 @@ def test_changes_equal_a_rebuild(spark, words, monkeypatch):
     assert rows(index.search(queries, 5, version=1)) == before
 
 
+def test_a_text_is_cut_once_and_blocks_bound_it(spark, words, monkeypatch):
+    monkeypatch.setattr(text_index, "BLOCK", 8)
+    texts = {i: words(5 + i % 9) for i in range(60)} | {60: None}
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(text, stopwords):
+        @F.udf("string")
+        def same(x):
+            seen.add(1)
+            return x
+
+        return rt.tokens(same(text), stopwords)
+
+    monkeypatch.setattr(text_index, "tokens", noted)
+    index = TextIndex.create(spark.createDataFrame([], CHUNK), new_path(spark, "test-index"), ())
+    index.add(spark.createDataFrame(list(texts.items()), CHUNK))
+    index.remove(spark.createDataFrame([(3,)], "chunk_id long"))
+    index.compact()
+    index.terms().collect()
+    assert seen.value == 61
+    at = {r["chunk_id"]: r["block"] for r in spark.read.parquet(f"{index.path}/chunks/version=1").collect()}
+    want = {}
+    for i, body in texts.items():
+        for t, n in Counter((body or "").split()).items():
+            tf, length, df, total = want.get((t, at[i]), (0, 99, 0, 0))
+            size = len(body.split())
+            want[t, at[i]] = (max(tf, n), min(length, size), df + 1, total + size)
+    whole = spark.read.parquet(f"{index.path}/blocks/version=1").groupBy("term", "block").agg(F.max("max_tf"), F.min("min_length"), F.sum("df"), F.sum("total"))
+    assert {tuple(r)[:2]: tuple(r)[2:] for r in whole.collect()} == want
+
+
 def test_an_interrupted_change_is_not_seen(spark, words, monkeypatch):
     index = TextIndex.create(spark.createDataFrame([], CHUNK), new_path(spark, "test-index"), ())
     queries = spark.createDataFrame([(1, "w1 w2")], QUERY)
