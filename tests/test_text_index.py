@@ -85,6 +85,16 @@ def test_a_text_is_cut_once_and_blocks_bound_it(spark, words, monkeypatch):
     assert {tuple(r)[:2]: tuple(r)[2:] for r in whole.collect()} == want
 
 
+def test_search_of_versions_gives_on_no_row_for_each_pair(spark, words):
+    texts = {i: "w0 " + words(20) for i in range(400)}
+    queries = spark.createDataFrame([(i, f"w0 w1 w{i}") for i in range(40)], QUERY)
+    index = TextIndex.create(spark.createDataFrame([], CHUNK), new_path(spark, "test-index"), ())
+    index.add(spark.createDataFrame(list(texts.items()), CHUNK))
+    found = index.search(queries, 6)
+    assert rows(found) == rows(rt.bm25(spark.createDataFrame(list(texts.items()), CHUNK), queries, 6, ()))
+    assert most_rows(found) < 400 * 40 / 4
+
+
 def test_an_interrupted_change_is_not_seen(spark, words, monkeypatch):
     index = TextIndex.create(spark.createDataFrame([], CHUNK), new_path(spark, "test-index"), ())
     queries = spark.createDataFrame([(1, "w1 w2")], QUERY)
