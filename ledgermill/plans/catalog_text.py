@@ -27,6 +27,11 @@ def query(sql: str | None = None):
     return add
 
 
+def places(column: str, n: int):
+    """Rounded as the SQL does it: scaled, to a whole number, and back; of a half, Spark's own rounding may make another last digit."""
+    return (F.round(F.col(column) * 10.0**n) / 10.0**n).alias(column)
+
+
 def chunks(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.lit(None).cast("string").alias("section"), F.col("text").alias("body"))
 
@@ -58,7 +63,7 @@ def asked(spark, sf) -> DataFrame:
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 12")
 def bm25_topk(spark, sf) -> DataFrame:
-    return rt.bm25(chunks(spark, sf), asked(spark, sf), 12, NONE).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return rt.bm25(chunks(spark, sf), asked(spark, sf), 12, NONE).select("query_id", "chunk_id", places("score", 6), "rank")
 
 
 #: The documents after the changes below: no later copies of a text; texts that are shorter than the mean also name their source.
@@ -81,7 +86,7 @@ def changed_index(spark, sf) -> TextIndex:
 @query(f"WITH {CHANGED}, {BM25.replace('FROM documents', 'FROM fin')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 12")
 def index_search_after_changes(spark, sf) -> DataFrame:
     """Search of an index that has seen additions, removals and replacements: the rows of one built anew."""
-    return changed_index(spark, sf).search(asked(spark, sf), 12).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return changed_index(spark, sf).search(asked(spark, sf), 12).select("query_id", "chunk_id", places("score", 6), "rank")
 
 
 @query(f"WITH {CHANGED}, {INDEX.replace('FROM documents', 'FROM fin')} SELECT term, df, CAST(sum(dl) AS BIGINT) AS total FROM post JOIN df USING (term) JOIN lens USING (doc_id) GROUP BY ALL UNION ALL SELECT '', count(*), CAST(sum(dl) AS BIGINT) FROM lens")
@@ -103,7 +108,7 @@ def cosine_topk(spark, sf) -> DataFrame:
     """Every hundredth vector is a query against all."""
     v = vectors(spark, sf)
     q = v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
-    return rt.nearest(v, q, 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return rt.nearest(v, q, 5).select("query_id", "chunk_id", places("score", 6), "rank")
 
 
 @query(f"WITH {COS}, l AS (SELECT csr.*, label FROM csr JOIN embeddings e ON e.vec_id = chunk_id) SELECT query_id, label, count(*) AS n, round(max(score), 6) AS best FROM l WHERE rank <= 20 GROUP BY ALL")
@@ -111,7 +116,7 @@ def knn_per_label(spark, sf) -> DataFrame:
     v = vectors(spark, sf)
     q = v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
     near = rt.nearest(v, q, 20).join(v.select("chunk_id", "label"), "chunk_id")
-    return near.groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"))
+    return near.groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best")).withColumn("best", places("best", 6))
 
 
 ALLOWED = "doc AS (SELECT *, label % 3 = 0 AS hidden, label % 5 = 1 AS old FROM embeddings), ok AS (SELECT * FROM doc WHERE NOT (hidden AND label % 2 <> 1) AND NOT old AND vec_id % 4 <> 3)"
@@ -129,7 +134,7 @@ def allowed_vectors(spark, sf) -> DataFrame:
 def knn_visible(spark, sf) -> DataFrame:
     """Nearest vectors among those that the reader may see, of current documents and of kind text."""
     q = vectors(spark, sf).where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
-    return rt.nearest(allowed_vectors(spark, sf), q, 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return rt.nearest(allowed_vectors(spark, sf), q, 5).select("query_id", "chunk_id", places("score", 6), "rank")
 
 
 @query(f"""WITH {ALLOWED}, {COS}, h AS (SELECT query_id, chunk_id, min_by(s, f) AS score FROM (SELECT query_id, chunk_id, score AS s, 0 AS f FROM csr JOIN embeddings e ON e.vec_id = chunk_id WHERE rank <= 10 AND label % 3 <> 0 UNION ALL SELECT query_id, chunk_id, round(score * 0.9, 9), 1 FROM csr WHERE rank <= 10) GROUP BY ALL),
@@ -140,7 +145,7 @@ def knn_mirror_merge(spark, sf) -> DataFrame:
     q = v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
     hits = rt.nearest(v, q, 10).select("query_id", "chunk_id", "score").join(v.select("chunk_id", "label"), "chunk_id")
     own, mirror = hits.where("label % 3 <> 0").drop("label"), hits.drop("label").withColumn("score", F.round(F.col("score") * 0.9, 9))
-    return rt.merge_hits(own, mirror, allowed_vectors(spark, sf), 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return rt.merge_hits(own, mirror, allowed_vectors(spark, sf), 5).select("query_id", "chunk_id", places("score", 6), "rank")
 
 
 @query("WITH d AS (SELECT DISTINCT conv_id FROM conversations WHERE NOT (conv_id % 3 = 0 AND conv_id % 2 <> 1) AND conv_id % 5 <> 1) SELECT conv_id AS document_id, role AS section, min(turn) AS turn FROM conversations JOIN d USING (conv_id) GROUP BY ALL")
@@ -162,7 +167,7 @@ def rrf_fusion(spark, sf) -> DataFrame:
     index = rt.index(c, rt.asked_terms(items, NONE), NONE)
     sparse = rt.bm25(c, items, 12, NONE, index).select("query_id", "chunk_id", "rank")
     shared = rt.by_shared_words(items, index, 12, NONE).select("query_id", "chunk_id", "rank")
-    return rt.fuse(sparse.unionByName(shared), 8).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+    return rt.fuse(sparse.unionByName(shared), 8).select("query_id", "chunk_id", places("score", 9), "rank")
 
 
 @query(f"""WITH {BM25}, c AS (SELECT query_id, chunk_id, list_distinct({TOKS.format('b.text')}) AS q, list_distinct({TOKS.format('d.text')}) AS t, b.text AS qt, d.text AS body FROM bmr JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 12),
@@ -171,7 +176,7 @@ def rrf_fusion(spark, sf) -> DataFrame:
 def heuristic_rerank(spark, sf) -> DataFrame:
     found = rt.bm25(chunks(spark, sf), asked(spark, sf), 12, NONE).select("query_id", "chunk_id")
     rows = found.join(asked(spark, sf).withColumnRenamed("text", "query"), "query_id").join(chunks(spark, sf).select("chunk_id", "body", "section"), "chunk_id").withColumn("semantic_score", F.lit(None).cast("double"))
-    return rt.rerank(rows, 8, NONE).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return rt.rerank(rows, 8, NONE).select("query_id", "chunk_id", places("score", 6), "rank")
 
 
 HYBRID = f"""{BM25}, tk AS (SELECT 'q' AS s, item_id AS id, term, count(*) AS tf FROM (SELECT item_id, unnest({TOKS.format('text')}) AS term FROM benchmark) GROUP BY ALL UNION ALL SELECT 'd', doc_id, term, tf FROM post),
@@ -191,7 +196,7 @@ def hybrid_search(spark, sf) -> DataFrame:
     items = asked(spark, sf)
     qv = rt.hash_embedding(items.select(F.col("query_id").alias("chunk_id"), F.col("text").alias("body")), 64, NONE).withColumnRenamed("chunk_id", "query_id")
     found = rt.hybrid(c, vec, items.join(qv, "query_id").withColumn("variant", F.lit(0)), 8, NONE)
-    return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank", F.round("semantic_score", 6).alias("semantic_score"))
+    return found.select("query_id", "chunk_id", places("score", 9), "rank", places("semantic_score", 6))
 
 
 @query("SELECT a.doc_id AS file_id, sha256(a.text) AS file_hash, min(b.doc_id) AS original_id FROM documents a JOIN documents b ON sha256(a.text) = sha256(b.text) AND a.source = b.source GROUP BY ALL")
