@@ -6,8 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(28,6)"
-#: Cells that say «no value».
-NO_VALUE = ("", "-", "—", "–", "x", "х", "н/д", "н.д.", "na", "n/a", "null", "none", ".")
 #: Scale words, currencies and unit words, in the order in which they are looked for.
 SCALES = (("млрд", 1_000_000_000), ("млн", 1_000_000), ("(?<![\\p{L}\\p{N}_])тыс|thousand", 1_000))
 CURRENCIES = (("₽|руб", "RUB", "руб"), ("\\$|usd|долл", "USD", "usd"), ("€|eur|евро", "EUR", "eur"))
@@ -50,6 +48,13 @@ def _unit_of(low: Column) -> Column:
 DOTTED, COMMAED = r"^\d{1,3}(\.\d{3})+(,\d+)?$", r"^(\d{1,3}(,\d{3})+\.\d+|\d{1,3}(,\d{3}){2,})$"
 
 
+#: Fixed value: all that a number's text may hold, a digit among it; days (dd.mm.yyyy) and cells that say «no value» are none. Looked at first, as most cells are no numbers.
+_CHARS = r"0-9０-９（）％，．－＋()%,.+\-−'’\s\u00a0\u2000-\u200a\u202f\u205f\u3000"
+NUMERIC = rf"^(?!\d{{1,2}}\.\d{{1,2}}\.\d{{4}}$)(?=[^0-9０-９]*[0-9０-９])[{_CHARS}]+$"
+#: The same of a number beside unit words.
+WITH_UNIT = rf"(?iu)^(?=[^0-9０-９]*[0-9０-９])[{_CHARS}₽$€{''.join(sorted(set(''.join(UNIT_WORDS))))}]+$"
+
+
 def parse_number(text: Column, multiplier: Column | int = 1) -> Column:
     """Decimal of a cell: brackets and a leading or trailing minus negate; blanks and apostrophes part thousands.
 
@@ -60,7 +65,7 @@ def parse_number(text: Column, multiplier: Column | int = 1) -> Column:
     def signed(s: Column) -> Column:
         bracket = s.rlike(r"^\(.*\)$")
         bare = let(F.when(bracket, F.regexp_replace(s, r"^\(|\)$", "")).otherwise(s), unsigned)
-        return F.when(s.isNotNull() & ~F.lower(s).isin(*NO_VALUE), F.when(bracket, -F.abs(bare)).otherwise(bare))
+        return F.when(bracket, -F.abs(bare)).otherwise(bare)
 
     def unsigned(s: Column) -> Column:
         minus = s.rlike("^-|-$")
@@ -76,7 +81,7 @@ def parse_number(text: Column, multiplier: Column | int = 1) -> Column:
         value = F.when(s.rlike(r"^[+-]?\d{1,20}(\.\d+)?$"), s.try_cast("decimal(38,12)"))
         return F.round(value * mult.cast("decimal(10,0)"), 6).cast(MONEY)
 
-    return let(F.replace(plain(text), F.lit("−"), F.lit("-")), signed)
+    return F.when(text.rlike(NUMERIC), let(F.replace(plain(text), F.lit("−"), F.lit("-")), signed))
 
 
 def parse_number_with_unit(text: Column) -> Column:
@@ -84,7 +89,7 @@ def parse_number_with_unit(text: Column) -> Column:
     words = "|".join(UNIT_WORDS)
     bare = F.regexp_replace(plain(text), rf"(?iu){_EDGE}(?:{words}){_END}\.?|[%₽$€]", " ")
     bare = F.trim(F.regexp_replace(bare, r"(?<=\d)[\s'’](?=\d)", ""))
-    return let(detect_unit(text), lambda info: F.struct(parse_number(bare, info["multiplier"]).alias("value"), info.alias("unit")))
+    return let(detect_unit(text), lambda info: F.struct(F.when(text.rlike(WITH_UNIT), parse_number(bare, info["multiplier"])).alias("value"), info.alias("unit")))
 
 
 def fmt_number(value: Column, digits: int = 2) -> Column:

@@ -34,6 +34,10 @@ MONTH_NUMBER = rf"(0?[1-9]|1[0-2])\s*[./]\s*({YEAR})"
 MONTH_ISO = rf"({YEAR})-(0?[1-9]|1[0-2])"
 YEAR_TAIL = r"(?<=[\d\s.])\s*(?:г\.?|год[а-я]*|year)\s*\d?\s*$"
 LONGEST = 40
+#: Fixed value: days in digits.
+DAY = r"^(?:\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d{1,2}-\d{1,2})$"
+#: How all forms, days among them, begin, and a digit in them: looked at first, as most cells hold no period.
+OPENING = r"(?iu)^(?=[^0-9]*[0-9])[\s  ]*(?:на[\s  ]+)?(?:за[\s  ]*)?(?:[0-9]|fy|h|q|кв|i|янв|фев|мар|апр|ма[йя]|июн|июл|авг|сен|окт|ноя|дек)"
 
 
 def _struct(ptype, label: Column, start: Column, end: Column) -> Column:
@@ -77,7 +81,7 @@ def _from_date(d: Column) -> Column:
 
 def parse_date(s: Column) -> Column:
     """dd.mm.yyyy, dd/mm/yyyy or yyyy-mm-dd."""
-    return let(s, _parse_date)
+    return F.when(s.rlike(DAY), let(s, _parse_date))
 
 
 def _parse_date(s: Column) -> Column:
@@ -96,7 +100,7 @@ def parse(text: Column) -> Column:
     fits = (F.length(s) > 0) & (F.length(s) <= LONGEST)
     s = F.trim(F.regexp_replace(s, YEAR_TAIL, ""))
     s = F.regexp_replace(s, r"^на\s+", "")
-    return F.when(fits, let(s, _parse))
+    return F.when(text.rlike(OPENING) & fits, let(s, _parse))
 
 
 def _parse(s: Column) -> Column:

@@ -45,20 +45,25 @@ def query(sql: str | None = None):
 # -- writing files out of long cells (doc_id, row, col, text, number) ----------------------------------------------------
 
 
-def lines_of(cells: DataFrame, width: int) -> DataFrame:
-    """(doc_id, rows): each row an array of ``width`` texts, blank where there is no cell; rows from 0, without gaps."""
+#: Lines of a csv file: longer tables go on in another one.
+LINES = 100_000
+
+
+def lines_of(cells: DataFrame, width: int, most: int | None = None) -> DataFrame:
+    """(doc_id, first_row, rows): each row an array of ``width`` texts, blank where there is no cell; rows from 0, without gaps, ``most`` together."""
     at = F.map_from_entries(F.collect_list(F.struct("col", "text")))
     row = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: F.coalesce(F.try_element_at("at", c), F.lit("")))
     rows = cells.groupBy("doc_id", "row").agg(at.alias("at")).select("doc_id", "row", row.alias("cells"))
-    return rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda x: x["cells"]).alias("rows"))
+    first = F.floor(F.col("row") / most).cast("int") * most if most else F.lit(0)
+    return rows.groupBy("doc_id", first.alias("first_row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda x: x["cells"]).alias("rows"))
 
 
 def as_csv(cells: DataFrame, width: int) -> DataFrame:
-    """Semicolons between cells; files of even names in UTF-8, the others in code page 1251."""
+    """Semicolons between cells; files of even names in UTF-8, the others in code page 1251. A table of more than LINES rows takes several files."""
     text = F.array_join(F.transform("rows", lambda r: F.array_join(r, ";")), "\n")
     old = F.encode(F.translate(text, CYRILLIC, SAME_BYTES), "ISO-8859-1")
     even = F.regexp_extract("doc_id", r"(\d+)$", 1).cast("int") % 2 == 0
-    return lines_of(cells, width).select("doc_id", F.concat("doc_id", F.lit(".csv")).alias("path"), F.when(even, F.encode(text, "UTF-8")).otherwise(old).alias("content"))
+    return lines_of(cells, width, LINES).select("doc_id", "first_row", F.concat("doc_id", F.lit(".csv")).alias("path"), F.when(even, F.encode(text, "UTF-8")).otherwise(old).alias("content"))
 
 
 def as_html(cells: DataFrame, width: int) -> DataFrame:
@@ -313,10 +318,10 @@ def statements(spark, sf) -> DataFrame:
     purpose = F.element_at(F.array(*(F.lit(p) for p, _ in PURPOSES)), (F.pmod("o_orderkey", F.lit(len(PURPOSES))) + 1).cast("int"))
     s = sales(spark, sf).select(F.concat_ws("-", "doc_id", "y").alias("doc_id"), F.add_months("day", 12 * SHIFT).alias("day"), "o_orderkey", "v", purpose.alias("purpose"))
     rows = s.withColumn("row", F.row_number().over(Window.partitionBy("doc_id").orderBy("day", "o_orderkey")))
-    cell = lambda c, text: rows.select("doc_id", "row", F.lit(c).alias("col"), text.alias("text"))
-    docs = s.select("doc_id").distinct()
-    top = const(docs, 0, 0, "Дата").union(const(docs, 0, 1, "Назначение")).union(const(docs, 0, 2, "Сумма"))
-    return top.unionByName(cell(0, F.date_format("day", "dd.MM.yyyy"))).unionByName(cell(1, F.concat_ws(" ", "purpose", F.lit("по заказу"), F.concat(F.lit("№"), F.col("o_orderkey").cast("string"))))).unionByName(cell(2, grouped(F.col("v"))))
+    line = F.array(F.date_format("day", "dd.MM.yyyy"), F.concat_ws(" ", "purpose", F.lit("по заказу"), F.concat(F.lit("№"), F.col("o_orderkey").cast("string"))), grouped(F.col("v")))
+    head = F.array(F.lit("Дата"), F.lit("Назначение"), F.lit("Сумма"))
+    both = rows.select("doc_id", "row", line.alias("line")).withColumn("lines", F.when(F.col("row") == 1, F.array(F.struct(F.lit(0).alias("row"), head.alias("line")), F.struct("row", "line"))).otherwise(F.array(F.struct("row", "line"))))
+    return both.select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.row", F.posexplode("x.line").alias("col", "text"))
 
 
 _PURPOSE = "list_extract([" + ", ".join(f"'{p}'" for p, _ in PURPOSES) + f"], CAST(o_orderkey % {len(PURPOSES)} + 1 AS INTEGER))"

@@ -1,8 +1,12 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
+from ledgermill.functions.numbers import parse_number, parse_number_with_unit
+from ledgermill.functions.periods import parse
 from ledgermill.operators import grid
+from ledgermill.plans import catalog_scan
 from ledgermill.schemas import GRID
 from ledgermill.sources import grids
 
@@ -161,3 +165,47 @@ def test_problem_files_leave_the_others_alone(spark):
     cells = grids.grids(files, strict=False)
     assert {r["doc_id"] for r in grids.problems(cells).collect()} == {"b", "c"}
     assert {r["raw"] for r in grids.usable(cells).collect()} == {"x", "1", "y", "2"}
+
+
+def test_operations_are_those_of_the_sheets_walk(spark):
+    """Ties of days and lengths, several amounts, units in cells, a header's scale, gaps, short sheets, too few days, a period across."""
+    days = [f"{d:02d}.03.2020" for d in range(1, 10)]
+    docs = {
+        "plain": [["Дата", "Назначение", "Сумма, тыс. руб."], *([d, f"такси {k}", f"{k} 500"] for k, d in enumerate(days, 1))],
+        "two": [["Дата", "Приход", "", "Расход"], *([d, str(k), "ab", "5 руб.", "cd"] for k, d in enumerate(days))],
+        "gaps": [["", ""], *([d if k % 2 else "нет", "" if k == 4 else f"{k},5", "за два года"] for k, d in enumerate(days, 1))],
+        "short": [["Дата", "Сумма"], [days[0], "1"], [days[1], "2"]],
+        "few": [["Дата", "Сумма"], *([days[0] if k < 3 else "x", "7"] for k in range(20))],
+        "wide": [["Показатель", "2024", "2025"], *([d, "1", "2"] for d in days)],
+        "headed": [["Показатель", "2024"], *([d, "1"] for d in days)],
+        "far": [["" for _ in range(30)], *([d, *("" for _ in range(28)), "(3)"] for d in days)],
+    }
+    cells = [(doc, "млн", r, c, v, "text") for doc, rows in docs.items() for r, row in enumerate(rows) for c, v in enumerate(row) if v]
+    cells += [(None, "т", r, c, v, kind) for r, d in enumerate(["2020-03-01", "2020-03-02", "2020-03-03", "2020-03-04"]) for c, (v, kind) in enumerate([(d, "date"), ("7.5", "number"), ("x" * 300, "text")])]
+    df = spark.createDataFrame(cells, GRID)
+    want = set()
+    for doc in [*docs, None]:
+        sheet = grid.sheet_of(grid.annotated(df.where(df.doc_id.eqNullSafe(doc))).toPandas())
+        want |= {(doc, header, day, float(v), text, ref) for header, day, v, text, ref in (sheet.ledger() or () if sheet.wide() is None else ())}
+    found = grid.operations(df, TODAY)
+    assert {(r["doc_id"], r["header"], r["when"], float(r["value"]), r["description"], r["cell_ref"]) for r in found.collect()} == want
+    assert {w[0] for w in want} == {"plain", "two", "gaps", "far", None}
+    assert "InPandas" not in found._jdf.queryExecution().toString()
+
+
+def test_a_long_table_takes_several_files(spark, monkeypatch):
+    monkeypatch.setattr(catalog_scan, "LINES", 4)
+    cells = spark.createDataFrame([("d-2020", r, c, f"{r}.{c}") for r in range(10) for c in range(2)], "doc_id string, row int, col int, text string")
+    files = catalog_scan.as_csv(cells, 2)
+    assert sorted(r["first_row"] for r in files.collect()) == [0, 4, 8]
+    assert {(r["row"], r["col"], r["raw"]) for r in grids.grids(files).collect()} == {(r, c, f"{r}.{c}") for r in range(10) for c in range(2)}
+
+
+def test_guards_let_all_numbers_and_periods_pass(spark):
+    numbers_ = ["(1 234,5)", "−5", "１２％", "1’000", " 7\t", "1.234.567", "5-", "+3"]
+    united = ["5 ТЫС. руб.", "1,2 млрд ₽", "7 штук", "3 Thousand usd", "12 %", "$ 5"]
+    said = ["на 01.01.2021", "за январь-март 2020", " За  2020 год", "\u00a02020", "IV квартал 2020", "Q3 2020", "H1 2020", "кв. 2 20", "FY2021", "мая 2020", "31/12/2020", "2020-5"]
+    rows = [r.asDict() for r in spark.createDataFrame([(x,) for x in (*numbers_, *united, *said, "№ 5", "такси 5")], "t string").select("t", parse_number(F.col("t")).alias("n"), parse_number_with_unit(F.col("t"))["value"].alias("u"), parse(F.col("t"))["ptype"].alias("p")).collect()]
+    by = {r["t"]: r for r in rows}
+    assert all(by[x]["n"] is not None for x in numbers_) and all(by[x]["u"] is not None for x in united) and all(by[x]["p"] for x in said)
+    assert all(by[x][k] is None for x in ("№ 5", "такси 5") for k in "nup")
