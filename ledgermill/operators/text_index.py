@@ -35,6 +35,9 @@ from ledgermill.shared import written
 
 #: Chunks of a block, about; blocks per query that are scored first, to learn what the k-th score is at least.
 BLOCK, SEEDS = 32, 16
+#: Queries that blocks are left out for, at most.  Bounds are a row for each query and block, and a block that one query needs is scored
+#: for all of them: for many queries at once that is more work than scoring every block.
+BOUNDED = 32
 #: Scores are sums in any order: a block is left out only if its bound is lower by more than this.
 SLACK = 1e-6
 
@@ -174,10 +177,12 @@ class TextIndex:
         least = seeds.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("least"))
         return bounds.join(least, "query_id", "left").select("query_id", "version", "block", "bound", (F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK)).alias("kept"))
 
-    def _scored(self, state: tuple[int, int], asked: Asked, parts: DataFrame, k: int) -> DataFrame:
-        """(query_id, chunk_id, score): of every query its k best live chunks in the blocks of ``parts`` (version, block), and some more."""
-        there = written(parts.select("version", "block").distinct(), "kept-blocks")
-        rows = self._live(state).join(there, ["version", "block"], "left_semi").select("chunk_id", "length", F.explode("words").alias("w"))
+    def _scored(self, state: tuple[int, int], asked: Asked, parts: DataFrame | None, k: int) -> DataFrame:
+        """(query_id, chunk_id, score): of every query its k best live chunks, in the blocks of ``parts`` (version, block) if there are any given, and some more."""
+        live = self._live(state)
+        if parts is not None:
+            live = live.join(written(parts.select("version", "block").distinct(), "kept-blocks"), ["version", "block"], "left_semi")
+        rows = live.select("chunk_id", "length", F.explode("words").alias("w"))
         found = packed(rows.select("chunk_id", "length", "w.term", "w.tf"), asked.places)
         mean = asked.mean
         return blocks.best_texts(found, asked.weights, k, lambda tf, length: _gain(tf, length, mean)).withColumn("score", F.round("score", 9))
@@ -185,11 +190,12 @@ class TextIndex:
     def search(self, queries: DataFrame, k: int = 12, version: int | None = None) -> DataFrame:
         """Top k live chunks of every query (query_id, text) by Okapi BM25 with their rank: the rows of an index built anew.
 
-        Blocks that may hold one of the k best of any query are scored for all queries at once, block by block.
+        Blocks are scored for all queries at once: of up to BOUNDED queries those that may hold one of the k best of any, of more all blocks.
         """
         state = self._state(version)
         asked = self._asked(state, queries)
-        return top(self._scored(state, asked, self._bounded(state, asked, k).where("kept"), k), k)
+        few = asked.weights.select("query_id").distinct().count() <= BOUNDED
+        return top(self._scored(state, asked, self._bounded(state, asked, k).where("kept") if few else None, k), k)
 
 
 def bounds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

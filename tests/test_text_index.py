@@ -151,3 +151,17 @@ def test_search_gives_on_no_row_for_each_pair(spark, words):
     shared = rt.top(p.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score")), 6)
     assert rows(rt.by_shared_words(queries, rt.index(chunks, asked, ()), 6, ())) == rows(shared)
     assert rows(rt.bm25(chunks.limit(0), queries, 6, ())) == [] == rows(rt.bm25(chunks, queries.limit(0), 6, ()))
+
+
+def test_many_queries_have_no_bounds_and_the_same_rows(spark, monkeypatch):
+    """A row for each query and block is made for few queries only."""
+    chunks = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} w{i % 13} common") for i in range(200)], CHUNK)
+    index = TextIndex.create(chunks, new_path(spark, "test-index"), ())
+    index.add(chunks)
+    index.remove(chunks.where("chunk_id % 5 = 0"))
+    queries = spark.createDataFrame([(q, f"w{q % 7} w{q % 13} common") for q in range(text_index.BOUNDED + 8)], QUERY)
+    monkeypatch.setattr(text_index, "BOUNDED", 10**9)
+    few = rows(index.search(queries, 5))
+    monkeypatch.undo()
+    monkeypatch.setattr(TextIndex, "_bounded", lambda *_: pytest.fail("bounds of many queries"))
+    assert rows(index.search(queries, 5)) == few and len(few) == 5 * (text_index.BOUNDED + 8)
